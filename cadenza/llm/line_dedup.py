@@ -64,7 +64,8 @@ def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, __text, dropped (sorted positions): rows that lose lines only."""
     lines = common.cut(lines_of(docs, min_chars))
-    gone = lines.join(repeated_keys(lines, min_docs), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
+    # written first, so that both sides of the join come from exchanges of its own and a hot key is split at run time
+    gone = lines.join(common.cut(repeated_keys(lines, min_docs)), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     return gone.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
