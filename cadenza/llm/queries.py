@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, shards, url_rules
+from . import decontaminate, line_dedup, packing, shards, simhash, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
+    "op4_simhash": simhash.op4_simhash,
     "op6_shards": shards.op6_shards,
+    "op7_packing": packing.op7_packing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
