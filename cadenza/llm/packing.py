@@ -19,6 +19,7 @@ Results in special cases
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from . import common
 
 MAX_TOKENS, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
-#: Words whose ids a worker remembers; it begins anew beyond that.
-CACHE_WORDS = 300_000
+#: Words of a generation whose ids a worker remembers; two generations are held.
+CACHE_WORDS = 400_000
 GRID, PARTS = 16, 3
 
 
@@ -50,35 +51,53 @@ class WordIds:
     """Ids of whole texts, four little-endian bytes each.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in a row, and
-    words may be remembered.  Four control characters that str.split() also splits at are left to the tokenizer.
+    words may be remembered, in two generations so that frequent ones stay.  To have fewer words, Latin-1 texts are
+    lower-cased first, as the tokenizer does, and marks after a letter, where it parts words itself, are set apart.
+    Four control characters that str.split() also splits at are left to the tokenizer.
     """
 
+    #: After a letter, ASCII marks but the apostrophe, which may begin a piece with letters.
+    MARKS = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~])")
+
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(file), {}, {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+    @classmethod
+    def words(cls, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        if "<|" in text:  # may be a special token
+            return text.split()
+        return cls.MARKS.sub(" ", text.lower()).split()
+
+    def _learn(self, words: set[str]) -> None:
+        known, old = self.known, self.old
+        new = []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            for w, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = np.array(got.ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            distinct = set(words)
-            self._learn([w for w in distinct if w not in self.known])
-            if len(distinct) > CACHE_WORDS or not distinct <= self.known.keys():  # the cache began anew meanwhile
-                self._learn([w for w in distinct if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+        words = self.words(text)
+        missing = {w for w in words if w not in self.known}
+        if missing:
+            self._learn(missing)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer=tokenizer_file) -> DataFrame:

@@ -82,3 +82,14 @@ def test_pack_matches_the_tokenizer_and_leaves_no_gap(spark, make_docs):
 
 def test_empty_table(make_docs):
     assert packing.pack(make_docs([(1, "x")]).where("false")).collect() == []
+
+
+def test_remembered_words_give_the_ids_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    ids = packing.WordIds(packing.tokenizer_file())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    rng = random.Random(11)
+    bits = ["The", "the", "É", "école", "'s", "'", ".", ",", "***", "!!", "9", "42", "<|endoftext|>", "<|", "|>", "é", "İ", "Σ", "ß", "–", "日本", "́", "_", "-", "\xa0", " ", "n't", "½"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(0, 60)))
+        assert ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
