@@ -14,6 +14,10 @@ Results in special cases
 * repeated rows and ties: equal texts have equal fingerprints, and component_id is the smallest doc_id of all;
 * very long texts: shingles are hashed in blocks, memory is the text and a block; empty table: empty result;
 * further columns, however named, are ignored (`keep_one` returns them as they are).
+
+One fingerprint of 64 bits tells texts of a similarity near 0.8 from others only with a budget that no search can prune
+by.  `keep_one` therefore takes several fingerprints (lanes) of independent hashes of each shingle and links
+documents that are within the budget in any of them.
 """
 
 from __future__ import annotations
@@ -29,42 +33,57 @@ from pyspark.sql import types as T
 from . import common
 
 WORDS, BUDGET, SEED = 4, 4, 42
+#: For whole near-duplicate removal: words in a shingle, fingerprints, and bits that may differ in one of them.
+KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 6
 #: Members of a subtree that one task joins; a larger one is dealt out again.
 SUBTREE = 20_000
 #: Shingles hashed at a time, rows of whole subtrees joined at a time, node pairs compared at a time.
 HASHES, ROWS, PAIRS = 65_536, 40_000, 1_000_000
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64 bits; bit i is set if it is set in over half of the shingles' hashes."""
+def remixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another hash out of a hash (the finalizer of SplitMix64); lane 0 is the hash itself."""
+    if not lane:
+        return h
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1) -> np.ndarray:
+    """64 bits for each lane; a bit is set if it is set in over half of the shingles' hashes."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower and bytes.split know A-Z and ASCII white space only
     joined = b" ".join((text or "").encode().lower().split())
     if not joined:
-        return 0
+        return np.zeros(lanes, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
     k = min(words, len(begin))
     begin, end = begin[: len(begin) - k + 1], end[k - 1 :]
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(begin), HASHES):
         part = zip(begin[at : at + HASHES].tolist(), end[at : at + HASHES].tolist())
         h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in part], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(begin), bitorder="little").view("<u8")[0])
+        for lane in range(lanes):
+            counts[lane] += np.unpackbits(remixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(begin), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """doc_id, fps (the fingerprints as signed longs)."""
     rows = docs.select("doc_id", F.col("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), words, lanes) for t in batch.column(1)]
+            flat = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * lanes, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "fps"])
 
-    return rows.mapInArrow(hashed, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(hashed, T.StructType([rows.schema["doc_id"], T.StructField("fps", T.ArrayType(T.LongType()))]))
 
 
 def parts_of(path: str, budget: int) -> list[tuple[str, int]]:
@@ -162,14 +181,14 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
 
 
 def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) between class ids that keep all components; classes: fp (distinct), rep."""
-    rows = classes.select("fp", "rep", F.explode(dealt("", budget)).alias("at")).select("fp", "rep", "at.*")
+    """Links (a, b) between class ids that keep all components of each lane; classes: lane, fp (distinct in a lane), rep."""
+    rows = classes.select("lane", "fp", "rep", F.explode(dealt("", budget)).alias("at")).select("lane", "fp", "rep", "at.*")
+    key = ["lane", "path", "part"]
     small = None
     while True:
-        sizes = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"))
-        large = common.cut(sizes.where(F.col("n") > subtree).select("path", "part"))
+        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        large = common.cut(sizes.where(F.col("n") > subtree).select(*key))
         paths = [r["path"] for r in large.select("path").distinct().collect()]  # at most (budget + 1) ** depth, few in fact
-        key = ["path", "part"]
         calm = rows.join(large, key, "left_anti") if paths else rows
         small = calm if small is None else small.unionByName(calm)
         if not paths:
@@ -177,19 +196,19 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
         below = None
         for p in paths:
             below = F.when(F.col("path") == p, dealt(p, budget)) if below is None else below.when(F.col("path") == p, dealt(p, budget))
-        rows = rows.join(large, key, "left_semi").select("fp", "rep", F.explode(below).alias("at")).select("fp", "rep", "at.*")
+        rows = rows.join(large, key, "left_semi").select("lane", "fp", "rep", F.explode(below).alias("at")).select("lane", "fp", "rep", "at.*")
         rows = common.cut(rows)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def forest(t: pa.Table) -> pa.RecordBatch:
-            path, part = t.column("path").to_numpy(zero_copy_only=False).astype(str), t.column("part").to_numpy()
+            lane, path, part = t.column("lane").to_numpy(), t.column("path").to_numpy(zero_copy_only=False).astype(str), t.column("part").to_numpy()
             fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
             names, path = np.unique(path, return_inverse=True)
-            order = np.lexsort([fp, part, path])
-            path, part, fp, rep = path[order], part[order], fp[order], rep[order]
-            new = np.concatenate([[False], (path[1:] != path[:-1]) | (part[1:] != part[:-1])])
+            order = np.lexsort([fp, part, path, lane])
+            lane, path, part, fp, rep = (x[order] for x in (lane, path, part, fp, rep))
+            new = np.concatenate([[False], (lane[1:] != lane[:-1]) | (path[1:] != path[:-1]) | (part[1:] != part[:-1])])
             first = walk(np.cumsum(new), fp, budget)
             on = first != np.arange(len(fp))
             return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[first[on]])], names=["a", "b"])
@@ -201,8 +220,8 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
             if count < ROWS:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            path, part = t.column("path"), t.column("part").to_numpy()
-            same = (part == part[-1]) & (path.to_numpy(zero_copy_only=False) == path[-1].as_py())
+            lane, path, part = t.column("lane").to_numpy(), t.column("path"), t.column("part").to_numpy()
+            same = (lane == lane[-1]) & (part == part[-1]) & (path.to_numpy(zero_copy_only=False) == path[-1].as_py())
             to = int(len(same) - same[::-1].argmin()) if not same.all() else 0
             if to:  # the last subtree may go on in the next batch
                 yield forest(t.slice(0, to))
@@ -211,7 +230,7 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
         if held:
             yield forest(pa.Table.from_batches(held).combine_chunks())
 
-    dealt_out = small.repartition("path", "part").sortWithinPartitions("path", "part")
+    dealt_out = small.select(*key, "fp", "rep").repartition(*key).sortWithinPartitions(*key)
     return dealt_out.mapInArrow(joined, "a long, b long")
 
 
@@ -242,23 +261,30 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def classified(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """doc_id, fp, component_id."""
-    found = common.cut(fingerprints(docs, words))
-    classes = common.cut(found.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")))
-    parts = components(links(classes, budget, subtree))
-    parts = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
+def classified(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, lanes: int = 1, subtree: int = SUBTREE) -> DataFrame:
+    """doc_id, fps, component_id."""
+    found = common.cut(fingerprints(docs, words, lanes))
+    classes = common.cut(found.where(F.col("doc_id").isNotNull()).groupBy("fps").agg(F.min("doc_id").cast("long").alias("rep")))
+    of_lane = classes.select("rep", F.posexplode("fps").alias("lane", "fp"))
+    in_lane = common.cut(of_lane.groupBy("lane", "fp").agg(F.min("rep").alias("rep")))
+    edges = links(in_lane, budget, subtree)
+    if lanes > 1:  # classes that share a fingerprint in one lane
+        first = in_lane.withColumnsRenamed({"lane": "__lane", "fp": "__fp", "rep": "b"})
+        shared = of_lane.join(first, (F.col("lane") == F.col("__lane")) & (F.col("fp") == F.col("__fp"))).where("rep <> b")
+        edges = edges.unionByName(shared.select(F.col("rep").alias("a"), "b"))
+    parts = components(edges)
+    parts = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fps").alias("__fps"), F.coalesce("component", "rep").alias("component_id"))
     # written first: the join then splits a fingerprint that many rows share
-    out = found.join(common.cut(parts), F.col("fp") == F.col("__fp"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = found.join(common.cut(parts), F.col("fps") == F.col("__fps"), "left")
+    return out.select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, budget: int = KEEP_BUDGET, lanes: int = KEEP_LANES) -> DataFrame:
     """The documents with the smallest doc_id of each component, with all columns; rows without doc_id stay."""
-    gone = classified(docs, words, budget).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    gone = classified(docs, words, budget, lanes).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__doc"), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classified(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")

@@ -52,8 +52,8 @@ def test_fingerprints_and_components(make_docs):
         if r["doc_id"] is None:
             assert r["component_id"] is None
         else:
-            assert r["fp"] & (1 << 64) - 1 == fps[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
-    left = simhash.keep_one(make_docs(rows)).collect()
+            assert r["fps"][0] & (1 << 64) - 1 == fps[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
+    left = simhash.keep_one(make_docs(rows), 4, 4, 1).collect()
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted(d for d, _ in rows if d is not None and want[d] == d)
 
 
@@ -65,8 +65,8 @@ def test_trie_join_against_all_pairs(spark):
         for _ in range(3):
             flips ^= np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)
         fp = np.unique(np.concatenate([centres[rng.integers(0, 30, 600)] ^ flips, centres, rng.integers(0, 2**64, 300, dtype=np.uint64)]))
-        rows = [(int(x), i) for i, x in enumerate(fp.view(np.int64))]
-        classes = spark.createDataFrame(rows, "fp long, rep long")
+        rows = [(0, int(x), i) for i, x in enumerate(fp.view(np.int64))]
+        classes = spark.createDataFrame(rows, "lane int, fp long, rep long")
         found = {r["node"]: r["component"] for r in simhash.components(simhash.links(classes, budget, subtree)).collect()}
         near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= budget
         label = np.arange(len(fp))
@@ -78,6 +78,30 @@ def test_trie_join_against_all_pairs(spark):
         assert [found.get(i, i) for i in range(len(fp))] == label.tolist()
 
 
+def test_lanes_link_what_any_of_them_links(make_docs):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    rows = []
+    for _ in range(25):
+        text = [word() for _ in range(120)]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            text[rng.randrange(len(text))] = word()
+    rows += [(500, rows[0][1]), (501, None), (502, "")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classified(make_docs(rows), 5, 6, 3).collect()}
+    fps = {d: simhash.fingerprint(t, 5, 3) for d, t in rows}
+    want = {d: d for d in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if want[a] < want[b] and np.bitwise_count(fps[a] ^ fps[b]).min() <= 6:
+                    want[b], changed = want[a], True
+    assert got == want and len(set(want.values())) < 40
+
+
 def test_a_large_dense_subtree_stays_small_in_links():
     rng = np.random.default_rng(7)
     fp = np.unique(np.uint64(1 << 60) ^ (np.uint64(1) << rng.integers(0, 40, 5000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 5000).astype(np.uint64)))
