@@ -36,7 +36,7 @@ from . import common
 
 MAX_TOKENS, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words of a generation whose ids a worker remembers; two generations are held.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 GRID, PARTS = 16, 3
 
 
@@ -56,8 +56,9 @@ class WordIds:
     Four control characters that str.split() also splits at are left to the tokenizer.
     """
 
-    #: After a letter, ASCII marks but the apostrophe, which may begin a piece with letters.
-    MARKS = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~])")
+    #: Latin-1 letters in lower case; ASCII marks but the apostrophe, which may begin a piece with letters.
+    LETTER = np.isin(np.arange(256), [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)])
+    MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,16 +67,20 @@ class WordIds:
         self.tokenizer, self.known, self.old = Tokenizer.from_file(file), {}, {}
 
     @classmethod
-    def words(cls, text: str) -> list[str]:
+    def words(cls, text: str) -> list[bytes] | list[str]:
+        """Words as Latin-1 bytes, or, of other texts, as they are."""
+        if "<|" in text:  # may be a special token
+            return text.split()
         try:
-            text.encode("latin-1")
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split()
-        if "<|" in text:  # may be a special token
-            return text.split()
-        return cls.MARKS.sub(" ", text.lower()).split()
+        raw = text.lower().encode("latin-1")
+        b = np.frombuffer(raw, np.uint8)
+        apart = np.flatnonzero(cls.LETTER[b[:-1]] & cls.MARK[b[1:]]) + 1
+        return (np.insert(b, apart, 32).tobytes() if len(apart) else raw).split()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set) -> None:
         known, old = self.known, self.old
         new = []
         for w in words:
@@ -85,7 +90,8 @@ class WordIds:
                 new.append(w)
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
-            for w, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            plain = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
+            for w, got in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
                 known[w] = np.array(got.ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
@@ -94,10 +100,11 @@ class WordIds:
         if len(self.known) > CACHE_WORDS:
             self.known, self.old = {}, self.known
         words = self.words(text)
-        missing = {w for w in words if w not in self.known}
-        if missing:
-            self._learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self._learn({w for w, got in zip(words, ids) if got is None})
+            ids = map(self.known.__getitem__, words)
+        return b"".join(ids)
 
 
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer=tokenizer_file) -> DataFrame:
