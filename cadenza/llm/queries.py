@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, neighbours, packing, quality, shards, simhash, url_rules
+from . import decontaminate, licences, line_dedup, neighbours, packing, quality, quotes, shards, simhash, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
     "op2_neighbours": neighbours.op2_neighbours,
+    "op3_quotes": quotes.op3_quotes,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality.op5_quality,
     "op6_shards": shards.op6_shards,
     "op7_packing": packing.op7_packing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_licences": licences.op10_licences,
 }
 
 SQL = {
