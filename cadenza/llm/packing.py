@@ -21,8 +21,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -36,7 +38,7 @@ from . import common
 
 MAX_TOKENS, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words of a generation whose ids a worker remembers; two generations are held.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 GRID, PARTS = 16, 3
 
 
@@ -92,7 +94,7 @@ class WordIds:
             part = new[k : k + 4096]
             plain = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
             for w, got in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-                known[w] = np.array(got.ids, "<u4").tobytes()
+                known[w] = array("I", got.ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -107,6 +109,12 @@ class WordIds:
         return b"".join(ids)
 
 
+@lru_cache(maxsize=1)
+def word_ids(file: str) -> WordIds:
+    """One for all tasks of a worker process, which then shares the words it has met."""
+    return WordIds(file)
+
+
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer=tokenizer_file) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32."""
     rows = docs.select("doc_id", F.col("text"))
@@ -114,7 +122,7 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer=tokenizer_fi
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer())
+        ids_of = word_ids(tokenizer())
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
