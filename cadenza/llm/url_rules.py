@@ -96,8 +96,8 @@ class Automaton:
         self.start = self._mask(starts)
         self.goes = np.stack([self._mask(x) for x in goes])
         self.stays = np.stack([self._mask(x) for x in stays])
-        #: Bits that stay whatever comes: once only they are left, the URL is decided.
-        self.fixed = np.bitwise_and.reduce(self.stays, axis=0)
+        #: Accepting bits that stay whatever comes: once only they are left, the URL is decided.
+        self.fixed = np.bitwise_and.reduce(self.stays, axis=0) & self._mask(self.final)
 
     def _mask(self, bits) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
