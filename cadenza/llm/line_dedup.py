@@ -46,7 +46,7 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_id(text).alias("__text"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = rows.where(F.char_length("line") >= min_chars).select("doc_id", "__text", "pos", line_key(F.col("line")).alias("key"))
-    return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "__text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"))
+    return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "__text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
