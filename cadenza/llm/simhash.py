@@ -17,7 +17,10 @@ Results in special cases
 
 One fingerprint of 64 bits tells texts of a similarity near 0.8 from others only with a budget that no search can prune
 by.  `keep_one` therefore takes several fingerprints (lanes) of independent hashes of each shingle and links
-documents that are within the budget in any of them.
+documents that are within the budget in any of them, if the next two lanes together also differ in `BESIDE` bits at most:
+without that, chance alone would link unrelated documents once there are many.  A bit that half of the hashes set
+is taken from the smallest hash there, so that fingerprints of few shingles are as evenly spread as others.  Texts with
+the same fingerprint in a lane are stood for by the smallest doc_id of them in that lane's search.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from . import common
 
 WORDS, BUDGET, SEED = 4, 4, 42
 #: For whole near-duplicate removal: words in a shingle, fingerprints, and bits that may differ in one of them.
-KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 6
+KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 7
+#: Bits that may differ in the next two lanes together; unrelated texts differ in 64 of them.
+BESIDE = 24
 #: Members of a subtree that one task joins; a larger one is dealt out again.
 SUBTREE = 20_000
 #: Shingles hashed at a time, rows of whole subtrees joined at a time, node pairs compared at a time.
@@ -52,7 +57,7 @@ def remixed(h: np.ndarray, lane: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1) -> np.ndarray:
-    """64 bits for each lane; a bit is set if it is set in over half of the shingles' hashes."""
+    """64 bits for each lane; a bit is set if it is set in over half of the shingles' hashes.  Of several lanes, a tie takes the smallest hash's bit."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower and bytes.split know A-Z and ASCII white space only
@@ -63,13 +68,18 @@ def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1) -> np.ndar
     begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
     k = min(words, len(begin))
     begin, end = begin[: len(begin) - k + 1], end[k - 1 :]
-    counts = np.zeros((lanes, 64), np.int64)
+    counts, least = np.zeros((lanes, 64), np.int64), np.full(lanes, np.iinfo(np.uint64).max)
     for at in range(0, len(begin), HASHES):
         part = zip(begin[at : at + HASHES].tolist(), end[at : at + HASHES].tolist())
         h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in part], "<u8")
         for lane in range(lanes):
-            counts[lane] += np.unpackbits(remixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(begin), axis=1, bitorder="little").view("<u8")[:, 0]
+            mixed = remixed(h, lane)
+            counts[lane] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            least[lane] = min(least[lane], mixed.min())
+    on = 2 * counts > len(begin)
+    if lanes > 1:
+        on |= (2 * counts == len(begin)) & np.unpackbits(least.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    return np.packbits(on, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFrame:
@@ -121,10 +131,11 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
 
 
-def walk(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
+def walk(group: np.ndarray, fp: np.ndarray, budget: int, beside: np.ndarray | None = None) -> np.ndarray:
     """The trie self-join of many subtrees at once: for each row, the first row of its component within its subtree.
 
     Rows are sorted by group and unsigned fp.  A node is a range of rows; its children part where the next bit turns one.
+    beside: two more fingerprints of each row, if they have a say.
     """
     n = len(fp)
     label = np.arange(n)
@@ -144,7 +155,11 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
             k = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
             i, j = part[0][which] + k // tall[at:to][which], part[2][which] + k % tall[at:to][which]
             near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-            unite(label, i[near], j[near])
+            i, j = i[near], j[near]
+            if beside is not None:
+                near = np.bitwise_count(beside[i] ^ beside[j]).sum(axis=1, dtype=np.int64) <= BESIDE
+                i, j = i[near], j[near]
+            unite(label, i, j)
             at = to
 
     # a stack of frontiers, so that a wide one is walked in slices; rows: a from, a to, b from, b to, errors
@@ -181,8 +196,10 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
 
 
 def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) between class ids that keep all components of each lane; classes: lane, fp (distinct in a lane), rep."""
-    rows = classes.select("lane", "fp", "rep", F.explode(dealt("", budget)).alias("at")).select("lane", "fp", "rep", "at.*")
+    """Links (a, b) between class ids that keep all components of each lane; classes: lane, fp (distinct in a lane), rep, and x and y (the next two lanes) or not."""
+    more = ["x", "y"] if "x" in classes.columns else []
+    kept = ["lane", "fp", "rep", *more]
+    rows = classes.select(*kept, F.explode(dealt("", budget)).alias("at")).select(*kept, "at.*")
     key = ["lane", "path", "part"]
     small = None
     while True:
@@ -196,7 +213,7 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
         below = None
         for p in paths:
             below = F.when(F.col("path") == p, dealt(p, budget)) if below is None else below.when(F.col("path") == p, dealt(p, budget))
-        rows = rows.join(large, key, "left_semi").select("lane", "fp", "rep", F.explode(below).alias("at")).select("lane", "fp", "rep", "at.*")
+        rows = rows.join(large, key, "left_semi").select(*kept, F.explode(below).alias("at")).select(*kept, "at.*")
         rows = common.cut(rows)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +226,8 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
             order = np.lexsort([fp, part, path, lane])
             lane, path, part, fp, rep = (x[order] for x in (lane, path, part, fp, rep))
             new = np.concatenate([[False], (lane[1:] != lane[:-1]) | (path[1:] != path[:-1]) | (part[1:] != part[:-1])])
-            first = walk(np.cumsum(new), fp, budget)
+            beside = np.stack([t.column(c).to_numpy().view(np.uint64)[order] for c in more], axis=1) if more else None
+            first = walk(np.cumsum(new), fp, budget, beside)
             on = first != np.arange(len(fp))
             return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[first[on]])], names=["a", "b"])
 
@@ -230,7 +248,7 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
         if held:
             yield forest(pa.Table.from_batches(held).combine_chunks())
 
-    dealt_out = small.select(*key, "fp", "rep").repartition(*key).sortWithinPartitions(*key)
+    dealt_out = small.select(*key, "fp", "rep", *more).repartition(*key).sortWithinPartitions(*key)
     return dealt_out.mapInArrow(joined, "a long, b long")
 
 
@@ -265,12 +283,20 @@ def classified(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, lanes:
     """doc_id, fps, component_id."""
     found = common.cut(fingerprints(docs, words, lanes))
     classes = common.cut(found.where(F.col("doc_id").isNotNull()).groupBy("fps").agg(F.min("doc_id").cast("long").alias("rep")))
-    of_lane = classes.select("rep", F.posexplode("fps").alias("lane", "fp"))
-    in_lane = common.cut(of_lane.groupBy("lane", "fp").agg(F.min("rep").alias("rep")))
+    of_lane = classes.select("rep", "fps", F.posexplode("fps").alias("lane", "fp"))
+    if lanes > 1:
+        after = lambda k: F.get("fps", (F.col("lane") + k) % lanes)
+        of_lane = of_lane.select("rep", "lane", "fp", after(1).alias("x"), after(2).alias("y"))
+        least = F.min(F.struct("rep", "x", "y"))
+        in_lane = of_lane.groupBy("lane", "fp").agg(least.alias("m")).select("lane", "fp", "m.*")
+    else:
+        in_lane = of_lane.select("lane", "fp", "rep")  # distinct as they are
+    in_lane = common.cut(in_lane)
     edges = links(in_lane, budget, subtree)
     if lanes > 1:  # classes that share a fingerprint in one lane
-        first = in_lane.withColumnsRenamed({"lane": "__lane", "fp": "__fp", "rep": "b"})
+        first = in_lane.withColumnsRenamed({"lane": "__lane", "fp": "__fp", "rep": "b", "x": "__x", "y": "__y"})
         shared = of_lane.join(first, (F.col("lane") == F.col("__lane")) & (F.col("fp") == F.col("__fp"))).where("rep <> b")
+        shared = shared.where(F.bit_count(F.col("x").bitwiseXOR(F.col("__x"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("__y"))) <= BESIDE)
         edges = edges.unionByName(shared.select(F.col("rep").alias("a"), "b"))
     parts = components(edges)
     parts = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fps").alias("__fps"), F.coalesce("component", "rep").alias("component_id"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 from test_quality import plain_score
+from test_simhash import brute_lanes
 from tokenizers import Tokenizer
 
 from cadenza.llm import packing, quality, simhash, stages
@@ -55,15 +56,7 @@ def drop_lines(rows):
 
 
 def keep_first(rows):
-    fps = {d: simhash.fingerprint(t, simhash.KEEP_WORDS, simhash.KEEP_LANES) for d, t in rows}
-    label = {d: d for d in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if label[a] < label[b] and np.bitwise_count(fps[a] ^ fps[b]).min() <= simhash.KEEP_BUDGET:
-                    label[b], changed = label[a], True
+    label = brute_lanes({d: simhash.fingerprint(t, simhash.KEEP_WORDS, simhash.KEEP_LANES) for d, t in rows}, simhash.KEEP_BUDGET)
     return [(d, t) for d, t in rows if label[d] == d]
 
 

@@ -33,6 +33,32 @@ def brute_components(fps, budget):
     return out
 
 
+def brute_lanes(fps, budget):
+    """doc id -> smallest doc id reachable, of fingerprints of several lanes (equal ones are one class)."""
+    classes = {}
+    for d in sorted(fps):
+        classes.setdefault(tuple(map(int, fps[d])), d)
+    own = {d: classes[tuple(map(int, f))] for d, f in fps.items()}
+    reps = {d: f for f, d in classes.items()}
+    apart = lambda a, b, *lanes: sum((reps[a][k % len(reps[a])] ^ reps[b][k % len(reps[a])]).bit_count() for k in lanes)
+    pairs = []
+    for k in range(len(next(iter(reps.values())))):
+        first = {}
+        for d in sorted(reps):
+            first.setdefault(reps[d][k], d)
+        heads = list(first.values())
+        near = [(a, b) for a in heads for b in heads if apart(a, b, k) <= budget] + [(first[f[k]], d) for d, f in reps.items()]
+        pairs += [(a, b) for a, b in near if apart(a, b, k + 1, k + 2) <= simhash.BESIDE]
+    label, changed = {d: d for d in reps}, True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            changed |= label[a] != label[b]
+            label[a] = label[b] = low
+    return {d: label[c] for d, c in own.items()}
+
+
 def test_fingerprints_and_components(make_docs):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghEXÉ") for _ in range(rng.randint(1, 5)))
@@ -90,18 +116,34 @@ def test_lanes_link_what_any_of_them_links(make_docs):
             text[rng.randrange(len(text))] = word()
     rows += [(500, rows[0][1]), (501, None), (502, "")]
     got = {r["doc_id"]: r["component_id"] for r in simhash.classified(make_docs(rows), 5, 6, 3).collect()}
-    fps = {d: simhash.fingerprint(t, 5, 3) for d, t in rows}
-    want = {d: d for d in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if want[a] < want[b] and np.bitwise_count(fps[a] ^ fps[b]).min() <= 6:
-                    want[b], changed = want[a], True
+    want = brute_lanes({d: simhash.fingerprint(t, 5, 3) for d, t in rows}, 6)
     assert got == want and len(set(want.values())) < 40
 
 
+def test_short_texts_of_two_shingles_are_not_linked_by_chance(make_docs):
+    """Half-set bits would leave such fingerprints nearly empty, and thousands of them within the budget."""
+    rng = random.Random(11)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(6))) for i in range(4000)]
+    assert len({r["component_id"] for r in simhash.classified(make_docs(rows), simhash.KEEP_WORDS, simhash.KEEP_BUDGET, simhash.KEEP_LANES).collect()}) == 4000
+
+
+def test_recall_and_precision_of_the_lanes_by_true_similarity():
+    rng = random.Random(12)
+    found = {True: [], False: []}
+    for _ in range(1500):
+        a = [str(rng.randrange(5000)) for _ in range(rng.choice([60, 200, 500]))]
+        b = list(a)
+        for _ in range(rng.randint(1, max(2, len(a) // 18))):
+            b[rng.randrange(len(b))] = str(rng.randrange(5000))
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        similarity = len(x & y) / len(x | y)
+        if 0.6 < similarity < 0.8 or similarity < 0.4:
+            continue
+        fps = {i: simhash.fingerprint(" ".join(t), simhash.KEEP_WORDS, simhash.KEEP_LANES) for i, t in enumerate((a, b))}
+        found[similarity >= 0.8].append(brute_lanes(fps, simhash.KEEP_BUDGET)[1] == 0)
+    assert min(map(len, found.values())) > 100 and np.mean(found[True]) > 0.93 and np.mean(found[False]) < 0.1, (np.mean(found[True]), np.mean(found[False]))
+
+
 def test_a_large_dense_subtree_stays_small_in_links():
     rng = np.random.default_rng(7)
     fp = np.unique(np.uint64(1 << 60) ^ (np.uint64(1) << rng.integers(0, 40, 5000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 5000).astype(np.uint64)))
