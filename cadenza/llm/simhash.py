@@ -43,7 +43,7 @@ BESIDE = 24
 #: Members of a subtree that one task joins; a larger one is dealt out again.
 SUBTREE = 20_000
 #: Shingles hashed at a time, rows of whole subtrees joined at a time, node pairs compared at a time.
-HASHES, ROWS, PAIRS = 65_536, 40_000, 1_000_000
+HASHES, ROWS, PAIRS = 65_536, 40_000, 65_536
 
 
 def remixed(h: np.ndarray, lane: int) -> np.ndarray:
