@@ -38,7 +38,7 @@ from . import common
 
 MAX_TOKENS, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words of a generation whose ids a worker remembers; two generations are held.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 GRID, PARTS = 16, 3
 
 
