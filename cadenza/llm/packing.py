@@ -55,11 +55,13 @@ class WordIds:
     The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in a row, and
     words may be remembered, in two generations so that frequent ones stay.  To have fewer words, Latin-1 texts are
     lower-cased first, as the tokenizer does, and marks after a letter, where it parts words itself, are set apart.
-    Four control characters that str.split() also splits at are left to the tokenizer.
+    Four control characters that str.split() also splits at are left to the tokenizer.  New words of Latin-1 letters alone are
+    encoded as one text, which is parted again after the tokens that end a word: each such word has exactly one.
     """
 
     #: Latin-1 letters in lower case; ASCII marks but the apostrophe, which may begin a piece with letters.
     LETTER = np.isin(np.arange(256), [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)])
+    PLAIN = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+")
     MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
 
     def __init__(self, file: str):
@@ -67,6 +69,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(file), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def words(cls, text: str) -> list[bytes] | list[str]:
@@ -84,16 +89,25 @@ class WordIds:
 
     def _learn(self, words: set) -> None:
         known, old = self.known, self.old
-        new = []
+        plain, other = [], []
         for w in words:
             if w in old:
                 known[w] = old[w]
             else:
-                new.append(w)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            plain = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
-            for w, got in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+                (plain if isinstance(w, bytes) and self.PLAIN.fullmatch(w) else other).append(w)
+        for k in range(0, len(plain), 1024):
+            part = plain[k : k + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                ids = ids.tobytes()
+                known.update((w, ids[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+            else:  # a vocabulary without word ends
+                other += part
+        for k in range(0, len(other), 4096):
+            part = other[k : k + 4096]
+            texts = [w if isinstance(w, str) else w.decode("latin-1") for w in part]
+            for w, got in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 known[w] = array("I", got.ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
@@ -103,9 +117,11 @@ class WordIds:
             self.known, self.old = {}, self.known
         words = self.words(text)
         ids = list(map(self.known.get, words))
-        if None in ids:
-            self._learn({w for w, got in zip(words, ids) if got is None})
-            ids = map(self.known.__getitem__, words)
+        missing = [i for i, got in enumerate(ids) if got is None]
+        if missing:
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                ids[i] = self.known[words[i]]
         return b"".join(ids)
 
 
