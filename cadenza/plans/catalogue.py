@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal, text, vectors
-from ..operators import consent, gates, ranking, segment, takes
+from ..operators import consent, gates, listings, ranking, seams, segment, takes
 from ..sources import delivery, files
 from ..streaming import ledger as streams
 
@@ -451,3 +451,64 @@ def delivery_gate(spark, sf):
     said = F.when(i % 3 > 0, F.lit(delivery.DISCLOSURE)).otherwise("music")
     tags = F.create_map(F.lit("comment"), said, F.lit("description"), said)
     return clip_rows(spark, sf).select("vec_id", gates.delivery_reason(F.col("snr_db") / 40, i % 2 == 0, delivery.tags_ok(tags), -(i % 4)).alias("reason"))
+
+
+# --- joins of takes, listings, jobs ----------------------------------------------------------------------------
+
+
+@query()
+def two_stage_shortlist(spark, sf):
+    x = with_sim(spark, sf).withColumn("pos", F.col("vec_id"))
+    return ranking.two_stage(x, ["source"], 8, F.col("vec_id") % 3 != 0).select("vec_id", "source", "score", "chosen")
+
+
+def part_rows(spark, sf):
+    i = F.col("vec_id")
+    mark = F.element_at(F.array(*map(F.lit, (".", "?", ",", ";", ""))), (i % 5 + 1).cast("int"))
+    return table(spark, sf, "embeddings").select(F.floor(i / 4).alias("render"), i, F.col("embedding").alias("samples"), F.concat(F.lit("so"), mark).alias("said"))
+
+
+@query(f"""WITH {FRAMES}, a AS (SELECT *, max(db) OVER (PARTITION BY vec_id) - 6 AS thr FROM frames),
+ r AS (SELECT vec_id, k, min((db > greatest(-45, thr))::INT) OVER w AS on_, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY vec_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+ b AS (SELECT vec_id, vec_id // 4 AS render, coalesce(min(k * 8) FILTER (on_ = 1 AND n = 2), 0) AS lo, coalesce(max((k + 2) * 8) FILTER (on_ = 1 AND n = 2), 64) AS hi FROM r GROUP BY vec_id),
+ p AS (SELECT *, count(*) OVER (PARTITION BY render) AS n_parts, lead(vec_id) OVER (PARTITION BY render ORDER BY vec_id) IS NULL AS last FROM b),
+ q AS (SELECT render, vec_id, n_parts, (CASE WHEN n_parts = 1 THEN 0 ELSE greatest(0, lo - 10) END)::INT AS lo, (CASE WHEN n_parts = 1 THEN 64 ELSE least(64, hi + 10) END)::INT AS hi, CASE WHEN last THEN 0 ELSE [168, 180, 88, 128, 120][vec_id % 5 + 1] END AS gap FROM p)
+ SELECT *, coalesce(sum(hi - lo + gap) OVER (PARTITION BY render ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM q""")
+def seam_layout(spark, sf):
+    return seams.seams(part_rows(spark, sf), ["render"], "vec_id", "samples", "said", 400, relative_db=6.0)
+
+
+@query()
+def joined_takes(spark, sf):
+    x = seams.joined(part_rows(spark, sf), ["render"], "vec_id", "samples", "said", 400, relative_db=6.0)
+    return x.select("render", "n_parts", F.size("samples").alias("n_samples"), F.round(signal.rms_db(F.col("samples")), 5).alias("rms_db"))
+
+
+@query(f"""WITH {LEDGER}, now AS (SELECT voice, arg_max(status, seq) AS status FROM ledger GROUP BY voice), refs AS (SELECT o_custkey AS voice, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+ SELECT c_custkey AS voice, c_name AS speaker, 'en' AS language, coalesce(status, 'none') AS consent, coalesce(status IN ('verified', 'attested'), false) AND coalesce(n, 0) > 0 AS ready, coalesce(n, 0) AS "references",
+ CASE WHEN c_custkey % 3 = 0 THEN 'sopro' END AS tuned_engine FROM customer LEFT JOIN now ON c_custkey = now.voice LEFT JOIN refs ON c_custkey = refs.voice""")
+def voice_listing(spark, sf):
+    entities = table(spark, sf, "customer").selectExpr("c_custkey AS voice", "c_name AS speaker", "'en' AS language")
+    references = table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("o_custkey AS voice")
+    return listings.voices(entities, ledger_rows(spark, sf), references, entities.where("voice % 3 = 0").selectExpr("voice", "'sopro' AS engine"))
+
+
+@query(f"""WITH {_ENGINE_CTE} SELECT engine, family, family IN ('qwen3', 'sopro') AS installed, array_to_string(languages[1:6], ',') || CASE WHEN len(languages) > 6 THEN '...' ELSE '' END AS languages, array_to_string(tags, ', ') AS notes FROM engines""")
+def engine_listing(spark, sf):
+    return listings.engines(takes.engines(spark), spark.createDataFrame([("qwen3",), ("sopro",)], "family string"))
+
+
+@query("""WITH RECURSIVE j AS (SELECT user_id, event_id, epoch_us(ts) AS arrive, 60000000 * (1 + event_id % 90) AS took, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ q AS (SELECT *, arrive AS begun, arrive + took AS finished FROM j WHERE n = 1 UNION ALL SELECT j.*, greatest(j.arrive, q.finished), greatest(j.arrive, q.finished) + j.took FROM j JOIN q ON j.user_id = q.user_id AND j.n = q.n + 1)
+ SELECT user_id, event_id, arrive, begun, finished FROM q""")
+def job_queue(spark, sf):
+    x = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrive"), (60_000_000 * (1 + F.col("event_id") % 90)).alias("took"))
+    return listings.queue(x, ["user_id"], "arrive", "took", ["event_id"]).select("user_id", "event_id", "arrive", "begun", "finished")
+
+
+@query("""WITH r AS (SELECT user_id * 40 + event_id % 40 AS job, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'queued' ELSE 'running' END AS status FROM events),
+ s AS (SELECT job, count(*) AS n, coalesce(arg_min(status, seq) FILTER (status IN ('done', 'failed')), arg_max(status, seq)) AS status, arg_min(seq, seq) FILTER (status IN ('done', 'failed')) AS ended FROM r GROUP BY job)
+ SELECT job, status, CASE WHEN status = 'failed' THEN 'm' || ended END AS error, n FROM s""")
+def job_states(spark, sf):
+    status = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'queued' ELSE 'running' END AS status"
+    return streams.jobs(table(spark, sf, "events").selectExpr("user_id * 40 + event_id % 40 AS job", "event_id AS seq", status, "concat('m', event_id) AS message"))

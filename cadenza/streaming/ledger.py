@@ -1,4 +1,4 @@
-"""Streams: the consent ledger's current state, idle sessions, and protocol lines."""
+"""Streams: the consent ledger's current state, jobs, idle sessions, and protocol lines."""
 
 from __future__ import annotations
 
@@ -29,6 +29,17 @@ def states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("voice").applyInPandasWithState(update, schema, "seq long, status string", "update", GroupStateTimeout.NoTimeout)
 
 
+def jobs(records: DataFrame) -> DataFrame:
+    """The state of each job out of records (job, seq, status, message), on streams (update mode) and tables: job, status, error, n.
+
+    A job that is done or failed stays so, whatever comes late; otherwise the largest seq decides.
+    """
+    over = F.col("status").isin("done", "failed")
+    last = F.max(F.struct(over.alias("over"), F.when(over, -F.col("seq")).otherwise(F.col("seq")).alias("seq"), "status", "message"))
+    x = records.groupBy("job").agg(last.alias("s"), F.count(F.lit(1)).alias("n"))
+    return x.select("job", "s.status", F.when(F.col("s.status") == "failed", F.col("s.message")).alias("error"), "n")
+
+
 def sessions(events: DataFrame, keys: list[str], ts: str, idle: str, watermark: str | None = None) -> DataFrame:
     """keys, opened, closed, n: runs of events with no gap of `idle`; works on streams (with a watermark) and tables."""
     x = events.withColumn(ts, F.col(ts).cast("timestamp"))
