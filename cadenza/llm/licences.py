@@ -1,7 +1,6 @@
 """Licence scans: TF-IDF cosine of every line (and of whole licence files) to templates, then inheritance by directory.
 
-Rarity is counted over all documents for the words of the templates; other words weigh as if no document had them.  A
-line can reach the threshold only if it holds one of a template's heavier words: those that are left when the
+Rarity is counted over all documents, for every word.  A line can reach the threshold only if it holds one of a template's heavier words: those that are left when the
 lightest, whose squared weights sum to less than threshold squared, are put aside.  Lines without such a word are
 dropped before anything is gathered; the rest are scored exactly.  A file keeps the licence found in it; others take that of
 the licence file in the nearest directory above, found once per directory by joins over the directories' ancestors.
@@ -51,31 +50,37 @@ def weight(n: Column, docs: int) -> Column:
     return F.log((F.lit(docs) + 1.0) / (n + 1.0)) + 1.0
 
 
-def weighted_templates(files: DataFrame, threshold: float) -> tuple[DataFrame, int, list[str]]:
-    """template, word, value (unit length), idf; the number of documents; and the words one of which a line needs."""
-    spark = files.sparkSession
-    words = spark.createDataFrame(template_words(), "template string, word string, tf int")  # a constant list
+def word_counts(files: DataFrame) -> DataFrame:
+    """word, n: the number of files that hold it."""
+    words = files.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    return common.cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def weighted_templates(files: DataFrame, seen: DataFrame, threshold: float) -> tuple[DataFrame, int, list[str]]:
+    """template, word, value (unit length); the number of documents; and the words one of which a line needs."""
     n_docs = files.count()
-    seen = files.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(F.broadcast(words.select("word").distinct()), "word", "left_semi")
-    counts = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # template words only
+    ours = sorted({w for _, w, _ in template_words()})
+    counts = {r["word"]: r["n"] for r in seen.where(F.col("word").isin(ours)).collect()}  # template words only
     rows, needed = [], set()
     from math import log, sqrt
 
-    idf = {w: log((n_docs + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for _, w, _ in template_words()}
+    idf = {w: log((n_docs + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in ours}
     for name in TEMPLATES:
         mine = sorted(((tf * idf[w], w) for t, w, tf in template_words() if t == name))
         total, light = sum(v * v for v, _ in mine), 0.0
         for v, w in mine:
-            rows.append((name, w, v / sqrt(total), idf[w]))
+            rows.append((name, w, v / sqrt(total)))
             light += v * v
             if light >= (threshold - 1e-9) ** 2 * total:
                 needed.add(w)
-    return spark.createDataFrame(rows, "template string, word string, value double, idf double"), n_docs, sorted(needed)
+    return files.sparkSession.createDataFrame(rows, "template string, word string, value double"), n_docs, sorted(needed)
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, __row, template, score: the best of each file that reaches the threshold."""
-    vectors, n_docs, needed = weighted_templates(files, threshold)
+    seen = word_counts(files)
+    vectors, n_docs, needed = weighted_templates(files, seen, threshold)
+    ours = sorted({w for _, w, _ in template_words()})
     name = F.element_at(F.split("path", "/"), -1)
     # a line of its own row; a licence file as a whole as well
     parts = F.split("text", "\n")
@@ -83,13 +88,12 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = files.where("text IS NOT NULL").select("doc_id", "path", "__row", F.posexplode(F.when(whole, F.concat(parts, F.array("text"))).otherwise(parts)).alias("at", "line"))
     tokens = lines.select("doc_id", "path", "__row", "at", words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, needed))))
     each = tokens.select("doc_id", "path", "__row", "at", F.explode("w").alias("word")).groupBy("doc_id", "path", "__row", "at", "word").agg(F.count(F.lit(1)).alias("tf"))
-    idfs = vectors.select("word", "idf").distinct()
-    known = each.join(F.broadcast(idfs), "word", "left")
-    size = F.col("tf") * F.coalesce("idf", weight(F.lit(0), n_docs))
+    # both sides come through exchanges, so words of very many lines can be split
     key = ["doc_id", "path", "__row", "at"]
-    sized = known.withColumn("size", size)
-    norms = sized.groupBy(*key).agg(F.sqrt(F.sum(F.col("size") * F.col("size"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "size"))).alias("held"))
-    dots = norms.select(*key, "norm", F.explode("held").alias("h")).join(F.broadcast(vectors.drop("idf")), F.col("h.word") == F.col("word"))
+    sized = each.join(seen, "word").withColumn("size", F.col("tf") * weight(F.col("n"), n_docs))
+    held = F.collect_list(F.when(F.col("word").isin(ours), F.struct("word", "size"))).alias("held")
+    norms = sized.groupBy(*key).agg(F.sqrt(F.sum(F.col("size") * F.col("size"))).alias("norm"), held)
+    dots = norms.select(*key, "norm", F.explode("held").alias("h")).join(F.broadcast(vectors), F.col("h.word") == F.col("word"))
     score = dots.groupBy(*key, "template").agg((F.sum(F.col("h.size") * F.col("value")) / F.first("norm")).alias("score"))
     good = score.withColumn("score", F.round("score", 9)).where(F.col("score") >= threshold)
     return good.groupBy("doc_id", "path", "__row").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b")).select("doc_id", "path", "__row", F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))

@@ -145,3 +145,18 @@ def test_scan_against_brute_force(spark):
 def test_exact_notice_scores_one(spark):
     df = spark.createDataFrame([(1, "/x/f", "Text.\nReleased under the MIT License.")], "doc_id long, path string, text string")
     assert licences.scan(df).first()["own_score"] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("n", [2_000, 40_000])
+def test_ordinary_words_weigh_by_their_own_rarity(spark, n):
+    # the line keeps its score as the corpus grows in proportion
+    line = "this code is released under the mit license"
+    rest = spark.range(n).selectExpr("id AS doc_id", "concat('/a/f', id) AS path", "CASE WHEN id % 2 = 0 THEN 'this code is fine under the roof' ELSE 'the cats' END AS text").where("doc_id >= 4")
+    held = spark.createDataFrame([(i, f"/b/f{i}", line) for i in range(4)], rest.schema)
+    got = licences.own_licences(held.unionByName(rest).selectExpr("*", "doc_id AS __row")).where("doc_id < 4").collect()
+    df = {w: n // 2 for w in ("this", "code", "is", "under")} | {"the": n} | {w: 4 for w in ("released", "mit", "license")}
+    df |= {w: n // 2 + 2 for w in ("this", "code", "is", "under")}
+    idf = {w: math.log((n + 1) / (df[w] + 1)) + 1 for w in df}
+    template = licences.TEMPLATES["MIT"].split()
+    score = math.sqrt(sum(idf[w] ** 2 for w in template)) / math.sqrt(sum(idf[w] ** 2 for w in line.split()))
+    assert [(r["template"], r["score"]) for r in got] == [("MIT", pytest.approx(score))] * 4
