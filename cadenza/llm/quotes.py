@@ -4,7 +4,8 @@ reply order without quotes.
 A line's quote level is the number of leading `>` (white space between them is allowed).  A passage is a run of
 lines of one level; it is normalised (lower case, single spaces) and hashed.  A quoted passage belongs to the
 earliest message of its conversation whose own (unquoted) passage, or any single own line, has the same hash and
-which comes before the quoting message.  A message replies to the origin that it quotes most characters of, at
+which comes before the quoting message.  A quoted passage that belongs to none as a whole (a trimmed or interleaved quote)
+is looked up line by line in the same way, if `by_line` is set, as it is for op3.  A message replies to the origin that it quotes most characters of, at
 the shallowest level, the latest turn winning ties.  Roots are found by pointer doubling; a conversation is ordered by
 the root's turn and then the turn, so that every reply follows what it answers.
 
@@ -37,31 +38,39 @@ def normal(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, body (normalised): runs of lines of one level, and own lines alone."""
+    """conv_id, turn, its (the text's hash), run (its first line), alone, level, body (normalised), hash: runs of lines of one level, and their lines alone."""
     keyed = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
     lines = F.transform(F.split("text", "\r?\n"), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, QUOTED, "").alias("line")))
-    rows = keyed.select("conv_id", "turn", lines.alias("lines"))
+    rows = keyed.select("conv_id", "turn", F.xxhash64("text").alias("its"), lines.alias("lines"))
     # each line with the number of level changes before it: the number of its run
     last = lambda x, i: F.when(i == 0, x["level"]).otherwise(F.get(F.col("lines"), i - 1)["level"])
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get(F.col("lines"), i)["level"] != last(F.get(F.col("lines"), i), i)))
     rows = rows.withColumn("starts", starts)
     stop = lambda j: F.coalesce(F.get(F.col("starts"), j + 1), F.size("lines"))
-    run = lambda at, j: F.struct(
-        F.get(F.col("lines"), at)["level"].alias("level"),
-        F.array_join(F.transform(F.slice("lines", at + 1, stop(j) - at), lambda x: x["line"]), " ").alias("body"),
+    line = lambda x, at, alone: F.struct(x["level"].alias("level"), x["line"].alias("body"), at.alias("run"), F.lit(alone).alias("alone"))
+    of = lambda at, j: F.slice("lines", at + 1, stop(j) - at)
+    whole = lambda at, j: F.struct(
+        F.get(F.col("lines"), at)["level"].alias("level"), F.array_join(F.transform(of(at, j), lambda x: x["line"]), " ").alias("body"), at.alias("run"), F.lit(False).alias("alone")
     )
-    runs = F.transform("starts", run)
-    alone = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: F.struct(x["level"].alias("level"), x["line"].alias("body")))
-    out = rows.select("conv_id", "turn", F.explode(F.concat(runs, alone)).alias("p"))
-    return out.select("conv_id", "turn", F.col("p.level").alias("level"), normal(F.col("p.body")).alias("body")).where("body <> ''").withColumn("hash", F.xxhash64("body"))
+    # a run of one line is that line already
+    alone = lambda at, j: F.filter(F.transform(of(at, j), lambda x: line(x, at, True)), lambda x: stop(j) - at > 1)
+    parts = F.concat(F.transform("starts", whole), F.flatten(F.transform("starts", alone)))
+    out = rows.select("conv_id", "turn", "its", F.explode(parts).alias("p"))
+    return out.select("conv_id", "turn", "its", "p.run", "p.alone", "p.level", normal(F.col("p.body")).alias("body")).where("body <> ''").withColumn("hash", F.xxhash64("body"))
 
 
-def replies(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, parent_turn, linked (characters of all linked quotes)."""
-    found = common.cut(passages(messages).select("conv_id", "turn", "level", "hash", F.char_length("body").alias("chars")))
+def replies(messages: DataFrame, by_line: bool = False) -> DataFrame:
+    """conv_id, turn, parent_turn, linked (characters of all linked quotes); `by_line` looks up passages without an origin line by line."""
+    found = common.cut(passages(messages).select("conv_id", "turn", "its", "run", "alone", "level", "hash", F.char_length("body").alias("chars")))
     origins = common.cut(found.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")))
-    quoted = found.where("level > 0").join(origins, ["conv_id", "hash"]).where("origin < turn")
-    per_origin = quoted.groupBy("conv_id", "turn", "origin").agg(F.sum("chars").alias("chars"), F.min("level").alias("level"))
+    linked = lambda x: x.join(origins, ["conv_id", "hash"]).where("origin < turn")
+    quoted = found.where("level > 0")
+    whole = common.cut(linked(quoted.where("NOT alone")))
+    votes = whole
+    if by_line:  # lines count only where their run as a whole is nobody's
+        rest = quoted.where("alone").join(whole.select("conv_id", "turn", "its", "run").distinct(), ["conv_id", "turn", "its", "run"], "left_anti")
+        votes = whole.unionByName(linked(rest))
+    per_origin = votes.groupBy("conv_id", "turn", "origin").agg(F.sum("chars").alias("chars"), F.min("level").alias("level"))
     best = F.max(F.struct("chars", (-F.col("level")).alias("near"), "origin"))
     return per_origin.groupBy("conv_id", "turn").agg(best["origin"].alias("parent_turn"), F.sum("chars").alias("linked"))
 
@@ -78,10 +87,10 @@ def roots(links: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, by_line: bool = False) -> DataFrame:
     """A row per message: conv_id, turn, role, text (without quotes), n_quoted_lines, max_level, parent_turn, root_turn, depth, position in the conversation."""
     rows = messages.select("conv_id", "turn", "role", "text")
-    links = common.cut(replies(rows))
+    links = common.cut(replies(rows, by_line))
     tree = links.join(roots(links), ["conv_id", "turn"]).withColumnsRenamed({"conv_id": "__conv", "turn": "__turn"})
     lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
     own = F.array_join(F.filter(lines, lambda x: ~x.rlike(QUOTED)), "\n")
@@ -98,4 +107,4 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(common.table(spark, sf_dir, "conversations"))
+    return conversations(common.table(spark, sf_dir, "conversations"), by_line=True)

@@ -160,3 +160,21 @@ def test_ordinary_words_weigh_by_their_own_rarity(spark, n):
     template = licences.TEMPLATES["MIT"].split()
     score = math.sqrt(sum(idf[w] ** 2 for w in template)) / math.sqrt(sum(idf[w] ** 2 for w in line.split()))
     assert [(r["template"], r["score"]) for r in got] == [("MIT", pytest.approx(score))] * 4
+
+
+def test_partial_quotes_find_their_message(spark, tmp_path):
+    mail = "Dear all,\nthe first point is money\nthe second point is time\nthe third point is rest\nBest, Ann"
+    rows = [
+        (1, 0, mail), (1, 1, "hello there\nsomething else"),
+        (1, 2, "> the first point is money\n> the second point is time\nI agree"),  # greeting and signature trimmed
+        (1, 3, "> Dear all,\n> the first point is money\nhow much?\n> the second point is time\n> the third point is rest\nnone"),  # interleaved
+        (1, 4, "> hello there\n> nobody said this\n> something else\nwell"),  # a foreign line in between
+        (1, 5, "> > the first point is money\n> > the second point is time\n> I agree\nme too"),  # the shallower level is whole, the deeper has more characters
+        (1, 6, "> nobody said this\n> nor this\nhm"), (1, 7, "> me too\n> hello there\n> something else\nok"),
+        (2, 0, "> the first point is money\n> the second point is time\nanother conversation"), (2, 1, "> a later line\n> and one more\nno"), (2, 2, "a later line\nand one more\nand that"),
+    ]
+    spark.createDataFrame([(c, n, "user", t) for c, n, t in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.op3_quotes(spark, str(tmp_path)).collect()}
+    parents = {k: r["parent_turn"] for k, r in got.items()}
+    assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 0, (1, 6): None, (1, 7): 1, (2, 0): None, (2, 1): None, (2, 2): None}
+    assert [t for (c, t), _ in sorted(got.items(), key=lambda x: x[1]["position"]) if c == 1] == [0, 2, 3, 5, 1, 4, 7, 6]
