@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 # Event labels that spoil a reference clip.
 BAD_EVENTS = (
     "Music", "Musical instrument", "Singing", "Laughter", "Giggle", "Chuckle, chortle", "Applause", "Cheering", "Crowd", "Chatter",
@@ -46,6 +48,31 @@ def length_plausible(duration: Column, expected: Column, low=0.5, high=2.0) -> C
     return (ratio >= low) & (ratio <= high + 1.5 / F.greatest(F.lit(0.5), expected))
 
 
+def take_rules(broken: Column, duration: Column, clipping: Column, expected: Column):
+    """Rules of a take's sound; they come before any transcript."""
+    length = F.format_string("implausible length (%.1fs for ~%.1fs of text)", duration, expected)
+    return [(broken | (duration < 0.3), "empty or broken audio"), (clipping > 0.001, "clipping"), (~length_plausible(duration, expected), length)]
+
+
+def wording_rules(script: Column, heard: Column, cer: Column, repeated: Column, longest: Column, max_cer=0.08, max_pause=1.6):
+    """Rules of a take's words (script and transcript normalised): ending, repetition, errors, pauses."""
+    s, h = text.words(script), text.words(heard)
+    tail = lambda n: F.slice(h, F.greatest(F.size(h) - (n - 1), F.lit(1)), n)
+    last = F.get(s, F.size(s) - 1)
+    cut_off = (F.size(s) > 0) & ~F.array_contains(tail(3), last) & (text.cer(last, F.array_join(tail(2), " ")) > 0.5)
+    quoted = F.when(repeated.contains("'"), F.concat(F.lit('"'), repeated, F.lit('"'))).otherwise(F.concat(F.lit("'"), repeated, F.lit("'")))
+    return [
+        (cut_off, "ending cut off or garbled"),
+        (repeated.isNotNull(), F.concat(F.lit("repeated phrase: "), quoted)),
+        (cer > max_cer, F.format_string("wording off (character error %.0f%%)", cer * 100)),
+        (longest > max_pause, F.format_string("dead air (%.1fs pause)", longest)),
+    ]
+
+
+def identity_rule(similarity: Column, least=0.40):
+    return similarity < least, F.format_string("does not sound like the speaker (similarity %.2f)", similarity)
+
+
 def delivery_reason(probability: Column, payload: Column, tags_ok: Column, true_peak: Column, ceiling: float = -1.5) -> Column:
     """Why a delivered file is refused.  What isn't known counts as failed."""
     yes = lambda c: F.coalesce(c, F.lit(False))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import vectors
+
 
 def robust_z(df: DataFrame, keys: list[str], columns: list[str], limit: float = 3.0) -> DataFrame:
     """Adds z_<column>: distance from the median over 1.4826 MAD, clipped; 0 where the MAD vanishes.
@@ -62,6 +64,58 @@ def clip_scores(df: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("score", 0.40 * F.col("z_sim") + 0.20 * F.col("z_confidence") + 0.15 * F.col("z_snr_db") + 0.15 * typical + 0.10 * F.col("z_length_fit"))
 
 
+def region_rank(df: DataFrame, keys: list[str], similarity: str, snr: str, *tie: str) -> DataFrame:
+    """Adds rank_score, 0.6 z(similarity) + 0.4 z(snr), and `place` by it."""
+    x = robust_z(df, keys, [similarity, snr]).withColumn("rank_score", F.round(0.6 * F.col(f"z_{similarity}") + 0.4 * F.col(f"z_{snr}"), 6))
+    return x.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("rank_score"), *tie))).drop(f"z_{similarity}", f"z_{snr}")
+
+
+def target_seeds(df: DataFrame, keys: list[str], similarity: str, least: float = 0.45, share: float = 0.8) -> DataFrame:
+    """Rows alike enough to a given recording: from `least` on, or, if fewer than three are, from the `share` quantile on."""
+    pool = df.groupBy(*keys).agg(F.count(F.when(F.col(similarity) >= least, 1)).alias("__n"), F.percentile(similarity, F.lit(share)).alias("__q"))
+    high = F.round(similarity, 9) >= F.round("__q", 9)  # rounded, as the quantile may be a row's own value
+    return _back(df, pool, keys).where(F.when(F.col("__n") >= 3, F.col(similarity) >= least).otherwise(high)).drop("__n", "__q")
+
+
+class AmbiguousSpeaker(ValueError):
+    """More than one voice speaks a lot, and nothing says which is meant."""
+
+
+def speakers(clips: DataFrame, alike: float = 0.5) -> DataFrame:
+    """cluster, id: density clusters of clips (id, duration, emb); two clips are one voice if alike, else each its own."""
+    pairs = similar_pairs(clips, "id", "emb", alike)
+    if len(clips.select("id").limit(3).collect()) >= 3:
+        return density_clusters(clips.select("id", "duration"), pairs).select("cluster", "id")
+    one = F.lit(len(pairs.limit(1).collect()) > 0)
+    return clips.select(F.when(one, 1).otherwise(F.row_number().over(W.orderBy("id"))).alias("cluster"), "id")  # two rows at most
+
+
+def find_target(clips: DataFrame, anchor: list[float] | None = None, target: list[float] | None = None, pick: int | None = None, alike: float = 0.5) -> DataFrame:
+    """One row (n, centroid): the voice wanted among clips (id, source, start, duration, emb).
+
+    The consent recording's embedding decides, else that of a target clip, else the voice picked by number, else the
+    voice that dominates; AmbiguousSpeaker lists the voices if none does.
+    """
+    given = anchor if anchor is not None else target
+    if given is not None:
+        near = clips.withColumn("__sim", vectors.dot(F.col("emb"), F.array(*[F.lit(float(v)) for v in given])))
+        return vectors.centroids(target_seeds(near, [], "__sim"), [], "emb")
+    found = speakers(clips, alike).persist()
+    members = found.join(clips, "id")
+    sums = members.groupBy("cluster").agg(F.sum("duration").alias("d")).orderBy("cluster").collect()  # four rows at most
+    total = clips.agg(F.sum("duration")).first()[0]
+    if pick is not None and not 1 <= pick <= len(sums):
+        raise ValueError(f"pick {pick} is out of range: found {len(sums)} voice(s)")
+    shares = [r["d"] / total for r in sums]
+    second = shares[1] if len(shares) > 1 else 0.0
+    if pick is None and (not shares or shares[0] < 0.6 or (second > 0.2 and shares[0] < 2 * second)):
+        said = [[] for _ in sums]
+        for r in top(members, ["cluster"], [F.col("id")], 3).orderBy("cluster", "id").collect():
+            said[r["cluster"] - 1].append(f"{r['source']} at {int(r['start'] // 60)}:{int(r['start'] % 60):02d}")
+        raise AmbiguousSpeaker("\n".join(f"voice {i}: {s:.0%} of the speech, e.g. {', '.join(e)}" for i, (s, e) in enumerate(zip(shares, said), 1)))
+    return vectors.centroids(members.where(F.col("cluster") == (pick or 1)), [], "emb")
+
+
 def diverse_top(df: DataFrame, keys: list[str], k: int, apart: float = 60.0, alike: float = 0.97) -> DataFrame:
     """Greedy choice by score: a clip is taken unless it lies within `apart` seconds of a taken one of its source, or is `alike`.
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import signal, text
+from . import gates
+
 # Presets (name, takes, quality that is enough) and the engine dimension.
 PRESETS = (("fast", 2, 0.0), ("balanced", 4, 0.80), ("best", 8, 0.93))
 _SIX = ["en", "zh", "ja", "ko", "de", "fr", "ru", "pt", "es", "it"]
@@ -23,7 +26,7 @@ DEVICE_ORDER = {
     "mps": ["chatterbox-turbo", "qwen3-tts-0.6b", "chatterbox-multilingual", "chatterbox-nano"],
     "cpu": ["chatterbox-turbo", "qwen3-tts-0.6b", "chatterbox-nano", "sopro", "chatterbox-multilingual"],
 }
-SIM_FLOOR, CEILING = 0.15, 0.8
+SIM_FLOOR, CEILING, RATE_WPS = 0.15, 0.8, 2.6
 
 
 def engines(spark: SparkSession) -> DataFrame:
@@ -64,6 +67,36 @@ def quality(norm: Column, cer: Column, f0_ratio: Column, rate_ratio: Column) ->
     return 0.5 * F.least(F.lit(1.0), norm) + 0.35 * F.exp(-cer / 0.03) + 0.15 * prosody
 
 
+def evaluate(takes: DataFrame) -> DataFrame:
+    """The whole scorer: keeps the columns and adds or sets ok, reason (of the first gate that fails), q and what it is made of.
+
+    takes: samples, sr, script, transcript, words (structs with start and end in seconds), similarity, f0_median and
+    rate_wps of the take; self_similarity, voice_f0 and voice_rate of its voice.  What is missing counts as the
+    reference's default.  A take refused for its sound alone is scored as if nothing had been heard.
+    """
+    dead = F.exists("samples", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    known = lambda c, d: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(d))
+    x = takes.withColumns({"__s": text.normalise(F.coalesce("script", F.lit(""))), "__h": text.normalise(F.coalesce("transcript", F.lit("")))})
+    x = x.withColumns({"__cer": text.cer(F.col("__s"), F.col("__h")), "__wer": text.wer("__s", "__h"), "__rep": text.repeated_trigram("__s", "__h")})
+    gaps = F.transform("words", lambda w, i: F.when(i > 0, w["start"] - F.get(F.col("words"), i - 1)["end"]))
+    x = x.withColumns({
+        "duration": F.coalesce(F.size("samples") / F.col("sr"), F.lit(0.0)),
+        "expected": F.size(text.words(F.col("__s"))) / F.greatest(F.lit(1.2), known(F.col("voice_rate"), RATE_WPS)),
+        "longest_pause": F.coalesce(F.array_max(gaps), F.lit(0.0)), "similarity": F.coalesce("similarity", F.lit(0.0)),
+    })
+    sound = gates.take_rules(F.coalesce(dead, F.lit(True)), F.col("duration"), signal.clipping_ratio(F.col("samples"), 0.999), F.col("expected"))
+    wording = gates.wording_rules(F.col("__s"), F.col("__h"), F.col("__cer"), F.col("__rep"), F.col("longest_pause"))
+    x = x.withColumn("__refused", gates.first_failing(*sound) != "").withColumn("reason", gates.first_failing(*sound, *wording, gates.identity_rule(F.col("similarity"))))
+    heard = lambda c, blank: F.when(F.col("__refused"), F.lit(blank)).otherwise(c)
+    x = x.withColumns({
+        "ok": F.col("reason") == "", "cer": heard(F.col("__cer"), 1.0), "wer": heard(F.col("__wer"), 1.0), "longest_pause": heard(F.col("longest_pause"), 0.0),
+        "sim_norm": heard(sim_norm(F.col("similarity"), known(F.col("self_similarity"), CEILING)), 0.0), "similarity": heard(F.col("similarity"), 0.0),
+        "f0_ratio": heard(ratio(F.col("f0_median"), F.col("voice_f0")), 1.0), "rate_ratio": heard(ratio(F.col("rate_wps"), F.col("voice_rate")), 1.0),
+    })
+    q = quality(F.col("sim_norm"), F.col("cer"), F.col("f0_ratio"), F.col("rate_ratio"))
+    return x.withColumn("q", heard(q, 0.0)).drop("__s", "__h", "__cer", "__wer", "__rep", "__refused")
+
+
 def best_of(takes: DataFrame, preset: tuple[str, int, float]) -> DataFrame:
     """Per part: the take chosen, takes consumed, and ok.  takes: part, take (from 1), ok, q.
 

@@ -223,6 +223,32 @@ def holdout_anti(spark, sf):
     return x.join(chosen.select("vec_id"), "vec_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("seconds"))
 
 
+@query(f"""WITH {CLIPS}, a AS (SELECT source, arg_min(emb, vec_id)::DOUBLE[] AS anchor FROM clips GROUP BY source), s AS (SELECT vec_id, source, list_inner_product(emb::DOUBLE[], anchor) AS sim FROM clips JOIN a USING (source)),
+ t AS (SELECT source, count(*) FILTER (sim >= 0.45) AS n, quantile_cont(sim, 0.8) AS q FROM s GROUP BY source)
+ SELECT vec_id, source, round(sim, 6) AS sim FROM s JOIN t USING (source) WHERE CASE WHEN n >= 3 THEN sim >= 0.45 ELSE round(sim, 9) >= round(q, 9) END""")
+def target_seeds(spark, sf):
+    x = clip_rows(spark, sf)
+    anchors = x.groupBy("source").agg(F.min_by("emb", "vec_id").alias("anchor"))  # the first clip of a source stands for its consent recording
+    near = x.join(anchors, "source").withColumn("sim", vectors.dot(F.col("emb"), F.col("anchor")))
+    return ranking.target_seeds(near, ["source"], "sim").select("vec_id", "source", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def picked_target(spark, sf):
+    x = clip_rows(spark, sf).withColumnRenamed("vec_id", "id")
+    return ranking.find_target(x, pick=2, alike=0.25).select("n", F.transform("centroid", lambda v: F.round(v, 6)).alias("centroid"))
+
+
+@query(f"""WITH {CENTRED}, usable AS (SELECT * FROM sims WHERE clipping <= 0.001 AND bandwidth >= 6000 AND snr_db >= 18), med AS (SELECT source, median(sim) AS med_sim, median(snr_db) AS med_snr_db FROM usable GROUP BY source),
+ mad AS (SELECT source, median(abs(sim - med_sim)) AS mad_sim, median(abs(snr_db - med_snr_db)) AS mad_snr_db FROM usable JOIN med USING (source) GROUP BY source),
+ r AS (SELECT vec_id, source, round(0.6 * ({_z('sim')}) + 0.4 * ({_z('snr_db')}), 6) AS rank_score FROM usable JOIN med USING (source) JOIN mad USING (source))
+ SELECT vec_id, source, rank_score, row_number() OVER (PARTITION BY source ORDER BY rank_score DESC, vec_id) AS place FROM r""")
+def region_rank(spark, sf):
+    x = with_sim(spark, sf)
+    usable = x.where(gates.first_failing(*gates.signal_rules(F.col("clipping"), F.col("bandwidth"), F.col("snr_db"))) == "")
+    return ranking.region_rank(usable, ["source"], "sim", "snr_db", "vec_id").select("vec_id", "source", "rank_score", "place")
+
+
 # --- words and pauses ------------------------------------------------------------------------------------------
 
 
@@ -317,6 +343,27 @@ def take_score(spark, sf):
     return take_rows(spark, sf).select("part", "take", F.round(n, 6).alias("sim_norm"), F.round(q, 6).alias("q"))
 
 
+def heard_takes(spark, sf):
+    """Turns as scripts of takes that are said in full, cut off, with a loop, as the next turn, or with a long pause, by turns."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    x = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"]).withColumn("k", k)
+    ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    said = F.when(F.col("k") == 1, F.array_join(F.slice(ws, 1, F.greatest(F.size(ws) - 3, F.lit(0))), " ")).when(F.col("k") == 2, F.concat_ws(" ", "text", "text", "text")).when(F.col("k") == 3, F.col("next")).otherwise(F.col("text"))
+    n = (F.size(ws) * 4 + F.when(F.col("k") == 4, 400).otherwise(2)).cast("int")  # ten samples a second
+    words = F.transform(ws, lambda w, i: F.struct((i * 0.4 + F.when((F.col("k") == 5) & (i > 0), 2.0).otherwise(0.0)).alias("start"), (i * 0.4 + 0.35).alias("end")))
+    return x.select(
+        "conv_id", "turn", F.col("text").alias("script"), said.alias("transcript"), F.array_repeat(F.lit(0.5), n).alias("samples"), F.lit(10).alias("sr"), words.alias("words"),
+        (0.35 + F.col("turn") * 0.1).alias("similarity"), F.lit(150.0).alias("f0_median"), F.lit(2.5).alias("rate_wps"), F.lit(0.8).alias("self_similarity"), F.lit(140.0).alias("voice_f0"), F.lit(2.5).alias("voice_rate"),
+    )
+
+
+@query()
+def take_evaluation(spark, sf):
+    scores = [F.round(c, 6).alias(c) for c in ("q", "cer", "wer", "similarity", "sim_norm", "duration", "expected", "longest_pause", "f0_ratio", "rate_ratio")]
+    return takes.evaluate(heard_takes(spark, sf)).select("conv_id", "turn", "ok", "reason", *scores)
+
+
 @query(f"""WITH {TAKES}, x AS (SELECT *, coalesce(max(q) FILTER (ok) OVER w >= 0.80, false) OR count(*) FILTER (ok) OVER w >= 4 AS stop FROM takes WHERE take <= 6 WINDOW w AS (PARTITION BY part ORDER BY take)),
  y AS (SELECT *, coalesce(max(stop::INT) OVER (PARTITION BY part ORDER BY take ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM x)
  SELECT part, take, ok, q, consumed FROM (SELECT part, take, ok, round(q, 6) AS q, count(*) OVER (PARTITION BY part) AS consumed, row_number() OVER (PARTITION BY part ORDER BY ok DESC, q DESC, take) AS n FROM y WHERE ended = 0) WHERE n = 1""")

@@ -149,3 +149,64 @@ def test_stream_of_the_ledger_equals_the_table(spark, tmp_path):
     assert out == {v: (s, status) for v, s, status in rows if s == 5}
     lines = spark.createDataFrame([('{"id": 1, "method": "load", "params": "{}"}',), ("noise",), ("{bad",)], "value string")
     assert [r["error"] for r in streams.protocol(lines).collect()] == [None, None, "bad request"]
+
+
+SAID = "The quick brown fox jumps over the lazy dog near the river bank"
+
+
+def test_take_evaluation_gates_in_order(spark):
+    words = [(i * 0.3, i * 0.3 + 0.25) for i in range(13)]
+    late = [(a + (2.5 if i > 5 else 0), b + (2.5 if i > 5 else 0)) for i, (a, b) in enumerate(words)]
+    fine, nan = [0.1] * 46, [0.1] * 45 + [float("nan")]
+    cases = [  # take, samples (10 a second), transcript, words, similarity, reason
+        (1, fine, SAID, words, 0.75, ""),
+        (2, nan, SAID, words, 0.75, "empty or broken audio"),
+        (3, [0.1] * 2, SAID, words, 0.75, "empty or broken audio"),
+        (4, [1.0] + fine, "", words, 0.1, "clipping"),
+        (5, [0.1] * 300, SAID, words, 0.75, "implausible length (30.0s for ~4.6s of text)"),
+        (6, fine, SAID.removesuffix(" river bank"), words, 0.1, "ending cut off or garbled"),
+        (7, fine, SAID + " near the river bank near the river bank", late, 0.75, "repeated phrase: 'near the river'"),
+        (8, fine, SAID.replace("quick brown", "slow"), late, 0.75, "wording off (character error 16%)"),
+        (9, fine, SAID, late, 0.2, "dead air (2.6s pause)"),
+        (10, fine, SAID, words, 0.2, "does not sound like the speaker (similarity 0.20)"),
+        (11, None, None, None, None, "empty or broken audio"),
+    ]
+    schema = "part int, take int, samples array<double>, sr int, script string, transcript string, words array<struct<start:double,end:double>>, similarity double, f0_median double, rate_wps double, self_similarity double, voice_f0 double, voice_rate double"
+    df = spark.createDataFrame([(1, t, s, 10, SAID, h, w, c, 150.0, 2.8, 0.8, 150.0, 2.8) for t, s, h, w, c, _ in cases], schema)
+    out = takes.evaluate(df)
+    got = {r["take"]: r for r in out.collect()}
+    assert {t: r["reason"] for t, r in got.items()} == {t: reason for t, *_, reason in cases}
+    assert all(r["ok"] == (t == 1) for t, r in got.items())
+    assert got[1]["q"] == pytest.approx(0.5 * (0.75 - 0.15) / 0.65 + 0.35 + 0.15) and got[10]["similarity"] == 0.2
+    assert [got[5][c] for c in ("q", "cer", "wer", "similarity", "sim_norm", "longest_pause")] == [0, 1, 1, 0, 0, 0]
+    assert takes.best_of(out, takes.PRESETS[0]).first()["take"] == 1
+
+
+def test_target_by_anchor_pick_and_dominance(spark):
+    rng = np.random.default_rng(1)
+    centres = np.linalg.qr(rng.normal(size=(192, 2)))[0].T
+
+    def pool(a, b):
+        e = np.stack([centres[0]] * a + [centres[1]] * b) + 0.04 * rng.normal(size=(a + b, 192))
+        e /= np.linalg.norm(e, axis=1)[:, None]
+        return spark.createDataFrame([(i, "a.wav", 20.0 * i, 8.0, v.tolist()) for i, v in enumerate(e)], "id long, source string, start double, duration double, emb array<double>"), e
+
+    centre = lambda e: e.mean(0) / np.linalg.norm(e.mean(0))
+    clips, e = pool(9, 10)
+    find = lambda *a, **k: ranking.find_target(*a, **k).first()
+    assert find(clips, anchor=centres[0].tolist(), target=centres[1].tolist())["centroid"] == pytest.approx(centre(e[:9]))
+    assert find(clips, target=centres[1].tolist())["centroid"] == pytest.approx(centre(e[9:]))
+    assert find(clips, pick=2)["n"] == 9
+    with pytest.raises(ValueError, match="out of range"):
+        find(clips, pick=3)
+    with pytest.raises(ranking.AmbiguousSpeaker, match=r"voice 1: 53% of the speech, e.g. a.wav at 3:00, a.wav at 3:20, a.wav at 3:40"):
+        find(clips)
+    # nothing alike: the nearest fifth
+    far = rng.normal(size=192) / 192
+    sims = e @ far
+    assert find(clips, anchor=far.tolist())["centroid"] == pytest.approx(centre(e[sims >= np.quantile(sims, 0.8)]))
+    clips, e = pool(14, 4)
+    assert find(clips)["centroid"] == pytest.approx(centre(e[:14]))
+    assert find(pool(1, 0)[0])["n"] == 1
+    with pytest.raises(ranking.AmbiguousSpeaker):
+        find(pool(1, 1)[0])
