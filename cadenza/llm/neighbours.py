@@ -38,6 +38,8 @@ TREES, LEAF, MAX_DEPTH, SAMPLE, SEED = 4, 500, 12, 20_000, 5
 VISIT = 1.3
 #: Vectors and queries of one block.
 VECTORS, QUERIES = 4096, 4096
+#: Pairs scored at a time.
+PAIRS = 65_536
 
 
 def usable(df: DataFrame, dim: int | None = None) -> DataFrame:
@@ -131,19 +133,28 @@ def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: in
     there[which[by][keep], place[keep]] = True
     u_norm, q_norm = np.sqrt((u * u).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     rough = (q @ u.T) / u_norm
-    top = min(k + 4, len(u))
-    pick = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-    # the same sum for the same pair wherever it is met, so that scores of copies are equal to the bit
-    score = np.concatenate([(q[i : i + 256, None, :] * u[pick[i : i + 256]]).sum(axis=2) for i in range(0, len(q), 256)]) / (q_norm[:, None] * u_norm[pick])
-    who = np.repeat(np.arange(len(q)), top * (k + 1))
-    found, ok, score = ids[pick].ravel(), there[pick].ravel(), np.repeat(score.ravel(), k + 1)
-    ok &= found != q_id[who]
-    who, found, score = who[ok], found[ok], score[ok]
-    order = np.lexsort([found, -score, who])
-    who, found, score = who[order], found[order], score[order]
-    rank = np.arange(len(who)) - np.searchsorted(who, who)
-    keep = rank < k
-    return q_id[who[keep]], found[keep], score[keep]
+    # all that reach the (k + 1)-th best, less what the rough product may be off by: ties go on whole, however many
+    n = min(k + 1, len(u))
+    floor = np.partition(rough, len(u) - n, axis=1)[:, len(u) - n] - 1e-9 * q_norm
+    high = rough >= floor[:, None]
+    ends = np.cumsum(high.sum(axis=1))
+    out, at = [], 0
+    while at < len(q):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        i, j = np.nonzero(high[at:to])
+        i += at
+        # the same sum for the same pair wherever it is met, so that scores of copies are equal to the bit
+        score = np.repeat((q[i] * u[j]).sum(axis=1) / (q_norm[i] * u_norm[j]), k + 1)
+        who, found, ok = np.repeat(i, k + 1), ids[j].ravel(), there[j].ravel()
+        ok &= found != q_id[who]
+        who, found, score = who[ok], found[ok], score[ok]
+        order = np.lexsort([found, -score, who])
+        who, found, score = who[order], found[order], score[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+        out.append((q_id[who[keep]], found[keep], score[keep]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEAREST, visit: float = VISIT, trees: int = TREES, leaf: int = LEAF) -> DataFrame:

@@ -53,3 +53,23 @@ def test_few_rows_and_empty_table(spark):
     assert [r["vec_id"] for r in neighbours.nearest(v, v.where("vec_id % 50 = 0")).orderBy("rank").collect()] == [3, 4]
     none = neighbours.usable(df.where("false"))
     assert neighbours.nearest(none, none).collect() == []
+
+
+def test_ties_of_many_different_vectors_go_to_the_smallest_ids(monkeypatch):
+    rng = np.random.default_rng(2)
+    n, k = 60, 5
+    scaled = np.array([1.0, 2.0, 4.0]) @ np.eye(3) * 2.0 ** rng.permutation(n)[:, None]  # one direction, no two equal
+    binary = (rng.random((200, 12)) < 0.5).astype(float)
+    binary = np.unique(binary[binary.sum(axis=1) == 6], axis=0)  # few different cosines
+    for pairs in (65_536, 7):
+        monkeypatch.setattr(neighbours, "PAIRS", pairs)
+        for v in (scaled, rng.permutation(binary)):
+            ids = rng.permutation(len(v))
+            got = list(zip(*neighbours.best(ids[:20], v[:20], ids, v, k)))
+            norm = np.sqrt((v * v).sum(axis=1))
+            want = []
+            for i in range(20):
+                s = (v * v[i]).sum(axis=1) / (norm * norm[i])
+                want += [(ids[i], b, -a) for a, b in sorted((-s[j], ids[j]) for j in range(len(v)) if j != i)[:k]]
+            assert [x[:2] for x in got] == [x[:2] for x in want]
+            assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
