@@ -34,15 +34,42 @@ TEMPLATES = {
     "MIT": "released under the mit license",
     "MPL-2.0": "subject to the terms of the mozilla public license v 2.0",
 }
+#: Standard texts and headers, and near relatives: (name, wording); a name may have several.
+WARRANTY = "is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+NO_ENDORSEMENT = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+MIT_END = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+STANDARD = (
+    ("MIT", MIT_GRANT),
+    ("MIT", f"{MIT_GRANT} {MIT_END}"),
+    ("ISC", ISC_GRANT),
+    ("ISC", f"{ISC_GRANT} the software {WARRANTY}"),
+    ("BSD-2-Clause", f"{BSD} {BSD_END}"),
+    ("BSD-3-Clause", f"{BSD} {NO_ENDORSEMENT} {BSD_END}"),
+    ("Apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0"),
+    *((f"{kind}-{v}", wording) for kind, name, versions in (("GPL", "general public license", ("2.0", "3.0")), ("LGPL", "lesser general public license", ("2.1", "3.0")), ("AGPL", "affero general public license", ("3.0",))) for v in versions for wording in (GNU.format(name, v.removesuffix(".0")), f"gnu {name} version {v.removesuffix('.0')}")),
+    *((f"CC-{k.upper()}-4.0", f"cc {k} 4.0") for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
+)
 THRESHOLD = 0.6
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying)(\.\w+)?$"
 
 
-def template_words() -> list[tuple[str, str, int]]:
+def wordings() -> list[tuple[str, str]]:
+    """Name and wording of all templates."""
+    return [*TEMPLATES.items(), *STANDARD]
+
+
+def template_words() -> list[tuple[int, str, int]]:
+    """Place in `wordings`, word, times."""
     out = []
-    for name, text in TEMPLATES.items():
+    for k, (_, text) in enumerate(wordings()):
         words = re.findall(r"[a-z0-9]+", text)
-        out += [(name, w, words.count(w)) for w in sorted(set(words))]
+        out += [(k, w, words.count(w)) for w in sorted(set(words))]
     return out
 
 
@@ -57,7 +84,7 @@ def word_counts(files: DataFrame) -> DataFrame:
 
 
 def weighted_templates(files: DataFrame, seen: DataFrame, threshold: float) -> tuple[DataFrame, int, list[str]]:
-    """template, word, value (unit length); the number of documents; and the words one of which a line needs."""
+    """template, wording, word, value (unit length); the number of documents; and the words one of which a line needs."""
     n_docs = files.count()
     ours = sorted({w for _, w, _ in template_words()})
     counts = {r["word"]: r["n"] for r in seen.where(F.col("word").isin(ours)).collect()}  # template words only
@@ -65,15 +92,15 @@ def weighted_templates(files: DataFrame, seen: DataFrame, threshold: float) -> t
     from math import log, sqrt
 
     idf = {w: log((n_docs + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in ours}
-    for name in TEMPLATES:
-        mine = sorted(((tf * idf[w], w) for t, w, tf in template_words() if t == name))
+    for k, (name, _) in enumerate(wordings()):
+        mine = sorted(((tf * idf[w], w) for t, w, tf in template_words() if t == k))
         total, light = sum(v * v for v, _ in mine), 0.0
         for v, w in mine:
-            rows.append((name, w, v / sqrt(total)))
+            rows.append((name, k, w, v / sqrt(total)))
             light += v * v
             if light >= (threshold - 1e-9) ** 2 * total:
                 needed.add(w)
-    return files.sparkSession.createDataFrame(rows, "template string, word string, value double"), n_docs, sorted(needed)
+    return files.sparkSession.createDataFrame(rows, "template string, wording int, word string, value double"), n_docs, sorted(needed)
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -94,7 +121,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     held = F.collect_list(F.when(F.col("word").isin(ours), F.struct("word", "size"))).alias("held")
     norms = sized.groupBy(*key).agg(F.sqrt(F.sum(F.col("size") * F.col("size"))).alias("norm"), held)
     dots = norms.select(*key, "norm", F.explode("held").alias("h")).join(F.broadcast(vectors), F.col("h.word") == F.col("word"))
-    score = dots.groupBy(*key, "template").agg((F.sum(F.col("h.size") * F.col("value")) / F.first("norm")).alias("score"))
+    score = dots.groupBy(*key, "template", "wording").agg((F.sum(F.col("h.size") * F.col("value")) / F.first("norm")).alias("score"))
     good = score.withColumn("score", F.round("score", 9)).where(F.col("score") >= threshold)
     return good.groupBy("doc_id", "path", "__row").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b")).select("doc_id", "path", "__row", F.col("b.template").alias("template"), (-F.col("b.s")).alias("score"))
 

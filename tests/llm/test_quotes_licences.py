@@ -178,3 +178,16 @@ def test_partial_quotes_find_their_message(spark, tmp_path):
     parents = {k: r["parent_turn"] for k, r in got.items()}
     assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 0, (1, 6): None, (1, 7): 1, (2, 0): None, (2, 1): None, (2, 2): None}
     assert [t for (c, t), _ in sorted(got.items(), key=lambda x: x[1]["position"]) if c == 1] == [0, 2, 3, 5, 1, 4, 7, 6]
+
+
+def test_standard_texts_and_near_relatives(spark):
+    lines = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies": "MIT",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.": "ISC",
+        "GNU Lesser General Public License, version 3": "LGPL-3.0", "GNU General Public License, version 2": "GPL-2.0", "GNU Affero General Public License, version 3": "AGPL-3.0",
+        "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+    }
+    rows = [(i, f"/d{i}/f", x) for i, x in enumerate(lines)] + [(100 + i, f"/z/f{i}", "the cats is of a copy this and under to in by") for i in range(200)]
+    got = {r["doc_id"]: r["own_licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+    assert all(got[100 + i] is None for i in range(200))
