@@ -12,8 +12,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
-#: A frame counted at or under this many rows of at most a few hundred bytes may be broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +68,15 @@ def globally_indexed(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
 def plain_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns, cast-free; extra columns of the caller, however named, go no further."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

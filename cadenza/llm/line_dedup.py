@@ -28,8 +28,8 @@ from pyspark.sql import Window as W
 from . import common
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Slices of one hash: what a line in every document is spread over.
-SLICES = 64
+#: Least slices of one hash, and lines of one slice at most: a line that every document has is spread over as many as that takes.
+SLICES, SLICE_ROWS = 64, 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -51,7 +51,7 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """h1, h2, keeper of the keys that at least min_docs documents hold."""
-    piece = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice")
+    piece = F.pmod(F.xxhash64("doc_id"), F.lit(max(SLICES, -(-lines.count() // SLICE_ROWS)))).alias("slice")
     ranged = lines.select("h1", "h2", piece, "doc_id", "pos").repartitionByRange("h1", "h2", "slice")
     order = W.partitionBy("h1", "h2", "slice").orderBy("doc_id", "pos")
     # the range partitioning has each (h1, h2, slice) in one place, so this window streams over it without a further exchange
@@ -83,46 +83,50 @@ def keep_bitmap(n_lines: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), F.array(n_lines)).when(rest > 0, F.concat(pairs, F.array(rest))).otherwise(pairs)
 
 
-def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with __lines (array) and __dropped (positions or null)."""
-    gone = dropped_positions(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "__doc", "__text": "__own"})
-    text = F.coalesce(F.col("text"), F.lit(""))
+def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Column, Column]:
+    """The documents with two more columns: their lines (array) and the dropped ones (positions or null)."""
+    doc, own, lines, dropped = common.free_names(docs, "doc", "own", "lines", "dropped")
+    gone = dropped_positions(common.plain_columns(docs, ["doc_id", "text"]), min_chars, min_docs).withColumnsRenamed({"doc_id": doc, "__text": own, "dropped": dropped})
+    text = F.coalesce(docs["text"], F.lit(""))
     # rows that lose nothing still meet the join: it is decided by key, not by reading the text twice
-    return docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (text_id(text) == F.col("__own")), "left").withColumn("__lines", F.split(text, "\n")).withColumnRenamed("dropped", "__dropped").drop("__doc", "__own")
+    out = docs.join(gone, (docs["doc_id"] == gone[doc]) & (text_id(text) == gone[own]), "left")
+    return out.withColumn(lines, F.split(text, "\n")).drop(doc, own), F.col(f"`{lines}`"), F.col(f"`{dropped}`")
 
 
-def kept_text() -> Column:
+def kept_text(lines: Column, dropped: Column) -> Column:
     """The kept lines joined again."""
-    lines = F.col("__lines")
-    first, last = dropped_runs(F.col("__dropped"))
+    first, last = dropped_runs(dropped)
     begin = lambda j: F.coalesce(F.get(last, j - 1) + 1, F.lit(0))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(first)), lambda j: F.slice(lines, begin(j) + 1, F.coalesce(F.get(first, j), F.size(lines)) - begin(j))))
-    return F.when(F.col("__dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return F.when(dropped.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, keep_runs (the compressed bitmap)."""
-    n = F.size("__lines")
-    return marked(common.plain_columns(docs, ["doc_id", "text"]), min_chars, min_docs).select("doc_id", n.alias("n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).alias("n_dropped"), keep_bitmap(n, F.col("__dropped")).alias("keep_runs"))
+    """doc_id, n_lines, n_dropped, keep_runs (the compressed bitmap); no text moves."""
+    docs = common.plain_columns(docs, ["doc_id", "text"])
+    gone = dropped_positions(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "__doc", "__text": "__own"})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text_id(text).alias("its"), F.size(F.split(text, "\n")).alias("n_lines"))
+    out = rows.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.col("its") == F.col("__own")), "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), keep_bitmap(F.col("n_lines"), F.col("dropped")).alias("keep_runs"))
 
 
 def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with the repeated lines gone from their text; all columns stay as they are."""
-    names = docs.columns
-    out = marked(docs, min_chars, min_docs)
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept_text())
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    out, lines, dropped = marked(docs, min_chars, min_docs)
+    text = F.when(dropped.isNull(), F.col("text")).otherwise(kept_text(lines, dropped))
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.plain_columns(common.table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    n = F.size("__lines")
-    return marked(docs).select(
+    docs, lines, dropped = marked(common.plain_columns(common.table(spark, sf_dir, "documents"), ["doc_id", "text"]))
+    n = F.size(lines)
+    return docs.select(
         "doc_id",
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(kept_text(), 256).alias("kept_sha256"),
-        keep_bitmap(n, F.col("__dropped")).alias("keep_runs"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(kept_text(lines, dropped), 256).alias("kept_sha256"),
+        keep_bitmap(n, dropped).alias("keep_runs"),
     )
 
 

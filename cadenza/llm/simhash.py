@@ -2,25 +2,27 @@
 
 Equal fingerprints are one class from the start.  Fingerprints that differ in at most `budget` bits agree wholly on one of
 `budget` + 1 blocks of bits, so the trie over all fingerprints is dealt out as subtrees: one for each block and
-value.  A subtree with too many members is dealt out again over its remaining bits in the same way, until all are
-small; nothing is capped.  In each subtree node pairs are walked together from the root, differing bits add up, and a pair
-is left as soon as they exceed the budget.  A subtree reports a spanning forest of its links, never all
+value.  A subtree with too many members is dealt out again over its remaining bits in the same way; where that hardly makes it
+smaller (many copies that differ a little), it is cut into chunks and every two chunks meet.  Nothing is capped.  In each
+subtree node pairs are walked together from the root, differing bits add up, and a pair is left as soon as they exceed the
+budget, or as soon as all its members are one component already.  A subtree reports a spanning forest of its links, never all
 pairs; alternating large-star and small-star rounds over those links give the components.
 
 Results in special cases
 ------------------------
 * null, empty or white-space text: fingerprint zero, linked like any other; fewer words than the shingle: one shingle;
-* null doc_id: the row keeps its fingerprint, but its component is null and it links nothing;
+* null doc_id: the row keeps its fingerprint, but its component is null, it links nothing, and `keep_one` keeps it;
 * repeated rows and ties: equal texts have equal fingerprints, and component_id is the smallest doc_id of all;
+* repeated doc_ids: each row has its own fingerprint and component, and a doc_id by itself links nothing.  `keep_one` removes
+  by row, not by doc_id: of each component one row stays, that of the smallest doc_id, then of the smallest hash of its text;
 * very long texts: shingles are hashed in blocks, memory is the text and a block; empty table: empty result;
 * further columns, however named, are ignored (`keep_one` returns them as they are).
 
 One fingerprint of 64 bits tells texts of a similarity near 0.8 from others only with a budget that no search can prune
-by.  `keep_one` therefore takes several fingerprints (lanes) of independent hashes of each shingle and links
-documents that are within the budget in any of them, if the next two lanes together also differ in `BESIDE` bits at most:
-without that, chance alone would link unrelated documents once there are many.  A bit that half of the hashes set
-is taken from the smallest hash there, so that fingerprints of few shingles are as evenly spread as others.  Texts with
-the same fingerprint in a lane are stood for by the smallest doc_id of them in that lane's search.
+by.  `keep_one` therefore takes several fingerprints (lanes) of independent hashes of each shingle and links two documents
+that are within the budget in any of them, if all lanes together differ in `TOTAL` bits at most: that sum is what
+estimates the similarity.  A bit that half of the hashes set is taken from the smallest hash there, so that fingerprints of few
+shingles are as evenly spread as others.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ from . import common
 
 WORDS, BUDGET, SEED = 4, 4, 42
 #: For whole near-duplicate removal: words in a shingle, fingerprints, and bits that may differ in one of them.
-KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 7
-#: Bits that may differ in the next two lanes together; unrelated texts differ in 64 of them.
-BESIDE = 24
-#: Members of a subtree that one task joins; a larger one is dealt out again.
-SUBTREE = 20_000
+KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 8
+#: Bits that may differ in all lanes together; unrelated texts differ in 192 of them.
+TOTAL = 66
+#: Members of a subtree that one task joins; a larger one is dealt out again, by chunks if bits made it less than SHRINK times smaller.
+SUBTREE, SHRINK = 20_000, 16
 #: Shingles hashed at a time, rows of whole subtrees joined at a time, node pairs compared at a time.
 HASHES, ROWS, PAIRS = 65_536, 40_000, 65_536
 
@@ -82,18 +84,23 @@ def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1) -> np.ndar
     return np.packbits(on, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def row_id(text: Column) -> Column:
+    """With the doc_id, tells rows apart where a doc_id repeats."""
+    return F.xxhash64(text, F.lit("row"))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFrame:
-    """doc_id, fps (the fingerprints as signed longs)."""
-    rows = docs.select("doc_id", F.col("text"))
+    """doc_id, row (a hash of the text), fps (the fingerprints as signed longs)."""
+    rows = docs.select("doc_id", row_id(F.col("text")).alias("row"), F.col("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), words, lanes) for t in batch.column(1)]
+            found = [fingerprint(t.as_py(), words, lanes) for t in batch.column(2)]
             flat = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * lanes, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "row", "fps"])
 
-    return rows.mapInArrow(hashed, T.StructType([rows.schema["doc_id"], T.StructField("fps", T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(hashed, T.StructType([*rows.schema.fields[:2], T.StructField("fps", T.ArrayType(T.LongType()))]))
 
 
 def parts_of(path: str, budget: int) -> list[tuple[str, int]]:
@@ -131,15 +138,33 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
 
 
-def walk(group: np.ndarray, fp: np.ndarray, budget: int, beside: np.ndarray | None = None) -> np.ndarray:
+def walk(group: np.ndarray, fp: np.ndarray, budget: int, lanes: np.ndarray | None = None, total: int = TOTAL) -> np.ndarray:
     """The trie self-join of many subtrees at once: for each row, the first row of its component within its subtree.
 
-    Rows are sorted by group and unsigned fp.  A node is a range of rows; its children part where the next bit turns one.
-    beside: two more fingerprints of each row, if they have a say.
+    Rows are sorted by group and unsigned fp.  A node is a range of rows; its children part where the next bit turns one, or,
+    where all bits are equal, in the middle.  lanes: all fingerprints of each row, if they have a say.
     """
     n = len(fp)
     label = np.arange(n)
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    root, turns, stale = label.copy(), np.arange(n), 0
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal stale
+        near = (i != j) & (root[i] != root[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+        i, j = i[near], j[near]
+        if lanes is not None and len(i):
+            near = np.bitwise_count(lanes[i] ^ lanes[j]).sum(axis=1, dtype=np.int64) <= total
+            i, j = i[near], j[near]
+        unite(label, i, j)
+        stale += len(i)
+
+    def settle() -> None:
+        """Which rows are one component by now, and where that changes in the order of rows."""
+        nonlocal root, turns, stale
+        label[:] = root_of(label, np.arange(n))
+        root, stale = label.copy(), 0
+        turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
 
     def compare(pairs: np.ndarray) -> None:
         """All rows of small node pairs against each other."""
@@ -153,40 +178,45 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int, beside: np.ndarray | No
             each = (wide * tall)[at:to]
             which = np.repeat(np.arange(to - at), each)
             k = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-            i, j = part[0][which] + k // tall[at:to][which], part[2][which] + k % tall[at:to][which]
-            near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-            i, j = i[near], j[near]
-            if beside is not None:
-                near = np.bitwise_count(beside[i] ^ beside[j]).sum(axis=1, dtype=np.int64) <= BESIDE
-                i, j = i[near], j[near]
-            unite(label, i, j)
+            join(part[0][which] + k // tall[at:to][which], part[2][which] + k % tall[at:to][which])
             at = to
 
+    # neighbours first: of a dense group most is one component then, and its nodes need no further look
+    for gap in (1, 2, 3):
+        near = np.flatnonzero(group[gap:] == group[:-gap])
+        join(near, near + gap)
+    settle()
     # a stack of frontiers, so that a wide one is walked in slices; rows: a from, a to, b from, b to, errors
     top = np.stack([edge[:-1], edge[1:], edge[:-1], edge[1:], np.zeros(len(edge) - 1, np.int64)])
     stack = [(63, top[:, k : k + PAIRS // 4]) for k in range(0, top.shape[1], PAIRS // 4)]
     ones: dict[int, np.ndarray] = {}
     while stack:
         depth, pairs = stack.pop()
-        small = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= 64
-        small |= depth < 0
+        if 4 * stale > n or stale and 4 * pairs.shape[1] > n:
+            settle()
+        one = (turns[pairs[0]] == turns[pairs[1] - 1]) & (turns[pairs[2]] == turns[pairs[3] - 1]) & (root[pairs[0]] == root[pairs[2]])
+        pairs = pairs[:, ~one]
+        small = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= (64 if depth >= 0 else 4096)
         if small.any():
             compare(pairs[:4, small])
         pairs = pairs[:, ~small]
         if not pairs.shape[1]:
             continue
-        if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((fp >> np.uint64(depth)) & np.uint64(1)).astype(np.int64)])
-        c = ones[depth]
         a, b, x, y, err = pairs
-        mid, cut = b - (c[b] - c[a]), y - (c[y] - c[x])
+        if depth < 0:  # equal fingerprints, which other lanes may tell apart
+            mid, cut, off = (a + b) // 2, (x + y) // 2, 0
+        else:
+            if depth not in ones:
+                ones[depth] = np.concatenate([[0], np.cumsum((fp >> np.uint64(depth)) & np.uint64(1)).astype(np.int64)])
+            c = ones[depth]
+            mid, cut, off = b - (c[b] - c[a]), y - (c[y] - c[x]), 1
         twin = a == x
         below = np.concatenate(
             [
                 np.stack([a, mid, x, cut, err]),
                 np.stack([mid, b, cut, y, err]),
-                np.stack([a, mid, cut, y, err + 1]),
-                np.stack([mid, b, x, cut, err + 1])[:, ~twin],  # of a node with itself, one order is enough
+                np.stack([a, mid, cut, y, err + off]),
+                np.stack([mid, b, x, cut, err + off])[:, ~twin],  # of a node with itself, one order is enough
             ],
             axis=1,
         )
@@ -195,25 +225,37 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int, beside: np.ndarray | No
     return root_of(label, np.arange(n))
 
 
-def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) between class ids that keep all components of each lane; classes: lane, fp (distinct in a lane), rep, and x and y (the next two lanes) or not."""
-    more = ["x", "y"] if "x" in classes.columns else []
-    kept = ["lane", "fp", "rep", *more]
-    rows = classes.select(*kept, F.explode(dealt("", budget)).alias("at")).select(*kept, "at.*")
+def links(classes: DataFrame, budget: int = BUDGET, total: int = TOTAL, subtree: int = SUBTREE) -> DataFrame:
+    """Links (a, b) between class ids that keep all components of each lane; classes: id, fps (as many of each as there are lanes)."""
+    lanes = F.size("fps") > 1
+    # one lane decides alone, and its fingerprint is all that moves
+    rows = classes.select("id", F.when(lanes, F.col("fps")).alias("fps"), F.posexplode("fps").alias("lane", "fp"))
+    kept = ["lane", "fp", "id", "fps"]
+    rows = rows.select(*kept, F.lit(None).cast("long").alias("above"), F.explode(dealt("", budget)).alias("at")).select(*kept, "above", "at.*")
     key = ["lane", "path", "part"]
     small = None
     while True:
-        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        large = common.cut(sizes.where(F.col("n") > subtree).select(*key))
-        paths = [r["path"] for r in large.select("path").distinct().collect()]  # at most (budget + 1) ** depth, few in fact
-        calm = rows.join(large, key, "left_anti") if paths else rows
+        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above"))
+        large = common.cut(sizes.where(F.col("n") > subtree).select(*key, "n", (F.col("n") * SHRINK > F.col("above")).alias("dense")))
+        paths = [r["path"] for r in large.where("dense IS NULL OR NOT dense").select("path").distinct().collect()]  # at most (budget + 1) ** depth, few in fact
+        any_large = bool(paths) or large.limit(1).count() > 0
+        calm = (rows.join(large, key, "left_anti") if any_large else rows).select(*key, "fp", "id", "fps")
         small = calm if small is None else small.unionByName(calm)
+        if not any_large:
+            break
+        wide = rows.drop("above").join(large, key)
+        # a dense one: every two of its chunks, of half the size that a task may have
+        chunks = F.ceil(F.col("n") / (subtree / 2))
+        mine = F.pmod(F.xxhash64("id"), chunks)
+        other = wide.where("dense").select("*", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other")).withColumn("mine", mine)
+        pair = F.concat("path", F.lit("/"), F.least("mine", "other"), F.lit("/"), F.greatest("mine", "other"))
+        small = small.unionByName(other.select("lane", pair.alias("path"), "part", "fp", "id", "fps"))
         if not paths:
             break
         below = None
         for p in paths:
             below = F.when(F.col("path") == p, dealt(p, budget)) if below is None else below.when(F.col("path") == p, dealt(p, budget))
-        rows = rows.join(large, key, "left_semi").select(*kept, F.explode(below).alias("at")).select(*kept, "at.*")
+        rows = wide.where("dense IS NULL OR NOT dense").select(*kept, F.col("n").alias("above"), F.explode(below).alias("at")).select(*kept, "above", "at.*")
         rows = common.cut(rows)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +263,14 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
 
         def forest(t: pa.Table) -> pa.RecordBatch:
             lane, path, part = t.column("lane").to_numpy(), t.column("path").to_numpy(zero_copy_only=False).astype(str), t.column("part").to_numpy()
-            fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
+            fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("id").to_numpy()
             names, path = np.unique(path, return_inverse=True)
             order = np.lexsort([fp, part, path, lane])
             lane, path, part, fp, rep = (x[order] for x in (lane, path, part, fp, rep))
             new = np.concatenate([[False], (lane[1:] != lane[:-1]) | (path[1:] != path[:-1]) | (part[1:] != part[:-1])])
-            beside = np.stack([t.column(c).to_numpy().view(np.uint64)[order] for c in more], axis=1) if more else None
-            first = walk(np.cumsum(new), fp, budget, beside)
+            fps = t.column("fps").combine_chunks()
+            more = None if fps.null_count else fps.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)[order]
+            first = walk(np.cumsum(new), fp, budget, more, total)
             on = first != np.arange(len(fp))
             return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[first[on]])], names=["a", "b"])
 
@@ -248,12 +291,12 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> D
         if held:
             yield forest(pa.Table.from_batches(held).combine_chunks())
 
-    dealt_out = small.select(*key, "fp", "rep", *more).repartition(*key).sortWithinPartitions(*key)
+    dealt_out = small.select(*key, "fp", "id", "fps").repartition(*key).sortWithinPartitions(*key)
     return dealt_out.mapInArrow(joined, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, component (smallest node reachable), for all nodes of the edges (a, b)."""
+    """node, component (smallest node reachable), for all nodes of the edges (a, b) but the smallest of each component."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = common.cut(e)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -279,36 +322,35 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def classified(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, lanes: int = 1, subtree: int = SUBTREE) -> DataFrame:
-    """doc_id, fps, component_id."""
+def classified(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, lanes: int = 1, total: int = TOTAL, subtree: int = SUBTREE) -> DataFrame:
+    """doc_id, row (a hash of the text), fps, component_id, keeper (the row of the component's smallest doc_id)."""
     found = common.cut(fingerprints(docs, words, lanes))
-    classes = common.cut(found.where(F.col("doc_id").isNotNull()).groupBy("fps").agg(F.min("doc_id").cast("long").alias("rep")))
-    of_lane = classes.select("rep", "fps", F.posexplode("fps").alias("lane", "fp"))
-    if lanes > 1:
-        after = lambda k: F.get("fps", (F.col("lane") + k) % lanes)
-        of_lane = of_lane.select("rep", "lane", "fp", after(1).alias("x"), after(2).alias("y"))
-        least = F.min(F.struct("rep", "x", "y"))
-        in_lane = of_lane.groupBy("lane", "fp").agg(least.alias("m")).select("lane", "fp", "m.*")
-    else:
-        in_lane = of_lane.select("lane", "fp", "rep")  # distinct as they are
-    in_lane = common.cut(in_lane)
-    edges = links(in_lane, budget, subtree)
-    if lanes > 1:  # classes that share a fingerprint in one lane
-        first = in_lane.withColumnsRenamed({"lane": "__lane", "fp": "__fp", "rep": "b", "x": "__x", "y": "__y"})
-        shared = of_lane.join(first, (F.col("lane") == F.col("__lane")) & (F.col("fp") == F.col("__fp"))).where("rep <> b")
-        shared = shared.where(F.bit_count(F.col("x").bitwiseXOR(F.col("__x"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("__y"))) <= BESIDE)
-        edges = edges.unionByName(shared.select(F.col("rep").alias("a"), "b"))
-    parts = components(edges)
-    parts = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fps").alias("__fps"), F.coalesce("component", "rep").alias("component_id"))
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    classes = found.where(F.col("doc_id").isNotNull()).groupBy("fps").agg(first)
+    # ids of their own: one doc_id may have rows in several classes
+    classes = common.cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    parts = common.cut(components(links(classes, budget, total, subtree)))
+    members = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
+    least = classes.join(members, F.col("id") == F.col("node")).groupBy("component").agg(F.min("first").alias("least"))
+    heads = members.join(least, "component").select("node", "least")
+    parts = classes.join(heads, F.col("id") == F.col("node"), "left").select(F.col("fps").alias("__fps"), F.coalesce("least", "first").alias("k"))
     # written first: the join then splits a fingerprint that many rows share
-    out = found.join(common.cut(parts), F.col("fps") == F.col("__fps"), "left")
-    return out.select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, words: int = KEEP_WORDS, budget: int = KEEP_BUDGET, lanes: int = KEEP_LANES) -> DataFrame:
-    """The documents with the smallest doc_id of each component, with all columns; rows without doc_id stay."""
-    gone = classified(docs, words, budget, lanes).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__doc"), "left_anti")
+    out = found.join(common.cut(parts), F.col("fps") == F.col("__fps"), "left").withColumn("k", F.when(F.col("doc_id").isNotNull(), F.col("k")))
+    return out.select("doc_id", "row", "fps", F.col("k.doc_id").alias("component_id"), F.col("k.row").alias("keeper"))
+
+
+def keep_one(docs: DataFrame, words: int = KEEP_WORDS, budget: int = KEEP_BUDGET, lanes: int = KEEP_LANES, total: int = TOTAL) -> DataFrame:
+    """One row of each component, with all columns; rows without doc_id stay."""
+    doc, row = common.free_names(docs, "doc", "row")
+    sorted_out = classified(docs, words, budget, lanes, total).where(F.col("doc_id").isNotNull())
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("row") == F.col("keeper"))
+    keyed = common.cut(sorted_out.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"))
+    here = (docs["doc_id"] == F.col(f"`{doc}`")) & (row_id(docs["text"]) == F.col(f"`{row}`"))
+    out = docs.join(keyed.select(doc, row), here, "left_anti")
+    again = keyed.where("stays").select(doc, row)
+    if again.limit(1).count():  # a row that stays and is there several times: once
+        out = out.unionByName(docs.join(again, here, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline; each works on all documents that the one before has kept."""
+"""The stages of the corpus pipeline; each works on all documents that the one before has kept.
+
+Results in special cases: those of the operators.  Null and empty texts are documents and are scored, kept or packed as such;
+rows without doc_id are never near copies; of rows that repeat wholly, one stays after the near-copy stage; columns beyond
+doc_id and text, however named, are carried unchanged (n_chars follows the text); empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -46,12 +51,22 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again by the next."""
+    """All stages, each written to the shared folder and read again by the next; what a stage wrote goes once the next is through.
+
+    The last stage packs pieces that it has checkpointed, so its result doesn't need the folder any more.
+    """
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs.write.parquet(f"{folder}/{k}")
+                docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}"), True)
+    finally:
+        files.delete(path, True)
     return docs

@@ -13,7 +13,7 @@ def make_docs(spark):
         full = [(d, t, "en", s, None if t is None else len(t)) for d, t, s in [(*r, "s0")[:3] for r in rows]]
         df = spark.createDataFrame(full, DOCS)
         if extra:
-            for name in ("pos", "word", "h1", "slice", "fp", "key", "length", "component_id", "size", "shard", "n"):
+            for name in ("pos", "word", "h1", "slice", "fp", "key", "length", "component_id", "size", "shard", "n", "dropped", "__lines", "__doc", "__own", "row", "keeper"):
                 df = df.selectExpr("*", f"'x' AS {name}")
         return df.repartition(3)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
 import zlib
 
 import pytest
+import xxhash
 
 from cadenza.llm import common, decontaminate, line_dedup, shards, url_rules
 
@@ -85,6 +87,20 @@ def test_shards(spark, make_docs):
     for source in ("hot", "b", "c", None):
         share = sum(s == source for *_, s in rows) / 40
         assert all(abs(sum(r["shard"] == k and r["source"] == source for r in got) - share) <= 2 for k in range(40))
+    # ranks by the same hashes, worked out one row at a time
+    chained = lambda *values: functools.reduce(lambda seed, v: seed if v is None else xxhash.xxh64_intdigest(v, seed), values, 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    eight = lambda v: None if v is None else v.to_bytes(8, "little", signed=True)
+    seed = shards.SEED.to_bytes(4, "little")
+    crc = lambda t: zlib.crc32((t or "").encode())
+    line = []
+    for source in {s for *_, s in rows}:
+        mine = sorted((signed(chained(eight(d), eight(crc(t)), seed)), d is not None, d or 0, crc(t)) for d, t, s in rows if s == source)
+        tie = signed(chained(None if source is None else source.encode(), seed))
+        line += [((r + 0.5) / len(mine), tie, source is not None, source or "", d if there else None, c) for r, (_, there, d, c) in enumerate(mine)]
+    line = [x[4:] for x in sorted(line, key=lambda x: x[:4])]
+    assert [(r["doc_id"], r["text_crc32"]) for r in sorted(got, key=lambda r: r["position"])] == line
+    assert [r["shard"] for r in sorted(got, key=lambda r: r["position"])] == [next(k for k in range(39, -1, -1) if k * len(rows) // 40 <= p) for p in range(len(rows))]
     again = shards.shard(make_docs(rows).repartition(2)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert shards.shard(make_docs(rows).where("false")).collect() == [] and len(shards.shard(make_docs(rows[:3])).collect()) == 3
