@@ -106,5 +106,22 @@ def conversations(messages: DataFrame, by_line: bool = False) -> DataFrame:
     return placed.withColumn("position", F.col("__place") - F.col("__first")).drop("__place", "__first", "__conv")
 
 
+def as_mail(turns: DataFrame) -> DataFrame:
+    """Conversations as mail: three of four turns quote, by (conv_id + turn) mod 4, the turn before as a whole (1), without its last line (2), or with the one before it a level deeper (3).
+
+    The given turns hold hardly a quote; their own words stay as they are.
+    """
+    rows = turns.select("conv_id", "turn", "role", "text")
+    before = common.cut(rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text")))
+    back = lambda n: before.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
+    x = rows.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    quote = lambda c: F.regexp_replace(c, r"(?m)^", "> ")
+    lines = F.split("back1", "\n")
+    trimmed = F.when(F.size(lines) > 1, quote(F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    quoted = F.when(kind == 1, quote(F.col("back1"))).when(kind == 2, trimmed).when(kind == 3, F.concat_ws("\n", quote(quote(F.col("back2"))), quote(F.col("back1"))))
+    return x.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull() & (quoted != ""), F.concat(quoted, F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(common.table(spark, sf_dir, "conversations"), by_line=True)
+    return conversations(as_mail(common.table(spark, sf_dir, "conversations")), by_line=True)

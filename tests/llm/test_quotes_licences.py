@@ -96,7 +96,7 @@ def brute_scan(files):
         parts = (text or "").split("\n")
         is_file = path is not None and re.match(r"(?i)^(licen[cs]e|copying)(\.\w+)?$", path.split("/")[-1])
         best = []
-        for part in parts + ([text or ""] if is_file else []):
+        for part in parts + ([f"{a} {b}" for a, b in zip(parts, parts[1:])] + [text or ""] if is_file else []):
             v = vector(Counter(words(part)))
             for name, t in templates.items():
                 u = vector(t)
@@ -162,7 +162,25 @@ def test_ordinary_words_weigh_by_their_own_rarity(spark, n):
     assert [(r["template"], r["score"]) for r in got] == [("MIT", pytest.approx(score))] * 4
 
 
-def test_partial_quotes_find_their_message(spark, tmp_path):
+def test_broken_titles_identifiers_and_altered_copies(spark):
+    rng = random.Random(5)
+    altered = licences.MIT_GRANT.split()
+    for _ in range(6):
+        altered[rng.randrange(len(altered))] = "otherwise"
+    files = [
+        (0, "/a/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy", "GPL-3.0"),
+        (1, "/b/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+        (2, "/c/LICENSE.txt", "Apache License\nVersion 2.0, January 2004", "Apache-2.0"),
+        (3, "/d/f.py", "# SPDX-License-Identifier: LGPL-2.1\nimport os", "LGPL-2.1"),
+        (4, "/e/f.c", "// SPDX-License-Identifier: MIT", "MIT"),
+        (5, "/f/LICENSE", "\n".join(" ".join(altered[i : i + 9]) for i in range(0, len(altered), 9)), "MIT"),
+    ]
+    rest = [(100 + i, f"/z/f{i}", "the cats is of a copy this and under to in by general version", None) for i in range(200)]
+    got = {r["doc_id"]: r["own_licence"] for r in licences.scan(spark.createDataFrame([f[:3] for f in files + rest], "doc_id long, path string, text string")).collect()}
+    assert got == {d: name for d, _, _, name in files + rest}
+
+
+def test_partial_quotes_find_their_message(spark):
     mail = "Dear all,\nthe first point is money\nthe second point is time\nthe third point is rest\nBest, Ann"
     rows = [
         (1, 0, mail), (1, 1, "hello there\nsomething else"),
@@ -173,13 +191,34 @@ def test_partial_quotes_find_their_message(spark, tmp_path):
         (1, 6, "> nobody said this\n> nor this\nhm"), (1, 7, "> me too\n> hello there\n> something else\nok"),
         (2, 0, "> the first point is money\n> the second point is time\nanother conversation"), (2, 1, "> a later line\n> and one more\nno"), (2, 2, "a later line\nand one more\nand that"),
     ]
-    spark.createDataFrame([(c, n, "user", t) for c, n, t in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.op3_quotes(spark, str(tmp_path)).collect()}
+    messages = spark.createDataFrame([(c, n, "user", t) for c, n, t in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(messages, by_line=True).collect()}
     parents = {k: r["parent_turn"] for k, r in got.items()}
     assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 0, (1, 6): None, (1, 7): 1, (2, 0): None, (2, 1): None, (2, 2): None}
     assert [t for (c, t), _ in sorted(got.items(), key=lambda x: x[1]["position"]) if c == 1] == [0, 2, 3, 5, 1, 4, 7, 6]
 
 
+def test_the_query_links_the_replies_that_it_derives(spark, tmp_path):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["ann", "bob", "is", "it", "time", "money", "rest", "seven"]) + str(rng.randrange(99)) for _ in range(6))
+    rows = [(c, t, "user", "\n".join(line() for _ in range(rng.randint(1, 4)))) for c in range(30) for t in range(8)]
+    rows += [(3, 2, "user", rows[3 * 8 + 2][3]), (None, 1, "user", "x"), (40, None, "user", "y"), (41, 0, "user", None), (41, 1, "user", "after nothing")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS prev").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = quotes.op3_quotes(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    kind = lambda r: 0 if r["turn"] is None or r["conv_id"] is None or r["conv_id"] >= 40 or not r["turn"] else (r["conv_id"] + r["turn"]) % 4
+    own = {(c, t): x for c, t, _, x in rows}
+    for r in got:
+        k = kind(r)
+        previous = (own.get((r["conv_id"], (r["turn"] or 0) - 1)) or "").split("\n")
+        assert r["text"] == (own[r["conv_id"], r["turn"]] or "")
+        assert r["max_level"] == (0 if k == 0 or k == 2 and len(previous) < 2 else 2 if k == 3 and r["turn"] > 1 else 1)
+        if r["max_level"]:
+            assert r["parent_turn"] in (r["turn"] - 1, r["turn"] - 2) and (k == 3 or r["parent_turn"] == r["turn"] - 1)
+        else:
+            assert r["parent_turn"] is None
+
+
 def test_standard_texts_and_near_relatives(spark):
     lines = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies": "MIT",
