@@ -1,9 +1,11 @@
-"""Licence scans: TF-IDF cosine of every line (and of whole licence files) to templates, then inheritance by directory.
+"""Licence scans: TF-IDF cosine of every line (and of licence files as a whole) to templates, then inheritance by directory.
 
-Rarity is counted over all documents, for every word.  A line can reach the threshold only if it holds one of a template's heavier words: those that are left when the
-lightest, whose squared weights sum to less than threshold squared, are put aside.  Lines without such a word are
-dropped before anything is gathered; the rest are scored exactly.  A file keeps the licence found in it; others take that of
-the licence file in the nearest directory above, found once per directory by joins over the directories' ancestors.
+Rarity is counted over all documents, for every word.  A line can reach the threshold only if it holds one of the words left
+of a template when its most frequent ones are put aside as long as their squared weights sum to less than the threshold
+squared: a prefix of rare words.  Lines without such a word are dropped before anything is gathered; the rest are scored
+exactly.  Of a licence file, every two lines in a row (titles are often broken) and the whole text are scored as well.  A file
+keeps the licence found in it; others take that of the licence file in the nearest directory above, found once per directory
+by joins over the directories' ancestors.
 
 Results in special cases
 ------------------------
@@ -53,6 +55,13 @@ STANDARD = (
     ("Apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0"),
     *((f"{kind}-{v}", wording) for kind, name, versions in (("GPL", "general public license", ("2.0", "3.0")), ("LGPL", "lesser general public license", ("2.1", "3.0")), ("AGPL", "affero general public license", ("3.0",))) for v in versions for wording in (GNU.format(name, v.removesuffix(".0")), f"gnu {name} version {v.removesuffix('.0')}")),
+    ("Apache-2.0", "apache license version 2.0 january 2004"),
+    ("MPL-2.0", "mozilla public license version 2.0"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("LGPL-2.1", "gnu lesser general public license version 2.1 february 1999"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007"),
     *((f"CC-{k.upper()}-4.0", f"cc {k} 4.0") for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
 )
 THRESHOLD = 0.6
@@ -60,8 +69,9 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying)(\.\w+)?$"
 
 
 def wordings() -> list[tuple[str, str]]:
-    """Name and wording of all templates."""
-    return [*TEMPLATES.items(), *STANDARD]
+    """Name and wording of all templates; each name also as a source file's identifier line."""
+    named = [*TEMPLATES.items(), *STANDARD]
+    return [*named, *((name, f"spdx license identifier {name.lower()}") for name in sorted({n for n, _ in named}))]
 
 
 def template_words() -> list[tuple[int, str, int]]:
@@ -93,12 +103,12 @@ def weighted_templates(files: DataFrame, seen: DataFrame, threshold: float) -> t
 
     idf = {w: log((n_docs + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in ours}
     for k, (name, _) in enumerate(wordings()):
-        mine = sorted(((tf * idf[w], w) for t, w, tf in template_words() if t == k))
-        total, light = sum(v * v for v, _ in mine), 0.0
-        for v, w in mine:
+        mine = sorted((-counts.get(w, 0), w, tf * idf[w]) for t, w, tf in template_words() if t == k)
+        total, aside = sum(v * v for *_, v in mine), 0.0
+        for _, w, v in mine:  # the most frequent first
             rows.append((name, k, w, v / sqrt(total)))
-            light += v * v
-            if light >= (threshold - 1e-9) ** 2 * total:
+            aside += v * v
+            if aside >= (threshold - 1e-9) ** 2 * total:
                 needed.add(w)
     return files.sparkSession.createDataFrame(rows, "template string, wording int, word string, value double"), n_docs, sorted(needed)
 
@@ -109,10 +119,11 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors, n_docs, needed = weighted_templates(files, seen, threshold)
     ours = sorted({w for _, w, _ in template_words()})
     name = F.element_at(F.split("path", "/"), -1)
-    # a line of its own row; a licence file as a whole as well
+    # a row per line; of a licence file also its pairs of lines, and the whole
     parts = F.split("text", "\n")
     whole = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)) & (F.size(parts) > 1)
-    lines = files.where("text IS NOT NULL").select("doc_id", "path", "__row", F.posexplode(F.when(whole, F.concat(parts, F.array("text"))).otherwise(parts)).alias("at", "line"))
+    pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(parts, i + 1)))
+    lines = files.where("text IS NOT NULL").select("doc_id", "path", "__row", F.posexplode(F.when(whole, F.concat(parts, pairs, F.array("text"))).otherwise(parts)).alias("at", "line"))
     tokens = lines.select("doc_id", "path", "__row", "at", words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, needed))))
     each = tokens.select("doc_id", "path", "__row", "at", F.explode("w").alias("word")).groupBy("doc_id", "path", "__row", "at", "word").agg(F.count(F.lit(1)).alias("tf"))
     # both sides come through exchanges, so words of very many lines can be split
@@ -142,8 +153,9 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = dirs.select("dir", F.explode(above).alias("above")).join(common.cut(said), "above")
     near = near.groupBy("dir").agg(F.max_by(F.struct("licence", "above"), F.char_length("above")).alias("n"))
     near = common.cut(near.select(F.col("dir").alias("__dir"), F.col("n.licence").alias("inherited"), F.col("n.above").alias("from_dir")))
-    mine = common.cut(own.select(F.col("__row").alias("__its"), "template", "score").distinct())
-    out = base.join(mine, F.col("__row") == F.col("__its"), "left").join(near, F.col("dir") == F.col("__dir"), "left")
+    mine = common.cut(own.select(F.col("__row").alias("__its"), F.col("doc_id").alias("__doc"), F.col("path").alias("__at"), "template", "score").distinct())
+    same = (F.col("__row") == F.col("__its")) & F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("path").eqNullSafe(F.col("__at"))
+    out = base.join(mine, same, "left").join(near, F.col("dir") == F.col("__dir"), "left")
     has = F.col("template").isNotNull()
     return out.select(
         "doc_id", "path", F.col("template").alias("own_licence"), F.col("score").alias("own_score"),
