@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 The forest is fitted on the driver to at most `SAMPLE` vectors (the first in the order of a hash of vec_id); each node
-splits its sample at the median of a random projection.  Every vector is then sent down every tree.  A query walks all
-trees through one shared priority queue, nearest side first: crossing a plane costs the square of the
-margin.  It opens leaves in that order until they hold `VISIT` times the table's rows (a row counts once per tree).  Opened
-leaves meet their queries in blocks of bounded size: a leaf that many vectors or queries share is cut into
-chunks by a hash, so no group grows with a copy group.  Each block ranks its vectors exactly, in double precision, and
-only its best few go on.
-
-Independent random vectors have no structure to prune by, so most of the table has to be opened for a high recall;
-`VISIT` is set for a recall of 0.95 there, and can be far lower for clustered vectors.
+splits its sample at the median of a random projection; the projections of a tree's levels are at right angles.  Every vector
+is then sent down every tree.  A query walks all trees through one shared priority queue, nearest side first: crossing a plane
+costs the square of the margin, and the sum over a path is at most the squared distance of what lies there.  A side that costs
+more than the squared distance of the query's k-th nearest in the sample can hold no nearer vector and is never queued; the
+other leaves are opened in the order of cost until they hold `VISIT` times the table's rows (a row counts once per tree).  A
+candidate is a vector in an opened leaf of any tree whose leaves of all trees are near enough by that bound.  So clustered vectors need a few leaves only; independent random vectors have no structure to prune by, and `VISIT` is
+set for a recall over 0.95 there.
+
+A vector moves once: to its leaf of the first tree.  A query goes, with the leaves it has opened of all trees, to those leaves of
+the first tree that hold any of its candidates; which do, is known from the counts of leaf pairs.  There each candidate is
+scored once, exactly, in double precision, and only the best few go on.  Leaves that many vectors or queries share are cut into
+chunks by a hash, so no group grows with a copy group.
 
 Results in special cases
 ------------------------
@@ -34,8 +37,9 @@ from pyspark.sql import Window as W
 from . import common
 
 NEAREST, EVERY = 5, 50
-TREES, LEAF, MAX_DEPTH, SAMPLE, SEED = 4, 500, 12, 20_000, 5
-VISIT = 1.3
+#: Rows of a leaf, least and most levels (2 ** MAX_DEPTH leaves of a tree bound the tables of leaf pairs, which the driver holds).
+TREES, LEAF, MIN_DEPTH, MAX_DEPTH, SAMPLE, SEED = 4, 100, 3, 9, 20_000, 5
+VISIT = 1.5
 #: Vectors and queries of one block.
 VECTORS, QUERIES = 4096, 4096
 #: Pairs scored at a time.
@@ -67,12 +71,15 @@ class Forest:
 
     @classmethod
     def fit(cls, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF) -> Forest:
-        depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, rows) / leaf)))))
+        depth = int(min(MAX_DEPTH, sample.shape[1], max(MIN_DEPTH, np.ceil(np.log2(max(1, rows) / leaf)))))
         rng = np.random.default_rng(SEED)
         x = unit(sample)
         nodes = 2**depth - 1
-        normal, cut = rng.normal(size=(trees, max(1, nodes), x.shape[1])), np.zeros((trees, max(1, nodes)))
-        normal /= np.linalg.norm(normal, axis=2, keepdims=True)
+        # a level's nodes share a direction, and a tree's directions are at right angles: what crossing planes costs adds up
+        level = np.floor(np.log2(np.arange(1, nodes + 1))).astype(int)
+        normal, cut = np.zeros((trees, max(1, nodes), x.shape[1])), np.zeros((trees, max(1, nodes)))
+        for t in range(trees):
+            normal[t, :nodes] = np.linalg.qr(rng.normal(size=(x.shape[1], depth)))[0].T[level]
         for t in range(trees):
             held = {0: np.arange(len(x))}
             for k in range(nodes):
@@ -94,34 +101,60 @@ class Forest:
             out[:, t] = at - (2**self.depth - 1)
         return out
 
-    def search(self, x: np.ndarray, sizes: np.ndarray, budget: float) -> list[tuple[int, int]]:
-        """The (tree, leaf) pairs opened for one unit vector, in the order of cost."""
-        nodes, out, seen = 2**self.depth - 1, [], 0
-        margin = self.normal @ x - self.cut
+    def search(self, x: np.ndarray, sizes: np.ndarray, budget: float, limit: float = np.inf) -> np.ndarray:
+        """tree x leaf: those opened for one unit vector; `limit`: the squared distance beyond which nothing is looked for."""
+        nodes, seen = 2**self.depth - 1, 0
+        out = np.zeros(sizes.shape, bool)
+        margin = (self.normal @ x - self.cut).tolist()
+        held = sizes.tolist()
         queue = [(0.0, t, 0) for t in range(len(self.normal))]
         while queue and seen < budget:
             cost, t, k = heapq.heappop(queue)
             while k < nodes:
-                m = margin[t, k]
+                m = margin[t][k]
                 near = 2 * k + 1 + (m > 0)
-                heapq.heappush(queue, (cost + m * m, t, 4 * k + 3 - near))
+                if cost + m * m <= limit:
+                    heapq.heappush(queue, (cost + m * m, t, 4 * k + 3 - near))
                 k = near
-            size = sizes[t, k - nodes]
-            if size:
-                out.append((t, k - nodes))
-                seen += size
+            if held[t][k - nodes]:
+                out[t, k - nodes] = True
+                seen += held[t][k - nodes]
         return out
 
 
+    def within(self, x: np.ndarray, limit: float) -> np.ndarray:
+        """tree x leaf: those that may hold a vector no further than `limit` (squared) from the unit vector x."""
+        margin = self.normal @ x - self.cut
+        cost = np.zeros((len(margin), 1))
+        for level in range(self.depth):
+            m = margin[:, 2**level - 1 : 2 ** (level + 1) - 1]
+            cost = np.stack([cost + np.where(m > 0, m * m, 0), cost + np.where(m > 0, 0, m * m)], axis=2).reshape(len(m), -1)
+        return cost <= limit
+
+
+def limits(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """The squared distance of each unit vector's k-th nearest in the sample, itself left out: no smaller than in the table."""
+    out = np.full(len(x), np.inf)
+    for at in range(0, len(x), 256):
+        near = x[at : at + 256] @ sample.T
+        near[ids[at : at + 256, None] == sample_ids] = -np.inf
+        if near.shape[1] >= k:
+            out[at : at + 256] = 2 - 2 * np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] + 1e-9
+    return out
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of a block for each query.  Copies of a vector are scored once; its k + 1 smallest ids stand for it."""
+def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of a block for each query.  Copies of a vector are scored once; its k + 1 smallest ids stand for it.
+
+    allowed: gives, for places in v, the (query x place) candidates; all of them otherwise.
+    """
     order = np.argsort(v_id, kind="stable")
-    u, which = np.unique(v[order], axis=0, return_inverse=True)
+    u, at_first, which = np.unique(v[order], axis=0, return_index=True, return_inverse=True)
     v_id = v_id[order]
     by = np.argsort(which, kind="stable")
     start = np.searchsorted(which[by], np.arange(len(u)))
@@ -133,9 +166,11 @@ def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: in
     there[which[by][keep], place[keep]] = True
     u_norm, q_norm = np.sqrt((u * u).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     rough = (q @ u.T) / u_norm
+    if allowed is not None:  # copies lie in the same leaves
+        rough[~allowed(order[at_first])] = -np.inf
     # all that reach the (k + 1)-th best, less what the rough product may be off by: ties go on whole, however many
     n = min(k + 1, len(u))
-    floor = np.partition(rough, len(u) - n, axis=1)[:, len(u) - n] - 1e-9 * q_norm
+    floor = np.maximum(np.partition(rough, len(u) - n, axis=1)[:, len(u) - n], -2 * q_norm) - 1e-9 * q_norm
     high = rough >= floor[:, None]
     ends = np.cumsum(high.sum(axis=1))
     out, at = [], 0
@@ -158,9 +193,11 @@ def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: in
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEAREST, visit: float = VISIT, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each query (vec_id, v), all vectors (vec_id, v) but its own id."""
+    """query_id, rank, vec_id, score: the k nearest found for each query (vec_id, v), all vectors (vec_id, v) but its own id.
+
+    Both sides are read several times and should be written before.
+    """
     spark = vectors.sparkSession
-    vectors = common.cut(vectors)
     queries = vectors if queries is None else queries
     n = vectors.count()
     # at most SAMPLE vectors come to the driver
@@ -169,68 +206,68 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = Forest.fit(matrix(sample.column("v")), n, trees, leaf)
     leaves = 2**forest.depth
+    budget = max(visit * n, trees * (k + 1))  # so few rows are all found
+    known, known_ids = unit(matrix(sample.column("v"))), sample.column("vec_id").to_numpy()
+    kind = vectors.schema["v"].dataType.simpleString()
 
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector with its leaf of each tree."""
         for b in batches:
             at = forest.leaves(unit(matrix(b.column("v")))) if b.num_rows else np.zeros((0, trees), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at + np.arange(trees) * leaves).ravel())], names=["leaf"])
-
-    sizes = np.zeros(trees * leaves, np.int64)  # a number per leaf, whatever the rows
-    for r in vectors.select("v").mapInArrow(spots, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
-        sizes[r["leaf"]] = r["n"]
-    held = sizes.reshape(trees, leaves)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * trees, pa.int32()), pa.array(at.astype(np.int16).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), lists], names=["vec_id", "v", "at"])
+
+    placed = vectors.select("vec_id", "v").mapInArrow(coded, f"vec_id long, v {kind}, at array<short>")
+    # leaf pairs of the first and every tree: 4 ** MAX_DEPTH of a tree at most, whatever the rows
+    pairs = placed.select(F.get("at", F.lit(0)).alias("first"), F.posexplode("at").alias("tree", "leaf")).groupBy("first", "tree", "leaf").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    first, tree, at_leaf, counts = (pairs.column(c).to_numpy().astype(np.int64) for c in ("first", "tree", "leaf", "n"))
+    held = np.zeros((trees, leaves), np.int64)
+    np.add.at(held, (tree, at_leaf), counts)
+    shared = np.zeros((trees, leaves, leaves), bool)
+    shared[tree, at_leaf, first] = True
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with its opened leaves, as bits, and the leaves of the first tree where its candidates lie."""
         for b in batches:
-            ids, who, where = b.column("vec_id").to_numpy(), [], []
-            for i, x in enumerate(unit(matrix(b.column("v"))) if b.num_rows else ()):
-                for t, at in forest.search(x, held, visit * n):
-                    who.append(ids[i])
-                    where.append(t * leaves + at)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(where, pa.int64())], names=["query_id", "leaf"])
-
-    probes = common.cut(queries.select("vec_id", "v").mapInArrow(opened, "query_id long, leaf long"))
-    asked = np.zeros(trees * leaves, np.int64)
-    for r in probes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+            ids, bits, where = b.column("vec_id").to_numpy(), [], []
+            x = unit(matrix(b.column("v"))) if b.num_rows else ()
+            for q, limit in zip(x, limits(x, ids, known, known_ids, k) if b.num_rows else ()):
+                on, near = forest.search(q, held, budget, limit), forest.within(q, limit)
+                bits.append(np.packbits(np.stack([on, near])).tobytes())
+                where.append(np.flatnonzero(shared[on].any(axis=0) & np.all([shared[t, near[t]].any(axis=0) for t in range(trees)], axis=0)))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(bits, pa.binary()), pa.array(where, pa.list_(pa.int64()))], names=["query_id", "v", "bits", "leaves"])
+
+    probes = common.cut(queries.select("vec_id", "v").mapInArrow(opened, f"query_id long, v {kind}, bits binary, leaves array<long>"))
+    asked = np.zeros(leaves, np.int64)
+    for r in probes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # a number per leaf
         asked[r["leaf"]] = r["n"]
-    parts, turns = -(-sizes // VECTORS), -(-asked // QUERIES)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector to its leaf of each tree, to its chunk of that leaf, once for each chunk of the leaf's queries."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column("vec_id").to_numpy()
-            at = (forest.leaves(unit(matrix(b.column("v")))) + np.arange(trees) * leaves).ravel()
-            row = np.repeat(np.arange(len(ids)), trees)
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            chunk = mixed[row].astype(np.int64) % np.maximum(parts[at], 1)
-            row, at, chunk, turn = (np.repeat(x, turns[at]) for x in (row, at, chunk, np.zeros(len(at), np.int64)))
-            if len(at):
-                new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
-                first = np.flatnonzero(new)
-                turn = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(chunk), pa.array(turn), b.column("vec_id").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["leaf", "chunk", "turn", "vec_id", "v"])
-
-    kind = vectors.schema["v"].dataType.simpleString()
-    key = ["leaf", "chunk", "turn"]
-    sides = vectors.select("vec_id", "v").mapInArrow(placed, f"leaf long, chunk long, turn long, vec_id long, v {kind}")
+    parts, turns = -(-held[0] // VECTORS), -(-asked // QUERIES)
     # bounded arrays: a number per leaf
-    split = spark.createDataFrame([(int(i), int(parts[i]), int(turns[i])) for i in np.flatnonzero(asked)], "leaf long, parts long, turns long")
-    split = split.withColumnRenamed("leaf", "__leaf")
-    asks = probes.join(F.broadcast(split), F.col("leaf") == F.col("__leaf"))
-    asks = asks.withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    asks = asks.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id").select(*key, "query_id", "v")
+    split = F.broadcast(spark.createDataFrame([(i, int(parts[i]), int(turns[i])) for i in np.flatnonzero(asked).tolist()], "leaf long, parts long, turns long"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
+    key = ["leaf", "chunk", "turn"]
+    sides = placed.withColumn("leaf", F.get("at", F.lit(0)).cast("long")).join(split, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "parts")).select("leaf", "chunk", upto(F.col("turns")).alias("turn"), "vec_id", "v", "at")
+    asks = probes.select("query_id", "v", "bits", F.explode("leaves").alias("leaf")).join(split, "leaf").withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns")).select("leaf", upto(F.col("parts")).alias("chunk"), "turn", "query_id", "v", "bits")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         else:
-            found = best(right.column("query_id").to_numpy(), matrix(right.column("v")), left.column("vec_id").to_numpy(), matrix(left.column("v")), k)
+            raw = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            on, near = np.unpackbits(raw, axis=1, count=2 * trees * leaves).reshape(-1, 2, trees, leaves).astype(bool).swapaxes(0, 1)
+            at = left.column("at").combine_chunks().flatten().to_numpy().reshape(left.num_rows, trees)
+
+            def allowed(places: np.ndarray) -> np.ndarray:
+                some, every = np.zeros((len(on), len(places)), bool), np.ones((len(on), len(places)), bool)
+                for t in range(trees):
+                    some |= on[:, t, at[places, t]]
+                    every &= near[:, t, at[places, t]]
+                return some & every
+
+            found = best(right.column("query_id").to_numpy(), matrix(right.column("v")), left.column("vec_id").to_numpy(), matrix(left.column("v")), k, allowed)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = sides.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

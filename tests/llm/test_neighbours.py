@@ -32,6 +32,37 @@ def test_recall_on_unstructured_vectors(spark):
         assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
 
 
+def found_share(got, rows, every=50, k=5):
+    want = {(q, i) for q, b in brute(rows, every, k).items() for _, i in b}
+    assert len({(r["query_id"], r["rank"]) for r in got}) == len(got) == len(want)
+    return sum((r["query_id"], r["vec_id"]) in want for r in got) / len(want)
+
+
+def test_recall_of_the_registered_query_on_its_table(spark):
+    """At every size as registered; the small tables have no more than a leaf or two a level."""
+    for sf in ("sf0.01", "sf0.1"):
+        rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()}
+        assert found_share(neighbours.op2_neighbours(spark, f"/root/testdata/{sf}").collect(), rows) >= 0.9
+
+
+def test_clustered_vectors_take_a_small_part_of_an_exact_scan(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(40, 64))[rng.integers(0, 40, 8000)] + 0.15 * rng.normal(size=(8000, 64))).astype(np.float32)
+    rows = dict(enumerate(x.tolist()))
+    v = neighbours.usable(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>"))
+    assert found_share(neighbours.nearest(v, v.where("vec_id % 50 = 0")).collect(), rows) >= 0.97
+    u = neighbours.unit(x.astype(np.float64))
+    forest = neighbours.Forest.fit(u, len(u))
+    at = forest.leaves(u)
+    held = np.stack([np.bincount(at[:, t], minlength=2**forest.depth) for t in range(at.shape[1])])
+    ids = np.arange(len(u))
+    scored = []
+    for i, limit in zip(range(0, 8000, 50), neighbours.limits(u[::50], ids[::50], u, ids, 5)):
+        on, near = forest.search(u[i], held, neighbours.VISIT * len(u), limit), forest.within(u[i], limit)
+        scored.append(np.mean(np.any([on[t, at[:, t]] for t in range(at.shape[1])], axis=0) & np.all([near[t, at[:, t]] for t in range(at.shape[1])], axis=0)))
+    assert np.mean(scored) < 0.3, np.mean(scored)
+
+
 def test_copies_ties_and_unusable_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "VECTORS", 50)
     monkeypatch.setattr(neighbours, "QUERIES", 3)
