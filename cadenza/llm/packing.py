@@ -3,8 +3,9 @@
 The driver sees nothing but the histogram of piece lengths (one count per length, `max_tokens` at most).  Lengths
 are rounded up to a grid; all patterns of up to `parts` grid lengths that fill a sequence are enumerated; repeat
 counts are fitted to the histogram by non-negative least squares and rounded down; patterns take actual pieces, largest of
-each grid cell first; what is left over, and the gaps that rounding leaves inside patterns, are packed by best fit
-decreasing, on the histogram as well.  The plan says, for each length, which stretch of its pieces goes to which
+each grid cell first, and the last part is the largest length that the room left admits; what is left over, and the gaps inside
+patterns, are packed by best fit decreasing, on the histogram as well.  Rounding may take only a share of each repeat count; of the
+`SHARES` tried the fewest sequences win, so a plan is never worse than best fit decreasing.  The plan says, for each length, which stretch of its pieces goes to which
 sequences and offset; pieces are numbered within their length by a range-partitioned sort and joined to that plan.
 
 Results in special cases
@@ -18,11 +19,14 @@ Results in special cases
 
 from __future__ import annotations
 
+import json
+import logging
 import os
 import re
 import zlib
 from array import array
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations_with_replacement
@@ -40,6 +44,10 @@ MAX_TOKENS, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words of a generation whose ids a worker remembers; two generations are held.
 CACHE_WORDS = 200_000
 GRID, PARTS = 16, 3
+#: Shares of the fitted repeat counts that are tried; with none of them, all is best fit.
+SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
+#: What a tokenizer has to do for its ids to be those of its words in a row.
+BY_WORD = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>")
 
 
 def tokenizer_file(name: str = VOCABULARY) -> str:
@@ -57,6 +65,7 @@ class WordIds:
     lower-cased first, as the tokenizer does, and marks after a letter, where it parts words itself, are set apart.
     Four control characters that str.split() also splits at are left to the tokenizer.  New words of Latin-1 letters alone are
     encoded as one text, which is parted again after the tokens that end a word: each such word has exactly one.
+    All this holds for a tokenizer that normalises and splits as `BY_WORD` says; any other encodes whole texts.
     """
 
     #: Latin-1 letters in lower case; ASCII marks but the apostrophe, which may begin a piece with letters.
@@ -69,6 +78,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(file), {}, {}
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = (steps, splits[:1], rules["model"].get("end_of_word_suffix")) == (BY_WORD[0], [BY_WORD[1]], BY_WORD[2])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -111,7 +124,7 @@ class WordIds:
                 known[w] = array("I", got.ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > CACHE_WORDS:
             self.known, self.old = {}, self.known
@@ -165,7 +178,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
         free = np.where(on, -np.inf, grad)
         j = int(free.argmax())
         if free[j] <= 1e-7 * max(1.0, float(np.abs(b).max())):
-            break
+            return x
         on[j] = True
         while True:
             cols = np.flatnonzero(on)
@@ -184,76 +197,96 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
             if not on.any():
                 break
         grad = a.T @ (b - a @ x)
+    logging.getLogger(__name__).warning("non-negative least squares hasn't settled in %d rounds; the rest is packed by best fit", rounds)
     return x
 
 
 def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS, grid: int = GRID, parts: int = PARTS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, sequences like that): covers the histogram exactly."""
-    left = dict(histogram)
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left.get(max_tokens):
-        out.append(((max_tokens,), left.pop(max_tokens)))
     grid = 1 if max_tokens % grid else grid
-    cells = max_tokens // grid
-    cell = lambda n: -(-n // grid)
+    fitted = fit({n: k for n, k in histogram.items() if n < max_tokens}, max_tokens // grid, grid, parts)
+    plans = (filled(histogram, fitted, share, max_tokens, grid) for share in SHARES)
+    return min(plans, key=lambda p: sum(k for _, k in p))
+
+
+def fit(histogram: dict[int, int], cells: int, grid: int, parts: int) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns of grid cells that fill a sequence, and how often each should be taken; the most frequent come first."""
     held = np.zeros(cells + 1)
-    stacks: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left):
-        held[cell(n)] += left[n]
-        stacks[cell(n)].append(n)  # the largest lies on top
+    for n, k in histogram.items():
+        held[-(-n // grid)] += k
     used = [c for c in range(1, cells + 1) if held[c]]
-    patterns = [p for k in range(1, parts) for p in combinations_with_replacement(used, k) if sum(p) == cells]
     there = set(used)
+    patterns = [p for k in range(1, parts) for p in combinations_with_replacement(used, k) if sum(p) == cells]
     patterns += [(*p, cells - sum(p)) for p in combinations_with_replacement(used, parts - 1) if cells - sum(p) in there and cells - sum(p) >= p[-1]]
+    if not patterns:
+        return []
+    a = np.zeros((cells + 1, len(patterns)))
+    for j, p in enumerate(patterns):
+        for c in p:
+            a[c, j] += 1
+    x = nnls(a, held)
+    return [(patterns[j][::-1], float(x[j])) for j in np.argsort(-x, kind="stable") if x[j] >= 1]
+
+
+def filled(histogram: dict[int, int], fitted: list[tuple[tuple[int, ...], float]], share: float, max_tokens: int, grid: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that takes a share of the fitted repeats of each pattern with actual lengths, and best fit for the rest."""
+    left = {n: k for n, k in histogram.items() if k}
+    out: list[tuple[tuple[int, ...], int]] = []
+    if left.get(max_tokens):
+        out.append(((max_tokens,), left.pop(max_tokens)))
+    lengths = sorted(left)
+
+    def largest(room: int, low: int, taken: Counter) -> int | None:
+        """The largest length in (low, room] of which a piece is left."""
+        at = bisect_right(lengths, room) - 1
+        while at >= 0 and lengths[at] > low:
+            if left[lengths[at]] > taken[lengths[at]]:
+                return lengths[at]
+            at -= 1
+        return None
+
     opened: dict[int, list[list]] = defaultdict(list)  # free tokens -> [lengths, count]
-    if patterns:
-        a = np.zeros((cells + 1, len(patterns)))
-        for j, p in enumerate(patterns):
-            for c in p:
-                a[c, j] += 1
-        x = nnls(a, held)
-        for j in np.argsort(-x, kind="stable"):
-            repeats = int(x[j])
-            p = patterns[j]
-            while repeats:
-                tops = [stacks[c][-1] for c in p if stacks[c]]
-                if len(tops) < len(p):
+    for pattern, times in fitted:
+        repeats = int(times * share)
+        while repeats:
+            taken: Counter = Counter()
+            room = max_tokens
+            for c in pattern[:-1]:
+                n = largest(min(room, c * grid), (c - 1) * grid, taken)
+                if n is None:
                     break
-                need = defaultdict(int)
-                for n in tops:
-                    need[n] += 1
-                n_seq = min(repeats, *(left[n] // k for n, k in need.items()))
-                if not n_seq:  # two parts of one cell, and a single piece of its top length
-                    n = next(n for n, k in need.items() if left[n] < k)
-                    below = stacks[cell(n)][-2:-1]
-                    if not below:
-                        break
-                    tops[tops.index(n)] = below[0]
-                    n_seq = 1
-                for n in tops:
-                    left[n] -= n_seq
-                for c in set(p):
-                    stacks[c] = [n for n in stacks[c] if left[n]]
-                opened[max_tokens - sum(tops)].append([tuple(tops), n_seq])
-                repeats -= n_seq
-    for n in sorted((n for n in left if left[n]), reverse=True):
+                taken[n] += 1
+                room -= n
+            else:
+                n = largest(room, 0, taken)
+            if n is None:
+                break
+            taken[n] += 1
+            n_seq = min(repeats, *(left[m] // k for m, k in taken.items()))
+            for m, k in taken.items():
+                left[m] -= n_seq * k
+                if not left[m]:
+                    lengths.remove(m)
+            opened[room - n].append([tuple(taken.elements()), n_seq])
+            repeats -= n_seq
+    for n in reversed(lengths):
         count = left[n]
         while count:
             room = min((r for r in opened if r >= n and opened[r]), default=None)
             if room is None:
                 each = max_tokens // n
-                for lengths, k in (((n,) * each, count // each), ((n,) * (count % each), 1)):
-                    if lengths and k:
-                        opened[max_tokens - sum(lengths)].append([lengths, k])
+                for these, k in (((n,) * each, count // each), ((n,) * (count % each), 1)):
+                    if these and k:
+                        opened[max_tokens - sum(these)].append([these, k])
                 break
-            lengths, have = opened[room][-1]
+            these, have = opened[room][-1]
             take = min(have, count)
             opened[room][-1][1] -= take
             if have == take:
                 opened[room].pop()
-            opened[room - n].append([(*lengths, n), take])
+            opened[room - n].append([(*these, n), take])
             count -= take
-    return out + [(tuple(lengths), k) for r in sorted(opened) for lengths, k in opened[r]]
+    return out + [(tuple(these), k) for r in sorted(opened) for these, k in opened[r]]
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
