@@ -7,8 +7,9 @@ begin; length and positional bounds drop what would stick out of the text, and t
 exactly.  Generating words, joining, bounding and comparing are one fused stage over each document's own row;
 texts are never shuffled.
 
-Windows are broadcast in blocks of `BLOCK` rows, each joined against all documents, so a benchmark of any size is
-handled with bounded memory.
+Texts are read twice, once to count and once to join, whatever the number of windows.  Windows are broadcast if their
+size, which is summed first, is at most `BROADCAST_BYTES`.  Larger sets are joined by shuffling: a bit table of the wanted words, of
+fixed size, drops nearly all others before they leave their task, and a word takes along the few words around it only.
 
 Results in special cases
 ------------------------
@@ -23,6 +24,8 @@ Results in special cases
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,8 +33,8 @@ from pyspark.sql import Window as W
 from . import common
 
 SIZE = 10
-#: Windows joined at a time; a row is the window's words and three numbers.
-BLOCK = 50_000
+#: Bytes of all windows that may be broadcast, and places of the table of wanted words otherwise (a byte each).
+BROADCAST_BYTES, SLOTS = 64 << 20, 1 << 22
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,40 +54,62 @@ def row_id(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("row"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, __row, begin (word position), length, window (number), exactly where windows stand; and the windows."""
+def wanted(words: DataFrame) -> Callable[[Column], Column]:
+    """A test for words (word): holds for all of them, and for few others."""
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
+    table = bytearray(SLOTS)
+    for r in words.select(slot(F.col("word")).alias("slot")).distinct().toLocalIterator():  # SLOTS rows at most
+        table[r["slot"]] = 1
+    bits = bytes(table)
+    return lambda w: F.substring(F.lit(bits), slot(w) + 1, 1) == F.lit(b"\x01")
+
+
+def occurrences(docs: DataFrame, items: DataFrame, size: int = SIZE, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, __row, begin (word position), length, window (number), n_words, exactly where windows stand; and the windows.
+
+    every: also a row without window for each document.
+    """
     owned = common.cut(windows_of(items, size))
     windows = owned.select("words").distinct()
     windows = common.cut(windows.withColumn("window", F.monotonically_increasing_id()))
+    bulk = F.aggregate("words", F.lit(64).cast("long"), lambda n, w: n + F.octet_length(w) + 16)
+    small = (windows.agg(F.sum(bulk)).first()[0] or 0) <= BROADCAST_BYTES
+    texts = docs.select("doc_id", row_id(F.col("text")).alias("__row"), words_of(F.col("text")).alias("w"))
     # rarity over all documents, of the words that occur in windows
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    small = windows.count()
-    hint = F.broadcast if small <= BLOCK else (lambda x: x)
-    texts = docs.select("doc_id", row_id(F.col("text")).alias("__row"), words_of(F.col("text")).alias("w"))
-    seen = texts.select(F.explode("w").alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    said = texts.select(F.explode("w").alias("word"))
+    said = said.join(F.broadcast(vocabulary), "word", "left_semi") if small else said.where(wanted(vocabulary)(F.col("word"))).join(vocabulary, "word", "left_semi")
+    seen = said.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rank = W.partitionBy("window").orderBy("n", "word", "place")
     placed = windows.select("window", "words", F.posexplode("words").alias("place", "word")).join(seen, "word")
     # windows with a word that no document has are gone by the inner join if it is their rarest; the rest need all their words
     whole = placed.withColumn("found", F.count(F.lit(1)).over(W.partitionBy("window"))).where(F.col("found") == F.size("words"))
-    prefix = whole.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("window", "words", "place", "word", F.size("words").alias("length"))
-    prefix = common.cut(prefix.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(max(1, -(-small // BLOCK)))).cast("int")))
-    found = None
-    for block in range(max(1, -(-small // BLOCK))):
-        here = prefix.where(F.col("block") == block).select("window", "words", "place", "word", "length")
-        at = texts.select("doc_id", "__row", "w", F.posexplode("w").alias("at", "word"))
-        joined = at.join(F.broadcast(here), "word")
-        begin = F.col("at") - F.col("place")
-        fits = (begin >= 0) & (begin + F.col("length") <= F.size("w"))
-        exact = joined.where(fits).where(F.slice("w", begin + 1, F.col("length")) == F.col("words"))
-        rows = exact.select("doc_id", "__row", begin.alias("begin"), "length", "window")
-        found = rows if found is None else found.unionByName(rows)
-    return found, windows.join(owned, "words").select("window", "item_id")
-
-
-def judged(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    prefix = whole.withColumn("rank", F.row_number().over(rank)).where("rank = 1").select("window", "words", "place", F.col("word").alias("rarest"), F.size("words").alias("length"))
+    prefix = common.cut(prefix)
+    n_words = F.size("w").alias("n_words")
+    # a document's last row is for itself: no word, so nothing is joined to it
+    all_words = F.concat("w", F.array(F.lit(None).cast("string"))) if every else F.col("w")
+    at = texts.select("doc_id", "__row", "w", n_words, F.posexplode(all_words).alias("at", "word"))
+    if small:
+        joined = at.join(F.broadcast(prefix), F.col("word") == F.col("rarest"), "left" if every else "inner").withColumns({"around": F.col("w"), "left": F.col("at")})
+    else:
+        keep = wanted(prefix.select(F.col("rarest").alias("word")))(F.col("word"))
+        at = at.where(F.col("word").isNull() | keep if every else keep)
+        left = F.least("at", F.lit(size - 1))
+        at = at.select("doc_id", "__row", "n_words", "at", "word", left.alias("left"), F.slice("w", F.col("at") - left + 1, 2 * size - 1).alias("around"))
+        joined = at.join(prefix, F.col("word") == F.col("rarest"), "left" if every else "inner")
+    begin = F.col("at") - F.col("place")
+    fits = (begin >= 0) & (begin + F.col("length") <= F.col("n_words"))
+    # where a window would begin before its words do, `fits` has already said no
+    exact = fits & (F.slice("around", F.greatest(F.col("left") - F.col("place"), F.lit(0)) + 1, F.col("length")) == F.col("words"))
+    exact = F.coalesce(exact, F.lit(False))
+    rows = joined.where(exact | F.col("word").isNull() if every else exact)
+    return rows.select("doc_id", "__row", begin.alias("begin"), "length", "window", "n_words"), windows.join(owned, "words").select("window", "item_id")
+
+
+def judged(found: DataFrame, owners: DataFrame) -> DataFrame:
     """A row per hit document: doc_id, __row, n_hit, item_ids (sorted as strings)."""
-    found, owners = occurrences(docs, items, size)
-    found = common.cut(found.distinct())
+    found = found.select("doc_id", "__row", "begin", "length", "window").distinct()
     key = ["doc_id", "__row"]
     # the words covered: each stretch adds what lies beyond all stretches that begin before it
     stretch = found.groupBy(*key, "begin").agg(F.max("length").alias("length"))
@@ -103,8 +128,10 @@ def judged(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
 
 def report(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, item_ids, contaminated."""
-    hit = judged(docs, items, size).withColumnsRenamed({"doc_id": "__doc", "__row": "__its"})
-    base = docs.select("doc_id", row_id(F.col("text")).alias("__row"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    found, owners = occurrences(docs, items, size, every=True)
+    found = common.cut(found)
+    hit = judged(found.where("window IS NOT NULL"), owners).withColumnsRenamed({"doc_id": "__doc", "__row": "__its"})
+    base = found.where("window IS NULL").select("doc_id", "__row", F.col("n_words").cast("long").alias("n_words"))
     out = base.join(hit, base["doc_id"].eqNullSafe(hit["__doc"]) & (base["__row"] == hit["__its"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
@@ -112,9 +139,10 @@ def report(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns."""
-    found, _ = occurrences(docs, items, size)
-    hit = found.select(F.col("doc_id").alias("__doc"), F.col("__row").alias("__its")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__doc"]) & (row_id(docs["text"]) == hit["__its"]), "left_anti")
+    doc, its = common.free_names(docs, "doc", "its")
+    found, _ = occurrences(common.plain_columns(docs, ["doc_id", "text"]), items, size)
+    hit = common.cut(found.select(F.col("doc_id").alias(doc), F.col("__row").alias(its)).distinct())
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[doc]) & (row_id(docs["text"]) == hit[its]), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,9 +106,10 @@ def test_shards(spark, make_docs):
     assert shards.shard(make_docs(rows).where("false")).collect() == [] and len(shards.shard(make_docs(rows[:3])).collect()) == 3
 
 
-@pytest.mark.parametrize("block", [50_000, 7])
-def test_decontamination(spark, make_docs, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK", block)
+@pytest.mark.parametrize("limit, slots", [(64 << 20, 8), (100, 1 << 12), (100, 3)])
+def test_decontamination(spark, make_docs, monkeypatch, limit, slots):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontaminate, "SLOTS", slots)
     rng = random.Random(5)
     word = lambda: rng.choice(["the", "of", "a", "b", "cats", "é9", "x1", "dogs", "and"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((30, 12, 10, 9, 4, 14))] + [(6, "the of"), (7, None), (8, "..."), (9, ""), (10, "the OF!"), (None, "cats dogs cats")]
