@@ -5,8 +5,9 @@ shortly before, so that stuttering shows.  Filter responses are max-pooled over
 document; the chunks' activations are averaged and max-pooled over the document, and a logistic unit makes one
 probability of both.  After training, filters are folded into tables of byte pairs: two look-ups a byte.
 
-Training takes at most `SAMPLE` labelled rows, the first in the order of a hash of doc_id, with texts of at most `SAMPLE_BYTES`
-bytes; that bound is all the driver ever holds.  Scoring covers all rows and all bytes.
+Training takes labelled rows in the order of a hash of doc_id, `SAMPLE` of them and `SAMPLE_BYTES` bytes of whole texts at most,
+whatever the length of each (a single text over the budget is left out, as it would be all of it); that bound is all
+the driver ever holds.  Scoring covers all rows and all bytes.
 
 Results in special cases
 ------------------------
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from . import common
 
-SAMPLE, SAMPLE_BYTES, THRESHOLD = 4000, 16_384, 0.7
+SAMPLE, SAMPLE_BYTES, THRESHOLD = 4000, 16 << 20, 0.7
 FILTERS, WIDTH, BLOCK = 8, 4, 64
 #: How far back a repetition is looked for, and how many bytes it takes.
 REACH, GRAM = 32, 8
@@ -187,9 +189,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     sure = usable.groupBy("doc_id").agg(F.min("quality").alias("__q"), F.max("quality").alias("__most")).where("__q = __most")
     chosen = sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__doc"), "__q")
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
     # at most `sample` rows of two numbers are broadcast; a doc_id that repeats gives one text
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__q").alias("q")).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
+    sizes = texts.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).where(F.col("size") <= SAMPLE_BYTES)
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id")  # numbers of `sample` rows
+    within = sizes.withColumn("__upto", F.sum("size").over(order)).where(F.col("__upto") <= SAMPLE_BYTES).select(F.col("doc_id").alias("__in"))
+    rows = texts.join(F.broadcast(within), F.col("doc_id") == F.col("__in")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__q").alias("q")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([(r["text"], int(r["q"] != 0)) for r in rows])
 
