@@ -11,7 +11,8 @@ set for a recall over 0.95 there.
 
 A vector moves once: to its leaf of the first tree.  A query goes, with the leaves it has opened of all trees, to those leaves of
 the first tree that hold any of its candidates; which do, is known from the counts of leaf pairs.  There each candidate is
-scored once, exactly, in double precision, and only the best few go on.  Leaves that many vectors or queries share are cut into
+scored once, exactly, in double precision, and only the best few go on, those that the k nearest candidates of the sample
+don't beat already.  Leaves that many vectors or queries share are cut into
 chunks by a hash, so no group grows with a copy group.
 
 Results in special cases
@@ -38,7 +39,7 @@ from . import common
 
 NEAREST, EVERY = 5, 50
 #: Rows of a leaf, least and most levels (2 ** MAX_DEPTH leaves of a tree bound the tables of leaf pairs, which the driver holds).
-TREES, LEAF, MIN_DEPTH, MAX_DEPTH, SAMPLE, SEED = 4, 100, 3, 9, 20_000, 5
+TREES, LEAF, MIN_DEPTH, MAX_DEPTH, SAMPLE, SEED = 4, 200, 3, 9, 20_000, 5
 VISIT = 1.5
 #: Vectors and queries of one block.
 VECTORS, QUERIES = 4096, 4096
@@ -132,15 +133,17 @@ class Forest:
         return cost <= limit
 
 
-def limits(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
-    """The squared distance of each unit vector's k-th nearest in the sample, itself left out: no smaller than in the table."""
-    out = np.full(len(x), np.inf)
-    for at in range(0, len(x), 256):
-        near = x[at : at + 256] @ sample.T
-        near[ids[at : at + 256, None] == sample_ids] = -np.inf
-        if near.shape[1] >= k:
-            out[at : at + 256] = 2 - 2 * np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] + 1e-9
-    return out
+def to_sample(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors to those of the sample; none to itself."""
+    near = x @ sample.T
+    near[ids[:, None] == sample_ids] = -np.inf
+    return near
+
+
+def reach(near: np.ndarray, k: int) -> float:
+    """The squared distance of the k-th nearest of some, and a rounding margin; infinite if there are fewer."""
+    known = near[near > -np.inf]
+    return 2 - 2 * float(np.partition(known, len(known) - k)[len(known) - k]) + 1e-9 if len(known) >= k else np.inf
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -148,10 +151,11 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, allowed=None, least: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of a block for each query.  Copies of a vector are scored once; its k + 1 smallest ids stand for it.
 
-    allowed: gives, for places in v, the (query x place) candidates; all of them otherwise.
+    allowed: gives, for places in v, the (query x place) candidates; all of them otherwise.  least: the cosine that a
+    query's candidates must reach, as k vectors elsewhere do.
     """
     order = np.argsort(v_id, kind="stable")
     u, at_first, which = np.unique(v[order], axis=0, return_index=True, return_inverse=True)
@@ -170,7 +174,7 @@ def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: in
         rough[~allowed(order[at_first])] = -np.inf
     # all that reach the (k + 1)-th best, less what the rough product may be off by: ties go on whole, however many
     n = min(k + 1, len(u))
-    floor = np.maximum(np.partition(rough, len(u) - n, axis=1)[:, len(u) - n], -2 * q_norm) - 1e-9 * q_norm
+    floor = np.maximum(np.partition(rough, len(u) - n, axis=1)[:, len(u) - n], least * q_norm) - 1e-9 * q_norm
     high = rough >= floor[:, None]
     ends = np.cumsum(high.sum(axis=1))
     out, at = [], 0
@@ -208,6 +212,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
     leaves = 2**forest.depth
     budget = max(visit * n, trees * (k + 1))  # so few rows are all found
     known, known_ids = unit(matrix(sample.column("v"))), sample.column("vec_id").to_numpy()
+    known_at = forest.leaves(known)
     kind = vectors.schema["v"].dataType.simpleString()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,15 +234,20 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with its opened leaves, as bits, and the leaves of the first tree where its candidates lie."""
         for b in batches:
-            ids, bits, where = b.column("vec_id").to_numpy(), [], []
-            x = unit(matrix(b.column("v"))) if b.num_rows else ()
-            for q, limit in zip(x, limits(x, ids, known, known_ids, k) if b.num_rows else ()):
-                on, near = forest.search(q, held, budget, limit), forest.within(q, limit)
-                bits.append(np.packbits(np.stack([on, near])).tobytes())
-                where.append(np.flatnonzero(shared[on].any(axis=0) & np.all([shared[t, near[t]].any(axis=0) for t in range(trees)], axis=0)))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(bits, pa.binary()), pa.array(where, pa.list_(pa.int64()))], names=["query_id", "v", "bits", "leaves"])
-
-    probes = common.cut(queries.select("vec_id", "v").mapInArrow(opened, f"query_id long, v {kind}, bits binary, leaves array<long>"))
+            ids, bits, where, bounds = b.column("vec_id").to_numpy(), [], [], []
+            x = unit(matrix(b.column("v"))) if b.num_rows else np.zeros((0, known.shape[1]))
+            for first in range(0, len(x), 256):
+                sims = to_sample(x[first : first + 256], ids[first : first + 256], known, known_ids)
+                for q, near_sample in zip(x[first : first + 256], sims):
+                    limit = reach(near_sample, k)
+                    on, near = forest.search(q, held, budget, limit), forest.within(q, limit)
+                    some = np.any([on[t, known_at[:, t]] for t in range(trees)], axis=0) & np.all([near[t, known_at[:, t]] for t in range(trees)], axis=0)
+                    bounds.append(reach(near_sample[some], k))  # candidates themselves, so k reach it
+                    bits.append(np.packbits(np.stack([on, near])).tobytes())
+                    where.append(np.flatnonzero(shared[on].any(axis=0) & np.all([shared[t, near[t]].any(axis=0) for t in range(trees)], axis=0)))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(bits, pa.binary()), pa.array(bounds, pa.float64()), pa.array(where, pa.list_(pa.int64()))], names=["query_id", "v", "bits", "bound", "leaves"])
+
+    probes = common.cut(queries.select("vec_id", "v").mapInArrow(opened, f"query_id long, v {kind}, bits binary, bound double, leaves array<long>"))
     asked = np.zeros(leaves, np.int64)
     for r in probes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # a number per leaf
         asked[r["leaf"]] = r["n"]
@@ -247,7 +257,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
     key = ["leaf", "chunk", "turn"]
     sides = placed.withColumn("leaf", F.get("at", F.lit(0)).cast("long")).join(split, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "parts")).select("leaf", "chunk", upto(F.col("turns")).alias("turn"), "vec_id", "v", "at")
-    asks = probes.select("query_id", "v", "bits", F.explode("leaves").alias("leaf")).join(split, "leaf").withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns")).select("leaf", upto(F.col("parts")).alias("chunk"), "turn", "query_id", "v", "bits")
+    asks = probes.select("query_id", "v", "bits", "bound", F.explode("leaves").alias("leaf")).join(split, "leaf").withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns")).select("leaf", upto(F.col("parts")).alias("chunk"), "turn", "query_id", "v", "bits", "bound")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -264,7 +274,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
                     every &= near[:, t, at[places, t]]
                 return some & every
 
-            found = best(right.column("query_id").to_numpy(), matrix(right.column("v")), left.column("vec_id").to_numpy(), matrix(left.column("v")), k, allowed)
+            found = best(right.column("query_id").to_numpy(), matrix(right.column("v")), left.column("vec_id").to_numpy(), matrix(left.column("v")), k, allowed, np.maximum(-2, 1 - right.column("bound").to_numpy() / 2))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = sides.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")

@@ -57,7 +57,8 @@ def test_clustered_vectors_take_a_small_part_of_an_exact_scan(spark):
     held = np.stack([np.bincount(at[:, t], minlength=2**forest.depth) for t in range(at.shape[1])])
     ids = np.arange(len(u))
     scored = []
-    for i, limit in zip(range(0, 8000, 50), neighbours.limits(u[::50], ids[::50], u, ids, 5)):
+    for i, near in zip(range(0, 8000, 50), neighbours.to_sample(u[::50], ids[::50], u, ids)):
+        limit = neighbours.reach(near, 5)
         on, near = forest.search(u[i], held, neighbours.VISIT * len(u), limit), forest.within(u[i], limit)
         scored.append(np.mean(np.any([on[t, at[:, t]] for t in range(at.shape[1])], axis=0) & np.all([near[t, at[:, t]] for t in range(at.shape[1])], axis=0)))
     assert np.mean(scored) < 0.3, np.mean(scored)
