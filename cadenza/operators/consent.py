@@ -1,7 +1,9 @@
-"""The consent ledger: append-only rows per voice, views over them, and the gate in front of delivery.
+"""The consent ledger: append-only records per voice, views over them, and the gate in front of delivery.
 
-Nothing here grants consent to an automated caller: `verify` needs the measures of a recording, `attest` a named person and
-evidence, and both only append what the rules allow.
+A record is (voice, seq, ts, kind, status, ...); the largest seq of a voice is in force.  `kind` is how consent was given:
+spoken, or attested by somebody else.  A spoken consent whose recording doesn't sound like the voice's references (`match`)
+permits nothing.  Nothing here grants consent to an automated caller: `verified` needs the measures of a recording, `attested` a
+named person and evidence; they return the records to append, with a reason where there is none.
 """
 
 from __future__ import annotations
@@ -12,22 +14,42 @@ from pyspark.sql import Window as W
 
 from .gates import first_failing
 
+# States that permit, the least similarity of a recording to its voice, and days that a request is open.
 USABLE = ("verified", "attested")
+MATCH = 0.45
+REQUEST_DAYS = 14
+
+#: Fields of a record, all nullable but voice, seq, ts and status.
+RECORD = (
+    "voice", "seq", "ts", "kind", "status", "speaker", "statement", "code", "created", "expires", "match", "attested_by", "evidence", "scope", "revoked_at",
+)
+_TYPES = {"seq": "long", "match": "double"} | {c: "timestamp" for c in ("created", "expires", "revoked_at")}
+
+
+def _field(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(_TYPES.get(name, "string"))
+
+
+def refusal(status: Column, kind: Column, match: Column) -> Column:
+    """Why a voice may not be used; empty if it may."""
+    return first_failing((status.isNull(), "missing"), (~status.isin(*USABLE), status), ((kind == "spoken") & (match < MATCH), "another speaker"))
 
 
 def current(ledger: DataFrame) -> DataFrame:
-    """The last record of each voice (voice, seq, status, ...), with `usable`."""
+    """The record in force of each voice, with `refusal` and `usable`."""
     cols = [c for c in ledger.columns if c not in ("voice", "seq")]
-    last = ledger.groupBy("voice").agg(F.max_by(F.struct("seq", *cols), "seq").alias("r"))
-    return last.select("voice", "r.*").withColumn("usable", F.col("status").isin(*USABLE))
+    last = ledger.groupBy("voice").agg(F.max_by(F.struct("seq", *cols), "seq").alias("r")).select("voice", "r.*")
+    why = refusal(F.col("status"), _field(last, "kind"), _field(last, "match"))
+    return last.withColumn("refusal", why).withColumn("usable", F.col("refusal") == "")
 
 
 def as_of(ledger: DataFrame, probes: DataFrame) -> DataFrame:
-    """Each probe (voice, at, ...) with the status in force then: the last record not after it."""
-    a = ledger.select("voice", F.col("ts").alias("at"), "seq", "status", F.lit(None).cast("long").alias("probe"))
-    b = probes.select("voice", "at", F.lit(2**62).alias("seq"), F.lit(None).cast("string").alias("status"), F.col("probe").cast("long").alias("probe"))
+    """Each probe (voice, at, probe) with the record in force then, the last not after it: in_force, kind, created."""
+    a = ledger.select("voice", F.col("ts").alias("at"), "seq", F.struct("status", _field(ledger, "kind").alias("kind"), _field(ledger, "created").alias("created")).alias("r"), F.lit(None).cast("long").alias("probe"))
+    b = probes.select("voice", "at", F.lit(2**62).alias("seq"), F.lit(None).cast(a.schema["r"].dataType).alias("r"), F.col("probe").cast("long").alias("probe"))
     w = W.partitionBy("voice").orderBy("at", "seq", "probe").rowsBetween(W.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("in_force", F.last("status", ignorenulls=True).over(w)).where("probe IS NOT NULL").select("voice", "probe", "at", "in_force")
+    out = a.unionByName(b).withColumn("r", F.last("r", ignorenulls=True).over(w)).where("probe IS NOT NULL")
+    return out.select("voice", "probe", "at", F.col("r.status").alias("in_force"), "r.kind", "r.created")
 
 
 def permitted(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -35,6 +57,18 @@ def permitted(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return rows.join(current(ledger).where("usable").select("voice"), "voice", "left_semi")
 
 
+def unchanged(started: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Work begun under a grant (voice, kind, created, ...) with `problem`: why it may not be delivered now, or empty.
+
+    The consent must still be usable, and be the one that the work began with.
+    """
+    now = current(ledger)
+    now = now.select(F.col("voice").alias("__voice"), "refusal", _field(now, "kind").alias("__kind"), _field(now, "created").alias("__created"))
+    same = F.col("kind").eqNullSafe(F.col("__kind")) & F.col("created").eqNullSafe(F.col("__created"))
+    problem = first_failing((F.col("__voice").isNull(), "missing"), (F.col("refusal") != "", F.col("refusal")), (~same, "consent changed"))
+    return started.join(now, F.col("voice") == F.col("__voice"), "left").withColumn("problem", problem).drop("__voice", "refusal", "__kind", "__created")
+
+
 def attest_reason(by: Column, evidence: Column, previous: Column, override: Column) -> Column:
     """Why an attestation is refused."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
@@ -45,7 +79,7 @@ def verify_reason(status: Column, now: Column, expires: Column, seconds: Column,
     """Why a recorded consent isn't verified: the checks in order; an unknown match is left to the gate."""
     return first_failing(
         (status.isNull() | (status == "revoked"), "request first"), (now > expires, "code expired"), (F.coalesce(seconds, F.lit(0.0)) < 4, "too short"),
-        (F.coalesce(code_cer, F.lit(1.0)) > 0.25, "code not heard"), (F.coalesce(statement_cer, F.lit(1.0)) > 0.2, "statement not heard"), (match < 0.45, "another speaker"),
+        (F.coalesce(code_cer, F.lit(1.0)) > 0.25, "code not heard"), (F.coalesce(statement_cer, F.lit(1.0)) > 0.2, "statement not heard"), (match < MATCH, "another speaker"),
     )
 
 
@@ -54,3 +88,87 @@ def revocations(ledger: DataFrame) -> DataFrame:
     w = W.partitionBy("voice").orderBy("seq")
     x = ledger.withColumn("previous", F.lag("status").over(w)).where("status = 'attested'")
     return x.withColumn("needs_override", F.coalesce(F.col("previous") == "revoked", F.lit(False)))
+
+
+# --- appending -------------------------------------------------------------------------------------------------
+
+
+def _beside(asked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """What is asked (voice, now, ..., one row of a voice) beside the record in force, as `old`."""
+    now = current(ledger)
+    old = F.struct("seq", *[_field(now, c).alias(c) for c in RECORD[3:]])
+    return asked.join(now.select("voice", old.alias("old")), "voice", "left")
+
+
+def _record(rows: DataFrame, keep: bool, **new: Column) -> DataFrame:
+    """Rows as records one after the record in force; fields not given are kept from it, or empty; `reason` comes last."""
+    fields = [F.coalesce(F.col("old.seq") + 1, F.lit(1)).cast("long").alias("seq"), F.col("now").alias("ts")]
+    for c in RECORD[3:]:
+        fields.append(new.get(c, F.col(f"old.{c}") if keep else F.lit(None).cast(_TYPES.get(c, "string"))).alias(c))
+    return rows.select("voice", *fields, new.get("reason", F.lit("")).alias("reason"))
+
+
+def statement(speaker: Column, code: Column) -> Column:
+    """The sentence a speaker reads aloud."""
+    return F.format_string("I, %s, agree that a synthetic voice is made of my own. It can say what I never said, and I can take this back. My code is %s.", speaker, code)
+
+
+def requested(asked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Pending records for asked (voice, now, speaker, code, scope); the code is drawn by the caller."""
+    rows = _beside(asked, ledger)
+    until = F.col("now") + F.make_dt_interval(F.lit(REQUEST_DAYS))
+    return _record(rows, False, kind=F.lit("spoken"), status=F.lit("pending"), speaker=F.col("speaker"), code=F.col("code"), scope=F.col("scope"), statement=statement(F.col("speaker"), F.col("code")), created=F.col("now"), expires=until)
+
+
+def verified(measured: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Records out of recordings (voice, now, seconds, code_cer, statement_cer, match).
+
+    All checks passed: verified.  Another speaker's voice: the match is put on record, the status stays.  Any other reason: no
+    record belongs in the ledger (`appendable`).
+    """
+    rows = _beside(measured, ledger)
+    asked = F.when(F.col("old.kind") == "spoken", F.col("old.status"))
+    why = verify_reason(asked, F.col("now"), F.col("old.expires"), F.col("seconds"), F.col("code_cer"), F.col("statement_cer"), F.col("match"))
+    return _record(rows, True, status=F.when(why == "", "verified").otherwise(F.col("old.status")), match=F.coalesce("match", "old.match"), reason=why)
+
+
+def attested(asked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Attestations out of asked (voice, now, speaker, by, evidence, scope, override); with a reason where they are refused."""
+    rows = _beside(asked, ledger)
+    by, evidence = F.trim("by"), F.trim("evidence")
+    said = F.format_string("%s attests that %s has authorised a synthetic voice: %s", by, F.col("speaker"), evidence)
+    why = attest_reason(F.col("by"), F.col("evidence"), F.col("old.status"), F.col("override"))
+    return _record(rows, False, kind=F.lit("attested"), status=F.lit("attested"), speaker=F.col("speaker"), created=F.col("now"), attested_by=by, evidence=evidence, scope=F.col("scope"), statement=said, reason=why)
+
+
+def revoked(asked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Revocations out of asked (voice, now); a voice without a record has nothing to revoke."""
+    rows = _beside(asked, ledger)
+    return _record(rows, True, status=F.lit("revoked"), revoked_at=F.col("now"), reason=F.when(F.col("old.seq").isNull(), "missing").otherwise(""))
+
+
+def matched(similarities: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Records with a new match (voice, now, match) for spoken consents, after the references of a voice have changed."""
+    rows = _beside(similarities, ledger).where((F.col("old.kind") == "spoken") & F.col("match").isNotNull())
+    return _record(rows, True, match=F.round("match", 4))
+
+
+def appendable(records: DataFrame) -> DataFrame:
+    """The records that belong in the ledger, without their reason."""
+    return records.where(F.col("reason").isin("", "another speaker")).drop("reason")
+
+
+def append(records: DataFrame, path: str) -> None:
+    """Adds records to the ledger on disk.  It is only ever added to, so a revocation stays on record whatever follows."""
+    appendable(records).select(*RECORD).write.mode("append").parquet(path)
+
+
+def steps(asked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """voice, consent, steps: what people have to do before a voice can be used; a read-only view, empty where nothing is missing."""
+    now = current(ledger).select("voice", "status", "usable")
+    todo = F.array(
+        F.format_string("request consent for %s", F.col("voice")), F.format_string("have %s read the statement aloud and keep the recording", F.col("speaker")),
+        F.format_string("verify the recording for %s", F.col("voice")), F.format_string("or attest, by name and with evidence, that %s has authorised it", F.col("speaker")),
+    )
+    x = asked.join(now, "voice", "left")
+    return x.select("voice", F.coalesce("status", F.lit("none")).alias("consent"), F.when(F.coalesce("usable", F.lit(False)), F.array().cast("array<string>")).otherwise(todo).alias("steps"))

@@ -83,11 +83,13 @@ class AmbiguousSpeaker(ValueError):
 
 def speakers(clips: DataFrame, alike: float = 0.5) -> DataFrame:
     """cluster, id: density clusters of clips (id, duration, emb); two clips are one voice if alike, else each its own."""
-    pairs = similar_pairs(clips, "id", "emb", alike)
-    if len(clips.select("id").limit(3).collect()) >= 3:
-        return density_clusters(clips.select("id", "duration"), pairs).select("cluster", "id")
-    one = F.lit(len(pairs.limit(1).collect()) > 0)
-    return clips.select(F.when(one, 1).otherwise(F.row_number().over(W.orderBy("id"))).alias("cluster"), "id")  # two rows at most
+    return density_clusters(clips, "emb", alike).select("cluster", "id")
+
+
+def clock(seconds: Column) -> Column:
+    """m:ss, cut off, not rounded."""
+    whole = F.floor(seconds).cast("long")
+    return F.format_string("%d:%02d", F.floor(whole / 60).cast("long"), whole % 60)
 
 
 def find_target(clips: DataFrame, anchor: list[float] | None = None, target: list[float] | None = None, pick: int | None = None, alike: float = 0.5) -> DataFrame:
@@ -100,8 +102,7 @@ def find_target(clips: DataFrame, anchor: list[float] | None = None, target: lis
     if given is not None:
         near = clips.withColumn("__sim", vectors.dot(F.col("emb"), F.array(*[F.lit(float(v)) for v in given])))
         return vectors.centroids(target_seeds(near, [], "__sim"), [], "emb")
-    found = speakers(clips, alike).persist()
-    members = found.join(clips, "id")
+    members = speakers(clips, alike).join(clips, "id")
     sums = members.groupBy("cluster").agg(F.sum("duration").alias("d")).orderBy("cluster").collect()  # four rows at most
     total = clips.agg(F.sum("duration")).first()[0]
     if pick is not None and not 1 <= pick <= len(sums):
@@ -110,8 +111,8 @@ def find_target(clips: DataFrame, anchor: list[float] | None = None, target: lis
     second = shares[1] if len(shares) > 1 else 0.0
     if pick is None and (not shares or shares[0] < 0.6 or (second > 0.2 and shares[0] < 2 * second)):
         said = [[] for _ in sums]
-        for r in top(members, ["cluster"], [F.col("id")], 3).orderBy("cluster", "id").collect():
-            said[r["cluster"] - 1].append(f"{r['source']} at {int(r['start'] // 60)}:{int(r['start'] % 60):02d}")
+        for r in top(members, ["cluster"], [F.col("id")], 3).withColumn("clock", clock(F.col("start"))).orderBy("cluster", "id").collect():
+            said[r["cluster"] - 1].append(f"{r['source']} at {r['clock']}")
         raise AmbiguousSpeaker("\n".join(f"voice {i}: {s:.0%} of the speech, e.g. {', '.join(e)}" for i, (s, e) in enumerate(zip(shares, said), 1)))
     return vectors.centroids(members.where(F.col("cluster") == (pick or 1)), [], "emb")
 
@@ -130,26 +131,40 @@ def diverse_top(df: DataFrame, keys: list[str], k: int, apart: float = 60.0, ali
     def choose(batches):
         group, taken = None, []
         for pdf in batches:
-            rows = []
-            for i, r in enumerate(pdf.itertuples(index=False)):
-                at = tuple(getattr(r, c) for c in keys)
-                if at != group:
-                    group, taken = at, []
-                if len(taken) == k:
-                    continue
-                e = np.asarray(r.emb, float)
-                e = e / (np.linalg.norm(e) + 1e-9)
-                if all(not ((s == r.source and abs(t - r.start) < apart) or float(e @ v) > alike) for s, t, v in taken):
-                    taken.append((r.source, r.start, e))
-                    rows.append((i, len(taken)))
-            out = pdf.iloc[[i for i, _ in rows]].copy()
-            out["chosen"] = [n for _, n in rows]
+            at = list(pdf[keys].itertuples(index=False, name=None)) if keys else [()] * len(pdf)
+            begins = [i for i in range(len(at)) if not i or at[i] != at[i - 1]]
+            rows, scores = [], []
+            for lo, hi in zip(begins, [*begins[1:], len(at)]):
+                if at[lo] != group:
+                    group, taken = at[lo], []
+                # what the chosen ones exclude is excluded for good, so a whole stretch is masked at once and scanned only where it is free
+                where, start, emb = pdf["source"].to_numpy()[lo:hi], pdf["start"].to_numpy(float)[lo:hi], None
+                free = np.ones(hi - lo, bool)
+                for s, t, v in taken if len(taken) < k else ():
+                    emb = _unit(pdf["emb"].iloc[lo:hi]) if emb is None else emb
+                    free &= ~(((where == s) & (np.abs(start - t) < apart)) | (emb @ v > alike))
+                i = 0
+                while len(taken) < k and i < len(free):
+                    if free[i]:
+                        emb = _unit(pdf["emb"].iloc[lo:hi]) if emb is None else emb
+                        taken.append((where[i], start[i], emb[i]))
+                        rows.append(lo + i)
+                        scores.append(len(taken))
+                        free[i:] &= ~(((where[i:] == where[i]) & (np.abs(start[i:] - start[i]) < apart)) | (emb[i:] @ emb[i] > alike))
+                    i += 1
+            out = pdf.iloc[rows].copy()
+            out["chosen"] = scores
             yield out[names] if rows else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
 
     order = [*keys, F.desc("score"), "pos"]
     return df.repartition(*keys).sortWithinPartitions(*order).mapInPandas(choose, schema)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    e = np.stack([np.asarray(v, float) for v in vectors])
+    return e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-9)
+
+
 def two_stage(df: DataFrame, keys: list[str], k: int, clean: Column, apart: float = 60.0, alike: float = 0.97) -> DataFrame:
     """Twice k diverse clips by score, screened by `clean`, scored again within the survivors' pool, then k of those.
 
@@ -185,25 +200,55 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, block:
     return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, "a long, b long, cosine double")
 
 
-def density_clusters(rows: DataFrame, pairs: DataFrame, rounds: int = 4, least: int = 3) -> DataFrame:
-    """Greedy clusters (cluster, medoid, id) over id, duration and the pairs (a, b) that are near.
+def densities(rows: DataFrame, alike: float, block: int = 4096) -> DataFrame:
+    """id, d: the duration of all rows (id, duration, v) that are `alike` or more to a row, itself included.
+
+    Blocks of bounded size meet and give one partial sum a row, never pairs.
+    """
+    n = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    wide = rows.select("id", "duration", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    left = wide.select(F.col("own").alias("i"), F.col("other").alias("j"), "id", "v")
+    right = wide.select(F.col("other").alias("i2"), F.col("own").alias("j2"), F.col("duration").alias("duration2"), F.transform("v", lambda x: x + 0.0).alias("v2"))
+
+    def meet(one, two):
+        if not len(one) or not len(two):
+            return pd.DataFrame({"id": [], "d": []})
+        a, b = np.stack(one["v"]), np.stack(two["v2"])
+        near = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1) + 1e-9) >= alike
+        return pd.DataFrame({"id": one["id"].to_numpy(), "d": near @ two["duration2"].to_numpy(float)})
+
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, "id long, d double")
+    return parts.groupBy("id").agg(F.round(F.sum("d"), 9).alias("d"))
+
+
+def density_clusters(clips: DataFrame, vector: str, alike: float = 0.5, rounds: int = 4, least: int = 3) -> DataFrame:
+    """Greedy clusters (cluster, medoid, id, duration) of clips (id, duration, a vector).
 
     Each round takes the row with the most near duration (itself included; the smaller id on ties) and all that are near to it.
-    At most `rounds` rounds, while at least `least` rows remain; ids travel through joins, one row comes to the driver.
+    At most `rounds` rounds, while at least `least` rows remain.  Fewer rows from the start are one cluster if they are
+    near each other, else each is its own, in the order of ids.  One row a round comes to the driver.
     """
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(rows.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    edges = edges.persist()
-    left, out = rows.select("id", "duration"), None
+    rows = clips.select(F.col("id").cast("long").alias("id"), "duration", F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    near = lambda v: vectors.cosine(F.col("v"), F.array(*map(F.lit, v))) >= alike
+    few = rows.orderBy("id").limit(least).collect()
+    if len(few) < least:
+        one = len(few) == 2 and rows.where(near(few[0]["v"])).count() == 2
+        place = F.lit(1) if one else F.when(F.col("id") == (few[0]["id"] if few else 0), 1).otherwise(2)
+        medoid = F.lit(few[0]["id"]) if one else F.col("id")
+        return rows.select(place.alias("cluster"), medoid.alias("medoid"), "id", "duration")
+    left, out = rows, None
     for k in range(rounds):
-        left = left.persist()
-        if len(left.limit(least).collect()) < least:
+        if k and len(left.select("id").limit(least).collect()) < least:
             break
-        live = edges.join(left.select(F.col("id").alias("b"), "duration"), "b").join(left.select(F.col("id").alias("a")), "a", "left_semi")
-        best = live.groupBy("a").agg(F.round(F.sum("duration"), 9).alias("d")).orderBy(F.desc("d"), "a").first()
-        members = live.where(F.col("a") == best["a"]).select(F.lit(k + 1).alias("cluster"), F.lit(best["a"]).alias("medoid"), F.col("b").alias("id"), "duration")
+        best = densities(left, alike).orderBy(F.desc("d"), "id").first()
+        v = left.where(F.col("id") == best["id"]).first()["v"]
+        # a row is its own neighbour, whatever its vector
+        mine = near(v) | (F.col("id") == best["id"])
+        members = left.where(mine).select(F.lit(k + 1).alias("cluster"), F.lit(best["id"]).alias("medoid"), "id", "duration")
         out = members if out is None else out.unionByName(members)
-        left = left.join(members.select("id"), "id", "left_anti")
-    return out if out is not None else rows.select(F.lit(1).alias("cluster"), F.col("id").alias("medoid"), "id", "duration").where("false")
+        left = left.where(~mine)
+    return out
 
 
 def dominant(clusters: DataFrame, rows: DataFrame) -> DataFrame:

@@ -16,11 +16,6 @@ GUARD, FADE_IN, FADE_OUT, TONE_DB = 0.025, 8, 12, -55.0
 _HANN = [0.5 - 0.5 * math.cos(math.pi * k / 4) for k in range(1, 8)]
 
 
-def bound(x: Column, f) -> Column:
-    """f of x, with x computed once."""
-    return F.transform(F.array(x), f)[0]
-
-
 def room_tone(n: Column, level: Column, *seed: Column) -> Column:
     """n samples of smoothed noise at an RMS of `level`, TONE_DB at most; the seed decides all of them."""
     noise = F.transform(F.sequence(F.lit(0), n + 5), lambda i: F.pmod(F.xxhash64(*seed, i), F.lit(2_000_001)) / 1e6 - 1.0)
@@ -30,8 +25,8 @@ def room_tone(n: Column, level: Column, *seed: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum((F.get(raw, i + k) * (w / total) for k, w in enumerate(_HANN)), F.lit(0.0)))
 
     wanted = F.least(level, F.lit(10 ** (TONE_DB / 20)))
-    scaled = lambda s: bound(wanted / (signal.rms(s) + 1e-12), lambda g: F.transform(s, lambda v: v * g))
-    return F.when(n > 0, bound(bound(noise, smooth), scaled)).otherwise(F.array().cast("array<double>"))
+    scaled = lambda s: text.bound(wanted / (signal.rms(s) + 1e-12), lambda g: F.transform(s, lambda v: v * g))
+    return F.when(n > 0, text.bound(text.bound(noise, smooth), scaled)).otherwise(F.array().cast("array<double>"))
 
 
 def seams(parts: DataFrame, keys: list[str], order: str, samples: str, said: str, sr: int, sustained: int = 2, relative_db: float = 40.0) -> DataFrame:

@@ -8,10 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 MIN_CLIP, MAX_CLIP, IDEAL_LOW, IDEAL_HIGH, MIN_GAP, LONG_GAP, LAST_GAP = 4.0, 14.0, 7.0, 10.0, 0.12, 0.25, 1.0
 
+#: Timed words.
+WORDS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("start", "end", "logprob")]]))
+
 
 def cut_points(start: np.ndarray, end: np.ndarray, closes: np.ndarray) -> list[tuple[int, int]]:
     """First and last word of each clip.
@@ -23,28 +27,48 @@ def cut_points(start: np.ndarray, end: np.ndarray, closes: np.ndarray) -> list[t
     before = np.concatenate([[np.inf], start[1:] - end[:-1]]) if n else start
     after = np.concatenate([before[1:], [LAST_GAP]]) if n else start
     out, i = [], 0
-    while i < n:
-        j = None
-        if before[i] >= MIN_GAP:
-            length = end[i:] - start[i]
+    for i in np.flatnonzero(before >= MIN_GAP):
+        if out and i <= out[-1][1]:
+            continue
+        # no further than the first word that ends too late; the stretch looked at grows until it holds that one
+        wide = 64
+        while True:
+            length = end[i : i + wide] - start[i]
             over = np.flatnonzero(length > MAX_CLIP)
-            k = np.arange(over[0] if len(over) else len(length))
-            k = k[(length[k] >= MIN_CLIP) & (after[i + k] >= MIN_GAP)]
-            ends = k[closes[i + k] & (length[k] >= IDEAL_LOW)]
-            if len(ends):
-                late = ends[length[ends] >= IDEAL_HIGH]
-                j = late[0] if len(late) else ends[-1]
-            else:
-                wide = k[after[i + k] >= LONG_GAP]
-                j = wide[0] if len(wide) else None
-        if j is None:
-            i += 1
+            if len(over) or i + wide >= n:
+                break
+            wide *= 4
+        k = np.arange(over[0] if len(over) else len(length))
+        k = k[(length[k] >= MIN_CLIP) & (after[i + k] >= MIN_GAP)]
+        ends = k[closes[i + k] & (length[k] >= IDEAL_LOW)]
+        if len(ends):
+            late = ends[length[ends] >= IDEAL_HIGH]
+            out.append((int(i), int(i + (late[0] if len(late) else ends[-1]))))
         else:
-            out.append((i, i + int(j)))
-            i += int(j) + 1
+            wide_gaps = k[after[i + k] >= LONG_GAP]
+            if len(wide_gaps):
+                out.append((int(i), int(i + wide_gaps[0])))
     return out
 
 
+@F.pandas_udf(WORDS)
+def _timed(words: pd.Series, long: pd.Series, gap: pd.Series, logprob: pd.Series) -> pd.Series:
+    def one(ws, ls, gs, ps):
+        if ws is None:
+            return None
+        ls, gs = np.asarray(ls, float), np.asarray(gs, float)
+        start = np.round(np.concatenate([[0.0], np.cumsum(ls + gs)[:-1]]), 6) if len(ls) else ls
+        end = np.round(start + ls, 6)
+        return [{"text": w, "start": a, "end": b, "logprob": p} for w, a, b, p in zip(ws, start.tolist(), end.tolist(), ps)]
+
+    return pd.Series([one(*row) for row in zip(words, long, gap, logprob)], dtype=object)
+
+
+def timed(words: Column, long: Column, gap: Column, logprob: Column) -> Column:
+    """Words with start and end out of how long each lasts and the gap after it; all stays inside the row."""
+    return _timed(words, long, gap, logprob)
+
+
 def clips(regions: DataFrame) -> DataFrame:
     """Regions (key, words: array of struct<text, start, end, logprob>) to clips: key, clip, start, end, text, n_words, confidence."""
 

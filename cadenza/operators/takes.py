@@ -11,14 +11,14 @@ from . import gates
 
 # Presets (name, takes, quality that is enough) and the engine dimension.
 PRESETS = (("fast", 2, 0.0), ("balanced", 4, 0.80), ("best", 8, 0.93))
-_SIX = ["en", "zh", "ja", "ko", "de", "fr", "ru", "pt", "es", "it"]
+_TEN = ["en", "zh", "ja", "ko", "de", "fr", "ru", "pt", "es", "it"]
 _MANY = ["ar", "da", "de", "el", "en", "es", "fi", "fr", "he", "hi", "it", "ja", "ko", "ms", "nl", "no", "pl", "pt", "ru", "sv", "sw", "tr", "zh"]
 ENGINES = (
     ("chatterbox-turbo", "chatterbox", ["en"], 7.0, 10.0, 300, ["default-cpu", "paralinguistic-tags"]),
     ("chatterbox-nano", "chatterbox", ["en"], 7.0, 10.0, 300, ["fast"]),
     ("chatterbox-multilingual", "chatterbox", _MANY, 7.0, 10.0, 300, ["multilingual"]),
-    ("qwen3-tts-0.6b", "qwen3", _SIX, 6.0, 12.0, 600, ["identity", "long-form"]),
-    ("qwen3-tts-1.7b", "qwen3", _SIX, 6.0, 12.0, 600, ["identity", "long-form", "gpu-preferred"]),
+    ("qwen3-tts-0.6b", "qwen3", _TEN, 6.0, 12.0, 600, ["identity", "long-form"]),
+    ("qwen3-tts-1.7b", "qwen3", _TEN, 6.0, 12.0, 600, ["identity", "long-form", "gpu-preferred"]),
     ("sopro", "sopro", ["en", "pt", "fr", "de"], 5.0, 15.0, 400, ["fast"]),
 )
 DEVICE_ORDER = {
@@ -27,11 +27,12 @@ DEVICE_ORDER = {
     "cpu": ["chatterbox-turbo", "qwen3-tts-0.6b", "chatterbox-nano", "sopro", "chatterbox-multilingual"],
 }
 SIM_FLOOR, CEILING, RATE_WPS = 0.15, 0.8, 2.6
+FIRST_SEED = 1234
 
 
 def engines(spark: SparkSession) -> DataFrame:
-    schema = "engine string, family string, languages array<string>, window_low double, window_high double, max_chars int, tags array<string>"
-    return spark.createDataFrame([(*e,) for e in ENGINES], schema).withColumn("position", F.monotonically_increasing_id()).coalesce(1)
+    schema = "engine string, family string, languages array<string>, window_low double, window_high double, max_chars int, tags array<string>, position int"
+    return spark.createDataFrame([(*e, k) for k, e in enumerate(ENGINES)], schema).coalesce(1)
 
 
 def for_language(dimension: DataFrame, language: str) -> DataFrame:
@@ -46,11 +47,92 @@ def candidates(dimension: DataFrame, installed: DataFrame, language: str, device
     return fit.where(~F.array_contains("tags", "multilingual")) if language == "en" else fit
 
 
-def choose_engine(requested: Column, quality: Column, fast: Column, tuned: Column, language: Column, device: str, dimension: DataFrame) -> Column:
-    """Requested, else the fast pick for `fast`, else tuned, else the first of the device's order that speaks the language."""
-    speaks = {e[0]: e[2] for e in ENGINES}
-    default = F.coalesce(*[F.when(language.isin(*speaks[e]), F.lit(e)) for e in DEVICE_ORDER[device]])
-    return F.coalesce(requested, F.when(quality == "fast", fast), tuned, default)
+def engine(dimension: DataFrame, name: str) -> DataFrame:
+    """The row of an engine; an unknown name is an error that lists the known ones."""
+    row = dimension.where(F.col("engine") == name)
+    if not row.limit(1).count():
+        raise KeyError(f"unknown engine {name!r}; known: {', '.join(sorted(r['engine'] for r in dimension.select('engine').collect()))}")
+    return row
+
+
+def asked_candidates(dimension: DataFrame, installed: DataFrame, language: str, device: str, asked: list[str] | None = None) -> DataFrame:
+    """Engines to try: those asked for, whatever they are fit for, else the candidates."""
+    if not asked:
+        return candidates(dimension, installed, language, device)
+    for name in asked:
+        engine(dimension, name)
+    return dimension.where(F.col("engine").isin(asked))
+
+
+def choose_engine(requests: DataFrame, dimension: DataFrame, installed: DataFrame, device: str) -> DataFrame:
+    """Requests (voice, language, requested, quality, fast_pick, tuned) with `engine` and `problem`.
+
+    Requested, else the fast pick for `fast`, else tuned, else the first of the device's order that speaks the language; each
+    only if its family is installed.  A requested engine that is not installed is a problem, not passed over.
+    """
+    there = dimension.join(installed.select("family").distinct(), "family", "left_semi")
+    order = F.array(*map(F.lit, DEVICE_ORDER[device]))
+    ranked = there.select("engine", "languages", F.array_position(order, F.col("engine")).alias("rank")).where("rank > 0")
+    default = ranked.select("engine", "rank", F.explode("languages").alias("__language")).groupBy("__language").agg(F.min_by("engine", "rank").alias("__default"))
+    usable = F.array_sort(F.collect_set("engine")).alias("__installed")
+    x = requests.crossJoin(F.broadcast(there.agg(usable)))  # one row
+    x = x.join(F.broadcast(default), F.col("language") == F.col("__language"), "left")  # a row per language
+    here = lambda c: F.when(F.array_contains("__installed", c), c)
+    picked = F.coalesce(here(F.when(F.col("quality") == "fast", F.col("fast_pick"))), here(F.col("tuned")), F.col("__default"))
+    problem = gates.first_failing(
+        (F.col("requested").isNotNull() & here(F.col("requested")).isNull(), F.concat(F.lit("not installed: "), F.col("requested"))),
+        (F.col("requested").isNull() & picked.isNull(), "no installed engine speaks the language"),
+    )
+    return x.withColumn("problem", problem).withColumn("engine", F.when(F.col("problem") == "", F.coalesce("requested", picked))).drop("__installed", "__language", "__default")
+
+
+def choose_reference(requests: DataFrame, references: DataFrame, tried: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Requests (voice, engine, requested, tuned_engine, tuned_reference) with `reference` and `problem`.
+
+    Requested, else the tuned one if it was tuned on this engine, else the one that was most similar on it in the tournament
+    (tried: voice, engine, reference, similarity), else the best of those that fit the engine's window (references: voice,
+    reference, duration, score).
+    """
+    best = tried.groupBy("voice", "engine").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "reference"))["reference"].alias("__tried"))
+    fitting = references_for(references, dimension, 1).select("voice", "engine", F.col("reference").alias("__fits"))
+    known = references.select("voice", F.col("reference").alias("__known")).distinct()
+    some = references.select("voice").distinct().withColumn("__some", F.lit(True))
+    x = requests.join(best, ["voice", "engine"], "left").join(fitting, ["voice", "engine"], "left").join(some, "voice", "left")
+    tuned = F.when(F.col("tuned_engine") == F.col("engine"), F.col("tuned_reference"))
+    # the tournament speaks for a voice only if it has been tuned
+    x = x.withColumn("reference", F.coalesce("requested", tuned, F.when(F.col("tuned_engine").isNotNull(), F.col("__tried")), "__fits"))
+    x = x.join(known.withColumnRenamed("voice", "__voice"), (F.col("voice") == F.col("__voice")) & (F.col("reference") == F.col("__known")), "left")
+    problem = gates.first_failing((F.col("__some").isNull(), "no references yet"), (F.col("__known").isNull(), F.concat(F.lit("no such reference: "), F.col("reference"))))
+    return x.withColumn("problem", problem).withColumn("reference", F.when(F.col("problem") == "", F.col("reference"))).drop("__tried", "__fits", "__some", "__known", "__voice")
+
+
+def probes(voices: DataFrame, references: DataFrame, sentences: DataFrame, n: int) -> DataFrame:
+    """voice, place, text: the first n probe sentences (language, place from 1, text) of a voice's language.
+
+    A language without sentences borrows the texts of the voice's references with the lowest scores, which are no prompts; a
+    voice without references takes the English ones.
+    """
+    own = references.withColumn("place", F.row_number().over(W.partitionBy("voice").orderBy("score", "reference"))).where(F.col("place") <= n)
+    spoken = sentences.where(F.col("place") <= n)
+    has = spoken.select("language").distinct()
+    listed = voices.join(spoken, "language")
+    rest = voices.join(has, "language", "left_anti")
+    borrowed = rest.join(own.select("voice", "place", "text"), "voice")
+    english = rest.join(own.select("voice").distinct(), "voice", "left_anti").crossJoin(F.broadcast(spoken.where("language = 'en'").select("place", "text")))  # n rows
+    return listed.select("voice", "place", "text").unionByName(borrowed.select("voice", "place", "text")).unionByName(english.select("voice", "place", "text"))
+
+
+def trials(references: DataFrame, dimension: DataFrame, probe_rows: DataFrame, n_references: int) -> DataFrame:
+    """voice, engine, reference, probe, text, seed: each engine's best references with each probe sentence of the voice."""
+    picked = references_for(references, dimension, n_references).select("voice", "engine", "reference", F.col("place").alias("rank"))
+    each = picked.join(probe_rows.withColumnsRenamed({"place": "probe"}), "voice")
+    return each.select("voice", "engine", "reference", "rank", "probe", "text", (F.lit(FIRST_SEED) + F.col("probe") - 1).alias("seed"))
+
+
+def within_budget(runs: DataFrame, keys: list[str], order: list[str], cost: str, seconds: float) -> DataFrame:
+    """Runs in order until the costs on record have passed the budget; the run that passes it is still done."""
+    before = F.coalesce(F.sum(cost).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return runs.withColumn("__spent", before).where(F.col("__spent") <= seconds).drop("__spent")
 
 
 def sim_norm(similarity: Column, ceiling: Column) -> Column:
@@ -97,8 +179,21 @@ def evaluate(takes: DataFrame) -> DataFrame:
     return x.withColumn("q", heard(q, 0.0)).drop("__s", "__h", "__cer", "__wer", "__rep", "__refused")
 
 
+def with_twins(takes: DataFrame) -> DataFrame:
+    """Takes (part, take, ok, q, polished, ...) with one row per take: the polished twin where it passes and beats the raw take that passes.
+
+    `passes` counts those of the two that pass, as the early stop does.
+    """
+    cols = [c for c in takes.columns if c not in ("part", "take")]
+    raw, twin = (F.max(F.when(F.col("polished") == p, F.struct(*cols))) for p in (False, True))
+    x = takes.groupBy("part", "take").agg(raw.alias("r"), twin.alias("t"))
+    better = F.coalesce(F.col("r.ok") & F.col("t.ok") & (F.col("t.q") > F.col("r.q")), F.lit(False))
+    passes = sum((F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("r.ok", "t.ok")), F.lit(0))
+    return x.select("part", "take", F.when(better, F.col("t")).otherwise(F.col("r")).alias("b"), passes.alias("passes")).select("part", "take", "b.*", "passes")
+
+
 def best_of(takes: DataFrame, preset: tuple[str, int, float]) -> DataFrame:
-    """Per part: the take chosen, takes consumed, and ok.  takes: part, take (from 1), ok, q.
+    """Per part: the take chosen, takes consumed, and ok.  takes: part, take (from 1), ok, q, and maybe reason and passes.
 
     Takes run in order until the best passing one is good enough or enough have passed; two takes more than
     asked for are allowed (one for `fast`).
@@ -107,18 +202,54 @@ def best_of(takes: DataFrame, preset: tuple[str, int, float]) -> DataFrame:
     order = W.partitionBy("part").orderBy("take")
     so_far, earlier = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
     x = takes.where(F.col("take") <= most + (1 if name == "fast" else 2))
-    passed = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(so_far)
-    stop = F.coalesce(F.max(F.when(F.col("ok"), F.col("q"))).over(so_far) >= enough, F.lit(False)) | (passed >= most)
+    passed = F.sum(F.col("passes") if "passes" in takes.columns else F.when(F.col("ok"), 1).otherwise(0)).over(so_far)
+    good = F.max(F.when(F.col("ok"), F.col("q"))).over(so_far)
+    stop = F.coalesce(good >= enough, F.lit(False)) | ((passed >= most) & good.isNotNull())
     x = x.withColumn("stop", stop).withColumn("used", ~F.coalesce(F.max("stop").over(earlier), F.lit(False))).where("used")
-    best = F.min(F.struct((~F.col("ok")).alias("bad"), (-F.col("q")).alias("low"), "take")).alias("b")
-    return x.groupBy("part").agg(best, F.count(F.lit(1)).alias("consumed")).select("part", F.col("b.take").alias("take"), (~F.col("b.bad")).alias("ok"), (-F.col("b.low")).alias("q"), "consumed")
+    more = ["reason"] if "reason" in takes.columns else []
+    best = F.min(F.struct((~F.col("ok")).alias("bad"), (-F.col("q")).alias("low"), "take", *more)).alias("b")
+    x = x.groupBy("part").agg(best, F.count(F.lit(1)).alias("consumed"))
+    return x.select("part", F.col("b.take").alias("take"), (~F.col("b.bad")).alias("ok"), (-F.col("b.low")).alias("q"), "consumed", *[F.col(f"b.{c}") for c in more])
+
+
+class NeverPassed(ValueError):
+    """No take of a part has passed its checks."""
+
+
+def fail_closed(chosen: DataFrame, keys: list[str], allow_imperfect: bool = False) -> DataFrame:
+    """Per render: ok to go on, and the problem of its first part (part, ok, reason) that never passed."""
+    first = F.min(F.when(~F.col("ok"), F.struct("part", "reason"))).alias("f")
+    x = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_parts"), first)
+    problem = F.when(F.col("f").isNull() | F.lit(allow_imperfect), F.lit("")).otherwise(F.concat(F.lit("part "), F.col("f.part"), F.lit(" never passed the checks (last problem: "), F.col("f.reason"), F.lit(")")))
+    return x.select(*keys, "n_parts", (problem == "").alias("ok"), problem.alias("problem"))
+
+
+def require_passed(chosen: DataFrame, keys: list[str], allow_imperfect: bool = False) -> DataFrame:
+    """The chosen takes, if all renders may go on; else NeverPassed."""
+    bad = fail_closed(chosen, keys, allow_imperfect).where("NOT ok").select("problem").first()
+    if bad is not None:
+        raise NeverPassed(bad["problem"])
+    return chosen
+
+
+MEANS = ("q", "cer", "wer", "similarity", "sim_norm", "f0_ratio", "rate_ratio")
+SUMS = ("duration", "expected")
 
 
 def combine(parts: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
-    """One score per render: weighted means, summed durations, the longest pause, all ok, reasons joined in order."""
-    mean = lambda c: (F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c)
-    said = F.array_sort(F.collect_list(F.when(F.col("reason") != "", F.struct(order, "reason"))))
-    return parts.groupBy(*keys).agg(mean("q"), mean("cer"), F.sum("duration").alias("duration"), F.max("longest_pause").alias("longest_pause"), F.every("ok").alias("ok"), F.array_join(F.transform(said, lambda s: s["reason"]), "; ").alias("reason"))
+    """One score per render: weighted means, summed durations, the longest pause, all ok, reasons of failed parts and transcripts joined in order.
+
+    A render of one part keeps its scores as they are.  Parts that weigh nothing together count evenly.  Scores that
+    parts don't have are left out.
+    """
+    has = [c for c in (*MEANS, *SUMS, "transcript") if c in parts.columns]
+    weights = F.sum(weight)
+    mean = lambda c: F.when(F.count(F.lit(1)) == 1, F.max(c)).otherwise(F.coalesce(F.sum(F.col(c) * F.col(weight)) / F.nullif(weights, F.lit(0)), F.avg(c))).alias(c)
+    listed = lambda c, of: F.array_sort(F.collect_list(F.when(of, F.struct(order, F.col(c).alias("x")))))
+    joined = lambda c, of, by: F.array_join(F.transform(listed(c, of), lambda s: s["x"]), by).alias(c)
+    scores = [mean(c) for c in MEANS if c in has] + [F.sum(c).alias(c) for c in SUMS if c in has]
+    scores += [F.max("longest_pause").alias("longest_pause"), F.every("ok").alias("ok"), joined("reason", ~F.col("ok"), "; ")]
+    return parts.groupBy(*keys).agg(*scores, *([joined("transcript", F.lit(True), " ")] if "transcript" in has else []))
 
 
 def tournament(takes: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import signal, text, vectors
-from ..operators import consent, gates, listings, ranking, seams, segment, takes
+from ..functions import scalars, signal, text, vectors
+from ..operators import consent, entities, gates, ingest, listings, ranking, reports, seams, segment, takes
 from ..sources import delivery, files
 from ..streaming import ledger as streams
 
@@ -63,14 +63,28 @@ TAKES = """takes AS (SELECT l_orderkey AS part, row_number() OVER (PARTITION BY
  CASE WHEN l_returnflag = 'R' THEN 'bad ' || l_linestatus ELSE '' END AS reason, l_suppkey % 50 AS voice, 'e' || (l_partkey % 6) AS engine, 'ref0' || (l_linenumber % 4) AS reference FROM lineitem)"""
 
 
+_STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'verified' WHEN 'click' THEN 'attested' WHEN 'error' THEN 'revoked' END"
+_LEDGER = f"""SELECT user_id AS voice, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, status, CASE WHEN status = 'attested' OR event_id % 4 = 0 THEN 'attested' ELSE 'spoken' END AS kind,
+ CASE WHEN event_id % 3 > 0 THEN event_id % 20 / 20.0 END AS match, date_trunc('day', ts) AS created FROM (SELECT *, {_STATUS} AS status FROM events) WHERE status IS NOT NULL"""
+_REFUSAL = "CASE WHEN status IS NULL THEN 'missing' WHEN status NOT IN ('verified', 'attested') THEN status WHEN kind = 'spoken' AND match < 0.45 THEN 'another speaker' ELSE '' END"
+LEDGER = f"ledger AS ({_LEDGER}), now AS (SELECT *, {_REFUSAL} AS refusal FROM (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY seq DESC) AS last FROM ledger) WHERE last = 1)"
+
+
 def ledger_rows(spark, sf):
-    kinds = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'verified' WHEN 'click' THEN 'attested' WHEN 'error' THEN 'revoked' END"
-    x = table(spark, sf, "events").selectExpr("user_id AS voice", "ts", "event_id", f"{kinds} AS status").where("status IS NOT NULL")
-    return x.selectExpr("voice", "ts", "row_number() OVER (PARTITION BY voice ORDER BY ts, event_id) AS seq", "status")
+    x = table(spark, sf, "events").withColumn("status", F.expr(_STATUS)).where("status IS NOT NULL")
+    return x.selectExpr(
+        "user_id AS voice", "ts", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq", "status", "CASE WHEN status = 'attested' OR event_id % 4 = 0 THEN 'attested' ELSE 'spoken' END AS kind",
+        "CASE WHEN event_id % 3 > 0 THEN double(event_id % 20 / 20.0D) END AS match", "date_trunc('day', ts) AS created",
+    )
+
 
+def asked_rows(spark, sf):
+    """Customers who ask, a month after all events."""
+    x = table(spark, sf, "customer").selectExpr("c_custkey AS voice", "c_name AS speaker", "c_custkey", "c_mktsegment AS segment")
+    return x.crossJoin(F.broadcast(table(spark, sf, "events").agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("now"))))
 
-LEDGER = """ledger AS (SELECT user_id AS voice, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, status FROM (SELECT *,
- CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'verified' WHEN 'click' THEN 'attested' WHEN 'error' THEN 'revoked' END AS status FROM events) WHERE status IS NOT NULL)"""
+
+ASKED = "asked AS (SELECT c_custkey AS voice, c_name AS speaker, c_custkey, c_mktsegment AS segment, (SELECT max(ts) + INTERVAL 30 DAYS FROM events) AS now FROM customer)"
 
 
 # --- gates -----------------------------------------------------------------------------------------------------
@@ -159,11 +173,16 @@ def _z(c):
 
 
 _SIX = ("sim", "confidence", "snr_db", "f0_dev", "rate_dev", "length_fit")
-SCORED = f"""{CENTRED}, pool AS (SELECT source, median(f0_median) AS f0, median(rate_wps) AS rate FROM sims GROUP BY source),
- dev AS (SELECT sims.*, abs(12 * log2(f0_median / f0)) AS f0_dev, abs(ln(greatest(rate_wps, 0.1) / greatest(rate, 0.1))) AS rate_dev, -greatest(0, 7 - duration, duration - 11) AS length_fit FROM sims JOIN pool USING (source)),
- med AS (SELECT source, {', '.join(f'median({c}) AS med_{c}' for c in _SIX)} FROM dev GROUP BY source),
- mad AS (SELECT source, {', '.join(f'median(abs({c} - med_{c})) AS mad_{c}' for c in _SIX)} FROM dev JOIN med USING (source) GROUP BY source),
- scored AS (SELECT dev.*, 0.40 * ({_z('sim')}) + 0.20 * ({_z('confidence')}) + 0.15 * ({_z('snr_db')}) + 0.15 * (-(({_z('f0_dev')}) + ({_z('rate_dev')})) / 2) + 0.10 * ({_z('length_fit')}) AS score FROM dev JOIN med USING (source) JOIN mad USING (source))"""
+def _scored(rows: str, tag: str) -> str:
+    """CTEs for the composite score within the pool `rows`; the result is `{tag}scored`."""
+    return f"""{tag}pool AS (SELECT source, median(f0_median) AS f0, median(rate_wps) AS rate FROM {rows} GROUP BY source),
+ {tag}dev AS (SELECT x.*, abs(12 * log2(f0_median / f0)) AS f0_dev, abs(ln(greatest(rate_wps, 0.1) / greatest(rate, 0.1))) AS rate_dev, -greatest(0, 7 - duration, duration - 11) AS length_fit FROM {rows} x JOIN {tag}pool USING (source)),
+ {tag}med AS (SELECT source, {', '.join(f'median({c}) AS med_{c}' for c in _SIX)} FROM {tag}dev GROUP BY source),
+ {tag}mad AS (SELECT source, {', '.join(f'median(abs({c} - med_{c})) AS mad_{c}' for c in _SIX)} FROM {tag}dev JOIN {tag}med USING (source) GROUP BY source),
+ {tag}scored AS (SELECT {tag}dev.*, 0.40 * ({_z('sim')}) + 0.20 * ({_z('confidence')}) + 0.15 * ({_z('snr_db')}) + 0.15 * (-(({_z('f0_dev')}) + ({_z('rate_dev')})) / 2) + 0.10 * ({_z('length_fit')}) AS score FROM {tag}dev JOIN {tag}med USING (source) JOIN {tag}mad USING (source))"""
+
+
+SCORED = f"{CENTRED}, {_scored('sims', '')}"
 
 
 @query(f"WITH {SCORED} SELECT vec_id, source, round(score, 6) AS score FROM scored")
@@ -177,7 +196,17 @@ def shortlist(spark, sf):
     return ranking.top(x, ["source"], [F.desc("score"), F.col("vec_id")], 8).select("vec_id", "source", "place")
 
 
-@query()
+def _greedy(pool: str, tag: str, n: int) -> str:
+    """CTEs for the greedy choice of n rows of each source, by (score, vec_id), out of `pool`; the result is `{tag}`."""
+    return f"""{tag}_order AS MATERIALIZED (SELECT *, list_transform(emb::DOUBLE[], lambda x: x / (sqrt(list_inner_product(emb::DOUBLE[], emb::DOUBLE[])) + 1e-9)) AS u, row_number() OVER (PARTITION BY source ORDER BY score DESC, vec_id) AS nr FROM {pool}),
+ {tag}_walk AS (SELECT source, 0::BIGINT AS nr, []::STRUCT(vec_id BIGINT, start DOUBLE, u DOUBLE[])[] AS taken FROM (SELECT DISTINCT source FROM {pool})
+  UNION ALL SELECT o.source, o.nr, CASE WHEN len(list_filter(w.taken, lambda t: abs(t.start - o.start) < 60 OR list_inner_product(t.u, o.u) > 0.97)) = 0 THEN list_append(w.taken, struct_pack(vec_id := o.vec_id, start := o.start, u := o.u)) ELSE w.taken END
+  FROM {tag}_walk w JOIN {tag}_order o ON o.source = w.source AND o.nr = w.nr + 1 WHERE len(w.taken) < {n}),
+ {tag}_last AS (SELECT source, arg_max(taken, nr) AS taken FROM {tag}_walk GROUP BY source),
+ {tag} AS (SELECT source, unnest(list_transform(taken, lambda t: t.vec_id)) AS vec_id, unnest(range(1, len(taken) + 1))::INT AS chosen FROM {tag}_last)"""
+
+
+@query(f"WITH RECURSIVE {SCORED}, rounded AS (SELECT * REPLACE (round(score, 6) AS score) FROM scored), {_greedy('rounded', 'best', 8)} SELECT vec_id, source, score, chosen FROM best JOIN rounded USING (source, vec_id)")
 def diverse_topk(spark, sf):
     x = ranking.clip_scores(with_sim(spark, sf), ["source"]).select("vec_id", "source", "start", F.round("score", 6).alias("score"), "emb", F.col("vec_id").alias("pos"))
     return ranking.diverse_top(x, ["source"], 8, apart=60.0, alike=0.97).select("vec_id", "source", "score", "chosen")
@@ -199,17 +228,27 @@ def near_pairs(spark, sf):
 
 
 def clustered(spark, sf):
-    x = clip_rows(spark, sf)
-    rows = x.select(F.col("vec_id").alias("id"), "duration")
-    return ranking.density_clusters(rows, ranking.similar_pairs(x, "vec_id", "emb", 0.25)), rows
+    x = clip_rows(spark, sf).withColumnRenamed("vec_id", "id")
+    return ranking.density_clusters(x, "emb", 0.25), x.select("id", "duration")
 
 
-@query()
+def _clusters() -> str:
+    """CTEs for four greedy rounds over near pairs; the result is `clusters`."""
+    out = f"""{PAIRS}, near AS MATERIALIZED (SELECT a, b FROM pairs WHERE c >= 0.25 UNION ALL SELECT b, a FROM pairs WHERE c >= 0.25 UNION ALL SELECT vec_id, vec_id FROM clips),
+ left0 AS MATERIALIZED (SELECT vec_id, duration FROM clips)"""
+    for k in range(4):
+        out += f""", m{k} AS MATERIALIZED (SELECT a FROM near JOIN left{k} y ON y.vec_id = b WHERE a IN (SELECT vec_id FROM left{k}) AND (SELECT count(*) FROM left{k}) >= 3 GROUP BY a ORDER BY round(sum(duration), 9) DESC, a LIMIT 1),
+ c{k} AS MATERIALIZED (SELECT {k + 1} AS cluster, a AS medoid, b AS id, duration FROM near JOIN m{k} USING (a) JOIN left{k} ON vec_id = b), left{k + 1} AS MATERIALIZED (SELECT * FROM left{k} WHERE vec_id NOT IN (SELECT id FROM c{k}))"""
+    return out + ", clusters AS (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(4)) + ")"
+
+
+@query(f"WITH {_clusters()} SELECT cluster, medoid, id, duration FROM clusters")
 def density_clusters(spark, sf):
     return clustered(spark, sf)[0].select("cluster", "medoid", "id", "duration")
 
 
-@query()
+@query(f"""WITH {_clusters()}, s AS (SELECT coalesce(sum(duration) FILTER (cluster = 1), 0) / (SELECT sum(duration) FROM clips) AS s1, coalesce(sum(duration) FILTER (cluster = 2), 0) / (SELECT sum(duration) FROM clips) AS s2 FROM clusters)
+ SELECT round(s1, 6) AS share, round(s2, 6) AS second_share, NOT (s1 < 0.6 OR (s2 > 0.2 AND s1 < 2 * s2)) AS dominant FROM s""")
 def dominant_target(spark, sf):
     c, rows = clustered(spark, sf)
     return ranking.dominant(c, rows).select(F.round("share", 6).alias("share"), F.round("second_share", 6).alias("second_share"), "dominant")
@@ -233,7 +272,8 @@ def target_seeds(spark, sf):
     return ranking.target_seeds(near, ["source"], "sim").select("vec_id", "source", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(f"""WITH {_clusters()}, e AS (SELECT p, avg(x) AS m FROM (SELECT unnest(emb)::DOUBLE AS x, generate_subscripts(emb, 1) AS p FROM clips WHERE vec_id IN (SELECT id FROM clusters WHERE cluster = 2)) GROUP BY p), v AS (SELECT list(m ORDER BY p) AS m FROM e)
+ SELECT (SELECT count(*) FROM clusters WHERE cluster = 2) AS n, list_transform(m, lambda x: round(x / (sqrt(list_inner_product(m, m)) + 1e-9), 6)) AS centroid FROM v""")
 def picked_target(spark, sf):
     x = clip_rows(spark, sf).withColumnRenamed("vec_id", "id")
     return ranking.find_target(x, pick=2, alike=0.25).select("n", F.transform("centroid", lambda v: F.round(v, 6)).alias("centroid"))
@@ -249,23 +289,39 @@ def region_rank(spark, sf):
     return ranking.region_rank(usable, ["source"], "sim", "snr_db", "vec_id").select("vec_id", "source", "rank_score", "place")
 
 
+@query(f"WITH {CLIPS} SELECT vec_id, floor(start / 60)::BIGINT || ':' || lpad((start::BIGINT % 60)::VARCHAR, 2, '0') AS clock FROM clips")
+def clocks(spark, sf):
+    return clip_rows(spark, sf).select("vec_id", ranking.clock(F.col("start")).alias("clock"))
+
+
 # --- words and pauses ------------------------------------------------------------------------------------------
 
 
 def regions(spark, sf):
-    """Documents as regions of timed words: a word lasts by its length, a sentence end is followed by a longer gap."""
+    """Documents as regions of timed words: a word lasts by its length, a sentence end is followed by a longer gap; times are summed up inside the row."""
     ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    timed = F.transform(ws, lambda w, i: F.struct(w.alias("text"), (0.15 + 0.02 * F.char_length(w)).alias("long"), F.when(w.rlike(r"[.?!]$"), 0.4).otherwise((i % 7) * 0.03).alias("gap")))
-    x = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.posexplode(timed).alias("i", "w"))
-    w = "PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    return x.selectExpr("key", "i", "w.text AS text", "w.long AS long", f"round(coalesce(sum(w.long + w.gap) OVER ({w}), 0), 6) AS start").withColumn("end", F.round(F.col("start") + F.col("long"), 6)).withColumn("logprob", -0.01 * (F.col("i") % 9))
-
-
-@query()
+    long = F.transform(ws, lambda w: (0.15 + 0.02 * F.char_length(w)))
+    gap = F.transform(ws, lambda w, i: F.when(w.rlike(r"[.?!]$"), 0.4).otherwise((i % 7) * 0.03))
+    logprob = F.transform(ws, lambda w, i: -0.01 * (i % 9))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), segment.timed(ws, long, gap, logprob).alias("words"))
+
+
+_WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH RECURSIVE w AS (SELECT doc_id AS key, unnest({_WORDS}) AS text, generate_subscripts({_WORDS}, 1) - 1 AS i FROM documents),
+ l AS (SELECT *, 0.15::DOUBLE + 0.02::DOUBLE * length(text) AS long, CASE WHEN regexp_matches(text, '[.?!]$') THEN 0.4::DOUBLE ELSE (i % 7) * 0.03::DOUBLE END AS gap FROM w),
+ s AS (SELECT *, round(coalesce(sum(long + gap) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start FROM l),
+ t AS MATERIALIZED (SELECT key, i, text, start, round(start + long, 6) AS stop, -0.01::DOUBLE * (i % 9) AS logprob, right(text, 1) IN ('.', '?', '!') AS closes FROM s),
+ g AS MATERIALIZED (SELECT *, start - lag(stop) OVER k AS before, coalesce(lead(start) OVER k - stop, 1.0) AS after FROM t WINDOW k AS (PARTITION BY key ORDER BY i)),
+ c AS (SELECT a.key, a.i, b.i AS j, b.stop - a.start AS d, b.closes, b.after FROM g a JOIN g b ON a.key = b.key AND b.i BETWEEN a.i AND a.i + 80 WHERE (a.before IS NULL OR a.before >= 0.12) AND b.stop - a.start BETWEEN 4 AND 14 AND b.after >= 0.12),
+ best AS MATERIALIZED (SELECT key, i, coalesce(min(j) FILTER (closes AND d >= 10), max(j) FILTER (closes AND d >= 7), min(j) FILTER (after >= 0.25)) AS j FROM c GROUP BY key, i),
+ nxt AS MATERIALIZED (SELECT g.key, g.i, min(b.i) OVER (PARTITION BY g.key ORDER BY g.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at FROM g LEFT JOIN (SELECT * FROM best WHERE j IS NOT NULL) b USING (key, i)),
+ r AS (SELECT n.key, 0 AS clip, b.i, b.j FROM nxt n JOIN best b ON b.key = n.key AND b.i = n.at WHERE n.i = 0
+  UNION ALL SELECT r.key, r.clip + 1, b.i, b.j FROM r JOIN nxt n ON n.key = r.key AND n.i = r.j + 1 JOIN best b ON b.key = n.key AND b.i = n.at)
+ SELECT r.key, clip::INT AS clip, round(min(t.start), 4) AS start, round(max(t.stop), 4) AS "end", count(*)::INT AS n_words, round(exp(avg(t.logprob)), 6) AS confidence FROM r JOIN t ON t.key = r.key AND t.i BETWEEN r.i AND r.j GROUP BY r.key, clip""")
 def clip_cutter(spark, sf):
-    each = F.array_sort(F.collect_list(F.struct("i", "text", "start", "end", "logprob")))
-    words = F.transform(each, lambda w: F.struct(w["text"].alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["logprob"].alias("logprob")))
-    return segment.clips(regions(spark, sf).groupBy("key").agg(words.alias("words"))).select("key", "clip", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "n_words", F.round("confidence", 6).alias("confidence"))
+    return segment.clips(regions(spark, sf)).select("key", "clip", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "n_words", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH w AS (SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + value / 10 AS e FROM events), g AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) - e AS gap FROM w)
@@ -280,12 +336,48 @@ def pause_stats(spark, sf):
 # --- text ------------------------------------------------------------------------------------------------------
 
 
-@query()
+_ONES, _TENS = (str(list(x)) for x in (text.ONES, text.TENS))
+
+
+def _hundred(n: str) -> str:
+    return f"CASE WHEN {n} < 20 THEN {_ONES}[{n} + 1] ELSE {_TENS}[{n} // 10 + 1] || CASE WHEN {n} % 10 = 0 THEN '' ELSE ' ' || {_ONES}[{n} % 10 + 1] END END"
+
+
+def _thousand(n: str) -> str:
+    return f"list_transform([{n}], lambda h: CASE WHEN h < 100 THEN {_hundred('h')} ELSE {_ONES}[h // 100 + 1] || ' hundred' || CASE WHEN h % 100 = 0 THEN '' ELSE list_transform([h % 100], lambda t: ' and ' || {_hundred('t')})[1] END END)[1]"
+
+
+def _number(n: str) -> str:
+    """The words of a whole number from 0 to 10^12 - 1, as SQL."""
+    high = ", ".join(f"CASE WHEN n // {div} % 1000 > 0 THEN {_thousand(f'(n // {div} % 1000)')} || ' {word}' END" for div, word in ((10**9, "billion"), (10**6, "million"), (1000, "thousand")))
+    return f"list_transform([{n}], lambda n: CASE WHEN n < 1000 THEN {_thousand('n')} ELSE concat_ws(' ', {high}) || CASE WHEN n % 1000 = 0 THEN '' ELSE CASE WHEN n % 1000 < 100 THEN ' and ' ELSE ' ' END || {_thousand('(n % 1000)')} END END)[1]"
+
+
+_YEAR = f"list_transform([y], lambda y: {_number('(y // 100)')} || ' ' || CASE WHEN y % 100 = 0 THEN 'hundred' WHEN y % 100 < 10 THEN 'oh ' || {_ONES}[y % 100 + 1] ELSE {_number('(y % 100)')} END)[1]".replace("[y]", "[d::BIGINT]")
+#: A piece z of a text cut at its numbers, with the characters before and after it, as words.
+_SPOKEN = rf"""CASE WHEN NOT regexp_matches(z.v, '^[0-9]') THEN z.v WHEN contains(z.v, ',') THEN {_number("replace(z.v, ',', '')::BIGINT")}
+ ELSE list_transform([rtrim(z.v, '%')], lambda d: CASE WHEN length(d) = 4 AND (d BETWEEN '1100' AND '1999' OR d BETWEEN '2010' AND '2099') AND NOT regexp_matches(z.before, '[\pL\pN_]$') AND (z.v LIKE '%\%' ESCAPE '\' OR NOT regexp_matches(z.after, '^[\pL\pN_]')) THEN {_YEAR}
+  WHEN length(d) < 10 THEN {_number('d::BIGINT')} ELSE d END || CASE WHEN z.v LIKE '%\%' ESCAPE '\' THEN ' percent' ELSE '' END)[1] END"""
+
+
+def _bare(t: str) -> str:
+    """Words alone, of a text without numbers, brackets and composed characters, as SQL."""
+    t = rf"regexp_replace(lower(replace(replace({t}, '’', chr(39)), '&', ' and ')), '\[[^\]]*\]', ' ', 'g')"
+    t = rf"' ' || regexp_replace({t}, '[^\pL\pN_'' ]+', ' ', 'g') || ' '"
+    # an apostrophe stays between two letters alone
+    t = rf"regexp_replace(regexp_replace({t}, '([^\pL\pN_])''+', '\1 ', 'g'), chr(39) || '+([^\pL\pN_])', ' \1', 'g')"
+    return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b|[0-9]+%?|[^0-9]+') AS p FROM documents),
+ q AS (SELECT doc_id, list_transform(list_zip(p, list_prepend('', p[1:len(p) - 1]), list_append(p[2:], '')), lambda x: struct_pack(v := x[1], before := x[2], after := x[3])) AS p FROM p),
+ t AS (SELECT doc_id, array_to_string(list_transform(p, lambda z: {_SPOKEN}), '') AS t FROM q)
+ SELECT doc_id, {_bare('t')} AS normal FROM t""")
 def text_normalise(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.normalise(F.col("text")).alias("normal"))
 
 
-@query()
+@query(f"SELECT o_orderkey, {_number('o_orderkey')} AS words FROM orders")
 def number_words(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.number_words(F.col("o_orderkey")).alias("words"))
 
@@ -295,27 +387,67 @@ def turn_pairs(spark, sf):
     return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u")), ["conv_id", "turn"])
 
 
-@query()
+#: Turns hold no digits.  Edit distances go by characters: each is one letter of the first 256 in its pair, or it isn't compared.
+TURNS = f"""c AS (SELECT conv_id, turn, {_bare('text')} AS t FROM conversations), pairs AS (SELECT a.conv_id, a.turn, a.t, b.t AS u FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+_PLAIN = {c: chr(k) for c, k in zip("äöüßéèêçÄÖÜÉÈÊÇáíóúñ", range(1, 21))}
+
+
+def _edits(a: str, b: str) -> str:
+    """Edit distance by characters, as SQL: the letters beyond ASCII that the tables hold are one byte each first."""
+    one = lambda t: f"translate({t}, '{''.join(_PLAIN)}', '{''.join(_PLAIN.values())}')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, round({_edits("replace(t, ' ', '')", "replace(u, ' ', '')")} / greatest(1, length(replace(t, ' ', ''))), 6) AS cer FROM pairs")
 def cer_pairs(spark, sf):
     return turn_pairs(spark, sf).select("conv_id", "turn", F.round(text.cer(F.col("t"), F.col("u")), 6).alias("cer"))
 
 
-@query()
+def _word_edits(pairs: str) -> str:
+    """CTE `edits` (conv_id, turn, n, size) of pairs (conv_id, turn, t, u), a row of the table at a time."""
+    return f"""split AS (SELECT conv_id, turn, list_filter(string_split(t, ' '), lambda w: w <> '') AS a, list_filter(string_split(u, ' '), lambda w: w <> '') AS b FROM {pairs}),
+ walk AS (SELECT conv_id, turn, a, b, 0::BIGINT AS i, range(0, len(b) + 1) AS r FROM split
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: (CASE WHEN k = 0 THEN i + 1 ELSE least(r[k + 1] + 1, r[k] + (b[k] <> a[i + 1])::INT) END) - k))) FROM walk WHERE i < len(a)),
+ edits AS (SELECT conv_id, turn, r[len(b) + 1] AS n, greatest(1, len(a)) AS size FROM walk WHERE i = len(a))"""
+
+
+@query(f"WITH RECURSIVE {TURNS}, {_word_edits('pairs')} SELECT conv_id, turn, round(n / size, 6) AS wer FROM edits")
 def wer_pairs(spark, sf):
     return turn_pairs(spark, sf).select("conv_id", "turn", F.round(text.wer(F.col("t"), F.col("u")), 6).alias("wer"))
 
 
-@query()
+_GRAMS = "SELECT conv_id, turn, g, count(*) AS n, min(i) AS i FROM (SELECT conv_id, turn, i, ws[i : i + 2] AS g FROM (SELECT conv_id, turn, ws, unnest(range(1, len(ws) - 1)) AS i FROM (SELECT conv_id, turn, string_split({c}, ' ') AS ws FROM pairs)))  GROUP BY conv_id, turn, g"
+
+
+@query(f"""WITH {TURNS}, said AS ({_GRAMS.format(c='t')}), heard AS ({_GRAMS.format(c='u')}), looped AS (SELECT h.conv_id, h.turn, arg_min(h.g, h.i) AS g FROM heard h LEFT JOIN said s USING (conv_id, turn, g) WHERE h.n > greatest(1, coalesce(s.n, 0)) GROUP BY h.conv_id, h.turn)
+ SELECT conv_id, turn, array_to_string(g, ' ') AS phrase FROM pairs LEFT JOIN looped USING (conv_id, turn)""")
 def repeated_ngram(spark, sf):
     return turn_pairs(spark, sf).select("conv_id", "turn", text.repeated_trigram(F.col("t"), F.col("u")).alias("phrase"))
 
 
-@query()
+def _sentences(rows: str) -> str:
+    """CTE `parts` (key, s: sentences) of rows (key, text): breaks are marked, those after abbreviations unmarked again."""
+    short = "|".join(a.replace(".", r"\.") for a in text.ABBREVIATIONS)
+    flat = r"regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+    cut = rf"""regexp_replace({flat}, '([.!?…])["'')\]]*\s+(["''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g')"""
+    whole = rf"regexp_replace({cut}, '(?i)(^|[^\pL\pN_])({short})\.' || chr(1), '\1\2. ', 'g')"
+    return rf"parts AS (SELECT key, list_filter(list_transform(string_split({whole}, chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s FROM ({rows}))"
+
+
+@query(f"WITH {_sentences('SELECT doc_id AS key, text FROM documents')} SELECT key AS doc_id, unnest(range(0, len(s)))::INT AS place, unnest(s) AS sentence FROM parts")
 def sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence"))
 
 
-@query()
+_CUT = """CASE WHEN contains(left(todo[1], 120), ', ') AND length(regexp_extract(left(todo[1], 120), '(?s)^(.*), ', 1)) > 40 THEN length(regexp_extract(left(todo[1], 120), '(?s)^(.*), ', 1))
+ WHEN contains(left(todo[1], 120), ' ') AND length(regexp_extract(left(todo[1], 120), '(?s)^(.*) ', 1)) > 0 THEN length(regexp_extract(left(todo[1], 120), '(?s)^(.*) ', 1)) ELSE 120 END + 1"""
+
+
+@query(f"""WITH RECURSIVE {_sentences('SELECT item_id AS key, text FROM benchmark')}, r AS (SELECT key, s AS todo, '' AS cur, []::VARCHAR[] AS done FROM parts UNION ALL SELECT key,
+  CASE WHEN length(todo[1]) > 120 THEN list_prepend(trim(todo[1][({_CUT}) + 1 :]), todo[2:]) ELSE todo[2:] END,
+  CASE WHEN length(todo[1]) > 120 THEN '' WHEN cur <> '' AND length(cur) + 1 + length(todo[1]) <= 120 THEN cur || ' ' || todo[1] ELSE todo[1] END,
+  CASE WHEN length(todo[1]) > 120 THEN list_concat(done, list_filter([cur, trim(left(todo[1], {_CUT}))], lambda x: x <> '')) WHEN cur <> '' AND length(cur) + 1 + length(todo[1]) > 120 THEN list_append(done, cur) ELSE done END FROM r WHERE len(todo) > 0),
+ f AS (SELECT key, list_filter(list_append(done, cur), lambda x: x <> '') AS c FROM r WHERE len(todo) = 0) SELECT key AS item_id, unnest(range(0, len(c)))::INT AS place, unnest(c) AS chunk FROM f""")
 def chunk_pack(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.posexplode(text.chunks(F.col("text"), 120)).alias("place", "chunk"))
 
@@ -325,7 +457,8 @@ def pause_after(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", text.pause_after(F.col("text")).alias("pause"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT item_id, string_split({_bare('text')}, ' ') AS ws FROM benchmark), w AS (SELECT item_id, array_to_string(ws[3:6], '') AS code, len(ws[3:6]) AS n, ws, unnest(range(1, greatest(1, len(ws) - len(ws[3:6]) + 1) + 1)) AS p FROM b),
+ d AS (SELECT item_id, p, {_edits('code', "array_to_string(ws[p : p + n - 1], '')")} / greatest(1, length(code)) AS cer FROM w) SELECT item_id, round(min(cer), 6) AS cer, arg_min(p, (cer, p))::INT AS "at" FROM d GROUP BY item_id""")
 def code_best_window(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", text.normalise(F.col("text")).alias("t"))
     code = F.array_join(F.slice(F.split("t", " "), 3, 4), " ")
@@ -368,14 +501,50 @@ def take_evaluation(spark, sf):
  y AS (SELECT *, coalesce(max(stop::INT) OVER (PARTITION BY part ORDER BY take ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM x)
  SELECT part, take, ok, q, consumed FROM (SELECT part, take, ok, round(q, 6) AS q, count(*) OVER (PARTITION BY part) AS consumed, row_number() OVER (PARTITION BY part ORDER BY ok DESC, q DESC, take) AS n FROM y WHERE ended = 0) WHERE n = 1""")
 def best_of_n(spark, sf):
-    return takes.best_of(take_rows(spark, sf), takes.PRESETS[1]).withColumn("q", F.round("q", 6))
+    return takes.best_of(take_rows(spark, sf), takes.PRESETS[1]).select("part", "take", "ok", F.round("q", 6).alias("q"), "consumed")
+
+
+def twin_rows(spark, sf):
+    """Takes and, for every other one, a polished twin that is a little better or worse, or fails."""
+    raw = take_rows(spark, sf).select("part", "take", "ok", "q", F.lit(False).alias("polished"), "reason")
+    n = F.col("part") + F.col("take")
+    twins = raw.where("ok").where(n % 2 == 0).select("part", "take", (n % 6 > 0).alias("ok"), (F.col("q") + (n % 5 - 2) * 0.03).alias("q"), F.lit(True).alias("polished"), F.lit("").alias("reason"))
+    return raw.unionByName(twins)
+
+
+TWINS = f"""{TAKES}, twins AS (SELECT part, take, (part + take) % 6 > 0 AS ok, q + ((part + take) % 5 - 2) * 0.03::DOUBLE AS q FROM takes WHERE ok AND (part + take) % 2 = 0),
+ pairs AS (SELECT r.part, r.take, r.ok, r.reason, CASE WHEN r.ok AND t.ok AND t.q > r.q THEN t.q ELSE r.q END AS q, r.ok::INT + coalesce(t.ok, false)::INT AS passes FROM takes r LEFT JOIN twins t USING (part, take)),
+ x AS (SELECT *, coalesce(max(q) FILTER (ok) OVER w >= 0.80, false) OR (sum(passes) OVER w >= 4 AND bool_or(ok) OVER w) AS stop FROM pairs WHERE take <= 6 WINDOW w AS (PARTITION BY part ORDER BY take)),
+ y AS (SELECT *, coalesce(max(stop::INT) OVER (PARTITION BY part ORDER BY take ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM x),
+ chosen AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY part) AS consumed, row_number() OVER (PARTITION BY part ORDER BY ok DESC, q DESC, take) AS n FROM y WHERE ended = 0) WHERE n = 1)"""
+
+
+def chosen_rows(spark, sf):
+    return takes.best_of(takes.with_twins(twin_rows(spark, sf)), takes.PRESETS[1])
+
+
+@query(f"WITH {TWINS} SELECT part, take, ok, round(q, 6) AS q, consumed, reason FROM chosen")
+def polished_best(spark, sf):
+    return chosen_rows(spark, sf).select("part", "take", "ok", F.round("q", 6).alias("q"), "consumed", "reason")
+
 
+@query(f"""WITH {TWINS}, f AS (SELECT part % 500 AS render, count(*) AS n_parts, arg_min(part, part) FILTER (NOT ok) AS bad, arg_min(reason, part) FILTER (NOT ok) AS why FROM chosen GROUP BY ALL)
+ SELECT render, n_parts, bad IS NULL AS ok, CASE WHEN bad IS NULL THEN '' ELSE 'part ' || bad || ' never passed the checks (last problem: ' || why || ')' END AS problem FROM f""")
+def render_gate(spark, sf):
+    return takes.fail_closed(chosen_rows(spark, sf).withColumn("render", F.col("part") % 500), ["render"]).select("render", "n_parts", "ok", "problem")
 
-@query(f"""WITH {TAKES} SELECT part, round(sum(q * duration) / sum(duration) + 1e-9, 6) AS q, round(sum(cer * duration) / sum(duration) + 1e-9, 6) AS cer, sum(duration) AS duration, max(longest_pause) AS longest_pause, bool_and(ok) AS ok,
- coalesce(string_agg(reason, '; ' ORDER BY take) FILTER (reason <> ''), '') AS reason FROM takes GROUP BY part""")
+
+_MEANS = ("q", "cer", "wer", "similarity", "sim_norm", "f0_ratio", "rate_ratio")
+_MORE = {"wer": "cer * 1.5", "sim_norm": "similarity - 0.1D", "f0_ratio": "0.9D + q / 10", "rate_ratio": "1.1D - q / 10", "expected": "duration * 0.9D", "transcript": "concat('t', take)"}
+
+
+@query(f"""WITH {TAKES}, more AS (SELECT *, {', '.join(f"{v.replace('0.1D', '0.1::DOUBLE').replace('0.9D', '0.9::DOUBLE').replace('1.1D', '1.1::DOUBLE')} AS {k}" for k, v in _MORE.items())} FROM takes)
+ SELECT part, {', '.join(f'round(sum({c} * duration) / sum(duration) + 1e-9, 6) AS {c}' for c in _MEANS)}, sum(duration) AS duration, round(sum(expected), 6) AS expected, max(longest_pause) AS longest_pause, bool_and(ok) AS ok,
+ coalesce(string_agg(reason, '; ' ORDER BY take) FILTER (NOT ok), '') AS reason, string_agg(transcript, ' ' ORDER BY take) AS transcript FROM more GROUP BY part""")
 def part_combine(spark, sf):
-    x = takes.combine(take_rows(spark, sf), ["part"], "take", "duration")
-    return x.withColumn("q", F.round(F.col("q") + 1e-9, 6)).withColumn("cer", F.round(F.col("cer") + 1e-9, 6))
+    x = take_rows(spark, sf).withColumns({k: F.expr(v) for k, v in _MORE.items()})
+    x = takes.combine(x, ["part"], "take", "duration").withColumn("expected", F.round("expected", 6))
+    return x.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in _MEANS})
 
 
 TRIED = f"""{TAKES}, tried AS (SELECT voice, engine, reference, avg(ok::INT::DOUBLE) AS pass_rate, avg(similarity) AS similarity, avg(least(1, least(1.2, greatest(0, (similarity - 0.15) / 0.65)))) AS sim_norm, avg(cer) AS cer, avg(q) AS q, avg(rtf) AS rtf FROM takes GROUP BY ALL)"""
@@ -415,32 +584,179 @@ def engine_candidates(spark, sf):
     return takes.candidates(takes.engines(spark), installed, "de", "cpu").select("engine")
 
 
+def engine_requests(spark, sf):
+    """Customers as requests: some name an engine, some have been tuned, some want speed."""
+    k = F.col("c_custkey")
+    of = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+    x = table(spark, sf, "customer").select(k.alias("voice"), "c_custkey", of("en", "de", "zh", "ar", "xx").alias("language"), F.when(k % 7 == 0, of("sopro", "chatterbox-turbo", "qwen3-tts-0.6b")).alias("requested"))
+    return x.withColumns({"quality": of("fast", "balanced"), "fast_pick": F.when(k % 3 == 0, F.lit("sopro")), "tuned": F.when(k % 4 == 0, of("qwen3-tts-1.7b", "chatterbox-nano", "sopro"))})
+
+
+REQUESTS = """requests AS (SELECT c_custkey AS voice, ['en', 'de', 'zh', 'ar', 'xx'][c_custkey % 5 + 1] AS language, CASE WHEN c_custkey % 7 = 0 THEN ['sopro', 'chatterbox-turbo', 'qwen3-tts-0.6b'][c_custkey % 3 + 1] END AS requested, ['fast', 'balanced'][c_custkey % 2 + 1] AS quality,
+ CASE WHEN c_custkey % 3 = 0 THEN 'sopro' END AS fast_pick, CASE WHEN c_custkey % 4 = 0 THEN ['qwen3-tts-1.7b', 'chatterbox-nano', 'sopro'][c_custkey % 3 + 1] END AS tuned FROM customer)"""
+
+
+@query(f"""WITH {_ENGINE_CTE}, {REQUESTS}, there AS (SELECT *, list_position({takes.DEVICE_ORDER['cpu']}, engine) AS rank FROM engines WHERE family IN ('qwen3', 'sopro')),
+ usual AS (SELECT language, arg_min(engine, rank) AS usual FROM (SELECT unnest(languages) AS language, engine, rank FROM there WHERE rank > 0) GROUP BY language),
+ x AS (SELECT r.*, u.usual, coalesce(CASE WHEN quality = 'fast' THEN f.engine END, t.engine, u.usual) AS picked, q.engine AS asked FROM requests r LEFT JOIN usual u USING (language) LEFT JOIN there f ON f.engine = fast_pick LEFT JOIN there t ON t.engine = tuned LEFT JOIN there q ON q.engine = requested)
+ SELECT voice, CASE WHEN requested IS NOT NULL THEN asked ELSE picked END AS engine, CASE WHEN requested IS NOT NULL AND asked IS NULL THEN 'not installed: ' || requested WHEN requested IS NULL AND picked IS NULL THEN 'no installed engine speaks the language' ELSE '' END AS problem FROM x""")
+def engine_choice(spark, sf):
+    installed = spark.createDataFrame([("qwen3",), ("sopro",)], "family string")
+    return takes.choose_engine(engine_requests(spark, sf), takes.engines(spark), installed, "cpu").select("voice", "engine", "problem")
+
+
+def reference_rows(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey AS reference", "p_size % 5 AS voice", "3.0D + p_size / 3.0D AS duration", "p_retailprice AS score", "p_name AS text")
+
+
+def reference_requests(spark, sf):
+    v = spark.range(7).withColumnRenamed("id", "voice")
+    x = v.crossJoin(takes.engines(spark).select("engine", "position"))
+    named = F.when((F.col("voice") + F.col("position")) % 5 == 0, F.col("voice") + 1)
+    return x.select("voice", "engine", named.alias("requested"), F.when(F.col("voice") % 2 == 0, F.lit("sopro")).alias("tuned_engine"), F.when(F.col("voice") % 2 == 0, F.col("voice") + 5).alias("tuned_reference"))
+
+
+@query(f"""WITH {_ENGINE_CTE}, refs AS (SELECT p_partkey AS reference, p_size % 5 AS voice, 3.0 + p_size / 3.0 AS duration, p_retailprice AS score FROM part),
+ req AS (SELECT voice, engine, CASE WHEN (voice + position) % 5 = 0 THEN voice + 1 END AS requested, CASE WHEN voice % 2 = 0 THEN 'sopro' END AS tuned_engine, CASE WHEN voice % 2 = 0 THEN voice + 5 END AS tuned_reference FROM (SELECT unnest(range(7)) AS voice) , (SELECT engine, row_number() OVER () - 1 AS position FROM engines)),
+ tried AS (SELECT voice, engine, arg_min(reference, (-round(score / 3000, 9), reference)) AS best FROM refs JOIN (SELECT engine FROM engines WHERE family = 'qwen3') ON reference % 2 = 0 GROUP BY ALL),
+ fits AS (SELECT voice, engine, reference FROM (SELECT *, row_number() OVER (PARTITION BY voice, engine ORDER BY duration BETWEEN lo - 1.5 AND hi + 3.0 DESC, score DESC, reference) AS n FROM refs, engines) WHERE n = 1),
+ x AS (SELECT r.voice, r.engine, coalesce(requested, CASE WHEN tuned_engine = r.engine THEN tuned_reference END, CASE WHEN tuned_engine IS NOT NULL THEN t.best END, f.reference) AS reference FROM req r LEFT JOIN tried t USING (voice, engine) LEFT JOIN fits f USING (voice, engine)),
+ y AS (SELECT x.*, CASE WHEN voice NOT IN (SELECT voice FROM refs) THEN 'no references yet' WHEN NOT EXISTS (SELECT 1 FROM refs k WHERE k.voice = x.voice AND k.reference = x.reference) THEN 'no such reference: ' || reference ELSE '' END AS problem FROM x)
+ SELECT voice, engine, CASE WHEN problem = '' THEN reference END AS reference, problem FROM y""")
+def reference_choice(spark, sf):
+    refs, dimension = reference_rows(spark, sf), takes.engines(spark)
+    tried = refs.where("reference % 2 = 0").crossJoin(dimension.where("family = 'qwen3'").select("engine")).select("voice", "engine", "reference", (F.col("score") / 3000).alias("similarity"))
+    return takes.choose_reference(reference_requests(spark, sf), refs, tried, dimension).select("voice", "engine", "reference", "problem")
+
+
+_PROBES = (("en", 1, "It works far better than I thought."), ("en", 2, "Send me the figures by Friday, please."), ("en", 3, "Rain fell over the harbour all night."))
+
+
+@query(f"""WITH {_ENGINE_CTE}, refs AS (SELECT p_partkey AS reference, p_size % 5 AS voice, 3.0 + p_size / 3.0 AS duration, p_retailprice AS score, p_name AS text FROM part), probes(language, place, text) AS (VALUES {', '.join(map(str, _PROBES))}),
+ voices AS (SELECT voice, CASE WHEN voice < 2 THEN 'en' ELSE 'de' END AS language FROM (SELECT unnest(range(5)) AS voice)),
+ own AS (SELECT voice, place, text FROM (SELECT voice, text, row_number() OVER (PARTITION BY voice ORDER BY score, reference) AS place FROM refs) WHERE place <= 2 AND voice IN (SELECT voice FROM voices WHERE language <> 'en')),
+ said AS (SELECT voice, place AS probe, text FROM own UNION ALL SELECT voice, place, text FROM voices JOIN probes USING (language) WHERE place <= 2),
+ best AS (SELECT voice, engine, reference, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY voice, engine ORDER BY duration BETWEEN lo - 1.5 AND hi + 3.0 DESC, score DESC, reference) AS n FROM refs, engines) WHERE n <= 3)
+ SELECT voice, engine, reference, rank, probe, text, (1233 + probe)::INT AS seed FROM best JOIN said USING (voice)""")
+def trials(spark, sf):
+    refs = reference_rows(spark, sf)
+    voices = spark.range(5).select(F.col("id").alias("voice"), F.when(F.col("id") < 2, "en").otherwise("de").alias("language"))
+    said = takes.probes(voices, refs, spark.createDataFrame(list(_PROBES), "language string, place int, text string"), 2)
+    return takes.trials(refs, takes.engines(spark), said, 3).select("voice", "engine", "reference", "rank", "probe", "text", F.col("seed").cast("int").alias("seed"))
+
+
+@query(f"WITH {TAKES}, x AS (SELECT voice, part, take, duration, coalesce(sum(duration) OVER (PARTITION BY voice ORDER BY part, take ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM takes) SELECT voice, part, take FROM x WHERE spent <= 300")
+def tune_budget(spark, sf):
+    return takes.within_budget(take_rows(spark, sf), ["voice"], ["part", "take"], "duration", 300.0).select("voice", "part", "take")
+
+
+CASES = r"""u AS (SELECT source AS speaker, doc_id AS id, text, 5.0::DOUBLE + doc_id % 13 AS duration FROM documents), ref AS (SELECT speaker, arg_min(id, (abs(duration - 10.5), id)) AS ref FROM u WHERE duration BETWEEN 8 AND 14 GROUP BY speaker),
+ f AS (SELECT u.*, id = ref AS is_ref, id <> ref AND len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) BETWEEN 12 AND 30 AS fit FROM u JOIN ref USING (speaker)), n AS (SELECT *, fit AND row_number() OVER (PARTITION BY speaker, fit ORDER BY id) <= 2 AS is_target FROM f),
+ cases AS (SELECT speaker, id, CASE WHEN is_ref THEN 'reference' WHEN is_target THEN 'target' WHEN sum((NOT is_ref AND NOT is_target)::INT) OVER (PARTITION BY speaker ORDER BY id) <= 20 THEN 'holdout' ELSE 'none' END AS role FROM n)"""
+
+
+def utterances(spark, sf):
+    return table(spark, sf, "documents").select(F.col("source").alias("speaker"), F.col("doc_id").alias("id"), "text", (5.0 + F.col("doc_id") % 13).alias("duration"))
+
+
+@query(f"WITH {CASES} SELECT speaker, id, role FROM cases")
+def bench_cases(spark, sf):
+    return reports.cases(utterances(spark, sf))
+
+
+@query(f"""WITH {CASES}, e AS (SELECT speaker, p, avg(x) AS m FROM (SELECT speaker, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM cases JOIN embeddings ON vec_id = id WHERE role = 'holdout') GROUP BY speaker, p), c AS (SELECT speaker, list(m ORDER BY p) AS m FROM e GROUP BY speaker),
+ k AS (SELECT speaker, count(*) AS n FROM cases JOIN embeddings ON vec_id = id WHERE role = 'holdout' GROUP BY speaker) SELECT speaker, n, list_transform(m, lambda x: round(x / (sqrt(list_inner_product(m, m)) + 1e-9), 6)) AS centroid FROM c JOIN k USING (speaker)""")
+def bench_centroids(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    return reports.held_out_centroids(utterances(spark, sf), e).select("speaker", "n", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+
+
+@query(f"WITH {TAKES} SELECT engine, count(*) AS n, round(avg(cer * 1.5), 6) AS wer, round(avg(cer), 6) AS cer, round(avg(similarity), 6) AS sim, round(min(similarity), 6) AS min_sim, round(median(rtf), 6) AS rtf FROM takes GROUP BY engine")
+def bench_summary(spark, sf):
+    x = reports.by_engine(take_rows(spark, sf).withColumns({"wer": F.col("cer") * 1.5, "sim": F.col("similarity")}))
+    return x.select("engine", "n", *[F.round(c, 6).alias(c) for c in ("wer", "cer", "sim", "min_sim", "rtf")])
+
+
 # --- consent ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LEDGER} SELECT voice, seq, ts, status, status IN ('verified', 'attested') AS usable FROM (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY seq DESC) AS n FROM ledger) WHERE n = 1")
+@query(f"WITH {LEDGER} SELECT voice, seq, ts, status, kind, match, refusal, refusal = '' AS usable FROM now")
 def consent_current(spark, sf):
-    return consent.current(ledger_rows(spark, sf)).select("voice", "seq", "ts", "status", "usable")
+    return consent.current(ledger_rows(spark, sf)).select("voice", "seq", "ts", "status", "kind", "match", "refusal", "usable")
 
 
 @query(f"WITH {LEDGER}, probes AS (SELECT user_id AS voice, ts AS at, event_id AS probe FROM events WHERE event_type = 'view') SELECT p.voice, p.probe, (SELECT l.status FROM ledger l WHERE l.voice = p.voice AND l.ts <= p.at ORDER BY l.ts DESC, l.seq DESC LIMIT 1) AS in_force FROM probes p")
 def consent_asof(spark, sf):
-    probes = table(spark, sf, "events").where("event_type = 'view'").selectExpr("user_id AS voice", "ts AS at", "event_id AS probe")
-    return consent.as_of(ledger_rows(spark, sf), probes).select("voice", "probe", "in_force")
+    return consent.as_of(ledger_rows(spark, sf), work_begun(spark, sf)).select("voice", "probe", "in_force")
 
 
-@query(f"""WITH {LEDGER}, now AS (SELECT voice, arg_max(status, seq) AS status FROM ledger GROUP BY voice)
- SELECT event_id, user_id AS voice FROM events WHERE event_type = 'view' AND user_id IN (SELECT voice FROM now WHERE status IN ('verified', 'attested'))""")
+@query(f"WITH {LEDGER} SELECT event_id, user_id AS voice FROM events WHERE event_type = 'view' AND user_id IN (SELECT voice FROM now WHERE refusal = '')")
 def consent_usable_semi(spark, sf):
     rows = table(spark, sf, "events").where("event_type = 'view'").selectExpr("event_id", "user_id AS voice")
     return consent.permitted(rows, ledger_rows(spark, sf)).select("event_id", "voice")
 
 
+def work_begun(spark, sf):
+    return table(spark, sf, "events").where("event_type = 'view'").selectExpr("user_id AS voice", "ts AS at", "event_id AS probe")
+
+
+@query(f"""WITH {LEDGER}, begun AS (SELECT user_id AS voice, ts AS at, event_id AS probe FROM events WHERE event_type = 'view'),
+ held AS (SELECT voice, probe, kind, created FROM (SELECT b.voice, b.probe, l.kind, l.created, row_number() OVER (PARTITION BY b.probe ORDER BY l.ts DESC NULLS LAST, l.seq DESC) AS n FROM begun b LEFT JOIN ledger l ON l.voice = b.voice AND l.ts <= b.at) WHERE n = 1)
+ SELECT h.voice, probe, CASE WHEN now.voice IS NULL THEN 'missing' WHEN refusal <> '' THEN refusal WHEN h.kind IS DISTINCT FROM now.kind OR h.created IS DISTINCT FROM now.created THEN 'consent changed' ELSE '' END AS problem FROM held h LEFT JOIN now USING (voice)""")
+def consent_unchanged(spark, sf):
+    ledger = ledger_rows(spark, sf)
+    return consent.unchanged(consent.as_of(ledger, work_begun(spark, sf)), ledger).select("voice", "probe", "problem")
+
+
 @query(f"WITH {LEDGER} SELECT voice, seq, previous, coalesce(previous = 'revoked', false) AS needs_override FROM (SELECT *, lag(status) OVER (PARTITION BY voice ORDER BY seq) AS previous FROM ledger) WHERE status = 'attested'")
 def attest_override(spark, sf):
     return consent.revocations(ledger_rows(spark, sf)).select("voice", "seq", "previous", "needs_override")
 
 
+@query(f"""WITH {LEDGER}, {ASKED} SELECT voice, coalesce(seq, 0) + 1 AS seq, 'pending' AS status, 'spoken' AS kind, 'I, ' || speaker || ', agree that a synthetic voice is made of my own. It can say what I never said, and I can take this back. My code is ' || lower(segment) || ' ' || (10 + c_custkey % 90) || '.' AS statement,
+ epoch_us(a.now + INTERVAL 14 DAYS) AS expires FROM asked a LEFT JOIN now USING (voice)""")
+def consent_request(spark, sf):
+    asked = asked_rows(spark, sf).withColumn("code", F.concat(F.lower("segment"), F.lit(" "), (10 + F.col("c_custkey") % 90).cast("string"))).withColumn("scope", F.lit("any"))
+    out = consent.appendable(consent.requested(asked, ledger_rows(spark, sf)))
+    return out.select("voice", "seq", "status", "kind", "statement", F.unix_micros(F.col("expires").cast("timestamp")).alias("expires"))
+
+
+@query(f"""WITH {LEDGER}, {ASKED}, m AS (SELECT voice, 2.0 + c_custkey % 9 AS seconds, c_custkey % 7 / 20.0 AS code_cer, c_custkey % 11 / 40.0 AS statement_cer, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 13 / 13.0 END AS heard FROM asked),
+ x AS (SELECT m.*, seq, status, match, CASE WHEN coalesce(kind, '') <> 'spoken' OR status = 'revoked' THEN 'request first' WHEN seconds < 4 THEN 'too short' WHEN code_cer > 0.25 THEN 'code not heard' WHEN statement_cer > 0.2 THEN 'statement not heard' WHEN heard < 0.45 THEN 'another speaker' ELSE '' END AS reason FROM m LEFT JOIN now USING (voice))
+ SELECT voice, coalesce(seq, 0) + 1 AS seq, CASE WHEN reason = '' THEN 'verified' ELSE status END AS status, round(coalesce(heard, match), 6) AS match, reason FROM x""")
+def consent_verify(spark, sf):
+    k = F.col("c_custkey")
+    measured = asked_rows(spark, sf).select("voice", "now", (2.0 + k % 9).alias("seconds"), (k % 7 / 20.0).alias("code_cer"), (k % 11 / 40.0).alias("statement_cer"), F.when(k % 5 > 0, k % 13 / 13.0).alias("match"))
+    return consent.verified(measured, ledger_rows(spark, sf)).select("voice", "seq", "status", F.round("match", 6).alias("match"), "reason")
+
+
+@query(f"""WITH {LEDGER}, {ASKED}, x AS (SELECT a.voice, seq, CASE WHEN c_custkey % 6 = 0 THEN ' ' ELSE 'Clerk ' || c_custkey % 6 END AS who, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 'letter' END AS evidence, c_custkey % 3 = 0 AS override, status AS previous FROM asked a LEFT JOIN now USING (voice))
+ SELECT voice, coalesce(seq, 0) + 1 AS seq, trim(who) AS attested_by, CASE WHEN trim(who) = '' THEN 'name missing' WHEN evidence IS NULL THEN 'evidence missing' WHEN previous = 'revoked' AND NOT override THEN 'revoked before' ELSE '' END AS reason FROM x""")
+def consent_attest(spark, sf):
+    k = F.col("c_custkey")
+    asked = asked_rows(spark, sf).select("voice", "now", "speaker", F.when(k % 6 == 0, " ").otherwise(F.concat(F.lit("Clerk "), (k % 6).cast("string"))).alias("by"), F.when(k % 10 != 0, "letter").alias("evidence"), F.lit("").alias("scope"), (k % 3 == 0).alias("override"))
+    return consent.attested(asked, ledger_rows(spark, sf)).select("voice", "seq", "attested_by", "reason")
+
+
+@query(f"WITH {LEDGER}, {ASKED} SELECT voice, seq + 1 AS seq, 'revoked' AS status, kind, round(match, 6) AS match, epoch_us(a.now) AS revoked_at FROM asked a JOIN now USING (voice)")
+def consent_revoke(spark, sf):
+    out = consent.appendable(consent.revoked(asked_rows(spark, sf).select("voice", "now"), ledger_rows(spark, sf)))
+    return out.select("voice", "seq", "status", "kind", F.round("match", 6).alias("match"), F.unix_micros(F.col("revoked_at").cast("timestamp")).alias("revoked_at"))
+
+
+@query(f"""WITH {LEDGER}, {CENTRED}, {ASKED}, s AS (SELECT vec_id + 1 AS voice, round(sim, 4) AS match FROM sims)
+ SELECT voice, seq + 1 AS seq, status, s.match, CASE WHEN status IN ('verified', 'attested') AND s.match < 0.45 THEN 'another speaker' WHEN status NOT IN ('verified', 'attested') THEN status ELSE '' END AS refusal FROM asked JOIN now USING (voice) JOIN s USING (voice) WHERE kind = 'spoken'""")
+def consent_rematch(spark, sf):
+    near = with_sim(spark, sf).select((F.col("vec_id") + 1).alias("voice"), F.col("sim").alias("match"))
+    out = consent.appendable(consent.matched(asked_rows(spark, sf).select("voice", "now").join(near, "voice"), ledger_rows(spark, sf)))
+    return consent.current(out).select("voice", "seq", "status", "match", "refusal")
+
+
+@query(f"WITH {LEDGER}, {ASKED} SELECT voice, coalesce(status, 'none') AS consent, CASE WHEN refusal = '' THEN 0 ELSE 4 END AS n_steps FROM asked LEFT JOIN now USING (voice)")
+def consent_steps(spark, sf):
+    return consent.steps(asked_rows(spark, sf), ledger_rows(spark, sf)).select("voice", "consent", F.size("steps").alias("n_steps"))
+
+
 # --- signals ---------------------------------------------------------------------------------------------------
 
 
@@ -487,9 +803,9 @@ def tag_parse(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r'<html lang="(\w+)"', 1).alias("lang"), files.is_url(F.col("url")).alias("is_url"))
 
 
-@query()
+@query(f"""WITH {TAKES} SELECT part, count(*)::INT AS n, to_json(struct_pack(part := part, attempts := list(struct_pack(take := take, ok := ok, q := round(q, 4), reason := reason) ORDER BY take)))::VARCHAR AS json FROM takes GROUP BY part""")
 def manifest_json(spark, sf):
-    return delivery.manifest(take_rows(spark, sf), ["part"], ["ok", "q", "reason"], "take")
+    return delivery.manifest(take_rows(spark, sf).withColumn("q", F.round("q", 4)), ["part"], ["ok", "q", "reason"], "take")
 
 
 @query(f"""WITH {CLIPS} SELECT vec_id, CASE WHEN NOT (snr_db / 40 >= 0.5 AND vec_id % 2 = 0) THEN 'watermark not found' WHEN NOT (vec_id % 3 > 0) THEN 'disclosure tags missing' WHEN NOT (-(vec_id % 4) <= -0.5) THEN 'too loud' ELSE '' END AS reason FROM clips""")
@@ -503,7 +819,8 @@ def delivery_gate(spark, sf):
 # --- joins of takes, listings, jobs ----------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, rounded AS (SELECT * REPLACE (round(score, 6) AS score) FROM scored), {_greedy('rounded', 'first', 16)}, survivors AS (SELECT sims.* FROM sims JOIN first USING (source, vec_id) WHERE vec_id % 3 <> 0),
+ {_scored('survivors', 's_')}, again AS (SELECT * REPLACE (round(score, 6) AS score) FROM s_scored), {_greedy('again', 'second', 8)} SELECT vec_id, source, score, chosen FROM second JOIN again USING (source, vec_id)""")
 def two_stage_shortlist(spark, sf):
     x = with_sim(spark, sf).withColumn("pos", F.col("vec_id"))
     return ranking.two_stage(x, ["source"], 8, F.col("vec_id") % 3 != 0).select("vec_id", "source", "score", "chosen")
@@ -531,8 +848,8 @@ def joined_takes(spark, sf):
     return x.select("render", "n_parts", F.size("samples").alias("n_samples"), F.round(signal.rms_db(F.col("samples")), 5).alias("rms_db"))
 
 
-@query(f"""WITH {LEDGER}, now AS (SELECT voice, arg_max(status, seq) AS status FROM ledger GROUP BY voice), refs AS (SELECT o_custkey AS voice, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
- SELECT c_custkey AS voice, c_name AS speaker, 'en' AS language, coalesce(status, 'none') AS consent, coalesce(status IN ('verified', 'attested'), false) AND coalesce(n, 0) > 0 AS ready, coalesce(n, 0) AS "references",
+@query(f"""WITH {LEDGER}, refs AS (SELECT o_custkey AS voice, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+ SELECT c_custkey AS voice, c_name AS speaker, 'en' AS language, coalesce(status, 'none') AS consent, coalesce(refusal = '', false) AND coalesce(n, 0) > 0 AS ready, coalesce(n, 0) AS "references",
  CASE WHEN c_custkey % 3 = 0 THEN 'sopro' END AS tuned_engine FROM customer LEFT JOIN now ON c_custkey = now.voice LEFT JOIN refs ON c_custkey = refs.voice""")
 def voice_listing(spark, sf):
     entities = table(spark, sf, "customer").selectExpr("c_custkey AS voice", "c_name AS speaker", "'en' AS language")
@@ -559,3 +876,68 @@ def job_queue(spark, sf):
 def job_states(spark, sf):
     status = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'queued' ELSE 'running' END AS status"
     return streams.jobs(table(spark, sf, "events").selectExpr("user_id * 40 + event_id % 40 AS job", "event_id AS seq", status, "concat('m', event_id) AS message"))
+
+
+# --- entities, outputs, scalars, ingest ------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN '_x' ELSE 'voice-' || c_custkey % 40 END AS voice, c_name AS speaker FROM customer), v AS (SELECT 'voice-' || n_nationkey AS voice FROM nation),
+ r AS (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY speaker) AS n FROM a) SELECT voice, speaker, CASE WHEN NOT regexp_matches(voice, '^[a-z0-9][a-z0-9_-]{0,62}$') THEN 'bad name' WHEN voice IN (SELECT voice FROM v) OR n > 1 THEN 'already exists' ELSE '' END AS problem FROM r""")
+def voice_creation(spark, sf):
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.col("c_name")).when(k % 5 == 1, "_x").otherwise(F.concat(F.lit("voice-"), (k % 40).cast("string")))
+    asked = table(spark, sf, "customer").select(name.alias("voice"), F.col("c_name").alias("speaker"), F.lit(None).cast("string").alias("language"), F.lit(0).alias("now"))
+    old = table(spark, sf, "nation").select(F.concat(F.lit("voice-"), F.col("n_nationkey").cast("string")).alias("voice"))
+    return entities.created(asked, old).select("voice", "speaker", "problem")
+
+
+@query("""SELECT page_id, '/out/' || CASE page_id % 6 WHEN 0 THEN page_id || '.wav' WHEN 1 THEN 'a/' || page_id || '.MP3' WHEN 2 THEN '' WHEN 3 THEN page_id || '.exe' WHEN 4 THEN 'b.c/' || page_id ELSE page_id || '.flac' END AS stem,
+ CASE page_id % 6 WHEN 2 THEN 'outside the outputs folder' WHEN 3 THEN 'unknown ending' WHEN 4 THEN 'unknown ending' ELSE CASE WHEN page_id % 12 < 2 THEN 'already exists' ELSE '' END END AS problem FROM pages""")
+def output_guard(spark, sf):
+    i = F.col("page_id")
+    n = i.cast("string")
+    path = F.element_at(F.array(F.concat(F.lit("x/../"), n, F.lit(".wav")), F.concat(F.lit("/out/./a//"), n, F.lit(".MP3")), F.concat(F.lit("../etc/"), n, F.lit(".wav")), F.concat(n, F.lit(".exe")), F.concat(F.lit("b.c/"), n), F.concat(n, F.lit(".flac"))), (i % 6 + 1).cast("int"))
+    pages = table(spark, sf, "pages").select("page_id", path.alias("path"))
+    old = pages.where(i % 12 < 2).select(F.when(i % 2 == 0, F.concat(F.lit("/out/"), n, F.lit(".wav"))).otherwise(F.concat(F.lit("/out/a/"), n, F.lit(entities.MANIFEST))).alias("path"))
+    out = entities.agent_outputs(pages, "/out", old)
+    return out.select("page_id", F.when(i % 6 == 2, "/out/").otherwise(F.col("path")).alias("stem"), "problem")
+
+
+@query(f"""WITH {CLIPS} SELECT vec_id, round(least(-16 - (-10.0 - vec_id % 20), -1.5 - (-(vec_id % 9))), 6) AS gain, (7 + 1000 * (vec_id % 4) + vec_id % 3)::BIGINT AS seed, round(duration / greatest(0.1, vec_id % 3), 6) AS rtf,
+ CASE WHEN vec_id % 2 = 0 THEN 'low' ELSE 'high' END AS pitch, strftime(TIMESTAMP '2024-01-31 22:00:00' + to_seconds(vec_id * 61), '%Y%m%d-%H%M%S') AS stamp FROM clips""")
+def small_rules(spark, sf):
+    i = F.col("vec_id")
+    chosen = scalars.options(F.lit("en"), F.create_map(F.lit("pitch"), F.lit("low")), F.lit(True), F.when(i % 2 == 1, F.create_map(F.lit("pitch"), F.lit("high"))))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-31 22:00:00")) + i * 61)
+    return clip_rows(spark, sf).select(
+        "vec_id", F.round(scalars.loudness_gain(-10.0 - i % 20, -(i % 9)), 6).alias("gain"), scalars.take_seed(F.lit(7), i % 4, i % 3).cast("long").alias("seed"),
+        F.round(scalars.real_time_factor(F.col("duration"), i % 3), 6).alias("rtf"), chosen["pitch"].alias("pitch"), scalars.stamp(at).alias("stamp"),
+    )
+
+
+@query(f"""WITH {CENTRED}, t AS (SELECT source, c AS target FROM centre), near AS (SELECT * EXCLUDE (sim), list_inner_product(emb::DOUBLE[], target) AS sim FROM sims JOIN t USING (source) WHERE duration >= 1.5),
+ cut AS (SELECT source, coalesce(greatest(0.5, median(sim) FILTER (sim >= 0.5) - 0.25), 0.5) AS cut FROM near GROUP BY source) SELECT source, count(*) AS n, count(*) FILTER (sim >= cut) AS kept, round(sum(duration) / 60, 2) AS minutes, round(coalesce(sum(duration) FILTER (sim >= cut), 0) / 60, 2) AS target_minutes FROM near JOIN cut USING (source) GROUP BY source""")
+def target_regions(spark, sf):
+    x = clip_rows(spark, sf).withColumn("voice", F.col("source"))
+    long = ingest.long_enough(x)
+    kept = ingest.of_target(long, vectors.centroids(x, ["voice"], "emb").select("voice", F.col("centroid").alias("target"))).select("vec_id", F.lit(True).alias("__kept"))
+    y = long.join(kept, "vec_id", "left").withColumn("__kept", F.coalesce("__kept", F.lit(False)))
+    n = y.groupBy("voice").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("__kept"), 1)).alias("kept"))
+    return ingest.minutes(y, ["voice"], minutes=F.lit(True), target_minutes=F.col("__kept")).join(n, "voice").withColumnRenamed("voice", "source")
+
+
+@query(f"""WITH {CENTRED}, near AS (SELECT * EXCLUDE (sim), list_inner_product(emb::DOUBLE[], c) AS sim FROM sims JOIN centre USING (source) WHERE clipping <= 0.001 AND bandwidth >= 6000 AND snr_db >= 18), med AS (SELECT source, median(sim) AS med_sim, median(snr_db) AS med_snr_db FROM near GROUP BY source),
+ mad AS (SELECT source, median(abs(sim - med_sim)) AS mad_sim, median(abs(snr_db - med_snr_db)) AS mad_snr_db FROM near JOIN med USING (source) GROUP BY source),
+ r AS (SELECT vec_id, source, duration, row_number() OVER (PARTITION BY source ORDER BY round(0.6 * ({_z('sim')}) + 0.4 * ({_z('snr_db')}), 6) DESC, start) AS place FROM near JOIN med USING (source) JOIN mad USING (source))
+ SELECT vec_id, source, place FROM (SELECT *, coalesce(sum(duration) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM r) WHERE spent < 60""")
+def transcription_shortlist(spark, sf):
+    x = clip_rows(spark, sf).withColumn("voice", F.col("source"))
+    return ingest.to_transcribe(x, vectors.centroids(x, ["voice"], "emb"), 60.0).select("vec_id", "source", "place")
+
+
+@query(f"""WITH {CENTRED}, x AS (SELECT sims.* EXCLUDE (sim), list_inner_product(emb::DOUBLE[], c) AS sim, CASE WHEN clipping > 0.001 THEN 'clipped' WHEN bandwidth < 6000 THEN 'low bandwidth' WHEN snr_db < 18 THEN 'noisy' WHEN confidence < 0.55 THEN 'unclear speech' WHEN f0_median <= 0 THEN 'no voiced speech' ELSE '' END AS reason FROM sims JOIN centre USING (source)),
+ good AS (SELECT * FROM x WHERE reason = '') SELECT source AS voice, count(*) AS clean_clips, round(sum(duration) / 60, 2) AS clean_minutes, round(median(f0_median), 1) AS f0_median, round(median(rate_wps), 3) AS rate_wps FROM good GROUP BY source""")
+def ingest_statistics(spark, sf):
+    x = clip_rows(spark, sf).withColumn("voice", F.col("source")).withColumn("f0_range_st", F.lit(3.0))
+    good = ingest.judged(x, vectors.centroids(x, ["voice"], "emb")).where("reason = ''")
+    return ingest.statistics(good).select("voice", "clean_clips", "clean_minutes", "f0_median", "rate_wps")

@@ -13,6 +13,7 @@ from ..operators import consent, gates
 # The formats that may be delivered, and the sentence every delivered file carries.
 FORMATS = ("wav", "flac", "mp3", "m4a", "ogg")
 DISCLOSURE = "This audio is synthetic speech."
+GENERATOR, WATERMARK, STAMP = "cadenza", "16-bit payload", "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def checked_format(name: str) -> str:
@@ -21,32 +22,63 @@ def checked_format(name: str) -> str:
     return name
 
 
-def disclosure_tags(voice: Column, engine: Column) -> Column:
-    said = F.concat(F.lit(DISCLOSURE + " Voice: "), voice, F.lit("."))
-    return F.create_map(F.lit("comment"), said, F.lit("description"), said, F.lit("encoded_by"), engine)
+def disclosure_tags(voice: Column, speaker: Column, kind: Column, engine: Column) -> Column:
+    """The tags of a delivered file, by the kind of its consent."""
+    basis = F.when(kind == "spoken", "spoken consent").otherwise("consent attested by the operator")
+    said = F.concat(F.lit(DISCLOSURE + " Voice of "), speaker, F.lit(", by "), basis, F.lit("."))
+    pairs = {
+        "comment": said, "description": F.lit(DISCLOSURE), "encoded_by": F.lit(GENERATOR), "ai_generated": F.lit("true"), "synthetic_voice": speaker,
+        "cadenza_voice": voice, "cadenza_engine": engine, "cadenza_consent": kind, "cadenza_watermark": F.lit(WATERMARK),
+    }
+    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
 
 
 def tags_ok(tags: Column) -> Column:
-    return F.coalesce(tags["comment"].contains(DISCLOSURE) & tags["description"].contains(DISCLOSURE), F.lit(False))
+    """The sentence stands in the comment or the description; not every container keeps both."""
+    return F.coalesce(F.concat_ws(" ", tags["comment"], tags["description"]).contains(DISCLOSURE), F.lit(False))
 
 
-def manifest(takes: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
-    """keys, n, json: one document per render, attempts in order."""
+def manifest(takes: DataFrame, keys: list[str], fields: list[str], order: str, created: Column | None = None) -> DataFrame:
+    """keys, n, json: one document per render, attempts in order; with `created`, also by what and when it was made."""
     each = takes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("attempts"))
-    return each.select(*keys, F.size("attempts").alias("n"), F.to_json(F.struct(*keys, "attempts")).alias("json"))
+    head = [] if created is None else [F.lit(GENERATOR).alias("generator"), F.date_format(created, STAMP).alias("created")]
+    return each.select(*keys, F.size("attempts").alias("n"), F.to_json(F.struct(*head, *keys, "attempts")).alias("json"))
+
+
+def write_documents(documents: DataFrame, target: str) -> None:
+    """JSON documents (json) as lines below `target`, staged and renamed, so that no reader sees half of them."""
+    spark = documents.sparkSession
+    fs, path = _files(spark, target)
+    stage = f"{target}.part-{uuid.uuid4().hex}"
+    try:
+        documents.select(F.col("json").alias("value")).write.text(stage)
+        old = f"{stage}.old"
+        if fs.exists(path(target)) and not fs.rename(path(target), path(old)):
+            raise OSError(f"could not put {target} aside")
+        if not fs.rename(path(stage), path(target)):
+            fs.rename(path(old), path(target))
+            raise OSError(f"could not rename to {target}")
+        fs.delete(path(old), True)
+    finally:
+        fs.delete(path(stage), True)
+
+
+def _files(spark: SparkSession, target: str):
+    jvm = spark.sparkContext._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def deliver(batch: DataFrame, ledger: Callable[[], DataFrame], target: str) -> None:
     """Writes a batch (voice, probability, payload, tags, true_peak, ...) all or nothing.
 
     The batch is staged; every staged row is verified; the ledger is read again; only then is the stage renamed to `target`, which
-    must not exist.  Whatever fails removes the stage.
+    must not exist.  Rows that name the grant they were made under (kind, created) are refused if it is another one by now.
+    Whatever fails removes the stage.
     """
     spark: SparkSession = batch.sparkSession
     stage = f"{target}.part-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = _files(spark, target)
     if fs.exists(path(target)):
         raise FileExistsError(target)
     try:
@@ -55,9 +87,12 @@ def deliver(batch: DataFrame, ledger: Callable[[], DataFrame], target: str) -> N
         bad = rows.withColumn("why", gates.delivery_reason(F.col("probability"), F.col("payload"), tags_ok(F.col("tags")), F.col("true_peak"))).where("why <> ''")
         if (first := bad.select("why").first()) is not None:
             raise ValueError(f"not delivered: {first['why']}")
-        usable = consent.current(ledger()).where("usable").select("voice")
+        now = ledger()
+        usable = consent.current(now).where("usable").select("voice")
         if rows.where("voice IS NULL").limit(1).count() or rows.join(usable, "voice", "left_anti").limit(1).count():
             raise PermissionError("not delivered: consent is missing or no longer usable")
+        if {"kind", "created"} <= set(rows.columns) and (other := consent.unchanged(rows, now).where("problem <> ''").select("problem").first()) is not None:
+            raise PermissionError(f"not delivered: {other['problem']}")
         if not fs.rename(path(stage), path(target)):
             raise OSError(f"could not rename to {target}")
     finally:

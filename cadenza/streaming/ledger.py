@@ -11,22 +11,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def states(stream: DataFrame) -> DataFrame:
-    """The latest (seq, status) of each voice out of appended records (voice, seq, status), in update mode.
+    """The latest (seq, status) of each voice out of appended records (voice, seq, status), in update mode, with the status before it.
 
-    No watermark: a late revocation is never dropped.  A record older than the state changes nothing.
+    `changed` tells a step from one status to another.  No watermark: a late revocation is never dropped.  A record older than
+    the state changes nothing.
     """
+    voice = stream.schema["voice"].dataType.simpleString()
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        seq, status = state.get if state.exists else (-1, "")
+        seq, status, previous = state.get if state.exists else (-1, "", "")
+        begun = status
         for pdf in batches:
-            last = pdf.loc[pdf["seq"].idxmax()]
-            if last["seq"] > seq:
-                seq, status = int(last["seq"]), str(last["status"])
-        state.update((seq, status))
-        yield pd.DataFrame({"voice": [key[0]], "seq": [seq], "status": [status]})
-
-    schema = "voice long, seq long, status string"
-    return stream.groupBy("voice").applyInPandasWithState(update, schema, "seq long, status string", "update", GroupStateTimeout.NoTimeout)
+            for row in pdf.sort_values("seq").itertuples():
+                if row.seq > seq:
+                    seq, status, previous = int(row.seq), str(row.status), status
+        state.update((seq, status, previous))
+        yield pd.DataFrame({"voice": [key[0]], "seq": [seq], "status": [status], "previous": [previous], "changed": [status != begun]})
+
+    schema = f"voice {voice}, seq long, status string, previous string, changed boolean"
+    return stream.groupBy("voice").applyInPandasWithState(update, schema, "seq long, status string, previous string", "update", GroupStateTimeout.NoTimeout)
+
+
+def regions(frames: DataFrame, keys: list[str], ts: str, probability: str, threshold: float = 0.5, silence: str = "300 milliseconds", watermark: str | None = None) -> DataFrame:
+    """keys, opened, closed, n: regions of speech out of frames; silence of a length closes one, the stream's end flushes the last."""
+    return sessions(frames.where(F.col(probability) >= threshold), keys, ts, silence, watermark)
 
 
 def jobs(records: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -93,9 +94,16 @@ def test_diverse_top_and_clusters(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>, duration double")
     pairs = ranking.similar_pairs(df, "id", "v", 0.5, block=4)
     assert pairs.count() == 14 * 13 // 2 + 5 * 4 // 2
-    clusters = ranking.density_clusters(df.select("id", "duration"), pairs)
+    clusters = ranking.density_clusters(df, "v", 0.5)
     assert sorted(r["count"] for r in clusters.groupBy("cluster").count().collect()) == [5, 14]
     assert ranking.dominant(clusters, df).first()["dominant"]
+    sums = {r["id"]: r["d"] for r in ranking.densities(df, 0.5, block=4).collect()}
+    assert sums == {i: 8.0 * (14 if i < 14 else 5) for i in range(19)}
+    # fewer than three rows: one cluster if alike, else each its own
+    of = lambda *ids: sorted((r["cluster"], r["id"]) for r in ranking.density_clusters(df.where(F.col("id").isin(*ids)), "v", 0.5).collect())
+    assert of(3) == [(1, 3)] and of(2, 5) == [(1, 2), (1, 5)] and of(5, 16) == [(1, 5), (2, 16)] and of(99) == []
+    one = df.where("id = 3")
+    assert ranking.dominant(ranking.density_clusters(one, "v", 0.5), one).first()["dominant"]
 
 
 def test_robust_scores_and_budget(spark):
@@ -126,13 +134,15 @@ def test_gates_and_consent(spark, tmp_path):
 
 def test_tags_and_sidecars(spark, tmp_path):
     banner = "Input #0, ogg\n  Metadata:\n    COMMENT         : first\n                    : second\n    title           : T\n  Duration: 00:01:02.50, start\n    Metadata:\n      title           : other\n      artist          : A\nOutput #0\n  Metadata:\n    album : no"
-    x = spark.createDataFrame([(banner, "title=a\\=b\n;note\nTitle=again\nartist=C\;D")], "b string, m string")
+    x = spark.createDataFrame([(banner, "title=a\\=b\n;note\n[STREAM]\nTitle= again \nartist=C\\;D \\#\nno tag\n#x=1")], "b string, m string")
     r = x.select(files.banner_tags(F.col("b")).alias("b"), files.metadata_tags(F.col("m")).alias("m"), gates.probe(F.col("b")).alias("p")).first()
-    assert r["b"]["comment"] == "first\nsecond" and r["b"]["title"] == "T" and "album" not in r["b"]
-    assert r["m"] == {"title": "a=b", "artist": "C;D"} and r["p"]["duration"] == 62.5
+    assert r["b"] == {"comment": "first\nsecond", "title": "T", "artist": "A"}
+    assert r["m"] == {"title": "again", "artist": "C;D \\#", "#x": "1"} and r["p"]["duration"] == 62.5
     (tmp_path / "a.WAV").write_bytes(b"x")
     (tmp_path / "a.json").write_text("{}")
-    assert [r["name"] for r in files.media_manifest(spark, str(tmp_path)).collect()] == ["a.WAV"]
+    (tmp_path / "B.ogg").write_bytes(b"y")
+    got = files.media_manifest(spark, str(tmp_path)).orderBy("path").collect()
+    assert [(r["path"], r["sha256"], r["length"]) for r in got] == [("000-B.ogg", hashlib.sha256(b"y").hexdigest(), 1), ("001-a.WAV", hashlib.sha256(b"x").hexdigest(), 1)]
 
 
 def test_stream_of_the_ledger_equals_the_table(spark, tmp_path):
