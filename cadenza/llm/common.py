@@ -51,9 +51,11 @@ def globally_indexed(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Adds the row's 0-based place in the order of `keys`, without one task seeing all rows.
 
     Rows are range-partitioned and sorted, numbered inside their partition, and the partitions' sizes are summed
-    up; only those sizes, one row per partition, meet in one place.  `keys` should order rows totally, or
-    equal rows take their places in any order.
+    up; only those sizes, one row per partition, meet in one place.  Rows with equal keys are told apart by a hash of
+    their columns, so many of them (null keys, say) don't all fall to one partition; rows equal in all take any order.
     """
+    plain = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys = [*keys, F.xxhash64(*plain)]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranged = cut(ranged.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__at", 33)
