@@ -153,7 +153,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+def words_sql(text: str) -> str:
+    return rf"list_filter(string_split_regex(translate(coalesce({text}, ''), '{common.UPPER}', '{common.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+_WORDS = words_sql("text")
 OP8_SQL = rf"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark
 ), windows AS (

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .decontaminate import words_of
+from .decontaminate import words_of, words_sql
 
 #: Names and wording of licence notices.
 TEMPLATES = {
@@ -172,4 +172,31 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(as_files(common.table(spark, sf_dir, "documents")))
+    out = scan(as_files(common.table(spark, sf_dir, "documents")))
+    return out.withColumn("own_score", F.round("own_score", 6))
+
+
+_NAMES = [name for name, _ in wordings()]
+_FILE = r"regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying)(\.\w+)?$')"
+OP10_SQL = rf"""
+WITH files AS (
+  SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE' WHEN doc_id % 100 = 0 THEN sub || '/LICENSE' ELSE sub || '/f' || doc_id || '.txt' END AS path
+  FROM (SELECT *, '/' || source || '/d' || doc_id // 1000 AS top, '/' || source || '/d' || doc_id // 1000 || '/s' || doc_id // 100 AS sub FROM documents)
+), df AS (SELECT word, ln((SELECT count(*) + 1.0 FROM files) / (count(*) + 1.0)) + 1 AS idf FROM (SELECT unnest(list_distinct({words_sql("text")})) AS word FROM files) GROUP BY word
+), raw(k, word, tf) AS (VALUES {", ".join(f"({k}, '{w}', {n})" for k, w, n in template_words())}
+), weighed AS (SELECT k, raw.word, tf * coalesce(idf, ln((SELECT count(*) + 1.0 FROM files)) + 1) AS v FROM raw LEFT JOIN df USING (word)
+), templates AS (SELECT k, {_NAMES}[k + 1] AS template, word, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS v FROM weighed
+), split AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS l FROM files WHERE text IS NOT NULL
+), parts AS (
+  SELECT doc_id, path, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (
+    SELECT doc_id, path, CASE WHEN {_FILE} AND len(l) > 1 THEN list_concat(l, list_transform(list_zip(l[1:len(l) - 1], l[2:]), lambda x: x[1] || ' ' || x[2]), [text]) ELSE l END AS p FROM split)
+), counted AS (SELECT doc_id, path, pos, word, count(*) AS tf FROM (SELECT doc_id, path, pos, unnest({words_sql("line")}) AS word FROM parts) GROUP BY ALL
+), sized AS (SELECT *, tf * idf AS size, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id, path, pos)) AS norm FROM counted JOIN df USING (word)
+), scores AS (SELECT doc_id, path, template, round(sum(size * v) / any_value(norm), 9) AS score FROM sized JOIN templates USING (word) GROUP BY doc_id, path, pos, k, template HAVING round(sum(size * v) / any_value(norm), 9) >= {THRESHOLD}
+), own AS (SELECT doc_id, path, max(score) AS score, arg_min(template, (-score, template)) AS template FROM scores GROUP BY doc_id, path
+), said AS (SELECT regexp_replace(path, '/[^/]*$', '') AS above, arg_min(template, (-score, template, path)) AS licence FROM own WHERE {_FILE} GROUP BY ALL
+), dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files
+), near AS (SELECT dir, arg_max(licence, length(above)) AS licence, arg_max(above, length(above)) AS above FROM dirs JOIN said ON dir = above OR starts_with(dir, above || '/') GROUP BY dir)
+SELECT f.doc_id, f.path, o.template AS own_licence, round(o.score, 6) AS own_score, coalesce(o.template, n.licence) AS licence, CASE WHEN o.template IS NULL THEN n.above END AS from_dir
+FROM files f LEFT JOIN own o USING (doc_id, path) LEFT JOIN near n ON n.dir = regexp_replace(f.path, '/[^/]*$', '')
+"""

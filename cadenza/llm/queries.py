@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op1_url_rules": url_rules.OP1_SQL,
+    "op3_quotes": quotes.OP3_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op10_licences": licences.OP10_SQL,
 }

@@ -125,3 +125,39 @@ def as_mail(turns: DataFrame) -> DataFrame:
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(as_mail(common.table(spark, sf_dir, "conversations")), by_line=True)
+
+
+def _line_sql(x: str) -> str:
+    return rf"length(regexp_replace(regexp_extract({x}, '^(?:[ \t]*>)+'), '[^>]', '', 'g'))"
+
+
+def _normal_sql(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE c AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations
+), b AS (SELECT conv_id, turn, min(text) AS t FROM c WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), x AS (SELECT c.*, string_split(b1.t, chr(10)) AS l1, string_split(b2.t, chr(10)) AS l2, (c.conv_id + c.turn) % 4 AS kind FROM c
+  LEFT JOIN b b1 ON b1.conv_id = c.conv_id AND b1.turn = c.turn - 1 LEFT JOIN b b2 ON b2.conv_id = c.conv_id AND b2.turn = c.turn - 2
+), y AS (SELECT *, CASE kind WHEN 1 THEN list_transform(l1, lambda v: '> ' || v) WHEN 2 THEN CASE WHEN len(l1) > 1 THEN list_transform(l1[1 : len(l1) - 1], lambda v: '> ' || v) END
+  WHEN 3 THEN list_concat(list_transform(l2, lambda v: '> > ' || v), list_transform(l1, lambda v: '> ' || v)) END AS quoted FROM x
+), m AS (SELECT id, conv_id, turn, role, CASE WHEN text IS NOT NULL AND len(quoted) > 0 THEN array_to_string(quoted, chr(10)) || chr(10) || text ELSE text END AS text FROM y
+), n AS (SELECT id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS i FROM m
+), lv AS (SELECT id, i, line, {_line_sql('line')} AS level, regexp_replace(line, '^(?:[ \t]*>)+', '') AS bare, regexp_matches(line, '^(?:[ \t]*>)+') AS is_quote FROM n
+), st AS (SELECT *, coalesce((level <> lag(level) OVER (PARTITION BY id ORDER BY i))::INT, 1) AS fresh FROM lv
+), rn AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY i) AS run FROM st
+), keyed AS (SELECT id, conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL
+), w AS (SELECT id, run, any_value(level) AS level, count(*) AS n_lines, {_normal_sql("string_agg(bare, ' ' ORDER BY i)")} AS body FROM rn GROUP BY id, run
+), p AS MATERIALIZED (SELECT k.conv_id, k.turn, q.* FROM keyed k JOIN (SELECT id, run, false AS alone, level, body FROM w UNION ALL SELECT rn.id, rn.run, true, rn.level, {_normal_sql('bare')} FROM rn JOIN w USING (id, run) WHERE n_lines > 1) q USING (id) WHERE body <> ''
+), origins AS MATERIALIZED (SELECT conv_id, body, min(turn) AS origin FROM p WHERE level = 0 GROUP BY ALL
+), whole AS MATERIALIZED (SELECT p.*, origin FROM p JOIN origins USING (conv_id, body) WHERE level > 0 AND NOT alone AND origin < turn
+), votes AS (SELECT * FROM whole UNION ALL SELECT p.*, origin FROM p JOIN origins USING (conv_id, body) WHERE level > 0 AND alone AND origin < turn AND (id, run) NOT IN (SELECT (id, run) FROM whole)
+), per AS (SELECT conv_id, turn, origin, sum(length(body)) AS chars, min(level) AS level FROM votes GROUP BY ALL
+), parents AS MATERIALIZED (SELECT conv_id, turn, arg_max(origin, (chars, -level, origin)) AS parent_turn FROM per GROUP BY ALL
+), walk AS (SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM parents UNION ALL SELECT w.conv_id, w.turn, r.parent_turn, w.depth + 1 FROM walk w JOIN parents r ON r.conv_id = w.conv_id AND r.turn = w.root_turn
+), roots AS (SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM walk GROUP BY ALL
+), own AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_quote), '') AS text, count(*) FILTER (is_quote) AS n_quoted_lines, max(level) AS max_level FROM rn GROUP BY id
+), o AS (SELECT m.conv_id, m.turn, m.role, own.text, n_quoted_lines::INT AS n_quoted_lines, max_level::INT AS max_level, parent_turn, coalesce(root_turn, m.turn) AS root_turn, coalesce(depth, 0)::INT AS depth FROM m JOIN own USING (id) LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn))
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn, turn) - 1 AS position FROM o
+"""
