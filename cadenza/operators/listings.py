@@ -57,3 +57,37 @@ def queue(jobs: DataFrame, machine: list[str], arrive: str, took: str, order: li
 def lookup(asked: DataFrame, jobs: DataFrame) -> DataFrame:
     """job, status (unknown if there is none), error."""
     return asked.select("job").join(jobs.select("job", "status", "error"), "job", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
+def gpus(listing: Column) -> Column:
+    """name and memory (GB) of each line `name, megabytes` of a driver's listing; memory is null where it is no number."""
+    lines = F.filter(F.split(listing, r"\r?\n"), lambda x: x.contains(","))
+    part = lambda x, k: F.trim(F.get(F.split(x, ","), F.lit(k)))
+    return F.transform(lines, lambda x: F.struct(part(x, 0).alias("name"), F.round(part(x, 1).try_cast("double") / 1024, 1).alias("memory_gb")))
+
+
+# Gigabytes that should be free, and the load (per cent) from which speeds suffer.
+FREE_GB, BUSY = 10.0, 50.0
+
+
+def machine_checks(machines: DataFrame) -> DataFrame:
+    """machine, position, check, ok (null: for information only), detail, fix.
+
+    machines: machine, free_gb, busy, missing (encoders and filters not there; null: no tool at all), models and ready
+    (names), families (installed), gpu and gpu_usable.
+    """
+    row = lambda name, ok, detail, fix: F.struct(F.lit(name).alias("check") if isinstance(name, str) else name.alias("check"), ok.cast("boolean").alias("ok"), detail.alias("detail"), F.when(~ok, fix).otherwise("").alias("fix"))
+    info, said = F.lit(None).cast("boolean"), F.format_string
+    gone = F.array_join("missing", ", ")
+    fixed = F.array(
+        row("disk", F.col("free_gb") >= FREE_GB, said("%.0f GB free", F.col("free_gb")), "free some space"),
+        row("media tool", F.coalesce(F.size("missing") == 0, F.lit(False)), F.when(F.col("missing").isNull(), "not found").when(F.size("missing") > 0, F.concat(F.lit("missing: "), gone)).otherwise("complete"), "install a complete build"),
+    )
+    load = F.when(F.col("busy") > BUSY, F.array(row("load", info, said("%.0f%% busy, so speeds are low", F.col("busy")), "")))
+    models = F.transform("models", lambda m: row(F.concat(F.lit("model "), m), F.when(F.array_contains("ready", m), True), F.when(F.array_contains("ready", m), "ready").otherwise("comes with its first use"), ""))
+    idle = F.col("gpu") & ~F.col("gpu_usable")
+    engines_ = F.transform("families", lambda f: row(F.concat(F.lit("engine "), f), ~idle, F.when(idle, "installed, but can't use the GPU").otherwise("installed"), "install it again"))
+    none = F.when(F.size("families") == 0, F.array(row("engines", F.lit(False), F.lit("none installed"), "install one")))
+    nothing = F.slice(fixed, 1, 0)
+    every = F.concat(fixed, F.coalesce(load, nothing), models, engines_, F.coalesce(none, nothing))
+    return machines.select("machine", F.posexplode(every).alias("position", "c")).select("machine", "position", "c.*")

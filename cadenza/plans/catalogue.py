@@ -941,3 +941,42 @@ def ingest_statistics(spark, sf):
     x = clip_rows(spark, sf).withColumn("voice", F.col("source")).withColumn("f0_range_st", F.lit(3.0))
     good = ingest.judged(x, vectors.centroids(x, ["voice"], "emb")).where("reason = ''")
     return ingest.statistics(good).select("voice", "clean_clips", "clean_minutes", "f0_median", "rate_wps")
+
+
+@query("""WITH m AS (SELECT s_suppkey AS machine, s_suppkey % 25 AS free, s_suppkey % 90 AS busy, s_suppkey % 4 AS tool, s_suppkey % 3 AS n, s_suppkey % 5 = 0 AS idle FROM supplier),
+ r AS (SELECT machine, 0 AS position, 'disk' AS "check", free >= 10 AS ok, free || ' GB free' AS detail, CASE WHEN free < 10 THEN 'free some space' ELSE '' END AS fix FROM m
+ UNION ALL SELECT machine, 1, 'media tool', tool < 2, CASE tool WHEN 3 THEN 'not found' WHEN 2 THEN 'missing: aac, flac' ELSE 'complete' END, CASE WHEN tool < 2 THEN '' ELSE 'install a complete build' END FROM m
+ UNION ALL SELECT machine, 2, 'load', NULL, busy || '% busy, so speeds are low', '' FROM m WHERE busy > 50
+ UNION ALL SELECT machine, 3, 'model asr', true, 'ready', '' FROM m UNION ALL SELECT machine, 4, 'model vad', NULL, 'comes with its first use', '' FROM m
+ UNION ALL SELECT machine, 5, 'engine qwen3', NOT idle, CASE WHEN idle THEN 'installed, but can''t use the GPU' ELSE 'installed' END, CASE WHEN idle THEN 'install it again' ELSE '' END FROM m WHERE n > 0
+ UNION ALL SELECT machine, 6, 'engine sopro', NOT idle, CASE WHEN idle THEN 'installed, but can''t use the GPU' ELSE 'installed' END, CASE WHEN idle THEN 'install it again' ELSE '' END FROM m WHERE n > 1
+ UNION ALL SELECT machine, 7, 'engines', false, 'none installed', 'install one' FROM m WHERE n = 0)
+ SELECT machine, (row_number() OVER (PARTITION BY machine ORDER BY position) - 1)::INT AS position, "check", ok, detail, fix FROM r""")
+def machine_checks(spark, sf):
+    k = F.col("s_suppkey")
+    missing = F.when(k % 4 < 2, F.array().cast("array<string>")).when(k % 4 == 2, F.array(F.lit("aac"), F.lit("flac")))
+    x = table(spark, sf, "supplier").select(
+        k.alias("machine"), (k % 25).cast("double").alias("free_gb"), (k % 90).cast("double").alias("busy"), missing.alias("missing"), F.array(F.lit("asr"), F.lit("vad")).alias("models"), F.array(F.lit("asr")).alias("ready"),
+        F.slice(F.array(F.lit("qwen3"), F.lit("sopro")), F.lit(1), (k % 3).cast("int")).alias("families"), (k % 5 == 0).alias("gpu"), F.lit(False).alias("gpu_usable"),
+    )
+    return listings.machine_checks(x)
+
+
+@query("""SELECT vec_id, (vec_id % 8 * 4)::INT AS first, list_transform(embedding[vec_id % 8 * 4 + 1 : vec_id % 8 * 4 + 8], lambda x: round(x::DOUBLE, 6)) AS samples FROM embeddings""")
+def source_segments(spark, sf):
+    sources = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source"), F.col("embedding").alias("samples"), F.lit(8).alias("sr"))
+    asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source"), (F.col("vec_id") % 8 / 2.0).alias("begin"), (F.col("vec_id") % 8 / 2.0 + 1.0).alias("end"))
+    out = files.segments(asked, sources)
+    return out.select(F.col("source").alias("vec_id"), (F.col("begin") * 8).cast("int").alias("first"), F.transform("samples", lambda x: F.round(x.cast("double"), 6)).alias("samples"))
+
+
+@query("""WITH f AS (SELECT vec_id, k, list_sum(list_transform(embedding[k * 8 + 1 : k * 8 + 16]::DOUBLE[], lambda x: x * x)) / 16 AS e FROM (SELECT *, unnest(range(7)) AS k FROM embeddings)) SELECT vec_id, k::INT AS k, round(20 * log10(greatest(1e-12, sqrt(e))), 5) AS db FROM f""")
+def sliding_levels(spark, sf):
+    frames = signal.sliding_frames(F.col("embedding").cast("array<double>"), 16, 8)
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(frames).alias("k", "x")).select("vec_id", "k", F.round(signal.rms_db(F.col("x")), 5).alias("db"))
+
+
+@query("SELECT 'url' AS kind, origin, count(*) AS taken, min(path) AS first FROM (SELECT s_nationkey AS origin, s_suppkey || '.ogg' AS path, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier) WHERE n <= 25 GROUP BY origin")
+def downloads(spark, sf):
+    x = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("origin"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".ogg")).alias("path"), F.lit("x").alias("sha256"), F.lit('{"title": "t"}').alias("json"), F.col("s_suppkey").alias("position"))
+    return files.sidecar_rows(x).groupBy("kind", "origin").agg(F.count(F.lit(1)).alias("taken"), F.min("path").alias("first"))

@@ -63,6 +63,11 @@ def write_documents(documents: DataFrame, target: str) -> None:
         fs.delete(path(stage), True)
 
 
+def write_bank(references: DataFrame, path: str) -> None:
+    """Rewrites the references of the voices given, a partition each; those of other voices stay."""
+    references.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("voice").parquet(path)
+
+
 def _files(spark: SparkSession, target: str):
     jvm = spark.sparkContext._jvm
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)

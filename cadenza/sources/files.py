@@ -130,3 +130,14 @@ def loudness(summary: Column) -> Column:
     last = F.element_at(F.split(summary, "Summary:"), -1)
     number = lambda p: F.nullif(F.regexp_extract(last, p, 1), F.lit("")).try_cast("double")
     return F.struct(number(r"\bI:\s*(-?inf|-?[\d.]+) LUFS").alias("integrated"), number(r"Peak:\s*(-?inf|-?[\d.]+) dBFS").alias("true_peak"))
+
+
+def segments(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """Asked stretches (source, begin, end in seconds) with their samples out of decoded sources (source, samples, sr).
+
+    Sources that are asked for often may be persisted (memory and disk); what doesn't fit is read again, not held.
+    """
+    at = lambda c: F.floor(F.col(c) * F.col("sr")).cast("int")
+    x = asked.join(sources, "source")
+    cut = F.slice("samples", at("begin") + 1, F.greatest(at("end") - at("begin"), F.lit(0)))
+    return x.withColumn("samples", cut)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import providers, scalars
-from cadenza.operators import consent, entities, ingest, reports, takes
+from cadenza.operators import consent, entities, ingest, listings, reports, takes
 from cadenza.sources import delivery, files
 from cadenza.streaming import ledger as streams
 
@@ -258,3 +258,38 @@ def test_ledger_stream_tells_transitions(spark, tmp_path):
     assert ("b", 1, "attested", "", True) in got and max(r for r in got if r[0] == "a")[:3] == ("a", 3, "revoked")
     regions = streams.regions(spark.createDataFrame([("s", NOW + datetime.timedelta(milliseconds=m), 0.9 if m != 900 else 0.1) for m in (0, 100, 200, 900, 1000, 1100)], "source string, at timestamp, p double"), ["source"], "at", "p")
     assert sorted((r["opened"], r["n"]) for r in regions.collect()) == [(NOW, 3), (NOW + datetime.timedelta(seconds=1), 2)]
+
+
+def test_bank_rewrites_only_the_voices_given(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "voice string, id string")
+    delivery.write_bank(rows(("a", "ref01"), ("a", "ref02"), ("b", "ref01")), f"{tmp_path}/bank")
+    delivery.write_bank(rows(("a", "ref09")), f"{tmp_path}/bank")
+    assert sorted((r["voice"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/bank").collect()) == [("a", "ref09"), ("b", "ref01")]
+
+
+def test_listings_of_gpus_sidecars_histories_and_vectors(spark, tmp_path):
+    got = spark.range(1).select(listings.gpus(F.lit("Card A, 24576\nCard B, [N/A]\nnothing")).alias("g")).first()["g"]
+    assert [tuple(x) for x in got] == [("Card A", 24.0), ("Card B", None)]
+    names = spark.createDataFrame([("a.ogg",), ("b.ogg",)], "name string")
+    sides = spark.createDataFrame([("a", '{"title": "T", "duration": 3.5, "other": 1}')], "stem string, json string")
+    assert {r["name"]: (r["title"], r["duration"]) for r in files.with_sidecars(names, sides).collect()} == {"a.ogg": ("T", 3.5), "b.ogg": (None, None)}
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "x.jsonl").write_text('{"voice": "a", "at": "2025-01-01T00:00:00Z", "kind": "spoken", "status": "pending"}\n{"voice": "a", "at": "2025-01-02T00:00:00Z", "kind": "spoken", "status": "verified", "speaker_match": 0.3}\n')
+    now = consent.current(files.history(spark, f"{tmp_path}/h")).first()
+    assert (now["seq"], now["status"], now["refusal"]) == (2, "verified", "another speaker")
+    spark.createDataFrame([("a", [1.0], None), ("b", [2.0], [3.0])], "voice string, centroid array<float>, holdout array<float>").write.parquet(f"{tmp_path}/v")
+    assert {r["voice"]: (r["holdout"], r["anchor"]) for r in files.centroid_rows(spark, f"{tmp_path}/v").collect()} == {"a": ([1.0], None), "b": ([3.0], None)}
+    (tmp_path / "t.txt").write_text("k1 HELLO THERE\n\nk2 x\n")
+    assert sorted(map(tuple, files.transcripts(spark, f"{tmp_path}/t.txt").collect())) == [("k1", "Hello there"), ("k2", "X")]
+    log = "x\nSummary:\n I: -9.0 LUFS\nSummary:\n\n  I:         -23.4 LUFS\n  LRA: 1.0 LU\n  Peak:       -inf dBFS"
+    x = spark.range(1).select(files.loudness(F.lit(log)).alias("l")).first()["l"]
+    assert (x["integrated"], x["true_peak"]) == (-23.4, float("-inf"))
+
+
+def test_entities_read_strictly_or_leniently(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"id": "r",\n "duration": 2.5}')
+    (tmp_path / "bad.json").write_text('{"id": ')
+    read = lambda strict: sorted(r["id"] for r in files.entities(spark, str(tmp_path), files.REFERENCE, strict).collect())
+    assert read(False) == ["r"]
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        read(True)
