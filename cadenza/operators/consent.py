@@ -8,6 +8,8 @@ named person and evidence; they return the records to append, with a reason wher
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -113,6 +115,12 @@ def statement(speaker: Column, code: Column) -> Column:
     return F.format_string("I, %s, agree that a synthetic voice is made of my own. It can say what I never said, and I can take this back. My code is %s.", speaker, code)
 
 
+def new_code(words: list[str]) -> str:
+    """Three words and a number from 10 to 99, drawn for one request; never from anything that can be guessed."""
+    draw = secrets.SystemRandom()
+    return " ".join([*(draw.choice(words) for _ in range(3)), str(draw.randint(10, 99))])
+
+
 def requested(asked: DataFrame, ledger: DataFrame) -> DataFrame:
     """Pending records for asked (voice, now, speaker, code, scope); the code is drawn by the caller."""
     rows = _beside(asked, ledger)

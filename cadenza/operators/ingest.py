@@ -18,6 +18,11 @@ class NothingLeft(ValueError):
     """A step of ingest that leaves nothing to go on with."""
 
 
+def region_features(samples: Column, sr: Column, embedding: Column) -> Column:
+    """What is measured of a region before anything is transcribed: its voice and three signal checks."""
+    return F.struct(embedding.alias("emb"), signal.clipping_ratio(samples, 0.99).alias("clipping"), signal.snr_db(samples, 320).alias("snr_db"), signal.bandwidth_hz(samples, sr).alias("bandwidth"))
+
+
 def features(samples: Column, sr: Column, embedding: Column, words: Column, speech_seconds: Column) -> Column:
     """All measures of a clip as one struct; what needs a Fourier transform runs in Arrow batches."""
     x = signal.prosody(samples, sr)

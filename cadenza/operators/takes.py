@@ -261,9 +261,11 @@ def tournament(takes: DataFrame) -> DataFrame:
     return rows.withColumn("winner", F.row_number().over(W.partitionBy("voice").orderBy(*tie)) == 1)
 
 
-def fast_pick(tried: DataFrame, slack: float = 0.04) -> DataFrame:
-    """Per voice: the cheapest combination within `slack` of the best similarity; rows that mostly fail don't count."""
+def fast_pick(tried: DataFrame, slack: float = 0.04, there: DataFrame | None = None) -> DataFrame:
+    """Per voice: the cheapest combination within `slack` of the best similarity; rows that mostly fail don't count, nor engines that are not `there`."""
     x = tried.where(F.coalesce("pass_rate", F.lit(0.0)) >= 0.5)
+    if there is not None:
+        x = x.join(F.broadcast(there.select("engine").distinct()), "engine", "left_semi")
     x = x.withColumn("__best", F.max("similarity").over(W.partitionBy("voice"))).where(F.round("similarity", 9) >= F.round(F.col("__best") - slack, 9))
     return x.withColumn("__n", F.row_number().over(W.partitionBy("voice").orderBy(F.round(F.coalesce("rtf", F.lit(99.0)), 9), "engine", "reference"))).where("__n = 1").drop("__best", "__n")
 

@@ -15,6 +15,7 @@ from ..functions import scalars, signal, text, vectors
 from ..operators import consent, entities, gates, ingest, listings, ranking, reports, seams, segment, takes
 from ..sources import delivery, files
 from ..streaming import ledger as streams
+from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -645,6 +646,19 @@ def trials(spark, sf):
     return takes.trials(refs, takes.engines(spark), said, 3).select("voice", "engine", "reference", "rank", "probe", "text", F.col("seed").cast("int").alias("seed"))
 
 
+@query(f"""WITH {LEDGER}, {TRIED}, r AS (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY pass_rate >= 0.5 DESC, round(q, 9) DESC, round(similarity, 9) DESC, engine, reference) AS n FROM tried WHERE voice IN (SELECT voice FROM now WHERE refusal = ''))
+ SELECT voice, engine, reference, round(q, 4) AS score, round(similarity, 4) AS similarity, round(cer, 4) AS cer, round(rtf, 2) AS rtf FROM r WHERE n = 1""")
+def tuned_voices(spark, sf):
+    x = take_rows(spark, sf).withColumn("sim_norm", takes.sim_norm(F.col("similarity"), F.lit(0.8)))
+    return flows.tune(x, ledger_rows(spark, sf))[0]
+
+
+@query(f"WITH {TRIED}, ok AS (SELECT *, max(similarity) OVER (PARTITION BY voice) AS best FROM tried WHERE pass_rate >= 0.5 AND engine IN ('e1', 'e4')) SELECT voice, engine, reference FROM (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY round(rtf, 9), engine, reference) AS n FROM ok WHERE round(similarity, 9) >= round(best - 0.04, 9)) WHERE n = 1")
+def fast_pick_installed(spark, sf):
+    there = spark.createDataFrame([("e1",), ("e4",)], "engine string")
+    return takes.fast_pick(tried(spark, sf), there=there).select("voice", "engine", "reference")
+
+
 @query(f"WITH {TAKES}, x AS (SELECT voice, part, take, duration, coalesce(sum(duration) OVER (PARTITION BY voice ORDER BY part, take ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM takes) SELECT voice, part, take FROM x WHERE spent <= 300")
 def tune_budget(spark, sf):
     return takes.within_budget(take_rows(spark, sf), ["voice"], ["part", "take"], "duration", 300.0).select("voice", "part", "take")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import providers, scalars
 from cadenza.operators import consent, entities, ingest, listings, reports, takes
+from cadenza.plans import flows
 from cadenza.sources import delivery, files
 from cadenza.streaming import ledger as streams
 
@@ -293,3 +294,30 @@ def test_entities_read_strictly_or_leniently(spark, tmp_path):
     assert read(False) == ["r"]
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         read(True)
+
+
+def test_renders_from_takes_to_delivery(spark, tmp_path):
+    rows = [("r1", 0, 1, False, 0.5, "clipping", 2.0), ("r1", 0, 2, True, 0.9, "", 3.0), ("r1", 1, 1, True, 0.85, "", 1.0), ("r2", 0, 1, True, 0.95, "", 4.0), ("r2", 0, 2, True, 0.99, "", 4.0)]
+    scored = spark.createDataFrame(rows, "render string, part int, take int, ok boolean, q double, reason string, duration double").withColumn("longest_pause", F.lit(0.2))
+    requests = spark.createDataFrame([("r1", "a", "Ann", "e"), ("r2", "b", "Bo", "e")], "render string, voice string, speaker string, engine string")
+    ledger = spark.createDataFrame([record("a", 1, "verified"), record("b", 1, "attested", "attested")], LEDGER)
+    fine = lambda df: df.withColumns({"probability": F.lit(0.9), "payload": F.lit(True), "true_peak": F.lit(-2.0)})
+    out = {r["render"]: r for r in flows.render(scored, requests, lambda: ledger, fine, f"{tmp_path}/out").collect()}
+    assert out["r1"]["q"] == pytest.approx((0.9 * 3 + 0.85) / 4) and (out["r1"]["takes"], out["r1"]["duration"]) == (3, 4.0) and (out["r2"]["q"], out["r2"]["takes"]) == (0.95, 1)
+    assert {r["tags"]["cadenza_consent"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"spoken", "attested"}
+    with pytest.raises(takes.NeverPassed, match="part 0"):
+        flows.render(scored.where("take = 1"), requests, lambda: ledger, fine, f"{tmp_path}/no")
+    with pytest.raises(PermissionError, match="'b'"):
+        flows.render(scored, requests, lambda: ledger.where("voice = 'a'"), fine, f"{tmp_path}/no")
+    replaced = ledger.unionByName(spark.createDataFrame([record("a", 2, "verified", day=9)], LEDGER))
+    calls = iter([ledger, replaced])
+    with pytest.raises(PermissionError, match="consent changed"):
+        flows.render(scored, requests, lambda: next(calls), fine, f"{tmp_path}/no")
+    with pytest.raises(ValueError, match="watermark"):
+        flows.render(scored, requests, lambda: ledger, lambda df: fine(df).withColumn("payload", F.lit(False)), f"{tmp_path}/no")
+    with pytest.raises(KeyError):
+        flows.chosen_parts(scored, "perfect")
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert [r["seed"] for r in flows.seeds(7, spark.createDataFrame([(0,), (2,)], "part int"), 2).orderBy("part", "take").collect()] == [7, 8, 2007, 2008]
+    words = consent.new_code(["reef", "owl"]).split()
+    assert len(words) == 4 and set(words[:3]) <= {"reef", "owl"} and 10 <= int(words[3]) <= 99
