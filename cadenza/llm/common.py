@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder once and goes on from there; a lost executor costs a reread only."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    cuts = _CUTS.get()
+    if cuts is not None:
+        cuts.append(out._jdf.logicalPlan().rdd().getCheckpointFile().get())
+    return out
+
+
+_CUTS: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
+
+
+@contextmanager
+def cuts_removed(spark: SparkSession) -> Iterator[None]:
+    """Deletes what `cut` has written inside, at the end of the block; results that are still wanted must be written by then."""
+    before = _CUTS.set([])
+    try:
+        yield
+    finally:
+        for file in _CUTS.get():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _CUTS.reset(before)
 
 
 def globally_indexed(df: DataFrame, keys: list[Column], name: str) -> DataFrame:

@@ -51,7 +51,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again by the next; what a stage wrote goes once the next is through.
+    """All stages, each written to the shared folder and read again by the next; what a stage has written and cut goes once the next is through.
 
     The last stage packs pieces that it has checkpointed, so its result doesn't need the folder any more.
     """
@@ -61,9 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
         for k, (_, stage) in enumerate(STAGES):
-            docs = stage(spark, docs, sf_dir)
-            if k + 1 < len(STAGES):
-                docs.write.parquet(f"{folder}/{k}")
+            if k + 1 == len(STAGES):
+                docs = stage(spark, docs, sf_dir)
+            else:
+                with common.cuts_removed(spark):
+                    stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
                 docs = spark.read.parquet(f"{folder}/{k}")
             if k:
                 files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}"), True)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 from test_quality import plain_score
 from test_simhash import brute_lanes
 from tokenizers import Tokenizer
 
-from cadenza.llm import packing, quality, simhash, stages
+from cadenza.llm import common, packing, quality, simhash, stages
 
 
 def corpus(seed=4):
@@ -95,5 +96,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     tokenizer = Tokenizer.from_file(packing.tokenizer_file())
     ids = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t in want}
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed) == sorted((d, k // 2048, zlib.crc32(np.array(x[k : k + 2048], "<u4").tobytes())) for d, x in ids.items() for k in range(0, len(x), 2048))
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
     ran = stages.run(spark, str(tmp_path))
+    left = {p.name for p in set(folder.iterdir()) - before}
+    assert not any(n.startswith("pipeline-") for n in left) and len(left) < 8, left  # the last stage's cuts alone
     assert sorted(map(tuple, ran.drop("sequence_id", "offset").collect())) == sorted(map(tuple, spark.createDataFrame(packed).drop("sequence_id", "offset").collect()))
