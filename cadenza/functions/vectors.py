@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 EPSILON = 1e-9
 
 
@@ -21,8 +23,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a) + EPSILON
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return bound(a, lambda v: bound(norm(v) + EPSILON, lambda size: F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -42,7 +43,8 @@ def leave_one_out(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     total = sums(df, keys, vector)
     both = df.join(total, keys)
     rest = F.zip_with("total", vector, lambda t, x: t - x.cast("double"))
-    return both.withColumn("loo", F.when(F.col("n") > 1, dot(unit(rest), F.col(vector)) / (norm(F.col(vector)) + EPSILON))).drop("total", "n")
+    near = bound(rest, lambda r: dot(r, F.col(vector)) / ((norm(r) + EPSILON) * (norm(F.col(vector)) + EPSILON)))
+    return both.withColumn("loo", F.when(F.col("n") > 1, near)).drop("total", "n")
 
 
 def self_similarity(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

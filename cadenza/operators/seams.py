@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import signal, text
+from ..functions.binding import bound
 
 # Seconds kept around the active part, milliseconds of fade, and the loudest room tone.
 GUARD, FADE_IN, FADE_OUT, TONE_DB = 0.025, 8, 12, -55.0
@@ -25,8 +26,8 @@ def room_tone(n: Column, level: Column, *seed: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum((F.get(raw, i + k) * (w / total) for k, w in enumerate(_HANN)), F.lit(0.0)))
 
     wanted = F.least(level, F.lit(10 ** (TONE_DB / 20)))
-    scaled = lambda s: text.bound(wanted / (signal.rms(s) + 1e-12), lambda g: F.transform(s, lambda v: v * g))
-    return F.when(n > 0, text.bound(text.bound(noise, smooth), scaled)).otherwise(F.array().cast("array<double>"))
+    scaled = lambda s: bound(wanted / (signal.rms(s) + 1e-12), lambda g: F.transform(s, lambda v: v * g))
+    return F.when(n > 0, bound(bound(noise, smooth), scaled)).otherwise(F.array().cast("array<double>"))
 
 
 def seams(parts: DataFrame, keys: list[str], order: str, samples: str, said: str, sr: int, sustained: int = 2, relative_db: float = 40.0) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.binding import bound
+
 MIN_CLIP, MAX_CLIP, IDEAL_LOW, IDEAL_HIGH, MIN_GAP, LONG_GAP, LAST_GAP = 4.0, 14.0, 7.0, 10.0, 0.12, 0.25, 1.0
 
 #: Timed words.
@@ -90,21 +92,27 @@ def grouped_tokens(tokens: Column) -> Column:
     """Tokens (struct<token, start, duration, logprob>) to words: a leading space begins a word unless only marks follow."""
     mark = lambda t: t.rlike(r"^\s*[^\p{L}\p{N}\s]+\s*$")
     begins = lambda t: t.startswith(" ") & ~mark(t)
-    t = F.filter(tokens, lambda x: F.trim(x["token"]) != "")
-    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (begins(F.get(t, i)["token"])) | ((i == 0) & ~mark(F.get(t, i)["token"])))
-    stop = lambda j: F.coalesce(F.get(starts, j + 1), F.size(t))
-
-    def word(at, j):
-        part = F.slice(t, at + 1, stop(j) - at)
-        end = F.element_at(part, -1)
-        return F.struct(
-            F.trim(F.array_join(F.transform(part, lambda x: x["token"]), "")).alias("text"),
-            F.get(part, F.lit(0))["start"].alias("start"),
-            (end["start"] + end["duration"]).alias("end"),
-            (F.aggregate(part, F.lit(0.0), lambda s, x: s + x["logprob"]) / F.size(part)).alias("logprob"),
-        )
-
-    return F.when(F.size(t) > 0, F.transform(starts, word)).otherwise(F.array().cast("array<struct<text:string,start:double,end:double,logprob:double>>"))
+
+    def joined(t: Column, starts: Column) -> Column:
+        stop = lambda j: F.coalesce(F.get(starts, j + 1), F.size(t))
+
+        def word(at, j):
+            part = F.slice(t, at + 1, stop(j) - at)
+            end = F.element_at(part, -1)
+            return F.struct(
+                F.trim(F.array_join(F.transform(part, lambda x: x["token"]), "")).alias("text"),
+                F.get(part, F.lit(0))["start"].alias("start"),
+                (end["start"] + end["duration"]).alias("end"),
+                (F.aggregate(part, F.lit(0.0), lambda s, x: s + x["logprob"]) / F.size(part)).alias("logprob"),
+            )
+
+        return F.transform(starts, word)
+
+    def grouped(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: begins(F.get(t, i)["token"]) | ((i == 0) & ~mark(F.get(t, i)["token"])))
+        return F.when(F.size(t) > 0, bound(starts, lambda s: joined(t, s))).otherwise(F.array().cast("array<struct<text:string,start:double,end:double,logprob:double>>"))
+
+    return bound(F.filter(tokens, lambda x: F.trim(x["token"]) != ""), grouped)
 
 
 def pauses(words: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -408,7 +408,7 @@ def _word_edits(pairs: str) -> str:
     """CTE `edits` (conv_id, turn, n, size) of pairs (conv_id, turn, t, u), a row of the table at a time."""
     return f"""split AS (SELECT conv_id, turn, list_filter(string_split(t, ' '), lambda w: w <> '') AS a, list_filter(string_split(u, ' '), lambda w: w <> '') AS b FROM {pairs}),
  walk AS (SELECT conv_id, turn, a, b, 0::BIGINT AS i, range(0, len(b) + 1) AS r FROM split
-  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: (CASE WHEN k = 0 THEN i + 1 ELSE least(r[k + 1] + 1, r[k] + (b[k] <> a[i + 1])::INT) END) - k))) FROM walk WHERE i < len(a)),
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, list_transform([list_transform(range(0, len(b) + 1), lambda k: (CASE WHEN k = 0 THEN i + 1 ELSE least(r[k + 1] + 1, r[k] + (b[k] <> a[i + 1])::INT) END) - k)], lambda d: list_transform(range(0, len(b) + 1), lambda j: j + list_min(d[1 : j + 1])))[1] FROM walk WHERE i < len(a)),
  edits AS (SELECT conv_id, turn, r[len(b) + 1] AS n, greatest(1, len(a)) AS size FROM walk WHERE i = len(a))"""
 
 
@@ -485,14 +485,28 @@ def heard_takes(spark, sf):
     ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     said = F.when(F.col("k") == 1, F.array_join(F.slice(ws, 1, F.greatest(F.size(ws) - 3, F.lit(0))), " ")).when(F.col("k") == 2, F.concat_ws(" ", "text", "text", "text")).when(F.col("k") == 3, F.col("next")).otherwise(F.col("text"))
     n = (F.size(ws) * 4 + F.when(F.col("k") == 4, 400).otherwise(2)).cast("int")  # ten samples a second
-    words = F.transform(ws, lambda w, i: F.struct((i * 0.4 + F.when((F.col("k") == 5) & (i > 0), 2.0).otherwise(0.0)).alias("start"), (i * 0.4 + 0.35).alias("end")))
+    words = F.transform(ws, lambda w, i: F.struct((i * 0.4 + F.when((F.col("k") == 5) & (i > 0), 2.43).otherwise(0.0)).alias("start"), (i * 0.4 + 0.35).alias("end")))
     return x.select(
         "conv_id", "turn", F.col("text").alias("script"), said.alias("transcript"), F.array_repeat(F.lit(0.5), n).alias("samples"), F.lit(10).alias("sr"), words.alias("words"),
         (0.35 + F.col("turn") * 0.1).alias("similarity"), F.lit(150.0).alias("f0_median"), F.lit(2.5).alias("rate_wps"), F.lit(0.8).alias("self_similarity"), F.lit(140.0).alias("voice_f0"), F.lit(2.5).alias("voice_rate"),
     )
 
 
-@query()
+@query(rf"""WITH RECURSIVE x AS (SELECT a.conv_id, a.turn, a.text, b.text AS nxt, (a.conv_id + a.turn) % 7 AS k, list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> '') AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+ y AS (SELECT *, CASE k WHEN 1 THEN array_to_string(ws[1 : greatest(len(ws) - 3, 0)], ' ') WHEN 2 THEN concat_ws(' ', text, text, text) WHEN 3 THEN nxt ELSE text END AS said, len(ws) * 4 + CASE WHEN k = 4 THEN 400 ELSE 2 END AS n FROM x),
+ pairs AS MATERIALIZED (SELECT conv_id, turn, {_bare('text')} AS t, {_bare('said')} AS u, n / 10.0::DOUBLE AS duration, 0.35::DOUBLE + turn * 0.1::DOUBLE AS sim,
+  coalesce(list_max(list_transform(range(1, len(ws)), lambda i: i * 0.4::DOUBLE + CASE WHEN k = 5 THEN 2.43::DOUBLE ELSE 0 END - ((i - 1) * 0.4::DOUBLE + 0.35::DOUBLE))), 0) AS longest FROM y),
+ {_word_edits('pairs')}, said AS ({_GRAMS.format(c='t')}), heard AS ({_GRAMS.format(c='u')}), looped AS (SELECT h.conv_id, h.turn, array_to_string(arg_min(h.g, h.i), ' ') AS phrase FROM heard h LEFT JOIN said s USING (conv_id, turn, g) WHERE h.n > greatest(1, coalesce(s.n, 0)) GROUP BY h.conv_id, h.turn),
+ z AS (SELECT p.*, e.n / e.size AS wer, phrase, {_edits("replace(t, ' ', '')", "replace(u, ' ', '')")} / greatest(1, length(replace(t, ' ', ''))) AS cer, list_filter(string_split(t, ' '), lambda w: w <> '') AS s, list_filter(string_split(u, ' '), lambda w: w <> '') AS h FROM pairs p JOIN edits e USING (conv_id, turn) LEFT JOIN looped USING (conv_id, turn)),
+ v AS (SELECT *, len(s) / 2.5::DOUBLE AS expected, least(1.2, greatest(0, (sim - 0.15) / greatest(0.1, 0.8 - 0.15))) AS norm FROM z),
+ r AS (SELECT *, CASE WHEN duration < 0.3 THEN 'empty or broken audio' WHEN NOT (duration / greatest(0.5, expected) BETWEEN 0.5 AND 2.0 + 1.5 / greatest(0.5, expected)) THEN format('implausible length ({{:.1f}}s for ~{{:.1f}}s of text)', duration, expected) ELSE '' END AS refused FROM v),
+ g AS (SELECT *, CASE WHEN refused <> '' THEN refused
+   WHEN len(s) > 0 AND NOT list_contains(h[greatest(len(h) - 2, 1) :], s[len(s)]) AND {_edits('s[len(s)]', "array_to_string(h[greatest(len(h) - 1, 1) :], '')")} / greatest(1, length(s[len(s)])) > 0.5 THEN 'ending cut off or garbled'
+   WHEN phrase IS NOT NULL THEN 'repeated phrase: ' || chr(39) || phrase || chr(39) WHEN cer > 0.08 THEN 'wording off (character error ' || round(cer * 100)::INT || '%)' WHEN longest > 1.6 THEN format('dead air ({{:.1f}}s pause)', longest)
+   WHEN sim < 0.40 THEN format('does not sound like the speaker (similarity {{:.2f}})', sim) ELSE '' END AS reason FROM r)
+ SELECT conv_id, turn, reason = '' AS ok, reason, round(CASE WHEN refused <> '' THEN 0 ELSE 0.5 * least(1, norm) + 0.35 * exp(-cer / 0.03) + 0.15 * exp(-abs(ln(150.0 / 140.0)) / 0.15) END, 6) AS q, round(CASE WHEN refused <> '' THEN 1 ELSE cer END, 6) AS cer, round(CASE WHEN refused <> '' THEN 1 ELSE wer END, 6) AS wer,
+  round(CASE WHEN refused <> '' THEN 0 ELSE sim END, 6) AS similarity, round(CASE WHEN refused <> '' THEN 0 ELSE norm END, 6) AS sim_norm, round(duration, 6) AS duration, round(expected, 6) AS expected, round(CASE WHEN refused <> '' THEN 0 ELSE longest END, 6) AS longest_pause,
+  round(CASE WHEN refused <> '' THEN 1 ELSE 150.0 / 140.0 END, 6) AS f0_ratio, 1.0::DOUBLE AS rate_ratio FROM g""")
 def take_evaluation(spark, sf):
     scores = [F.round(c, 6).alias(c) for c in ("q", "cer", "wer", "similarity", "sim_norm", "duration", "expected", "longest_pause", "f0_ratio", "rate_ratio")]
     return takes.evaluate(heard_takes(spark, sf)).select("conv_id", "turn", "ok", "reason", *scores)
