@@ -23,6 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from . import common
 from .decontaminate import words_of, words_sql
 
@@ -122,7 +123,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a row per line; of a licence file also its pairs of lines, and the whole
     parts = F.split("text", "\n")
     whole = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)) & (F.size(parts) > 1)
-    pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(parts, i + 1)))
+    pairs = bound(parts, lambda p: F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(p, i + 1))))
     lines = files.where("text IS NOT NULL").select("doc_id", "path", "__row", F.posexplode(F.when(whole, F.concat(parts, pairs, F.array("text"))).otherwise(parts)).alias("at", "line"))
     tokens = lines.select("doc_id", "path", "__row", "at", words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, needed))))
     each = tokens.select("doc_id", "path", "__row", "at", F.explode("w").alias("word")).groupBy("doc_id", "path", "__row", "at", "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -148,8 +149,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     said = said.groupBy("dir").agg(F.min("b").alias("b")).select(F.col("dir").alias("above"), F.col("b.template").alias("licence"))
     # each directory once, with all that lie above it; the longest that says something is the nearest
     dirs = base.select("dir").where("dir IS NOT NULL").distinct()
-    steps = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    above = bound(F.split("dir", "/"), lambda steps: F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
     near = dirs.select("dir", F.explode(above).alias("above")).join(common.cut(said), "above")
     near = near.groupBy("dir").agg(F.max_by(F.struct("licence", "above"), F.char_length("above")).alias("n"))
     near = common.cut(near.select(F.col("dir").alias("__dir"), F.col("n.licence").alias("inherited"), F.col("n.above").alias("from_dir")))

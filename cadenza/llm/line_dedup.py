@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.binding import bound
 from . import common
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -69,18 +70,22 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     return gone.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dropped_runs(dropped: Column) -> tuple[Column, Column]:
-    """First and last positions of the runs of dropped lines."""
+def dropped_runs(dropped: Column) -> Column:
+    """first and last: where the runs of dropped lines begin and end."""
     near = lambda p, i, step: F.coalesce(F.get(dropped, i + step) == p + step, F.lit(False))
-    return F.filter(dropped, lambda p, i: ~near(p, i, -1)), F.filter(dropped, lambda p, i: ~near(p, i, 1))
+    return F.struct(F.filter(dropped, lambda p, i: ~near(p, i, -1)).alias("first"), F.filter(dropped, lambda p, i: ~near(p, i, 1)).alias("last"))
 
 
 def keep_bitmap(n_lines: Column, dropped: Column) -> Column:
     """Run lengths kept, dropped, kept, ... in turn, beginning with kept: the compressed bitmap."""
-    first, last = dropped_runs(dropped)
-    pairs = F.flatten(F.transform(first, lambda p, j: F.array(p - F.coalesce(F.get(last, j - 1) + 1, F.lit(0)), F.get(last, j) - p + 1)))
-    rest = n_lines - F.element_at(last, -1) - 1
-    return F.when(dropped.isNull(), F.array(n_lines)).when(rest > 0, F.concat(pairs, F.array(rest))).otherwise(pairs)
+
+    def lengths(r: Column) -> Column:
+        after = lambda j: F.coalesce(F.get(r["last"], j - 1) + 1, F.lit(0))
+        pairs = F.flatten(F.transform(r["first"], lambda p, j: F.array(p - after(j), F.get(r["last"], j) - p + 1)))
+        rest = n_lines - F.element_at(r["last"], -1) - 1
+        return F.when(rest > 0, F.concat(pairs, F.array(rest))).otherwise(pairs)
+
+    return F.when(dropped.isNull(), F.array(n_lines)).otherwise(bound(dropped_runs(dropped), lengths))
 
 
 def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Column, Column]:
@@ -95,10 +100,13 @@ def marked(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 
 def kept_text(lines: Column, dropped: Column) -> Column:
     """The kept lines joined again."""
-    first, last = dropped_runs(dropped)
-    begin = lambda j: F.coalesce(F.get(last, j - 1) + 1, F.lit(0))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(first)), lambda j: F.slice(lines, begin(j) + 1, F.coalesce(F.get(first, j), F.size(lines)) - begin(j))))
-    return F.when(dropped.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+
+    def kept(r: Column) -> Column:
+        begin = lambda j: F.coalesce(F.get(r["last"], j - 1) + 1, F.lit(0))
+        stretch = lambda j: F.slice(lines, begin(j) + 1, F.coalesce(F.get(r["first"], j), F.size(lines)) - begin(j))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(r["first"])), stretch)), "\n")
+
+    return F.when(dropped.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(bound(dropped_runs(dropped), kept))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
