@@ -11,19 +11,43 @@ from pyspark.sql import Window as W
 from ..functions import vectors
 
 
-def robust_z(df: DataFrame, keys: list[str], columns: list[str], limit: float = 3.0) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], columns: list[str], large: bool = False) -> DataFrame:
+    """keys and the exact median of each column, under the column's own name.
+
+    large: for groups whose distinct values don't fit one task.  A sketch brackets the middle of each group; ranks are counted
+    below the bracket, and only the values inside it, a few thousandths of a group, are counted and ordered.
+    """
+    if not large:
+        return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in columns])).alias("__e")
+    rows = df.select(*keys, each).select(*keys, "__e.*").where("__v IS NOT NULL")
+    at = [*keys, "__c"]
+    sketch = F.percentile_approx("__v", F.array(F.lit(0.495), F.lit(0.505)), F.lit(10_000))  # within a ten-thousandth
+    bracket = rows.groupBy(*at).agg(sketch.alias("__b")).select(*at, F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"))
+    # the bounds travel with the counts that belong to them
+    ranks = rows.join(bracket, at).groupBy(*at, "__lo", "__hi").agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col("__v") < F.col("__lo"), 1)).alias("__below"))
+    inside = rows.join(ranks, at).where("__v BETWEEN __lo AND __hi").groupBy(*at, "__n", "__below", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    upto = F.col("__below") + F.sum("__k").over(W.partitionBy(*at).orderBy("__v"))
+    inside = inside.withColumn("__upto", upto)
+    first, second = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)  # ranks from 1
+    reached = lambda rank: F.min(F.when(F.col("__upto") >= rank, F.col("__v")))
+    mid = inside.groupBy(*at).agg(reached(first).alias("__a"), reached(second).alias("__z")).withColumn("__m", (F.col("__a") + F.col("__z")) / 2)
+    return mid.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == c, F.col("__m"))).alias(c) for c in columns])
+
+
+def robust_z(df: DataFrame, keys: list[str], columns: list[str], limit: float = 3.0, large: bool = False) -> DataFrame:
     """Adds z_<column>: distance from the median over 1.4826 MAD, clipped; 0 where the MAD vanishes.
 
-    Two small aggregates per group are joined back; no window ever holds a group.
+    Two small aggregates per group are joined back; no window ever holds a group.  large: see `medians`.
     """
-    medians = df.groupBy(*keys).agg(*[F.median(c).alias(f"__med_{c}") for c in columns])
-    near = _back(df, medians, keys)
-    spread = near.groupBy(*keys).agg(*[F.median(F.abs(F.col(c) - F.col(f"__med_{c}"))).alias(f"__mad_{c}") for c in columns])
+    middle = medians(df, keys, columns, large).withColumnsRenamed({c: f"__med_{c}" for c in columns})
+    near = _back(df, middle, keys).withColumns({f"__off_{c}": F.abs(F.col(c) - F.col(f"__med_{c}")) for c in columns})
+    spread = medians(near, keys, [f"__off_{c}" for c in columns], large).withColumnsRenamed({f"__off_{c}": f"__mad_{c}" for c in columns})
     out = _back(near, spread, keys)
     for c in columns:
         z = (F.col(c) - F.col(f"__med_{c}")) / (1.4826 * F.col(f"__mad_{c}"))
         out = out.withColumn(f"z_{c}", F.when(F.col(f"__mad_{c}") < 1e-9, 0.0).otherwise(F.least(F.lit(limit), F.greatest(F.lit(-limit), z))))
-    return out.drop(*[f"__{k}_{c}" for c in columns for k in ("med", "mad")])
+    return out.drop(*[f"__{k}_{c}" for c in columns for k in ("med", "mad", "off")])
 
 
 def _back(df: DataFrame, aggregate: DataFrame, keys: list[str]) -> DataFrame:

@@ -114,6 +114,16 @@ def test_robust_scores_and_budget(spark):
     assert ranking.budget_prefix(rows, ["k"], [F.col("n")], "d", 600).count() == 3
 
 
+def test_medians_of_large_groups_equal_those_of_small_ones(spark):
+    rng = np.random.default_rng(7)
+    rows = [("even", float(x), float(i % 3)) for i, x in enumerate(rng.normal(size=4000))] + [("odd", float(x), None) for x in rng.integers(0, 5, 1001)] + [("one", 2.0, 4.0), ("tie", 1.0, 1.0), ("tie", 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(7)
+    plain, large = ({r["k"]: (r["x"], r["y"]) for r in ranking.medians(df, ["k"], ["x", "y"], large).collect()} for large in (False, True))
+    assert plain == large and plain["even"][0] == float(np.median([r[1] for r in rows if r[0] == "even"]))
+    a, b = (sorted((r["k"], r["x"], r["z_x"]) for r in ranking.robust_z(df, ["k"], ["x"], large=large).collect()) for large in (False, True))
+    assert a == b
+
+
 def test_gates_and_consent(spark, tmp_path):
     x = spark.createDataFrame([({"Music": 0.3, "Radio": 0.1, "Echo": 0.5, "Speech": 0.9},)], "e map<string,double>")
     assert x.select(gates.contaminants(F.col("e"))).first()[0] == "contains Echo, Music"
