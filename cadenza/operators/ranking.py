@@ -192,11 +192,11 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def two_stage(df: DataFrame, keys: list[str], k: int, clean: Column, apart: float = 60.0, alike: float = 0.97) -> DataFrame:
     """Twice k diverse clips by score, screened by `clean`, scored again within the survivors' pool, then k of those.
 
-    The survivors, 2 k rows of a group at most, are read several times for their medians, so they are persisted.
+    The survivors are read several times for their medians; the exchange below them is reused, so nothing is persisted.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     pick = lambda x, n: diverse_top(clip_scores(x, keys).withColumn("score", F.round("score", 6)).select(*columns, "score"), keys, n, apart, alike)
-    return pick(pick(df, 2 * k).where(clean).select(*columns).persist(), k)
+    return pick(pick(df, 2 * k).where(clean).select(*columns), k)
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = 4096) -> DataFrame:
