@@ -44,8 +44,10 @@ KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 8
 TOTAL = 66
 #: Members of a subtree that one task joins; a larger one is dealt out again, by chunks if bits made it less than SHRINK times smaller.
 SUBTREE, SHRINK = 20_000, 16
-#: Shingles hashed at a time, rows of whole subtrees joined at a time, node pairs compared at a time.
+#: Shingles hashed at a time, rows of whole subtrees joined at a time, pairs of rows compared at a time.
 HASHES, ROWS, PAIRS = 65_536, 40_000, 65_536
+#: Pairs of rows of two nodes up to which they are gathered with those of other nodes; larger nodes, up to PAIRS, are compared as they lie.
+GATHERED = 2048
 
 
 def remixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -181,6 +183,13 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int, lanes: np.ndarray | Non
             join(part[0][which] + k // tall[at:to][which], part[2][which] + k % tall[at:to][which])
             at = to
 
+    def compare_large(pairs: np.ndarray) -> None:
+        """All rows of larger node pairs, one pair of nodes at a time."""
+        for a, b, x, y in pairs.T.tolist():
+            i, j = np.nonzero(np.bitwise_count(fp[a:b, None] ^ fp[None, x:y]) <= budget)
+            if len(i):
+                join(i + a, j + x)
+
     # neighbours first: of a dense group most is one component then, and its nodes need no further look
     for gap in (1, 2, 3):
         near = np.flatnonzero(group[gap:] == group[:-gap])
@@ -196,10 +205,13 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int, lanes: np.ndarray | Non
             settle()
         one = (turns[pairs[0]] == turns[pairs[1] - 1]) & (turns[pairs[2]] == turns[pairs[3] - 1]) & (root[pairs[0]] == root[pairs[2]])
         pairs = pairs[:, ~one]
-        small = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= (64 if depth >= 0 else 4096)
+        rows = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
+        small, large = rows <= GATHERED, (rows > GATHERED) & (rows <= PAIRS)
         if small.any():
             compare(pairs[:4, small])
-        pairs = pairs[:, ~small]
+        if large.any():
+            compare_large(pairs[:4, large])
+        pairs = pairs[:, rows > PAIRS]
         if not pairs.shape[1]:
             continue
         a, b, x, y, err = pairs
