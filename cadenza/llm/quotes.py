@@ -96,8 +96,10 @@ def conversations(messages: DataFrame, by_line: bool = False) -> DataFrame:
     own = F.array_join(F.filter(lines, lambda x: ~x.rlike(QUOTED)), "\n")
     n_quoted = F.size(F.filter(lines, lambda x: x.rlike(QUOTED)))
     deepest = F.array_max(F.transform(lines, level))
-    out = rows.join(common.cut(tree), (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left").select(
-        "conv_id", "turn", "role", own.alias("text"), n_quoted.alias("n_quoted_lines"), deepest.alias("max_level"),
+    # quotes are gone before anything is shuffled
+    base = rows.select("conv_id", "turn", "role", own.alias("text"), n_quoted.alias("n_quoted_lines"), deepest.alias("max_level"))
+    out = base.join(common.cut(tree), (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__turn")), "left").select(
+        "conv_id", "turn", "role", "text", "n_quoted_lines", "max_level",
         "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
     )
     placed = common.globally_indexed(out, [F.col("conv_id"), F.col("root_turn"), F.col("turn")], "__place")
@@ -112,9 +114,10 @@ def as_mail(turns: DataFrame) -> DataFrame:
     The given turns hold hardly a quote; their own words stay as they are.
     """
     rows = turns.select("conv_id", "turn", "role", "text")
-    before = common.cut(rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text")))
-    back = lambda n: before.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
-    x = rows.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    before = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    # a text goes only to turns that quote it
+    back = lambda n, *kinds: before.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}")).where(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)).isin(*kinds))
+    x = rows.join(back(1, 1, 2, 3), ["conv_id", "turn"], "left").join(back(2, 3), ["conv_id", "turn"], "left")
     quote = lambda c: F.regexp_replace(c, r"(?m)^", "> ")
     lines = F.split("back1", "\n")
     trimmed = F.when(F.size(lines) > 1, quote(F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")))
