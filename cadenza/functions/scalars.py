@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The loudness aimed at (LUFS) and the highest true peak (dBTP).
+# The loudness aimed at (LUFS), the highest true peak (dBTP), how times are written, and what a name may be.
 TARGET_LUFS, CEILING_DBTP = -16.0, -1.5
 STAMP, MOMENT = "yyyyMMdd-HHmmss", "yyyy-MM-dd'T'HH:mm:ss'Z'"
 NAME = r"^[a-z0-9][a-z0-9_-]{0,62}\n?$"
