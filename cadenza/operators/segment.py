@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,64 +29,115 @@ def cut_points(start: np.ndarray, end: np.ndarray, closes: np.ndarray) -> list[t
     n = len(start)
     before = np.concatenate([[np.inf], start[1:] - end[:-1]]) if n else start
     after = np.concatenate([before[1:], [LAST_GAP]]) if n else start
-    out, i = [], 0
-    for i in np.flatnonzero(before >= MIN_GAP):
-        if out and i <= out[-1][1]:
-            continue
-        # no further than the first word that ends too late; the stretch looked at grows until it holds that one
-        wide = 64
-        while True:
-            length = end[i : i + wide] - start[i]
-            over = np.flatnonzero(length > MAX_CLIP)
-            if len(over) or i + wide >= n:
-                break
-            wide *= 4
-        k = np.arange(over[0] if len(over) else len(length))
-        k = k[(length[k] >= MIN_CLIP) & (after[i + k] >= MIN_GAP)]
-        ends = k[closes[i + k] & (length[k] >= IDEAL_LOW)]
-        if len(ends):
-            late = ends[length[ends] >= IDEAL_HIGH]
-            out.append((int(i), int(i + (late[0] if len(late) else ends[-1]))))
-        else:
-            wide_gaps = k[after[i + k] >= LONG_GAP]
-            if len(wide_gaps):
-                out.append((int(i), int(i + wide_gaps[0])))
+    begins = np.flatnonzero(before >= MIN_GAP)
+    if (np.diff(end) < 0).any():  # words that overlap: the stretch of each start by itself
+        best = np.array([_best_end(start, end, closes, after, i) for i in begins], np.int64)
+    else:
+        best = _best_ends(start, end, closes, after, begins)
+    begins, best = begins[best >= 0], best[best >= 0]
+    out, k = [], 0
+    while k < len(begins):
+        out.append((int(begins[k]), int(best[k])))
+        k = int(np.searchsorted(begins, best[k], "right"))
     return out
 
 
-@F.pandas_udf(WORDS)
-def _timed(words: pd.Series, long: pd.Series, gap: pd.Series, logprob: pd.Series) -> pd.Series:
-    def one(ws, ls, gs, ps):
-        if ws is None:
-            return None
-        ls, gs = np.asarray(ls, float), np.asarray(gs, float)
-        start = np.round(np.concatenate([[0.0], np.cumsum(ls + gs)[:-1]]), 6) if len(ls) else ls
-        end = np.round(start + ls, 6)
-        return [{"text": w, "start": a, "end": b, "logprob": p} for w, a, b, p in zip(ws, start.tolist(), end.tolist(), ps)]
+def _best_ends(start: np.ndarray, end: np.ndarray, closes: np.ndarray, after: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The last word of the clip that begins at each of `begins`, or -1, all at once; ends are in order."""
+    n, base = len(end), start[begins]
 
-    return pd.Series([one(*row) for row in zip(words, long, gap, logprob)], dtype=object)
+    def reached(length: float, strictly: bool = False) -> np.ndarray:
+        """The first word by whose end a clip is this long (or longer than this), by the difference itself."""
+        at = np.searchsorted(end, base + length - 1e-6)
+        while True:
+            inside = at < n
+            d = np.where(inside, end[np.minimum(at, n - 1)] - base, np.inf)
+            short = d <= length if strictly else d < length
+            if not short.any():
+                return np.maximum(at, begins)
+            at = at + short
+
+    limit = reached(MAX_CLIP, strictly=True)
+    stops = np.flatnonzero(closes & (after >= MIN_GAP))
+    wide = np.flatnonzero(after >= LONG_GAP)
+
+    def first(of: np.ndarray, low: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(of, low)
+        found = np.append(of, n)[k]
+        return np.where(found < limit, found, -1)
+
+    late = first(stops, reached(IDEAL_HIGH))
+    k = np.searchsorted(stops, limit) - 1
+    last = np.where(k >= 0, np.append(stops, -1)[k], -1)
+    early = np.where(last >= reached(IDEAL_LOW), last, -1)
+    open_ = first(wide, reached(MIN_CLIP))
+    return np.where(late >= 0, late, np.where(early >= 0, early, open_))
+
+
+def _best_end(start: np.ndarray, end: np.ndarray, closes: np.ndarray, after: np.ndarray, i: int) -> int:
+    """The same for one start, whatever the order of ends: no further than the first word that ends too late."""
+    length = end[i:] - start[i]
+    over = np.flatnonzero(length > MAX_CLIP)
+    k = np.arange(over[0] if len(over) else len(length))
+    k = k[(length[k] >= MIN_CLIP) & (after[i + k] >= MIN_GAP)]
+    ends = k[closes[i + k] & (length[k] >= IDEAL_LOW)]
+    if len(ends):
+        late = ends[length[ends] >= IDEAL_HIGH]
+        return int(i + (late[0] if len(late) else ends[-1]))
+    wide = k[after[i + k] >= LONG_GAP]
+    return int(i + wide[0]) if len(wide) else -1
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each list begins (and the last ends) in the flat values, and those values; null is an empty list."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), column.flatten()
+
+
+def timed(regions: DataFrame) -> DataFrame:
+    """Regions (key, texts, long, gap, logprob: arrays of one length) to key and words with start and end; all stays inside the row.
+
+    Batches stay flat Arrow arrays throughout.
+    """
 
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, texts = _lists(b.column("texts"))
+            long, gap, logprob = (_lists(b.column(c))[1].to_numpy(zero_copy_only=False) for c in ("long", "gap", "logprob"))
+            start = np.zeros(len(long))
+            step = long + gap
+            for i, j in zip(at[:-1], at[1:]):
+                start[i + 1 : j] = np.cumsum(step[i : j - 1]) if j > i else 0.0
+            start = np.round(start, 6)
+            words = pa.StructArray.from_arrays([texts, pa.array(start), pa.array(np.round(start + long, 6)), pa.array(logprob)], ["text", "start", "end", "logprob"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(at), words)], ["key", "words"])
 
-def timed(words: Column, long: Column, gap: Column, logprob: Column) -> Column:
-    """Words with start and end out of how long each lasts and the gap after it; all stays inside the row."""
-    return _timed(words, long, gap, logprob)
+    rows = regions.select("key", "texts", "long", "gap", "logprob")
+    return rows.mapInArrow(laid, T.StructType([rows.schema["key"], T.StructField("words", WORDS)]))
 
 
 def clips(regions: DataFrame) -> DataFrame:
     """Regions (key, words: array of struct<text, start, end, logprob>) to clips: key, clip, start, end, text, n_words, confidence."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, ws in zip(pdf["key"], pdf["words"]):
-                text = [w["text"] for w in ws]
-                start, end, logprob = (np.array([w[c] for w in ws], float) for c in ("start", "end", "logprob"))
-                closes = np.array([bool(t) and t[-1] in ".?!" for t in text], bool)
-                for c, (i, j) in enumerate(cut_points(start, end, closes)):
-                    rows.append((key, c, start[i], end[j], " ".join(text[i : j + 1]), j - i + 1, float(np.exp(logprob[i : j + 1].mean()))))
-            yield pd.DataFrame(rows, columns=["key", "clip", "start", "end", "text", "n_words", "confidence"])
-
-    return regions.mapInPandas(cut, "key long, clip int, start double, end double, text string, n_words int, confidence double")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, words = _lists(b.column("words"))
+            texts = words.field("text")
+            start, end, logprob = (words.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "logprob"))
+            closes = pc.fill_null(pc.match_substring_regex(texts, r"[.?!]$"), False).to_numpy(zero_copy_only=False).astype(bool)
+            rows = [(k, c, lo + i, lo + j) for k, (lo, hi) in enumerate(zip(at[:-1], at[1:])) for c, (i, j) in enumerate(cut_points(start[lo:hi], end[lo:hi], closes[lo:hi]))]
+            row, clip, first, last = (np.array([r[n] for r in rows], np.int64) for n in range(4))
+            sums = np.concatenate([[0.0], np.cumsum(logprob)])
+            said = [" ".join(t or "" for t in texts.slice(i, j - i + 1).to_pylist()) for i, j in zip(first.tolist(), last.tolist())]
+            columns = [
+                b.column("key").take(pa.array(row)), pa.array(clip, pa.int32()), pa.array(start[first]), pa.array(end[last]), pa.array(said, pa.string()),
+                pa.array(last - first + 1, pa.int32()), pa.array(np.exp((sums[last + 1] - sums[first]) / np.maximum(last - first + 1, 1))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "clip", "start", "end", "text", "n_words", "confidence"])
+
+    rows = regions.select("key", "words")
+    made = [T.StructField(n, t) for n, t in (("clip", T.IntegerType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("text", T.StringType()), ("n_words", T.IntegerType()), ("confidence", T.DoubleType()))]
+    return rows.mapInArrow(cut, T.StructType([rows.schema["key"], *made]))
 
 
 def grouped_tokens(tokens: Column) -> Column:

@@ -301,10 +301,11 @@ def clocks(spark, sf):
 def regions(spark, sf):
     """Documents as regions of timed words: a word lasts by its length, a sentence end is followed by a longer gap; times are summed up inside the row."""
     ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    x = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), ws.alias("texts"))
+    ws = F.col("texts")
     long = F.transform(ws, lambda w: (0.15 + 0.02 * F.char_length(w)))
     gap = F.transform(ws, lambda w, i: F.when(w.rlike(r"[.?!]$"), 0.4).otherwise((i % 7) * 0.03))
-    logprob = F.transform(ws, lambda w, i: -0.01 * (i % 9))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), segment.timed(ws, long, gap, logprob).alias("words"))
+    return segment.timed(x.select("key", "texts", long.alias("long"), gap.alias("gap"), F.transform(ws, lambda w, i: -0.01 * (i % 9)).alias("logprob")))
 
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"

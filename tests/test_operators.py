@@ -53,6 +53,21 @@ def test_clip_cutter_against_a_plain_scan():
         start = np.cumsum(rng.choice([0.01, 0.13, 0.3], n) + 0.4)
         closes = rng.random(n) < 0.2
         assert segment.cut_points(start, start + 0.4, closes) == slow_cut(start, start + 0.4, closes)
+        # lengths that meet the limits to the bit, and words that overlap
+        start = np.cumsum(rng.choice([0.5, 0.75, 1.0], n))
+        for end in (start + 0.25, start + rng.choice([0.25, 1.5], n)):
+            assert segment.cut_points(start, end, closes) == slow_cut(start, end, closes)
+
+
+def test_clips_of_rows_with_nulls_and_without_words(spark):
+    words = [(f"w{i}" + "." * (i % 8 == 7), 0.4 * i + 0.4 * (i // 8), 0.4 * i + 0.4 * (i // 8) + 0.35, -0.5) for i in range(24)]
+    rows = [("a", words), ("b", []), ("c", None), ("d", words), ("e", [(None, 0.0, 1.0, -1.0)])]
+    df = spark.createDataFrame(rows, "key string, words array<struct<text:string,start:double,end:double,logprob:double>>").coalesce(1)
+    got = segment.clips(df).orderBy("key", "clip").collect()
+    assert {r["key"] for r in got} == {"a", "d"} and got[0]["text"].startswith("w0 w1") and got[0]["text"].endswith(".") and got[0]["confidence"] == pytest.approx(np.exp(-0.5)) and got[0]["n_words"] == len(got[0]["text"].split())
+    laid = segment.timed(spark.createDataFrame([(1, ["x", "y", "z"], [0.2, 0.3, 0.1], [0.1, 0.0, 0.5], [-1.0, -2.0, -3.0]), (2, None, None, None, None), (3, ["q"], [1.0], [0.0], [0.0])], "key int, texts array<string>, long array<double>, gap array<double>, logprob array<double>").coalesce(1))
+    got = {r["key"]: [(w["text"], w["start"], w["end"]) for w in r["words"]] for r in laid.collect()}
+    assert got == {1: [("x", 0.0, 0.2), ("y", 0.3, 0.6), ("z", 0.6, 0.7)], 2: [], 3: [("q", 0.0, 1.0)]}
 
 
 def test_tokens_to_words(spark):
