@@ -1,6 +1,8 @@
 """The consent ledger: append-only records per voice, views over them, and the gate in front of delivery.
 
-A record is (voice, seq, ts, kind, status, ...); the largest seq of a voice is in force.  `kind` is how consent was given:
+A record is (voice, seq, ts, kind, status, ...); the largest seq of a voice is in force, whatever the clocks say.  Records of one
+seq, which no writer here makes, count in order of strictness: a revocation is in force before anything else, and what permits
+nothing before what permits.  `kind` is how consent was given:
 spoken, or attested by somebody else.  A spoken consent whose recording doesn't sound like the voice's references (`match`)
 permits nothing.  Nothing here grants consent to an automated caller: `verified` needs the measures of a recording, `attested` a
 named person and evidence; they return the records to append, with a reason where there is none.
@@ -9,11 +11,14 @@ named person and evidence; they return the records to append, with a reason wher
 from __future__ import annotations
 
 import secrets
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.files import filesystem
 from .gates import first_failing
 
 # States that permit, the least similarity of a recording to its voice, and days that a request is open.
@@ -37,20 +42,32 @@ def refusal(status: Column, kind: Column, match: Column) -> Column:
     return first_failing((status.isNull(), "missing"), (~status.isin(*USABLE), status), ((kind == "spoken") & (match < MATCH), "another speaker"))
 
 
+def strictness(status: Column, why: Column) -> Column:
+    """Which of two records with one seq is in force: the larger one, so that ties fail closed."""
+    return F.when(status == "revoked", 2).when(F.coalesce(why, F.lit("missing")) != "", 1).otherwise(0)
+
+
+def _placed(ledger: DataFrame) -> DataFrame:
+    """The ledger with `__place`, by which its records are in order; wholly equal ranks are told apart by time and a hash of the record."""
+    why = refusal(F.col("status"), _field(ledger, "kind"), _field(ledger, "match"))
+    return ledger.withColumn("__place", F.struct("seq", strictness(F.col("status"), why).alias("rank"), "ts", F.xxhash64(*ledger.columns).alias("own")))
+
+
 def current(ledger: DataFrame) -> DataFrame:
     """The record in force of each voice, with `refusal` and `usable`."""
     cols = [c for c in ledger.columns if c not in ("voice", "seq")]
-    last = ledger.groupBy("voice").agg(F.max_by(F.struct("seq", *cols), "seq").alias("r")).select("voice", "r.*")
+    last = _placed(ledger).groupBy("voice").agg(F.max_by(F.struct("seq", *cols), "__place").alias("r")).select("voice", "r.*")
     why = refusal(F.col("status"), _field(last, "kind"), _field(last, "match"))
     return last.withColumn("refusal", why).withColumn("usable", F.col("refusal") == "")
 
 
 def as_of(ledger: DataFrame, probes: DataFrame) -> DataFrame:
-    """Each probe (voice, at, probe) with the record in force then, the last not after it: in_force, kind, created."""
-    a = ledger.select("voice", F.col("ts").alias("at"), "seq", F.struct("status", _field(ledger, "kind").alias("kind"), _field(ledger, "created").alias("created")).alias("r"), F.lit(None).cast("long").alias("probe"))
-    b = probes.select("voice", "at", F.lit(2**62).alias("seq"), F.lit(None).cast(a.schema["r"].dataType).alias("r"), F.col("probe").cast("long").alias("probe"))
-    w = W.partitionBy("voice").orderBy("at", "seq", "probe").rowsBetween(W.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("r", F.last("r", ignorenulls=True).over(w)).where("probe IS NOT NULL")
+    """Each probe (voice, at, probe) with the record in force then, the last one of those not after it: in_force, kind, created."""
+    fields = F.struct("status", _field(ledger, "kind").alias("kind"), _field(ledger, "created").alias("created"))
+    a = _placed(ledger).select("voice", F.col("ts").alias("at"), F.struct("__place", fields.alias("r")).alias("r"), F.lit(None).cast("long").alias("probe"))
+    b = probes.select("voice", "at", F.lit(None).cast(a.schema["r"].dataType).alias("r"), F.col("probe").cast("long").alias("probe"))
+    w = W.partitionBy("voice").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    out = a.unionByName(b).withColumn("r", F.max("r").over(w)["r"]).where("probe IS NOT NULL")
     return out.select("voice", "probe", "at", F.col("r.status").alias("in_force"), "r.kind", "r.created")
 
 
@@ -166,9 +183,67 @@ def appendable(records: DataFrame) -> DataFrame:
     return records.where(F.col("reason").isin("", "another speaker")).drop("reason")
 
 
-def append(records: DataFrame, path: str) -> None:
-    """Adds records to the ledger on disk.  It is only ever added to, so a revocation stays on record whatever follows."""
-    appendable(records).select(*RECORD).write.mode("append").parquet(path)
+class LedgerConflict(RuntimeError):
+    """Somebody else has written a record of the voice meanwhile; read the ledger again and ask anew."""
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a ledger on disk as it is now.
+
+    Commits are named one by one, so that a frame of an earlier state, cached by anybody, is never taken for this one.
+    """
+    schema = ", ".join(f"`{c}` {_TYPES.get(c, 'timestamp' if c == 'ts' else 'string')}" for c in RECORD)
+    return spark.read.schema(schema).parquet(*[f"{path}/{n}" for n in _written(spark, path)])
+
+
+def _written(spark: SparkSession, path: str) -> list[str]:
+    """Commits, and files of ledgers that are older than commits."""
+    fs, at = filesystem(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at(path))]
+    return sorted(n for n in names if n.startswith("commit-") or n.endswith(".parquet"))
+
+
+def append(records: DataFrame, path: str, tries: int = 50) -> None:
+    """Adds records to the ledger on disk, all or none.  It is only ever added to, so a revocation stays on record whatever follows.
+
+    Each append is a numbered commit: its rows are staged, then the stage takes the next number by a rename that never replaces.
+    Who comes second reads the ledger again, and goes on with the number after it unless one of its voices has a record that
+    it hadn't seen: that is a LedgerConflict, and nothing is written.
+    """
+    spark = records.sparkSession
+    fs, at = filesystem(spark, path)
+    stage, owner = f"{path}/_stage-{uuid.uuid4().hex}", f"_owner-{uuid.uuid4().hex}"
+    try:
+        appendable(records).select(*RECORD).write.parquet(stage)
+        fs.create(at(f"{stage}/{owner}")).close()
+        mine = spark.read.parquet(stage).groupBy("voice").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("n_seq"))
+        if mine.where("n > n_seq").limit(1).count():
+            raise LedgerConflict("two records of one voice in one append")
+        if not mine.limit(1).count():
+            return
+        for _ in range(tries):
+            if written := _written(spark, path):
+                held = ledger(spark, path).groupBy("voice").agg(F.max("seq").alias("last"))
+                if (late := mine.join(held, "voice").where("first <= last").select("voice").first()) is not None:
+                    raise LedgerConflict(f"a record of {late['voice']!r} was written meanwhile")
+            number = max((int(n.removeprefix("commit-")) for n in written if n.startswith("commit-")), default=0) + 1
+            if _renamed(spark, at(stage), at(f"{path}/commit-{number:010d}"), fs, owner):
+                return
+        raise LedgerConflict(f"no commit in {tries} tries")
+    finally:
+        fs.delete(at(stage), True)
+
+
+def _renamed(spark: SparkSession, source, target, fs, owner: str) -> bool:
+    """Whether the folder is at the target now; a target that is there already is left alone."""
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, options)
+    except Py4JJavaError:
+        if not fs.exists(target):
+            raise
+    return fs.exists(jvm.org.apache.hadoop.fs.Path(target, owner))
 
 
 def steps(asked: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -714,7 +714,7 @@ def consent_current(spark, sf):
     return consent.current(ledger_rows(spark, sf)).select("voice", "seq", "ts", "status", "kind", "match", "refusal", "usable")
 
 
-@query(f"WITH {LEDGER}, probes AS (SELECT user_id AS voice, ts AS at, event_id AS probe FROM events WHERE event_type = 'view') SELECT p.voice, p.probe, (SELECT l.status FROM ledger l WHERE l.voice = p.voice AND l.ts <= p.at ORDER BY l.ts DESC, l.seq DESC LIMIT 1) AS in_force FROM probes p")
+@query(f"WITH {LEDGER}, probes AS (SELECT user_id AS voice, ts AS at, event_id AS probe FROM events WHERE event_type = 'view') SELECT p.voice, p.probe, (SELECT l.status FROM ledger l WHERE l.voice = p.voice AND l.ts <= p.at ORDER BY l.seq DESC LIMIT 1) AS in_force FROM probes p")
 def consent_asof(spark, sf):
     return consent.as_of(ledger_rows(spark, sf), work_begun(spark, sf)).select("voice", "probe", "in_force")
 
@@ -725,12 +725,24 @@ def consent_usable_semi(spark, sf):
     return consent.permitted(rows, ledger_rows(spark, sf)).select("event_id", "voice")
 
 
+#: Every second record has the seq of the one before it, as two writers without a check would make it, and every third was stamped by a clock a week behind.
+_TIED = f"SELECT voice, CASE WHEN seq % 3 = 0 THEN ts - INTERVAL 7 DAY ELSE ts END AS ts, (seq + 1) // 2 AS seq, status, kind, match FROM ({_LEDGER})"
+_STRICT = f"CASE WHEN status = 'revoked' THEN 2 WHEN {_REFUSAL} <> '' THEN 1 ELSE 0 END"
+
+
+@query(f"WITH tied AS ({_TIED}), r AS (SELECT *, {_STRICT} AS strict FROM tied) SELECT voice, max(seq) AS seq, arg_max(strict, (seq, strict)) = 0 AS usable, arg_max(strict, (seq, strict)) = 2 AS revoked FROM r GROUP BY voice")
+def consent_tied(spark, sf):
+    """Two writers' records with one seq and clocks set back: the strictest record of the last seq is in force."""
+    x = ledger_rows(spark, sf).withColumns({"ts": F.expr("CASE WHEN seq % 3 = 0 THEN ts - INTERVAL 7 DAYS ELSE ts END"), "seq": F.expr("(seq + 1) DIV 2")})
+    return consent.current(x).select("voice", "seq", "usable", (F.col("status") == "revoked").alias("revoked"))
+
+
 def work_begun(spark, sf):
     return table(spark, sf, "events").where("event_type = 'view'").selectExpr("user_id AS voice", "ts AS at", "event_id AS probe")
 
 
 @query(f"""WITH {LEDGER}, begun AS (SELECT user_id AS voice, ts AS at, event_id AS probe FROM events WHERE event_type = 'view'),
- held AS (SELECT voice, probe, kind, created FROM (SELECT b.voice, b.probe, l.kind, l.created, row_number() OVER (PARTITION BY b.probe ORDER BY l.ts DESC NULLS LAST, l.seq DESC) AS n FROM begun b LEFT JOIN ledger l ON l.voice = b.voice AND l.ts <= b.at) WHERE n = 1)
+ held AS (SELECT voice, probe, kind, created FROM (SELECT b.voice, b.probe, l.kind, l.created, row_number() OVER (PARTITION BY b.probe ORDER BY l.seq DESC NULLS LAST) AS n FROM begun b LEFT JOIN ledger l ON l.voice = b.voice AND l.ts <= b.at) WHERE n = 1)
  SELECT h.voice, probe, CASE WHEN now.voice IS NULL THEN 'missing' WHEN refusal <> '' THEN refusal WHEN h.kind IS DISTINCT FROM now.kind OR h.created IS DISTINCT FROM now.created THEN 'consent changed' ELSE '' END AS problem FROM held h LEFT JOIN now USING (voice)""")
 def consent_unchanged(spark, sf):
     ledger = ledger_rows(spark, sf)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import filesystem
 from ..operators import consent, gates
 
 # The formats that may be delivered, and the sentence every delivered file carries.
@@ -48,7 +49,7 @@ def manifest(takes: DataFrame, keys: list[str], fields: list[str], order: str, c
 def write_documents(documents: DataFrame, target: str) -> None:
     """JSON documents (json) as lines below `target`, staged and renamed, so that no reader sees half of them."""
     spark = documents.sparkSession
-    fs, path = _files(spark, target)
+    fs, path = filesystem(spark, target)
     stage = f"{target}.part-{uuid.uuid4().hex}"
     try:
         documents.select(F.col("json").alias("value")).write.text(stage)
@@ -68,12 +69,6 @@ def write_bank(references: DataFrame, path: str) -> None:
     references.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("voice").parquet(path)
 
 
-def _files(spark: SparkSession, target: str):
-    jvm = spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    return path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def deliver(batch: DataFrame, ledger: Callable[[], DataFrame], target: str) -> None:
     """Writes a batch (voice, probability, payload, tags, true_peak, ...) all or nothing.
 
@@ -83,7 +78,7 @@ def deliver(batch: DataFrame, ledger: Callable[[], DataFrame], target: str) -> N
     """
     spark: SparkSession = batch.sparkSession
     stage = f"{target}.part-{uuid.uuid4().hex}"
-    fs, path = _files(spark, target)
+    fs, path = filesystem(spark, target)
     if fs.exists(path(target)):
         raise FileExistsError(target)
     try:

@@ -57,10 +57,19 @@ def sidecar_rows(urls: DataFrame) -> DataFrame:
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a ledger kept as JSON lines, in the order of writing: seq counts them within each voice; broken lines fail."""
-    schema = "voice string, at timestamp, kind string, status string, speaker string, speaker_match double, created timestamp, expires timestamp, attested_by string, evidence string, scope string, revoked_at timestamp"
-    x = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumnsRenamed({"at": "ts", "speaker_match": "match"})
-    return x.withColumn("seq", F.row_number().over(W.partitionBy("voice").orderBy("ts")).cast("long"))
+    """Records of a ledger kept as JSON lines, in the order of writing: seq counts the lines of each voice, whatever their clocks say; broken lines fail.
+
+    Lines are in order within a file, and files by name.  Where all lines of a voice carry a `seq`, that counts, ties included
+    (`consent.current` takes the strictest of them).
+    """
+    schema = "voice string, at timestamp, kind string, status string, speaker string, speaker_match double, created timestamp, expires timestamp, attested_by string, evidence string, scope string, revoked_at timestamp, seq long"
+    x = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumnsRenamed({"at": "ts", "speaker_match": "match", "seq": "__given"})
+    # a task reads a stretch of a file from first to last, and stretches lie by their start
+    x = x.withColumns({"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__line": F.monotonically_increasing_id()})
+    w = W.partitionBy("voice")
+    place = F.row_number().over(w.orderBy("__file", "__start", "__line")).cast("long")
+    given = F.count("__given").over(w) == F.count(F.lit(1)).over(w)
+    return x.withColumn("seq", F.when(given, F.col("__given")).otherwise(place)).drop("__given", "__file", "__start", "__line")
 
 
 def centroid_rows(spark: SparkSession, path: str) -> DataFrame:

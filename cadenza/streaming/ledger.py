@@ -9,22 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import consent
+
 
 def states(stream: DataFrame) -> DataFrame:
     """The latest (seq, status) of each voice out of appended records (voice, seq, status), in update mode, with the status before it.
 
     `changed` tells a step from one status to another.  No watermark: a late revocation is never dropped.  A record older than
-    the state changes nothing.
+    the state changes nothing; of two with one seq the stricter one stands, whichever comes first (`consent.strictness`).
     """
     voice = stream.schema["voice"].dataType.simpleString()
+    strict = lambda status: 2 if status == "revoked" else 0 if status in consent.USABLE else 1
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
         seq, status, previous = state.get if state.exists else (-1, "", "")
         begun = status
         for pdf in batches:
-            for row in pdf.sort_values("seq").itertuples():
-                if row.seq > seq:
-                    seq, status, previous = int(row.seq), str(row.status), status
+            for s, new in sorted(zip(pdf["seq"].tolist(), pdf["status"].tolist()), key=lambda r: (r[0], strict(r[1]))):
+                if s > seq or s == seq and strict(new) > strict(status):
+                    seq, status, previous = int(s), str(new), status
         state.update((seq, status, previous))
         yield pd.DataFrame({"voice": [key[0]], "seq": [seq], "status": [status], "previous": [previous], "changed": [status != begun]})
 

@@ -60,7 +60,7 @@ def test_records_are_appended_and_never_lost(spark, tmp_path):
     empty = spark.createDataFrame([], LEDGER)
     asked = spark.createDataFrame([("a", "Ann", NOW, "reef amber 12", "all")], schema)
     consent.append(consent.requested(asked, empty), path)
-    ledger = lambda: spark.read.parquet(path)
+    ledger = lambda: consent.ledger(spark, path)
     first = ledger().first()
     assert (first["seq"], first["status"], first["kind"]) == (1, "pending", "spoken") and first["expires"] == NOW + datetime.timedelta(days=14) and "reef amber 12" in first["statement"] and "Ann" in first["statement"]
 
