@@ -5,8 +5,9 @@ A line's quote level is the number of leading `>` (white space between them is a
 lines of one level; it is normalised (lower case, single spaces) and hashed.  A quoted passage belongs to the
 earliest message of its conversation whose own (unquoted) passage, or any single own line, has the same hash and
 which comes before the quoting message.  A quoted passage that belongs to none as a whole (a trimmed or interleaved quote)
-is looked up line by line in the same way, if `by_line` is set, as it is for op3.  A message replies to the origin that it quotes most characters of, at
-the shallowest level, the latest turn winning ties.  Roots are found by pointer doubling; a conversation is ordered by
+is looked up line by line in the same way, unless `by_line` is off.  A message replies to the origin that it quotes at the shallowest
+level, as what it answers stands there and what that one answered stands deeper; of several, to the one that it quotes most characters
+of at that level, the latest turn winning ties.  Roots are found by pointer doubling; a conversation is ordered by
 the root's turn and then the turn, so that every reply follows what it answers.
 
 Results in special cases
@@ -59,7 +60,7 @@ def passages(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "its", "p.run", "p.alone", "p.level", normal(F.col("p.body")).alias("body")).where("body <> ''").withColumn("hash", F.xxhash64("body"))
 
 
-def replies(messages: DataFrame, by_line: bool = False) -> DataFrame:
+def replies(messages: DataFrame, by_line: bool = True) -> DataFrame:
     """conv_id, turn, parent_turn, linked (characters of all linked quotes); `by_line` looks up passages without an origin line by line."""
     found = common.cut(passages(messages).select("conv_id", "turn", "its", "run", "alone", "level", "hash", F.char_length("body").alias("chars")))
     origins = common.cut(found.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")))
@@ -70,9 +71,9 @@ def replies(messages: DataFrame, by_line: bool = False) -> DataFrame:
     if by_line:  # lines count only where their run as a whole is nobody's
         rest = quoted.where("alone").join(whole.select("conv_id", "turn", "its", "run").distinct(), ["conv_id", "turn", "its", "run"], "left_anti")
         votes = whole.unionByName(linked(rest))
-    per_origin = votes.groupBy("conv_id", "turn", "origin").agg(F.sum("chars").alias("chars"), F.min("level").alias("level"))
-    best = F.max(F.struct("chars", (-F.col("level")).alias("near"), "origin"))
-    return per_origin.groupBy("conv_id", "turn").agg(best["origin"].alias("parent_turn"), F.sum("chars").alias("linked"))
+    per_level = votes.groupBy("conv_id", "turn", "origin", "level").agg(F.sum("chars").alias("chars"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), "chars", "origin"))
+    return per_level.groupBy("conv_id", "turn").agg(best["origin"].alias("parent_turn"), F.sum("chars").alias("linked"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def roots(links: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
-def conversations(messages: DataFrame, by_line: bool = False) -> DataFrame:
+def conversations(messages: DataFrame, by_line: bool = True) -> DataFrame:
     """A row per message: conv_id, turn, role, text (without quotes), n_quoted_lines, max_level, parent_turn, root_turn, depth, position in the conversation."""
     rows = messages.select("conv_id", "turn", "role", "text")
     links = common.cut(replies(rows, by_line))
@@ -127,7 +128,7 @@ def as_mail(turns: DataFrame) -> DataFrame:
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(as_mail(common.table(spark, sf_dir, "conversations")), by_line=True)
+    return conversations(as_mail(common.table(spark, sf_dir, "conversations")))
 
 
 def _line_sql(x: str) -> str:
@@ -156,8 +157,8 @@ WITH RECURSIVE c AS (SELECT row_number() OVER () AS id, conv_id, turn, role, tex
 ), origins AS MATERIALIZED (SELECT conv_id, body, min(turn) AS origin FROM p WHERE level = 0 GROUP BY ALL
 ), whole AS MATERIALIZED (SELECT p.*, origin FROM p JOIN origins USING (conv_id, body) WHERE level > 0 AND NOT alone AND origin < turn
 ), votes AS (SELECT * FROM whole UNION ALL SELECT p.*, origin FROM p JOIN origins USING (conv_id, body) WHERE level > 0 AND alone AND origin < turn AND (id, run) NOT IN (SELECT (id, run) FROM whole)
-), per AS (SELECT conv_id, turn, origin, sum(length(body)) AS chars, min(level) AS level FROM votes GROUP BY ALL
-), parents AS MATERIALIZED (SELECT conv_id, turn, arg_max(origin, (chars, -level, origin)) AS parent_turn FROM per GROUP BY ALL
+), per AS (SELECT conv_id, turn, origin, level, sum(length(body)) AS chars FROM votes GROUP BY ALL
+), parents AS MATERIALIZED (SELECT conv_id, turn, arg_max(origin, (-level, chars, origin)) AS parent_turn FROM per GROUP BY ALL
 ), walk AS (SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM parents UNION ALL SELECT w.conv_id, w.turn, r.parent_turn, w.depth + 1 FROM walk w JOIN parents r ON r.conv_id = w.conv_id AND r.turn = w.root_turn
 ), roots AS (SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM walk GROUP BY ALL
 ), own AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_quote), '') AS text, count(*) FILTER (is_quote) AS n_quoted_lines, max(level) AS max_level FROM rn GROUP BY id

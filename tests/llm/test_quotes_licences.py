@@ -34,10 +34,9 @@ def brute_threads(rows):
         for lv, body in mine:
             if lv and body and own.get((c, body), n) < n:
                 o = own[c, body]
-                chars, near = votes.get(o, (0, lv))
-                votes[o] = (chars + len(body), min(near, lv))
+                votes[lv, o] = votes.get((lv, o), 0) + len(body)
         if votes:
-            parent[c, n] = max((chars, -lv, o) for o, (chars, lv) in votes.items())[2]
+            parent[c, n] = max((-lv, chars, o) for (lv, o), chars in votes.items())[2]
     return parent
 
 
@@ -50,14 +49,14 @@ def test_threads_against_brute_force(spark):
             own = "\n".join(" ".join(rng.choice(["Yes", "no", "may be", "so", "What", "then"]) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 3)))
             text = own
             if texts and rng.random() < 0.8:
-                for _ in range(rng.randint(1, 2)):
-                    quoted = rng.choice(texts).split("\n")
-                    text = "\n".join(rng.choice(["> ", ">", " > "]) + x for x in quoted) + "\n" + text
+                for _ in range(rng.randint(1, 3)):
+                    quoted, deep = rng.choice(texts).split("\n"), rng.choice(["", "", "> "])
+                    text = "\n".join(deep + rng.choice(["> ", ">", " > "]) + x for x in quoted) + "\n" + text
             texts.append(text)
             rows.append((c, n, "user", text))
     rows += [(50, 0, "user", None), (50, 1, "user", ""), (50, 2, "user", "> nobody said it\nyes")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS level", "2 AS hash", "3 AS position")
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(df).collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(df, by_line=False).collect()}
     parent = brute_threads(rows)
     assert len(parent) > 60 and len(got) == len(rows)
     for c in {c for c, *_ in rows}:
@@ -187,14 +186,14 @@ def test_partial_quotes_find_their_message(spark):
         (1, 2, "> the first point is money\n> the second point is time\nI agree"),  # greeting and signature trimmed
         (1, 3, "> Dear all,\n> the first point is money\nhow much?\n> the second point is time\n> the third point is rest\nnone"),  # interleaved
         (1, 4, "> hello there\n> nobody said this\n> something else\nwell"),  # a foreign line in between
-        (1, 5, "> > the first point is money\n> > the second point is time\n> I agree\nme too"),  # the shallower level is whole, the deeper has more characters
+        (1, 5, "> > the first point is money\n> > the second point is time\n> I agree\nme too"),  # the deeper level has more characters, but the shallower is what it answers
         (1, 6, "> nobody said this\n> nor this\nhm"), (1, 7, "> me too\n> hello there\n> something else\nok"),
         (2, 0, "> the first point is money\n> the second point is time\nanother conversation"), (2, 1, "> a later line\n> and one more\nno"), (2, 2, "a later line\nand one more\nand that"),
     ]
     messages = spark.createDataFrame([(c, n, "user", t) for c, n, t in rows], "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(messages, by_line=True).collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(messages).collect()}
     parents = {k: r["parent_turn"] for k, r in got.items()}
-    assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 0, (1, 6): None, (1, 7): 1, (2, 0): None, (2, 1): None, (2, 2): None}
+    assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 2, (1, 6): None, (1, 7): 1, (2, 0): None, (2, 1): None, (2, 2): None}
     assert [t for (c, t), _ in sorted(got.items(), key=lambda x: x[1]["position"]) if c == 1] == [0, 2, 3, 5, 1, 4, 7, 6]
 
 
@@ -214,7 +213,7 @@ def test_the_query_links_the_replies_that_it_derives(spark, tmp_path):
         assert r["text"] == (own[r["conv_id"], r["turn"]] or "")
         assert r["max_level"] == (0 if k == 0 or k == 2 and len(previous) < 2 else 2 if k == 3 and r["turn"] > 1 else 1)
         if r["max_level"]:
-            assert r["parent_turn"] in (r["turn"] - 1, r["turn"] - 2) and (k == 3 or r["parent_turn"] == r["turn"] - 1)
+            assert r["parent_turn"] == r["turn"] - 1  # what it answers, never what that one has answered
         else:
             assert r["parent_turn"] is None
 
