@@ -119,8 +119,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: Calla
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:07d}-{number:07d}.ids"]), pa.array([maker.close()], pa.binary())], names=["name", "content"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                maker.add(doc_id, ids_of(text.as_py() or "") + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.many(text.as_py() or "" for text in batch.column(1))):
+                maker.add(doc_id, ids + end)
                 if maker.n >= FILE:
                     yield closed()
                     maker, number = FileMaker(vocabulary), number + 1

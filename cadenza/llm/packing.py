@@ -27,7 +27,8 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 from itertools import combinations_with_replacement
 
@@ -43,6 +44,8 @@ from . import common
 MAX_TOKENS, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words of a generation whose ids a worker remembers; two generations are held.
 CACHE_WORDS = 200_000
+#: Characters of the texts that are taken together.
+CHARS = 1 << 22
 GRID, PARTS = 16, 3
 #: Shares of the fitted repeat counts that are tried; with none of them, all is best fit.
 SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
@@ -66,12 +69,15 @@ class WordIds:
     Four control characters that str.split() also splits at are left to the tokenizer.  New words of Latin-1 letters alone are
     encoded as one text, which is parted again after the tokens that end a word: each such word has exactly one.
     All this holds for a tokenizer that normalises and splits as `BY_WORD` says; any other encodes whole texts.
+    Many texts are taken together: their words are found in one run over the bytes, and only different ones are looked up.
     """
 
     #: Latin-1 letters in lower case; ASCII marks but the apostrophe, which may begin a piece with letters.
     LETTER = np.isin(np.arange(256), [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)])
     PLAIN = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+")
     MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
+    SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+    LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,7 +106,7 @@ class WordIds:
         apart = np.flatnonzero(cls.LETTER[b[:-1]] & cls.MARK[b[1:]]) + 1
         return (np.insert(b, apart, 32).tobytes() if len(apart) else raw).split()
 
-    def _learn(self, words: set) -> None:
+    def _learn(self, words: Iterable[str | bytes]) -> None:
         known, old = self.known, self.old
         plain, other = [], []
         for w in words:
@@ -138,6 +144,66 @@ class WordIds:
         return b"".join(ids)
 
 
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text in order, `CHARS` of text at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHARS:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        out, plain, where = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            raw = None
+            if self.by_word and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                with suppress(UnicodeEncodeError):
+                    raw = text.encode("latin-1")
+            if raw is None:
+                out[i] = self(text)
+            elif raw:
+                plain.append(raw)
+                where.append(i)
+        if not plain:
+            return out
+        joined = b"\n".join(plain).translate(self.LOWER)
+        b = np.frombuffer(joined, np.uint8)
+        blank = self.SPACE[b]
+        begins = ~blank
+        begins[1:] &= blank[:-1] | (self.LETTER[b[:-1]] & self.MARK[b[1:]])
+        begins = np.flatnonzero(begins)
+        if not len(begins):
+            return out
+        solid = ~blank
+        offsets = np.append(0, np.cumsum(np.add.reduceat(solid, begins, dtype=np.int32))).astype(np.int32)
+        kept = b[solid]
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+        different = words.dictionary.to_pylist()
+        ids = list(map(self.known.get, different))
+        missing = [i for i, got in enumerate(ids) if got is None]
+        if missing:
+            self._learn([different[i] for i in missing])
+            for i in missing:
+                ids[i] = self.known[different[i]]
+        lengths = np.array(list(map(len, ids)), np.int64) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        at = words.indices.to_numpy()
+        each = lengths[at]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts[at] - (ends - each), each) + np.arange(ends[-1])]
+        # a text's words begin between its first byte and the next one's
+        first = np.searchsorted(begins, np.cumsum([0, *(len(x) + 1 for x in plain[:-1])]))
+        cuts = np.append(0, ends)[np.append(first, len(begins))].tolist()
+        for i, lo, hi in zip(where, cuts, cuts[1:]):
+            out[i] = ids[lo:hi].tobytes()
+        return out
+
+
 @lru_cache(maxsize=1)
 def word_ids(file: str) -> WordIds:
     """One for all tasks of a worker process, which then shares the words it has met."""
@@ -154,8 +220,8 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer=tokenizer_fi
         ids_of = word_ids(tokenizer())
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = memoryview(ids_of(text.as_py() or "") + end)
+            for i, ids in enumerate(ids_of.many(text.as_py() or "" for text in batch.column(1))):
+                ids = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(ids), wide)):
                     part = ids[at : at + wide]
                     row.append(i)

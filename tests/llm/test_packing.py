@@ -104,6 +104,13 @@ def test_remembered_words_give_the_ids_of_the_whole_text(monkeypatch):
     tokenizer = Tokenizer.from_file(packing.tokenizer_file())
     rng = random.Random(11)
     bits = ["The", "the", "É", "école", "'s", "'", ".", ",", "***", "!!", "9", "42", "<|endoftext|>", "<|", "|>", "é", "İ", "Σ", "ß", "–", "日本", "́", "_", "-", "\xa0", " ", "n't", "½"]
-    for _ in range(400):
-        text = "".join(rng.choice(bits) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(0, 60)))
-        assert ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    texts = ["", " \n", "\x85a\xa0b\x0bc"]
+    texts += ["".join(rng.choice(bits) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    want = [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    for text, x in zip(texts, want):
+        assert ids(text) == x, text
+    for size in (1, 500, 1 << 22):  # one by one, some together, all together
+        monkeypatch.setattr(packing, "CHARS", size)
+        assert list(ids.many(texts)) == want
+        plain = ["".join(c for c in t if ord(c) < 256 and c != "|") for t in texts]
+        assert list(packing.WordIds(packing.tokenizer_file()).many(plain)) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in plain]
