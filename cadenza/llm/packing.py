@@ -2,10 +2,10 @@
 
 The driver sees nothing but the histogram of piece lengths (one count per length, `max_tokens` at most).  Lengths
 are rounded up to a grid; all patterns of up to `parts` grid lengths that fill a sequence are enumerated; repeat
-counts are fitted to the histogram by non-negative least squares and rounded down; patterns take actual pieces, largest of
-each grid cell first, and the last part is the largest length that the room left admits; what is left over, and the gaps inside
-patterns, are packed by best fit decreasing, on the histogram as well.  Rounding may take only a share of each repeat count; of the
-`SHARES` tried the fewest sequences win, so a plan is never worse than best fit decreasing.  The plan says, for each length, which stretch of its pieces goes to which
+counts are fitted to the histogram by non-negative least squares and rounded.  A repeat is realised by actual lengths of the
+pattern's cells that fill a sequence to the last token, so nothing is lost inside patterns; what is left over is packed by best fit
+decreasing, on the histogram as well.  Short pieces fill that up, so patterns leave them alone: of the limits in `FILLERS` the one
+that gives the fewest sequences counts.  The plan says, for each length, which stretch of its pieces goes to which
 sequences and offset; pieces are numbered within their length by a range-partitioned sort and joined to that plan.
 
 Results in special cases
@@ -25,12 +25,11 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from contextlib import suppress
 from functools import lru_cache
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pandas as pd
@@ -47,8 +46,8 @@ CACHE_WORDS = 200_000
 #: Characters of the texts that are taken together.
 CHARS = 1 << 22
 GRID, PARTS = 16, 3
-#: Shares of the fitted repeat counts that are tried; with none of them, all is best fit.
-SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
+#: Pieces shorter than such parts of a sequence are tried as fillers: no pattern takes them, so that they are there for what the patterns leave (0: none is held back).
+FILLERS = (16, 8, 32, 0)
 #: What a tokenizer has to do for its ids to be those of its words in a row.
 BY_WORD = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>")
 
@@ -270,9 +269,12 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
 def plan(histogram: dict[int, int], max_tokens: int = MAX_TOKENS, grid: int = GRID, parts: int = PARTS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, sequences like that): covers the histogram exactly."""
     grid = 1 if max_tokens % grid else grid
-    fitted = fit({n: k for n, k in histogram.items() if n < max_tokens}, max_tokens // grid, grid, parts)
-    plans = (filled(histogram, fitted, share, max_tokens, grid) for share in SHARES)
-    return min(plans, key=lambda p: sum(k for _, k in p))
+
+    def holding_back(shortest: int) -> list[tuple[tuple[int, ...], int]]:
+        fitted = fit({n: k for n, k in histogram.items() if shortest <= n < max_tokens}, max_tokens // grid, grid, parts)
+        return filled(histogram, fitted, max_tokens, grid)
+
+    return min((holding_back(max_tokens // part if part else 0) for part in FILLERS), key=lambda p: sum(k for _, k in p))
 
 
 def fit(histogram: dict[int, int], cells: int, grid: int, parts: int) -> list[tuple[tuple[int, ...], float]]:
@@ -294,47 +296,34 @@ def fit(histogram: dict[int, int], cells: int, grid: int, parts: int) -> list[tu
     return [(patterns[j][::-1], float(x[j])) for j in np.argsort(-x, kind="stable") if x[j] >= 1]
 
 
-def filled(histogram: dict[int, int], fitted: list[tuple[tuple[int, ...], float]], share: float, max_tokens: int, grid: int) -> list[tuple[tuple[int, ...], int]]:
-    """A plan that takes a share of the fitted repeats of each pattern with actual lengths, and best fit for the rest."""
+def exact(pattern: tuple[int, ...], left: dict[int, int], max_tokens: int, grid: int) -> Iterator[tuple[int, ...]]:
+    """Lengths of which pieces are left, one of each of the pattern's cells but the last, and whatever fills the sequence to the end."""
+    of_cell = [[n for n in range(c * grid, (c - 1) * grid, -1) if left.get(n)] for c in pattern[:-1]]
+    for some in product(*of_cell):
+        last = max_tokens - sum(some)
+        if left.get(last):
+            yield (*some, last)
+
+
+def filled(histogram: dict[int, int], fitted: list[tuple[tuple[int, ...], float]], max_tokens: int, grid: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan out of the fitted repeats, each realised by lengths that fill sequences to the last token, and best fit for what is left over."""
     left = {n: k for n, k in histogram.items() if k}
     out: list[tuple[tuple[int, ...], int]] = []
     if left.get(max_tokens):
         out.append(((max_tokens,), left.pop(max_tokens)))
-    lengths = sorted(left)
-
-    def largest(room: int, low: int, taken: Counter) -> int | None:
-        """The largest length in (low, room] of which a piece is left."""
-        at = bisect_right(lengths, room) - 1
-        while at >= 0 and lengths[at] > low:
-            if left[lengths[at]] > taken[lengths[at]]:
-                return lengths[at]
-            at -= 1
-        return None
-
-    opened: dict[int, list[list]] = defaultdict(list)  # free tokens -> [lengths, count]
     for pattern, times in fitted:
-        repeats = int(times * share)
-        while repeats:
-            taken: Counter = Counter()
-            room = max_tokens
-            for c in pattern[:-1]:
-                n = largest(min(room, c * grid), (c - 1) * grid, taken)
-                if n is None:
-                    break
-                taken[n] += 1
-                room -= n
-            else:
-                n = largest(room, 0, taken)
-            if n is None:
+        repeats = int(times + 0.5)
+        for these in exact(pattern, left, max_tokens, grid):
+            n_seq = min(repeats, *(left[n] // k for n, k in Counter(these).items()))
+            if n_seq:
+                out.append((these, n_seq))
+                repeats -= n_seq
+                for n in these:
+                    left[n] -= n_seq
+            if not repeats:
                 break
-            taken[n] += 1
-            n_seq = min(repeats, *(left[m] // k for m, k in taken.items()))
-            for m, k in taken.items():
-                left[m] -= n_seq * k
-                if not left[m]:
-                    lengths.remove(m)
-            opened[room - n].append([tuple(taken.elements()), n_seq])
-            repeats -= n_seq
+    lengths = sorted(n for n, k in left.items() if k)
+    opened: dict[int, list[list]] = defaultdict(list)  # free tokens -> [lengths, count]
     for n in reversed(lengths):
         count = left[n]
         while count:

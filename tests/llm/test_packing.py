@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from cadenza.llm import packing
@@ -80,6 +81,22 @@ def test_pack_matches_the_tokenizer_and_leaves_no_gap(spark, make_docs):
     assert len(held) <= best_fit(histogram, 2048)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_patterns_pack_the_given_tables_as_tightly_as_best_fit(sf):
+    import pyarrow.parquet as pq
+
+    ids, histogram = packing.word_ids(packing.tokenizer_file()), {}
+    for x in ids.many(t or "" for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist()):
+        n = len(x) // 4 + 1
+        for length in [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0):
+            histogram[length] = histogram.get(length, 0) + 1
+    plan = packing.plan(histogram)
+    patterned = sum(k for p, k in plan if 2 <= len(p) <= packing.PARTS and sum(p) == 2048)
+    whole = histogram.get(2048, 0)
+    total = sum(k for _, k in plan)
+    assert total == best_fit(histogram, 2048) and patterned > (0.25 if sf == "sf0.001" else 0.6) * (total - whole)
+
+
 def test_patterns_do_the_packing_where_they_fit():
     histogram = {1024: 400, 700: 300, 1348: 300, 300: 100, 848: 200}
     plan = packing.plan(histogram)
