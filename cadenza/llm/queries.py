@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, idfiles, licences, line_dedup, negatives, neighbours, packing, quality, quotes, shards, simhash, url_rules
+from . import decontaminate, idfiles, lexical, licences, line_dedup, negatives, neighbours, packing, quality, quotes, shards, simhash, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1_url_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_licences": licences.op10_licences,
+    "op11_lexical": lexical.op11_lexical,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_id_files": idfiles.op13_id_files,
 }
@@ -25,4 +26,5 @@ SQL = {
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_licences": licences.OP10_SQL,
+    "op11_lexical": lexical.OP11_SQL,
 }
