@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -100,28 +101,55 @@ def token_cap(words: Column) -> Column:
 # --- WAV -------------------------------------------------------------------------------------------------------
 
 
-def parsed_wav(raw: bytes, begin: float = 0.0, seconds: float | None = None) -> tuple[np.ndarray, int]:
-    """Samples (channels averaged) and rate of a PCM or float WAV file; only the asked stretch is read."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+@dataclass
+class Layout:
+    """Where a WAV file's samples lie, and how."""
+
+    kind: int
+    channels: int
+    sr: int
+    bits: int
+    start: int
+    frames: int
+
+    @property
+    def width(self) -> int:
+        return self.channels * self.bits // 8
+
+    def decoded(self, body: bytes) -> np.ndarray:
+        """Samples of whole frames, channels averaged."""
+        return _samples(np.frombuffer(body, np.uint8), self.kind, self.bits).reshape(-1, self.channels).mean(axis=1)
+
+
+def layout(read: Callable[[int, int], bytes], size: int) -> Layout:
+    """The layout of a PCM or float WAV file, out of the heads of its chunks; `read` gives n bytes from a place on."""
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, kind, channels, sr, bits = 12, 0, 0, 0, 0
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
+    at, form = 12, None
+    while at + 8 <= size:
+        name, length = struct.unpack("<4sI", read(at, 8))
         if name == b"fmt ":
-            kind, channels, sr, _, _, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
-            if kind == 0xFFFE:  # extensible: the kind stands in the first bytes of the sub-format
-                kind = struct.unpack_from("<H", raw, at + 32)[0]
+            body = read(at + 8, min(length, 40))
+            kind, channels, sr, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            # extensible: the kind stands in the first bytes of the sub-format
+            form = (struct.unpack_from("<H", body, 24)[0] if kind == 0xFFFE else kind, channels, sr, bits)
         elif name == b"data":
-            width = channels * bits // 8
-            total = min(size, len(raw) - at - 8) // width
-            lo = min(total, int(begin * sr))
-            hi = total if seconds is None else min(total, lo + int(round(seconds * sr)))
-            body = np.frombuffer(raw, np.uint8, (hi - lo) * width, at + 8 + lo * width)
-            return _samples(body, kind, bits).reshape(-1, channels).mean(axis=1), sr
-        at += 8 + size + size % 2
+            if form is None:
+                raise ValueError("a WAV file whose samples come before their format")
+            return Layout(*form, at + 8, min(length, size - at - 8) // (form[1] * form[3] // 8))
+        at += 8 + length + length % 2
     raise ValueError("a WAV file without data")
 
 
+def parsed_wav(raw: bytes, begin: float = 0.0, seconds: float | None = None) -> tuple[np.ndarray, int]:
+    """Samples (channels averaged) and rate of a WAV file's bytes; only the asked stretch is decoded.  Files are read by `sources.audio`."""
+    x = layout(lambda at, n: raw[at : at + n], len(raw))
+    lo = min(x.frames, int(begin * x.sr))
+    hi = x.frames if seconds is None else min(x.frames, lo + int(round(seconds * x.sr)))
+    return x.decoded(raw[x.start + lo * x.width : x.start + hi * x.width]), x.sr
+
+
 def _samples(body: np.ndarray, kind: int, bits: int) -> np.ndarray:
     if kind == 3:
         return body.view("<f4" if bits == 32 else "<f8").astype(np.float64)

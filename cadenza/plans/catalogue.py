@@ -6,14 +6,16 @@ timed tokens of `documents`, the consent ledger is `events`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, signal, text, vectors
+from ..functions.files import filesystem, scratch
 from ..operators import consent, entities, gates, ingest, listings, ranking, reports, seams, segment, takes
-from ..sources import delivery, files
+from ..sources import audio, delivery, files
 from ..streaming import ledger as streams
 from . import flows
 
@@ -823,6 +825,50 @@ def active_bounds(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", b.alias("b")).select("vec_id", F.col("b.begin").cast("int").alias("first_sample"), F.col("b.end").cast("int").alias("last_sample"))
 
 
+RECORDINGS = "recordings AS (SELECT vec_id // 256 AS recording, row_number() OVER (PARTITION BY vec_id // 256 ORDER BY vec_id) - 1 AS second, embedding FROM embeddings)"
+
+
+def recordings(spark, sf):
+    """Recordings of up to 256 seconds, each second the 64 samples of a vector."""
+    rows = table(spark, sf, "embeddings").selectExpr("vec_id DIV 256 AS recording", "struct(vec_id, embedding) AS part")
+    return rows.groupBy("recording").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["embedding"])).alias("samples"))
+
+
+@query(f"""WITH {RECORDINGS} SELECT recording, second, list_sum(list_transform(embedding, lambda x: round_even(least(1, greatest(-1, x::DOUBLE)) * 32767, 0)))::BIGINT AS level, len(embedding)::BIGINT AS n
+ FROM recordings WHERE second >= 10 AND second < 20 AND recording % 2 = 0""")
+def wav_windows(spark, sf):
+    """Written as WAV files, read back a second at a time: only every second file is opened, and only ten seconds of it are read."""
+    path = f"{scratch(spark)}/wav-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, path)
+    try:
+        audio.write_wav(recordings(spark, sf), F.format_string("%08d.wav", "recording"), F.col("samples"), F.lit(64), path)
+        even = [f.getPath().toUri().getPath() for f in fs.listStatus(at(path)) if int(f.getPath().getName().removesuffix(".wav")) % 2 == 0]
+        x = audio.windows(spark, path, 1.0).where(F.col("path").isin(even) & (F.col("begin") >= 10.0) & (F.col("begin") < 20.0))
+        # files are read in 32768ths, written in 32767ths
+        level = F.aggregate(F.transform("samples", lambda v: F.rint(v.cast("double") * 32768)), F.lit(0.0), lambda s, v: s + v).cast("long")
+        recording = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long")
+        return x.select(recording.alias("recording"), F.col("window").alias("second"), level.alias("level"), F.size("samples").cast("long").alias("n")).checkpoint()
+    finally:
+        fs.delete(at(path), True)
+
+
+@query(f"""WITH {RECORDINGS} SELECT recording, second, list_sum(list_transform(embedding[33:64], lambda x: round_even(least(1, greatest(-1, x::DOUBLE)) * 32767, 0)))::BIGINT AS level
+ FROM recordings WHERE second % 7 = 3""")
+def wav_stretches(spark, sf):
+    """The second half of every seventh second of each recording, by byte ranges."""
+    path = f"{scratch(spark)}/wav-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, path)
+    try:
+        x = recordings(spark, sf).withColumn("n", F.size("samples") / 64)
+        audio.write_wav(x, F.format_string("%08d.wav", "recording"), F.col("samples"), F.lit(64), path)
+        asked = x.select("recording", F.concat(F.lit(f"{path}/"), F.format_string("%08d.wav", "recording")).alias("path"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("second")).where("second % 7 = 3")
+        got = audio.stretches(asked.select("recording", "second", "path", (F.col("second") + 0.5).cast("double").alias("begin"), F.lit(0.5).alias("seconds")))
+        level = F.aggregate(F.transform("samples", lambda v: F.rint(v.cast("double") * 32768)), F.lit(0.0), lambda s, v: s + v).cast("long")
+        return got.select("recording", F.col("second").cast("long").alias("second"), level.alias("level")).checkpoint()
+    finally:
+        fs.delete(at(path), True)
+
+
 # --- streams as tables, tags, documents ------------------------------------------------------------------------
 
 

@@ -46,11 +46,14 @@ class FilesWriter(DataSourceArrowWriter):
         if [f.name for f in schema.fields] != ["name", "content"]:
             raise ValueError("files are written out of columns name and content")
         self.path, self.stage = path, f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+        files, stage = opened(self.stage)
+        files.create_dir(stage, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, stage = opened(self.stage)
         folder, names = uuid.uuid4().hex, []
-        files.create_dir(f"{stage}/{folder}", recursive=True)
+        # not with its parents: a task that outlives an aborted job finds no stage, and makes none
+        files.create_dir(f"{stage}/{folder}", recursive=False)
         for batch in iterator:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bad_name(name) or not content.is_valid:
