@@ -872,6 +872,16 @@ def wav_stretches(spark, sf):
 # --- streams as tables, tags, documents ------------------------------------------------------------------------
 
 
+#: Events as frames of a minute; an hour of silence parts regions, those under five minutes are none, and two hours are the most.
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) AS opened, epoch_us(ts) + 60000000 AS closed FROM events WHERE event_id % 10 >= 3 AND user_id IS NOT NULL AND ts IS NOT NULL),
+ r AS (SELECT user_id, min(opened) AS opened, max(closed) AS closed FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY opened, closed ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce((opened - lag(closed) OVER (PARTITION BY user_id ORDER BY opened, closed) >= 3600000000)::INT, 1) AS new FROM s)) GROUP BY user_id, run),
+ p AS (SELECT *, unnest(range(greatest(1, ceil((closed - opened) / 7200000000.0)::BIGINT))) AS part FROM r WHERE closed - opened >= 300000000)
+ SELECT user_id, (opened + part * 7200000000)::BIGINT AS opened, least(closed, opened + (part + 1) * 7200000000)::BIGINT AS closed FROM p""")
+def speech_regions(spark, sf):
+    frames = table(spark, sf, "events").withColumn("p", F.expr("CASE WHEN event_id % 10 >= 3 THEN 0.9 ELSE 0.1 END"))
+    return streams.regions(frames, ["user_id"], "ts", "p", frame=60.0, silence=3600.0, least=300.0, most=7200.0, bucket=86400.0)
+
+
 @query("""WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 900 SECOND THEN 0 ELSE 1 END AS new FROM events))
  SELECT user_id, epoch_us(min(ts)) AS opened, epoch_us(max(ts)) + 900000000 AS closed, count(*) AS n FROM g GROUP BY user_id, s""")
 def idle_sessions(spark, sf):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import consent
@@ -35,9 +38,31 @@ def states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("voice").applyInPandasWithState(update, schema, "seq long, status string, previous string", "update", GroupStateTimeout.NoTimeout)
 
 
-def regions(frames: DataFrame, keys: list[str], ts: str, probability: str, threshold: float = 0.5, silence: str = "300 milliseconds", watermark: str | None = None) -> DataFrame:
-    """keys, opened, closed, n: regions of speech out of frames; silence of a length closes one, the stream's end flushes the last."""
-    return sessions(frames.where(F.col(probability) >= threshold), keys, ts, silence, watermark)
+def regions(frames: DataFrame, keys: list[str], ts: str, probability: str, frame: float, threshold: float = 0.5, silence: float = 0.3, least: float = 0.25, most: float = 20.0, bucket: float = 3600.0) -> DataFrame:
+    """keys, opened, closed (microseconds) of regions of speech in a table of frames; `live.speech_regions` does it for streams.
+
+    A frame from `threshold` on is speech from its time until `frame` seconds later.  Speech that less than `silence` seconds part is one
+    region; regions under `least` seconds are dropped, and those over `most` are cut at every multiple of it, by the clock.
+    Frames without key, time or probability are none.
+
+    Runs are found inside buckets of time and then joined over their borders, so no task holds all frames of a source.
+    """
+    micros = lambda x: round(x * 1e6)
+    speech = frames.where((F.col(probability) >= threshold) & F.col(ts).isNotNull() & reduce(and_, (F.col(k).isNotNull() for k in keys)))
+    runs = speech.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("opened")).withColumn("closed", F.col("opened") + micros(frame))
+
+    def joined(x: DataFrame, within: list) -> DataFrame:
+        w = W.partitionBy(*keys, *within).orderBy("opened", "closed")
+        before = F.max("closed").over(w.rowsBetween(W.unboundedPreceding, -1))
+        x = x.withColumn("__new", F.coalesce((F.col("opened") - before >= micros(silence)).cast("int"), F.lit(1)))
+        x = x.withColumn("__run", F.sum("__new").over(w))
+        return x.groupBy(*keys, *within, "__run").agg(F.min("opened").alias("opened"), F.max("closed").alias("closed"))
+
+    runs = joined(runs.withColumn("__bucket", F.floor(F.col("opened") / micros(bucket))), ["__bucket"])
+    runs = joined(runs.select(*keys, "opened", "closed"), []).where(F.col("closed") - F.col("opened") >= micros(least))
+    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil((F.col("closed") - F.col("opened")) / micros(most))) - 1)).alias("__part")
+    begin = F.col("opened") + F.col("__part") * micros(most)
+    return runs.select(*keys, "opened", "closed", parts).select(*keys, begin.alias("opened"), F.least("closed", begin + micros(most)).alias("closed"))
 
 
 def jobs(records: DataFrame) -> DataFrame:

@@ -257,8 +257,6 @@ def test_ledger_stream_tells_transitions(spark, tmp_path):
     assert q.awaitTermination(120)
     got = {(r["voice"], r["seq"], r["status"], r["previous"], r["changed"]) for r in spark.table("ledger_changes").collect()}
     assert ("b", 1, "attested", "", True) in got and max(r for r in got if r[0] == "a")[:3] == ("a", 3, "revoked")
-    regions = streams.regions(spark.createDataFrame([("s", NOW + datetime.timedelta(milliseconds=m), 0.9 if m != 900 else 0.1) for m in (0, 100, 200, 900, 1000, 1100)], "source string, at timestamp, p double"), ["source"], "at", "p")
-    assert sorted((r["opened"], r["n"]) for r in regions.collect()) == [(NOW, 3), (NOW + datetime.timedelta(seconds=1), 2)]
 
 
 def test_bank_rewrites_only_the_voices_given(spark, tmp_path):
