@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors
+from . import similar
 
 
 def medians(df: DataFrame, keys: list[str], columns: list[str], large: bool = False) -> DataFrame:
@@ -199,51 +200,13 @@ def two_stage(df: DataFrame, keys: list[str], k: int, clean: Column, apart: floa
     return pick(pick(df, 2 * k).where(clean).select(*columns), k)
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = 4096) -> DataFrame:
-    """Pairs (a < b) with a cosine at or over the threshold, by matrix products of hashed blocks of bounded size."""
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
-    spread = F.sequence(F.lit(0), F.lit(n - 1))
-    wide = rows.withColumn("other", F.explode(spread))
-    left = wide.select(F.col("own").alias("i"), F.col("other").alias("j"), "id", "v").where("i <= j")
-    # columns of the other side have names of their own: both come from one frame
-    right = wide.select(F.col("other").alias("i2"), F.col("own").alias("j2"), F.col("id").alias("id2"), F.transform("v", lambda x: x + 0.0).alias("v2")).where("i2 <= j2")
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """a, b (a < b), cosine: see `similar.similar_pairs`."""
+    return similar.similar_pairs(df, key, vector, threshold)
 
-    def meet(one, two):
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        a, b = np.stack(one["v"]), np.stack(two["v2"])
-        s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1) + 1e-9)
-        x, y = one["id"].to_numpy(), two["id2"].to_numpy()
-        hit = s >= threshold
-        if one["i"].iloc[0] == one["j"].iloc[0]:
-            hit &= x[:, None] < y
-        i, j = np.nonzero(hit)
-        return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "cosine": s[i, j]})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, "a long, b long, cosine double")
-
-
-def densities(rows: DataFrame, alike: float, block: int = 4096) -> DataFrame:
-    """id, d: the duration of all rows (id, duration, v) that are `alike` or more to a row, itself included.
-
-    Blocks of bounded size meet and give one partial sum a row, never pairs.
-    """
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    wide = rows.select("id", "duration", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    left = wide.select(F.col("own").alias("i"), F.col("other").alias("j"), "id", "v")
-    right = wide.select(F.col("other").alias("i2"), F.col("own").alias("j2"), F.col("duration").alias("duration2"), F.transform("v", lambda x: x + 0.0).alias("v2"))
-
-    def meet(one, two):
-        if not len(one) or not len(two):
-            return pd.DataFrame({"id": [], "d": []})
-        a, b = np.stack(one["v"]), np.stack(two["v2"])
-        near = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1) + 1e-9) >= alike
-        return pd.DataFrame({"id": one["id"].to_numpy(), "d": near @ two["duration2"].to_numpy(float)})
-
-    parts = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, "id long, d double")
-    return parts.groupBy("id").agg(F.round(F.sum("d"), 9).alias("d"))
+#: A duration in billionths of a second, so that sums of them are exact and rows with equal sums tie.
+_BILLIONTHS = 1e9
 
 
 def density_clusters(clips: DataFrame, vector: str, alike: float = 0.5, rounds: int = 4, least: int = 3) -> DataFrame:
@@ -252,27 +215,35 @@ def density_clusters(clips: DataFrame, vector: str, alike: float = 0.5, rounds:
     Each round takes the row with the most near duration (itself included; the smaller id on ties) and all that are near to it.
     At most `rounds` rounds, while at least `least` rows remain.  Fewer rows from the start are one cluster if they are
     near each other, else each is its own, in the order of ids.  One row a round comes to the driver.
+
+    Densities are computed once; after a round, what its members have added is taken off those that are left.  Rows whose
+    vector is null, broken or zero are in no cluster.
     """
-    rows = clips.select(F.col("id").cast("long").alias("id"), "duration", F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    ids = clips.select(F.col("id").cast("long").alias("id"), "duration")
+    blocks = similar.Blocks.of(clips, "id", vector, F.round(F.coalesce("duration", F.lit(0.0)) * _BILLIONTHS))
+    rows = blocks.rows
     near = lambda v: vectors.cosine(F.col("v"), F.array(*map(F.lit, v))) >= alike
     few = rows.orderBy("id").limit(least).collect()
     if len(few) < least:
         one = len(few) == 2 and rows.where(near(few[0]["v"])).count() == 2
         place = F.lit(1) if one else F.when(F.col("id") == (few[0]["id"] if few else 0), 1).otherwise(2)
         medoid = F.lit(few[0]["id"]) if one else F.col("id")
-        return rows.select(place.alias("cluster"), medoid.alias("medoid"), "id", "duration")
+        return rows.join(ids, "id").select(place.alias("cluster"), medoid.alias("medoid"), "id", "duration")
     left, out = rows, None
+    d = similar.densities(blocks, blocks, alike).checkpoint()
     for k in range(rounds):
-        if k and len(left.select("id").limit(least).collect()) < least:
-            break
-        best = densities(left, alike).orderBy(F.desc("d"), "id").first()
-        v = left.where(F.col("id") == best["id"]).first()["v"]
+        best = left.join(d, "id").orderBy(F.desc("d"), "id").first()
         # a row is its own neighbour, whatever its vector
-        mine = near(v) | (F.col("id") == best["id"])
-        members = left.where(mine).select(F.lit(k + 1).alias("cluster"), F.lit(best["id"]).alias("medoid"), "id", "duration")
-        out = members if out is None else out.unionByName(members)
+        mine = near(best["v"]) | (F.col("id") == best["id"])
+        members = left.where(mine)
+        found = members.select(F.lit(k + 1).alias("cluster"), F.lit(best["id"]).alias("medoid"), "id")
+        out = found if out is None else out.unionByName(found)
         left = left.where(~mine)
-    return out
+        if k + 1 == rounds or len(left.select("id").limit(least).collect()) < least:
+            break
+        gone = similar.densities(blocks.of_rows(left), blocks.of_rows(members), alike).withColumnRenamed("d", "gone")
+        d = left.select("id").join(d, "id").join(gone, "id", "left").select("id", (F.col("d") - F.coalesce("gone", F.lit(0))).alias("d")).checkpoint()
+    return out.join(ids, "id").select("cluster", "medoid", "id", "duration")
 
 
 def dominant(clusters: DataFrame, rows: DataFrame) -> DataFrame:
