@@ -24,10 +24,10 @@ def region_features(samples: Column, sr: Column, embedding: Column) -> Column:
 
 
 def features(samples: Column, sr: Column, embedding: Column, words: Column, speech_seconds: Column) -> Column:
-    """All measures of a clip as one struct; what needs a Fourier transform runs in Arrow batches."""
-    x = signal.prosody(samples, sr)
+    """All measures of a clip as one struct; what needs frames crosses to Python once."""
+    x = signal.spectral(samples, sr)
     return F.struct(
-        embedding.alias("emb"), signal.clipping_ratio(samples, 0.99).alias("clipping"), signal.snr_db(samples, 320).alias("snr_db"), signal.bandwidth_hz(samples, sr).alias("bandwidth"),
+        embedding.alias("emb"), signal.clipping_ratio(samples, 0.99).alias("clipping"), signal.snr_db(samples, 320).alias("snr_db"), x["bandwidth"].alias("bandwidth"),
         x["f0_median"].alias("f0_median"), x["f0_range_st"].alias("f0_range_st"), signal.rate_wps(x["f0_median"], words, speech_seconds, F.size(samples) / sr).alias("rate_wps"), signal.rms_db(samples).alias("rms_db"),
     )
 

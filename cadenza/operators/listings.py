@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import consent
+from . import consent, prefix
 
 
 def voices(entities: DataFrame, ledger: DataFrame, references: DataFrame, tuning: DataFrame) -> DataFrame:
@@ -44,14 +44,10 @@ def device(requested: Column, allowed: Column, available: list[str]) -> Column:
 def queue(jobs: DataFrame, machine: list[str], arrive: str, took: str, order: list[str]) -> DataFrame:
     """Adds begun and finished for jobs that a machine runs one at a time in order of arrival.
 
-    With T the running sum of times taken, a job finishes at T plus the largest of (arrival - T before) so far: no loop.
+    No loop, and no task that holds a machine's jobs where there are many: see `prefix.in_turn`.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*machine).orderBy(arrive, *order).rowsBetween(W.unboundedPreceding, 0)
-    x = jobs.withColumn("__t", F.sum(took).over(w))
-    x = x.withColumn("finished", F.col("__t") + F.max(F.col(arrive) - F.col("__t") + F.col(took)).over(w))
-    return x.withColumn("begun", F.col("finished") - F.col(took)).drop("__t")
+    x = prefix.in_turn(jobs, machine, [F.col(arrive), *[F.col(c) for c in order]], arrive, took)
+    return x.withColumn("begun", F.col("finished") - F.col(took))
 
 
 def lookup(asked: DataFrame, jobs: DataFrame) -> DataFrame:

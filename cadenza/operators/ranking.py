@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,16 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors
-from . import similar
+from ..functions.files import scratch
+from . import prefix, similar
 
 
-def medians(df: DataFrame, keys: list[str], columns: list[str], large: bool = False) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], columns: list[str], large: bool | None = None) -> DataFrame:
     """keys and the exact median of each column, under the column's own name.
 
-    large: for groups whose distinct values don't fit one task.  A sketch brackets the middle of each group; ranks are counted
-    below the bracket, and only the values inside it, a few thousandths of a group, are counted and ordered.
+    large: for groups whose distinct values don't fit one task; by Spark's estimate of the table unless said.  A sketch brackets
+    the middle of each group; ranks are counted below the bracket, and only the values inside it, a few thousandths of a group,
+    are counted and ordered; all columns go through together.
     """
-    if not large:
+    if not (prefix.is_large(df) if large is None else large):
         return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in columns])).alias("__e")
     rows = df.select(*keys, each).select(*keys, "__e.*").where("__v IS NOT NULL")
@@ -26,8 +31,8 @@ def medians(df: DataFrame, keys: list[str], columns: list[str], large: bool = Fa
     sketch = F.percentile_approx("__v", F.array(F.lit(0.495), F.lit(0.505)), F.lit(10_000))  # within a ten-thousandth
     bracket = rows.groupBy(*at).agg(sketch.alias("__b")).select(*at, F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"))
     # the bounds travel with the counts that belong to them
-    ranks = rows.join(bracket, at).groupBy(*at, "__lo", "__hi").agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col("__v") < F.col("__lo"), 1)).alias("__below"))
-    inside = rows.join(ranks, at).where("__v BETWEEN __lo AND __hi").groupBy(*at, "__n", "__below", "__v").agg(F.count(F.lit(1)).alias("__k"))
+    ranks = _back(rows, bracket, at).groupBy(*at, "__lo", "__hi").agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col("__v") < F.col("__lo"), 1)).alias("__below"))
+    inside = _back(rows, ranks, at).where("__v BETWEEN __lo AND __hi").groupBy(*at, "__n", "__below", "__v").agg(F.count(F.lit(1)).alias("__k"))
     upto = F.col("__below") + F.sum("__k").over(W.partitionBy(*at).orderBy("__v"))
     inside = inside.withColumn("__upto", upto)
     first, second = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)  # ranks from 1
@@ -36,36 +41,50 @@ def medians(df: DataFrame, keys: list[str], columns: list[str], large: bool = Fa
     return mid.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == c, F.col("__m"))).alias(c) for c in columns])
 
 
-def robust_z(df: DataFrame, keys: list[str], columns: list[str], limit: float = 3.0, large: bool = False) -> DataFrame:
+def with_medians(df: DataFrame, keys: list[str], columns: dict[str, Column], large: bool | None = None) -> DataFrame:
+    """Adds the median of each expression over its group, under the name given.
+
+    Small tables take a window over whole groups, which needs no join and shares one exchange with others of the same keys.
+    """
+    if not (prefix.is_large(df) if large is None else large):
+        w = W.partitionBy(*keys)
+        return df.withColumns({n: F.median(c).over(w) for n, c in columns.items()})
+    x = df.withColumns({f"__of_{n}": c for n, c in columns.items()})
+    middle = medians(x, keys, [f"__of_{n}" for n in columns], True).withColumnsRenamed({f"__of_{n}": n for n in columns})
+    return _back(df, middle, keys)
+
+
+def robust_z(df: DataFrame, keys: list[str], columns: list[str], limit: float = 3.0, large: bool | None = None) -> DataFrame:
     """Adds z_<column>: distance from the median over 1.4826 MAD, clipped; 0 where the MAD vanishes.
 
-    Two small aggregates per group are joined back; no window ever holds a group.  large: see `medians`.
+    Two steps for all columns, medians and then MADs; large: see `medians`.
     """
-    middle = medians(df, keys, columns, large).withColumnsRenamed({c: f"__med_{c}" for c in columns})
-    near = _back(df, middle, keys).withColumns({f"__off_{c}": F.abs(F.col(c) - F.col(f"__med_{c}")) for c in columns})
-    spread = medians(near, keys, [f"__off_{c}" for c in columns], large).withColumnsRenamed({f"__off_{c}": f"__mad_{c}" for c in columns})
-    out = _back(near, spread, keys)
+    large = prefix.is_large(df) if large is None else large
+    x = with_medians(df, keys, {f"__med_{c}": F.col(c) for c in columns}, large)
+    out = with_medians(x, keys, {f"__mad_{c}": F.abs(F.col(c) - F.col(f"__med_{c}")) for c in columns}, large)
     for c in columns:
         z = (F.col(c) - F.col(f"__med_{c}")) / (1.4826 * F.col(f"__mad_{c}"))
         out = out.withColumn(f"z_{c}", F.when(F.col(f"__mad_{c}") < 1e-9, 0.0).otherwise(F.least(F.lit(limit), F.greatest(F.lit(-limit), z))))
-    return out.drop(*[f"__{k}_{c}" for c in columns for k in ("med", "mad", "off")])
+    return out.drop(*[f"__{k}_{c}" for c in columns for k in ("med", "mad")])
 
 
 def _back(df: DataFrame, aggregate: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(aggregate, keys) if keys else df.crossJoin(F.broadcast(aggregate))  # one row
+    if not keys:
+        return df.crossJoin(F.broadcast(aggregate))  # one row
+    there = aggregate.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    return df.join(there, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))).drop(*[f"__key_{k}" for k in keys])
 
 
 def adaptive_cut(df: DataFrame, keys: list[str], similarity: str, least: float = 0.5, slack: float = 0.25) -> DataFrame:
     """Rows at or over max(least, median of similarities from `least` on, minus slack), with that `cut`."""
-    middle = df.groupBy(*keys).agg(F.median(F.when(F.col(similarity) >= least, F.col(similarity))).alias("__m"))
-    cut = middle.select(*keys, F.coalesce(F.greatest(F.lit(least), F.col("__m") - slack), F.lit(least)).alias("cut"))
-    return _back(df, cut, keys).where(F.col(similarity) >= F.col("cut"))
+    x = with_medians(df, keys, {"__m": F.when(F.col(similarity) >= least, F.col(similarity))})
+    x = x.withColumn("cut", F.coalesce(F.greatest(F.lit(least), F.col("__m") - slack), F.lit(least))).drop("__m")
+    return x.where(F.col(similarity) >= F.col("cut"))
 
 
-def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: float) -> DataFrame:
-    """Rows in rank order while the sum of earlier costs is under the budget; the last may overshoot."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0).cast("double"))).where(F.col("spent_before") < budget)
+def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: float, large: bool | None = None) -> DataFrame:
+    """Rows in rank order while the sum of earlier costs, `spent_before`, is under the budget; the last may overshoot.  See `prefix.running`."""
+    return prefix.running(df, keys, order, cost, "spent_before", F.col("spent_before") < budget, large)
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "place") -> DataFrame:
@@ -75,8 +94,8 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str =
 
 def clip_scores(df: DataFrame, keys: list[str]) -> DataFrame:
     """The composite score of clips out of sim, confidence, snr_db, f0_median, rate_wps and duration, within their pool."""
-    pool = df.groupBy(*keys).agg(F.median("f0_median").alias("__f0"), F.median("rate_wps").alias("__rate"))
-    x = _back(df, pool, keys)
+    large = prefix.is_large(df)
+    x = with_medians(df, keys, {"__f0": F.col("f0_median"), "__rate": F.col("rate_wps")}, large)
     x = x.withColumns(
         {
             "f0_dev": F.abs(12 * F.log2(F.col("f0_median") / F.col("__f0"))),
@@ -84,7 +103,7 @@ def clip_scores(df: DataFrame, keys: list[str]) -> DataFrame:
             "length_fit": -F.greatest(F.lit(0.0), 7 - F.col("duration"), F.col("duration") - 11),
         }
     ).drop("__f0", "__rate")
-    x = robust_z(x, keys, ["sim", "confidence", "snr_db", "f0_dev", "rate_dev", "length_fit"])
+    x = robust_z(x, keys, ["sim", "confidence", "snr_db", "f0_dev", "rate_dev", "length_fit"], large=large)
     typical = -(F.col("z_f0_dev") + F.col("z_rate_dev")) / 2
     return x.withColumn("score", 0.40 * F.col("z_sim") + 0.20 * F.col("z_confidence") + 0.15 * F.col("z_snr_db") + 0.15 * typical + 0.10 * F.col("z_length_fit"))
 
@@ -145,49 +164,69 @@ def find_target(clips: DataFrame, anchor: list[float] | None = None, target: lis
 def diverse_top(df: DataFrame, keys: list[str], k: int, apart: float = 60.0, alike: float = 0.97) -> DataFrame:
     """Greedy choice by score: a clip is taken unless it lies within `apart` seconds of a taken one of its source, or is `alike`.
 
-    Needs pos, source, start, score, emb and the keys; adds `chosen` (1..k).  A group streams in score order
-    through one task, which holds the k taken clips only.
+    Needs pos, source, start, score, emb and the keys; adds `chosen` (1..k).  Without keys all rows are one pool; a null key is a key.
+    Rows whose pos, score or emb is null, or whose emb holds a null, take no part; a null source or start lies near nothing, and so
+    does a zero vector.
+
+    A round looks at the best `HEAD` rows of each pool that nothing taken so far excludes, which are in order, so what it takes is what
+    one scan would take; the next round begins behind them.  Each round takes one row at least, and no task holds more of a pool.
     """
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField("chosen", IntegerType())])
-    names = [f.name for f in schema.fields]
-
-    def choose(batches):
-        group, taken = None, []
-        for pdf in batches:
-            at = list(pdf[keys].itertuples(index=False, name=None)) if keys else [()] * len(pdf)
-            begins = [i for i in range(len(at)) if not i or at[i] != at[i - 1]]
-            rows, scores = [], []
-            for lo, hi in zip(begins, [*begins[1:], len(at)]):
-                if at[lo] != group:
-                    group, taken = at[lo], []
-                # what the chosen ones exclude is excluded for good, so a whole stretch is masked at once and scanned only where it is free
-                where, start, emb = pdf["source"].to_numpy()[lo:hi], pdf["start"].to_numpy(float)[lo:hi], None
-                free = np.ones(hi - lo, bool)
-                for s, t, v in taken if len(taken) < k else ():
-                    emb = _unit(pdf["emb"].iloc[lo:hi]) if emb is None else emb
-                    free &= ~(((where == s) & (np.abs(start - t) < apart)) | (emb @ v > alike))
-                i = 0
-                while len(taken) < k and i < len(free):
-                    if free[i]:
-                        emb = _unit(pdf["emb"].iloc[lo:hi]) if emb is None else emb
-                        taken.append((where[i], start[i], emb[i]))
-                        rows.append(lo + i)
-                        scores.append(len(taken))
-                        free[i:] &= ~(((where[i:] == where[i]) & (np.abs(start[i:] - start[i]) < apart)) | (emb[i:] @ emb[i] > alike))
-                    i += 1
-            out = pdf.iloc[rows].copy()
-            out["chosen"] = scores
-            yield out[names] if rows else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-
-    order = [*keys, F.desc("score"), "pos"]
-    return df.repartition(*keys).sortWithinPartitions(*order).mapInPandas(choose, schema)
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    e = np.stack([np.asarray(v, float) for v in vectors])
-    return e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-9)
+    spark = df.sparkSession
+    scratch(spark)
+    own = [f"__key{i}" for i in range(max(1, len(keys)))]
+    sound = F.col("pos").isNotNull() & F.col("score").isNotNull() & F.forall("emb", lambda x: x.isNotNull())
+    pool = df.where(F.coalesce(sound, F.lit(False))).withColumns(dict(zip(own, [F.col(c) for c in keys] or [F.lit(0)])))
+    # read in every round; rows are told apart by a number of their own
+    pool = pool.withColumns({"__unit": vectors.unit(F.col("emb")), "__id": F.monotonically_increasing_id()}).checkpoint()
+    size = max(HEAD, 4 * k)
+    light = pool.select(*own, "__id", "pos", "source", F.col("start").cast("double").alias("start"), F.col("score").cast("double").alias("score"), "__unit")
+    kind = {c: pool.schema[c].dataType.simpleString() for c in (*own, "pos", "source")}
+    renamed = [F.col(c).alias(f"{c}_") for c in own]
+    here = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in own))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A pool's head with what was taken before in __taken: what it takes, and a row that says how far it came."""
+        pdf = pdf.sort_values("__n")
+        before = pdf["__taken"].iloc[0]
+        where, start, unit = pdf["source"].to_numpy(object), pdf["start"].to_numpy(float), np.stack(pdf["__unit"].to_numpy()).astype(float)
+        free, new, n, i = np.ones(len(pdf), bool), [], 0 if before is None else len(before), 0
+        while n < k and i < len(pdf):
+            if free[i]:
+                n += 1
+                new.append((i, n))
+                with np.errstate(invalid="ignore"):
+                    near = (np.abs(start - start[i]) < apart) & np.array([w is not None and w == where[i] for w in where])
+                free &= ~(near | (unit @ unit[i] > alike))
+            i += 1
+        group, last = [pdf[c].iloc[0] for c in own], pdf.iloc[-1]
+        rows = [(*group, pdf["__id"].iloc[i], None, None, c, False) for i, c in new]
+        rows.append((*group, last["__id"], last["pos"], last["score"], None, n < k and len(pdf) == size))
+        return pd.DataFrame(rows, columns=[*own, "__id", "__pos", "__score", "chosen", "more"]).astype({"chosen": "Int32"})
+
+    schema = ", ".join(f"{c} {kind[c]}" for c in own) + f", __id long, __pos {kind['pos']}, __score double, chosen int, more boolean"
+    taken, rest = None, light.withColumn("__taken", F.lit(None).cast(f"array<struct<source:{kind['source']},start:double,unit:array<double>>>"))
+    while True:
+        w = W.partitionBy(*own).orderBy(F.desc("score"), "pos", "__id")
+        head = rest.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= size)
+        out = head.groupBy(*own).applyInPandas(choose, schema).checkpoint()
+        new = out.where("chosen IS NOT NULL").select(*renamed, F.col("__id").alias("__id_"), "chosen")
+        taken = new if taken is None else taken.unionByName(new)
+        end = out.where("more").select(*own, F.col("__id").alias("__last"), "__pos", "__score")
+        if not end.limit(1).count():
+            break
+        one = F.struct("source", "start", F.col("__unit").alias("unit"))
+        held = light.join(taken, F.col("__id") == F.col("__id_")).groupBy(*[F.col(f"{c}_") for c in own]).agg(F.collect_list(one).alias("__taken"))
+        state = end.join(held, here).select(*renamed, "__last", "__pos", "__score", "__taken").checkpoint()
+        behind = (F.col("score") < F.col("__score")) | ((F.col("score") == F.col("__score")) & ((F.col("pos") > F.col("__pos")) | ((F.col("pos") == F.col("__pos")) & (F.col("__id") > F.col("__last")))))
+        close = lambda x: F.coalesce((x["source"] == F.col("source")) & (F.abs(x["start"] - F.col("start")) < apart), F.lit(False))
+        near = F.exists("__taken", lambda x: close(x) | (vectors.dot(x["unit"], F.col("__unit")) > alike))
+        rest = light.join(state, here).where(behind & ~near).select(*light.columns, "__taken")
+    found = pool.join(taken, F.col("__id") == F.col("__id_"))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], "chosen")
+
+
+#: Rows of a pool that one task looks at, at least.
+HEAD = 256
 
 
 def two_stage(df: DataFrame, keys: list[str], k: int, clean: Column, apart: float = 60.0, alike: float = 0.97) -> DataFrame:

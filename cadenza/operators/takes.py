@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import signal, text
-from . import gates
+from . import gates, prefix
 
 # Presets (name, takes, quality that is enough) and the engine dimension.
 PRESETS = (("fast", 2, 0.0), ("balanced", 4, 0.80), ("best", 8, 0.93))
@@ -131,8 +131,7 @@ def trials(references: DataFrame, dimension: DataFrame, probe_rows: DataFrame, n
 
 def within_budget(runs: DataFrame, keys: list[str], order: list[str], cost: str, seconds: float) -> DataFrame:
     """Runs in order until the costs on record have passed the budget; the run that passes it is still done."""
-    before = F.coalesce(F.sum(cost).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return runs.withColumn("__spent", before).where(F.col("__spent") <= seconds).drop("__spent")
+    return prefix.running(runs, keys, [F.col(c) for c in order], cost, "__spent", F.col("__spent") <= seconds).drop("__spent")
 
 
 def sim_norm(similarity: Column, ceiling: Column) -> Column:

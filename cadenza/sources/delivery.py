@@ -98,3 +98,42 @@ def deliver(batch: DataFrame, ledger: Callable[[], DataFrame], target: str) -> N
     finally:
         if fs.exists(path(stage)):
             fs.delete(path(stage), True)
+
+
+class Refused(ValueError):
+    """A batch of a stream that may not be delivered."""
+
+
+def deliver_batch(batch: DataFrame, number: int, ledger: Callable[[], DataFrame], folder: str, keep_on: bool = False) -> str:
+    """Delivers a numbered batch once, as `folder/batch-<number>`: delivered, refused, or done before.
+
+    The name is the record of the commit: a batch that is played again after a crash finds it, and is not written twice; what an
+    attempt before the rename has left is removed.  A refusal is put on record as well, in `folder/_refused`, so a batch that
+    was refused stays so when it is played again, whatever the ledger says by then.
+    """
+    spark = batch.sparkSession
+    fs, at = filesystem(spark, folder)
+    name, refused = f"batch-{number:010d}", f"{folder}/_refused/{number:010d}"
+    if fs.exists(at(f"{folder}/{name}")):
+        return "done before"
+    if fs.exists(at(refused)):
+        if not keep_on:
+            raise Refused(f"batch {number} was refused before")
+        return "done before"
+    if fs.exists(at(folder)):
+        for f in fs.listStatus(at(folder)):
+            if f.getPath().getName().startswith(f"{name}.part-"):
+                fs.delete(f.getPath(), True)
+    try:
+        deliver(batch, ledger, f"{folder}/{name}")
+    except (ValueError, PermissionError) as why:
+        write_documents(spark.createDataFrame([(str(why),)], "json string"), refused)
+        if not keep_on:
+            raise Refused(str(why)) from why
+        return "refused"
+    return "delivered"
+
+
+def deliver_stream(stream: DataFrame, ledger: Callable[[], DataFrame], folder: str, checkpoint: str, keep_on: bool = False):
+    """A stream writer, to be started, that delivers each of its batches once or not at all.  keep_on: a refused batch doesn't stop the stream."""
+    return stream.writeStream.foreachBatch(lambda batch, number: deliver_batch(batch, number, ledger, folder, keep_on) and None).option("checkpointLocation", checkpoint)

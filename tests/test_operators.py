@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import consent, gates, ranking, segment, takes
+from cadenza.operators import consent, gates, ranking, segment, similar, takes
 from cadenza.sources import delivery, files
 from cadenza.streaming import ledger as streams
 
@@ -107,12 +107,13 @@ def test_diverse_top_and_clusters(spark):
     a, b = rng.normal(size=192), rng.normal(size=192)
     rows = [(i, ((a if i < 14 else b) + 0.04 * rng.normal(size=192)).tolist(), 8.0) for i in range(19)]
     df = spark.createDataFrame(rows, "id long, v array<double>, duration double")
-    pairs = ranking.similar_pairs(df, "id", "v", 0.5, block=4)
+    pairs = ranking.similar_pairs(df, "id", "v", 0.5)
     assert pairs.count() == 14 * 13 // 2 + 5 * 4 // 2
     clusters = ranking.density_clusters(df, "v", 0.5)
     assert sorted(r["count"] for r in clusters.groupBy("cluster").count().collect()) == [5, 14]
     assert ranking.dominant(clusters, df).first()["dominant"]
-    sums = {r["id"]: r["d"] for r in ranking.densities(df, 0.5, block=4).collect()}
+    blocks = similar.Blocks.of(df, "id", "v", F.col("duration"))
+    sums = {r["id"]: r["d"] for r in similar.densities(blocks, blocks, 0.5).collect()}
     assert sums == {i: 8.0 * (14 if i < 14 else 5) for i in range(19)}
     # fewer than three rows: one cluster if alike, else each its own
     of = lambda *ids: sorted((r["cluster"], r["id"]) for r in ranking.density_clusters(df.where(F.col("id").isin(*ids)), "v", 0.5).collect())
