@@ -48,6 +48,9 @@ def length_plausible(duration: Column, expected: Column, low=0.5, high=2.0) -> C
     return (ratio >= low) & (ratio <= high + 1.5 / F.greatest(F.lit(0.5), expected))
 
 
+# The reasons that the rules below give; whoever reads results compares them.
+
+
 def take_rules(broken: Column, duration: Column, clipping: Column, expected: Column):
     """Rules of a take's sound; they come before any transcript."""
     length = F.format_string("implausible length (%.1fs for ~%.1fs of text)", duration, expected)

@@ -141,7 +141,10 @@ def clips(regions: DataFrame) -> DataFrame:
 
 
 def grouped_tokens(tokens: Column) -> Column:
-    """Tokens (struct<token, start, duration, logprob>) to words: a leading space begins a word unless only marks follow."""
+    """Tokens (struct<token, start, duration, logprob>) to words: a leading space begins a word unless only marks follow.
+
+    Marks before the first word are dropped, and the first token that is none begins a word in any case; blank tokens are none.
+    """
     mark = lambda t: t.rlike(r"^\s*[^\p{L}\p{N}\s]+\s*$")
     begins = lambda t: t.startswith(" ") & ~mark(t)
 
@@ -152,7 +155,7 @@ def grouped_tokens(tokens: Column) -> Column:
             part = F.slice(t, at + 1, stop(j) - at)
             end = F.element_at(part, -1)
             return F.struct(
-                F.trim(F.array_join(F.transform(part, lambda x: x["token"]), "")).alias("text"),
+                F.array_join(F.transform(part, lambda x: F.trim(x["token"])), "").alias("text"),
                 F.get(part, F.lit(0))["start"].alias("start"),
                 (end["start"] + end["duration"]).alias("end"),
                 (F.aggregate(part, F.lit(0.0), lambda s, x: s + x["logprob"]) / F.size(part)).alias("logprob"),
@@ -161,8 +164,10 @@ def grouped_tokens(tokens: Column) -> Column:
         return F.transform(starts, word)
 
     def grouped(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: begins(F.get(t, i)["token"]) | ((i == 0) & ~mark(F.get(t, i)["token"])))
-        return F.when(F.size(t) > 0, bound(starts, lambda s: joined(t, s))).otherwise(F.array().cast("array<struct<text:string,start:double,end:double,logprob:double>>"))
+        places = F.sequence(F.lit(0), F.size(t) - 1)
+        first = F.array_min(F.filter(places, lambda i: ~mark(F.get(t, i)["token"])))
+        starts = bound(first, lambda f: F.filter(places, lambda i: begins(F.get(t, i)["token"]) | (i == f)))
+        return F.when(F.size(t) > 0, bound(F.coalesce(starts, F.array().cast("array<int>")), lambda s: joined(t, s))).otherwise(F.array().cast("array<struct<text:string,start:double,end:double,logprob:double>>"))
 
     return bound(F.filter(tokens, lambda x: F.trim(x["token"]) != ""), grouped)
 

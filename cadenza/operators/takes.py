@@ -218,6 +218,7 @@ class NeverPassed(ValueError):
 def fail_closed(chosen: DataFrame, keys: list[str], allow_imperfect: bool = False) -> DataFrame:
     """Per render: ok to go on, and the problem of its first part (part, ok, reason) that never passed."""
     first = F.min(F.when(~F.col("ok"), F.struct("part", "reason"))).alias("f")
+    # Fixed value: the wording of the problem.
     x = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_parts"), first)
     problem = F.when(F.col("f").isNull() | F.lit(allow_imperfect), F.lit("")).otherwise(F.concat(F.lit("part "), F.col("f.part"), F.lit(" never passed the checks (last problem: "), F.col("f.reason"), F.lit(")")))
     return x.select(*keys, "n_parts", (problem == "").alias("ok"), problem.alias("problem"))

@@ -872,6 +872,65 @@ def wav_stretches(spark, sf):
 # --- streams as tables, tags, documents ------------------------------------------------------------------------
 
 
+@query(r"""WITH u AS (SELECT item_id, unnest(regexp_extract_all(text, ' ?[^ ]{1,3}')) AS tok, generate_subscripts(regexp_extract_all(text, ' ?[^ ]{1,3}'), 1) - 1 AS i FROM benchmark),
+ v AS (SELECT *, min(i) FILTER (NOT mark) OVER (PARTITION BY item_id) AS first FROM (SELECT *, regexp_matches(tok, '^\s*[^\p{L}\p{N}\s]+\s*$') AS mark FROM u WHERE trim(tok) <> '')),
+ w AS (SELECT *, sum((NOT mark AND (starts_with(tok, ' ') OR i = first))::INT) OVER (PARTITION BY item_id ORDER BY i) AS word FROM v WHERE i >= first)
+ SELECT item_id, (word - 1)::INT AS place, string_agg(trim(tok), '' ORDER BY i) AS text, round(min(i) * 0.1, 6) AS start, round(max(i) * 0.1 + 0.08, 6) AS "end", round(avg(-(i % 7) / 10.0), 6) AS logprob FROM w GROUP BY item_id, word""")
+def token_words(spark, sf):
+    """Texts cut into tokens of up to three letters, put together again as words."""
+    pieces = F.regexp_extract_all("text", F.lit(" ?[^ ]{1,3}"), F.lit(0))
+    tokens = F.transform(pieces, lambda t, i: F.struct(t.alias("token"), (i * 0.1).alias("start"), F.lit(0.08).alias("duration"), (-(i % 7) / 10).alias("logprob")))
+    x = table(spark, sf, "benchmark").select("item_id", F.posexplode(segment.grouped_tokens(tokens)).alias("place", "w"))
+    return x.select("item_id", "place", "w.text", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"), F.round("w.logprob", 6).alias("logprob"))
+
+
+@query("SELECT user_id AS job, list_reverse(list(event_type || ' ' || event_id ORDER BY ts DESC, event_id DESC)[1:6]) AS messages FROM events GROUP BY user_id")
+def job_log_tail(spark, sf):
+    return streams.log_tails(table(spark, sf, "events").selectExpr("user_id AS job", "ts AS at", "event_id AS seq", "concat(event_type, ' ', event_id) AS message"))
+
+
+@query("""WITH r AS (SELECT event_id AS id, user_id, ts, event_type, CASE WHEN event_id % 50 = 0 THEN 'shutdown' WHEN event_type = 'error' THEN 'unheard of' ELSE event_type END AS method FROM events),
+ k AS (SELECT *, count(*) FILTER (method = 'shutdown') OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM r)
+ SELECT id, method, CASE method WHEN 'view' THEN '{"twice": ' || 2 * id || '}' WHEN 'click' THEN '"id ' || id || '"' WHEN 'shutdown' THEN '{"bye": true}' END AS result,
+ CASE WHEN method NOT IN ('view', 'click', 'purchase', 'shutdown') THEN 'unknown method ' || chr(39) || method || chr(39) WHEN method = 'purchase' THEN 'ValueError: nothing to sell' END AS error FROM k WHERE ended = 0""")
+def protocol_answers(spark, sf):
+    """Events as lines of requests to a worker a user, answered until it is shut down."""
+    method = "CASE WHEN event_id % 50 = 0 THEN 'shutdown' WHEN event_type = 'error' THEN 'unheard of' ELSE event_type END"
+    lines = table(spark, sf, "events").select("user_id", "ts", F.to_json(F.struct(F.col("event_id").alias("id"), F.expr(method).alias("method"), F.to_json(F.struct(F.col("event_id").alias("n"))).alias("params"))).alias("value"))
+    parsed = F.from_json("value", "id long, method string, params string")
+    requests = lines.select("user_id", "ts", parsed.alias("r")).select("user_id", "ts", "r.*")
+
+    def sell(params):
+        raise ValueError("nothing to sell")
+
+    handlers = {"view": lambda p: {"twice": 2 * p["n"]}, "click": lambda p: f"id {p['n']}", "purchase": sell}
+    return streams.answers(streams.until_shutdown(requests, ["user_id"], ["ts", "id"]), handlers).select("id", "method", "result", "error")
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v, i: v * CASE WHEN i <= 8 THEN pow(sin(pi() / 2 * (i - 1) / 7), 2) ELSE 1 END * CASE WHEN 64 - i < 16 THEN pow(sin(pi() / 2 * (64 - i) / 15), 2) ELSE 1 END) AS f FROM embeddings)
+ SELECT vec_id, round(list_sum(f), 6) AS total, round(f[4], 6) AS fourth, round(f[60], 6) AS late FROM x""")
+def signal_fade(spark, sf):
+    f = signal.fade(F.col("embedding"), 8, 16)
+    x = table(spark, sf, "embeddings").select("vec_id", f.alias("f"))
+    return x.select("vec_id", F.round(F.aggregate("f", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.round(F.get("f", F.lit(3)), 6).alias("fourth"), F.round(F.get("f", F.lit(59)), 6).alias("late"))
+
+
+@query("""WITH l AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT *, 20 * log10(greatest(1e-12, sqrt(list_sum(list_transform(e, lambda v: v * v)) / len(e)))) AS rms, 20 * log10(greatest(1e-12, list_max(list_transform(e, lambda v: abs(v))))) AS peak FROM l)
+ SELECT vec_id, round(list_max(list_transform(e, lambda v: abs(v))) * pow(10, least(-23 - rms, -1 - peak) / 20), 6) AS loudest FROM x""")
+def signal_to_level(spark, sf):
+    x = table(spark, sf, "embeddings").select("vec_id", signal.to_level(F.col("embedding")).alias("f"))
+    return x.select("vec_id", F.round(F.array_max(F.transform("f", F.abs)), 6).alias("loudest"))
+
+
+@query("""SELECT c_custkey, 'This audio is synthetic speech. Voice of ' || c_name || ', by ' || CASE WHEN c_custkey % 2 = 0 THEN 'spoken consent' ELSE 'consent attested by the operator' END || '.' AS comment,
+ c_custkey % 3 > 0 AS ok FROM customer""")
+def disclosure(spark, sf):
+    """Tags of delivered files, every third of which has lost those that say so."""
+    tags = delivery.disclosure_tags(F.col("c_custkey").cast("string"), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, "spoken").otherwise("attested"), F.lit("e"))
+    kept = F.when(F.col("c_custkey") % 3 > 0, F.col("tags")).otherwise(F.map_filter("tags", lambda k, v: ~k.isin("comment", "description")))
+    return table(spark, sf, "customer").select("c_custkey", "c_name", tags.alias("tags")).select("c_custkey", F.col("tags")["comment"].alias("comment"), delivery.tags_ok(kept).alias("ok"))
+
+
 #: Events as frames of a minute; an hour of silence parts regions, those under five minutes are none, and two hours are the most.
 @query("""WITH s AS (SELECT user_id, epoch_us(ts) AS opened, epoch_us(ts) + 60000000 AS closed FROM events WHERE event_id % 10 >= 3 AND user_id IS NOT NULL AND ts IS NOT NULL),
  r AS (SELECT user_id, min(opened) AS opened, max(closed) AS closed FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY opened, closed ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce((opened - lag(closed) OVER (PARTITION BY user_id ORDER BY opened, closed) >= 3600000000)::INT, 1) AS new FROM s)) GROUP BY user_id, run),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,3 +90,57 @@ def protocol(lines: DataFrame) -> DataFrame:
     parsed = F.from_json("value", "id long, method string, params string")
     x = lines.withColumn("r", F.when(F.col("value").rlike(r"^\s*\{"), parsed))
     return x.select("value", "r.id", "r.method", "r.params", F.when(F.col("value").rlike(r"^\s*\{") & F.col("r.method").isNull(), F.lit("bad request")).alias("error"))
+
+
+def until_shutdown(requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The requests that a worker answers: those up to the first shutdown of its session, that one included."""
+    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ended = F.max(F.coalesce(F.col("method") == "shutdown", F.lit(False))).over(before)
+    return requests.withColumn("__ended", F.coalesce(ended, F.lit(False))).where("NOT __ended").drop("__ended")
+
+
+def answers(requests: DataFrame, handlers: dict[str, Callable[[dict], object]]) -> DataFrame:
+    """Requests (id, method, params as JSON, error, ...) with `result` (JSON) and `error`: one of them is null.
+
+    A method's handler gets the parameters (empty where there are none) and gives what becomes the result; what it raises becomes
+    the error, and the next request is answered all the same.  `shutdown` says goodbye; methods without handler, lines that
+    are no requests, and parameters that are no JSON object are errors.
+    """
+    names = [c for c in requests.columns if c not in ("result", "error")]
+
+    def answer(method: str | None, params: str | None, broken: str | None) -> tuple[str | None, str | None]:
+        if broken is not None:
+            return None, broken
+        if method == "shutdown":
+            return json.dumps({"bye": True}), None
+        if method not in handlers:
+            return None, f"unknown method {method!r}"
+        try:
+            given = json.loads(params) if params else {}
+            if not isinstance(given, dict):
+                raise TypeError("parameters have to be an object")
+            return json.dumps(handlers[method](given), ensure_ascii=False), None
+        except Exception as problem:  # noqa: BLE001  reported to whoever asked
+            return None, f"{type(problem).__name__}: {problem}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = lambda c: c.astype(object).where(c.notna(), None)
+        for pdf in batches:
+            broken = plain(pdf["error"]) if "error" in pdf else [None] * len(pdf)
+            said = [answer(*row) for row in zip(plain(pdf["method"]), plain(pdf["params"]), broken)]
+            yield pdf[names].assign(result=[r for r, _ in said], error=[e for _, e in said])
+
+    schema = T.StructType([*[requests.schema[c] for c in names], T.StructField("result", T.StringType()), T.StructField("error", T.StringType())])
+    return requests.mapInPandas(run, schema)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds (job, at, seq, message) to a log on disk; on streams, for use in foreachBatch."""
+    rows.select("job", "at", "seq", "message").write.mode("append").parquet(path)
+
+
+def log_tails(log: DataFrame, n: int = 6) -> DataFrame:
+    """job, messages: the last n of each job, in the order of (at, seq); no task holds more of a job than that."""
+    w = W.partitionBy("job").orderBy(F.desc("at"), F.desc("seq"))
+    last = log.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    return last.groupBy("job").agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("n"), "message"))).alias("m")).select("job", F.transform("m", lambda x: x["message"]).alias("messages"))
