@@ -6,6 +6,7 @@ timed tokens of `documents`, the consent ledger is `events`.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +18,7 @@ from ..functions.files import filesystem, scratch
 from ..operators import consent, entities, gates, ingest, listings, ranking, reports, seams, segment, takes
 from ..sources import audio, delivery, files
 from ..streaming import ledger as streams
+from ..streaming import live
 from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -932,15 +934,55 @@ def disclosure(spark, sf):
 
 
 #: Events as frames of a minute; an hour of silence parts regions, those under five minutes are none, and two hours are the most.
-@query("""WITH s AS (SELECT user_id, epoch_us(ts) AS opened, epoch_us(ts) + 60000000 AS closed FROM events WHERE event_id % 10 >= 3 AND user_id IS NOT NULL AND ts IS NOT NULL),
+_REGIONS = """WITH s AS (SELECT user_id, epoch_us(ts) AS opened, epoch_us(ts) + 60000000 AS closed FROM events WHERE event_id % 10 >= 3 AND user_id IS NOT NULL AND ts IS NOT NULL),
  r AS (SELECT user_id, min(opened) AS opened, max(closed) AS closed FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY opened, closed ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce((opened - lag(closed) OVER (PARTITION BY user_id ORDER BY opened, closed) >= 3600000000)::INT, 1) AS new FROM s)) GROUP BY user_id, run),
  p AS (SELECT *, unnest(range(greatest(1, ceil((closed - opened) / 7200000000.0)::BIGINT))) AS part FROM r WHERE closed - opened >= 300000000)
- SELECT user_id, (opened + part * 7200000000)::BIGINT AS opened, least(closed, opened + (part + 1) * 7200000000)::BIGINT AS closed FROM p""")
+ SELECT user_id, (opened + part * 7200000000)::BIGINT AS opened, least(closed, opened + (part + 1) * 7200000000)::BIGINT AS closed FROM p"""
+
+
+@query(_REGIONS)
 def speech_regions(spark, sf):
     frames = table(spark, sf, "events").withColumn("p", F.expr("CASE WHEN event_id % 10 >= 3 THEN 0.9 ELSE 0.1 END"))
     return streams.regions(frames, ["user_id"], "ts", "p", frame=60.0, silence=3600.0, least=300.0, most=7200.0, bucket=86400.0)
 
 
+def played(spark, rows, key, run, slices=3):
+    """What a stream gives that plays rows (key, ts, ...) in slices of time, one after the other, and then two that only bring the clock on."""
+    path = f"{scratch(spark)}/played-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, path)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    clock = lambda c, days: F.lit(-1) if c == key else F.lit(last + datetime.timedelta(days=days)) if c == "ts" else F.lit(0)
+    later = lambda days: spark.range(1).select(*[clock(c, days).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    try:
+        cuts = [first + (last - first) * k / slices for k in range(slices)] + [None]
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            part = rows.where(F.col("ts") >= F.lit(lo).cast(rows.schema["ts"].dataType))
+            (part if hi is None else part.where(F.col("ts") < F.lit(hi).cast(rows.schema["ts"].dataType))).coalesce(1).write.parquet(f"{path}/in/{k}")
+        for k in (1, 2):
+            later(400 * k).coalesce(1).write.parquet(f"{path}/in/{slices + k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        q = run(stream).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(f"{path}/out").where(F.col(key) != -1).checkpoint()
+    finally:
+        fs.delete(at(path), True)
+
+
+@query(_REGIONS)
+def live_regions(spark, sf):
+    """The regions of `speech_regions` out of a stream, with timers."""
+    frames = table(spark, sf, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr("CASE WHEN event_id % 10 >= 3 THEN 0.9D ELSE 0.1D END").alias("p"))
+    return played(spark, frames, "user_id", lambda s: live.speech_regions(s, "user_id", "ts", "p", "0 seconds", 60.0, 0.5, 3600.0, 300.0, 7200.0))
+
+
+@query("""WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 900 SECOND THEN 0 ELSE 1 END AS new FROM events))
+ SELECT user_id, epoch_us(min(ts)) AS opened, epoch_us(max(ts)) + 900000000 AS dropped, count(*) AS n FROM g GROUP BY user_id, s""")
+def live_dropped(spark, sf):
+    """Workers that are dropped after 900 idle seconds, out of a stream."""
+    uses = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return played(spark, uses, "user_id", lambda s: live.dropped(s, "user_id", "ts", "0 seconds"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 900 SECOND THEN 0 ELSE 1 END AS new FROM events))
  SELECT user_id, epoch_us(min(ts)) AS opened, epoch_us(max(ts)) + 900000000 AS closed, count(*) AS n FROM g GROUP BY user_id, s""")
 def idle_sessions(spark, sf):
@@ -1018,14 +1060,26 @@ def engine_listing(spark, sf):
     return listings.engines(takes.engines(spark), spark.createDataFrame([("qwen3",), ("sopro",)], "family string"))
 
 
-@query("""WITH RECURSIVE j AS (SELECT user_id, event_id, epoch_us(ts) AS arrive, 60000000 * (1 + event_id % 90) AS took, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+_QUEUE = """WITH RECURSIVE j AS (SELECT user_id, event_id, epoch_us(ts) AS arrive, 60000000 * (1 + event_id % 90) AS took, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  q AS (SELECT *, arrive AS begun, arrive + took AS finished FROM j WHERE n = 1 UNION ALL SELECT j.*, greatest(j.arrive, q.finished), greatest(j.arrive, q.finished) + j.took FROM j JOIN q ON j.user_id = q.user_id AND j.n = q.n + 1)
- SELECT user_id, event_id, arrive, begun, finished FROM q""")
+ SELECT user_id, event_id, arrive, begun, finished FROM q"""
+
+
+@query(_QUEUE)
 def job_queue(spark, sf):
     x = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrive"), (60_000_000 * (1 + F.col("event_id") % 90)).alias("took"))
     return listings.queue(x, ["user_id"], "arrive", "took", ["event_id"]).select("user_id", "event_id", "arrive", "begun", "finished")
 
 
+@query(_QUEUE)
+def live_queue(spark, sf):
+    """The queue of `job_queue` out of a stream, with one permit a machine."""
+    jobs = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("job"), F.expr("60000000L * (1 + event_id % 90)").alias("took"))
+    out = played(spark, jobs, "user_id", lambda s: live.queued(s.fillna(0, ["job", "took"]), "user_id", "ts", "0 seconds", "job", "took"))
+    return out.select("user_id", F.col("job").alias("event_id"), F.col("arrived").alias("arrive"), "begun", "finished")
+
+
+
 @query("""WITH r AS (SELECT user_id * 40 + event_id % 40 AS job, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'queued' ELSE 'running' END AS status FROM events),
  s AS (SELECT job, count(*) AS n, coalesce(arg_min(status, seq) FILTER (status IN ('done', 'failed')), arg_max(status, seq)) AS status, arg_min(seq, seq) FILTER (status IN ('done', 'failed')) AS ended FROM r GROUP BY job)
  SELECT job, status, CASE WHEN status = 'failed' THEN 'm' || ended END AS error, n FROM s""")

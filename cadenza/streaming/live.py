@@ -79,7 +79,8 @@ class InOrder(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if waits:
-            self.handle.registerTimer(max(watermark, -(-min(waits) // 1000)))
+            # a timer that isn't ahead of the watermark would never ring
+            self.handle.registerTimer(max(watermark + 1, -(-min(waits) // 1000)))
         if out:
             yield self.output(key, out)
 
@@ -179,8 +180,9 @@ class Queue(InOrder):
             self.state.update((free,))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if waits := [t for t in (later[0][0] if later else None, free) if t is not None]:
-            self.handle.registerTimer(max(watermark, -(-min(waits) // 1000)))
+        wait = later[0][0] if later else free
+        if wait is not None:
+            self.handle.registerTimer(max(watermark + 1, -(-wait // 1000)))
         if out:
             yield pd.DataFrame({self.key: key[0], **dict(zip(("job", "arrived", "begun", "finished"), map(list, zip(*out))))})
 
