@@ -78,7 +78,7 @@ class Blocks:
         t = np.arccos(np.clip(self.pivots @ self.pivots.T, -1, 1))
         np.fill_diagonal(t, 0)
         reach = np.zeros(len(self.pivots))
-        for b in (self, other):
+        for b in (self,) if other is self else (self, other):
             for r in b.blocks.groupBy("pivot").agg(F.max("hi").alias("hi")).collect():  # a row for each pivot
                 reach[r["pivot"]] = max(reach[r["pivot"]], r["hi"])
         p, q = np.nonzero(t - reach[:, None] - reach[None, :] <= far)

@@ -802,6 +802,42 @@ def consent_steps(spark, sf):
     return consent.steps(asked_rows(spark, sf), ledger_rows(spark, sf)).select("voice", "consent", F.size("steps").alias("n_steps"))
 
 
+@query(f"WITH {LEDGER} SELECT c_custkey AS voice, c_name AS speaker FROM customer WHERE c_custkey IN (SELECT voice FROM now WHERE refusal = '')")
+def delivered(spark, sf):
+    """What is read back of a batch of all permitted customers, after staging, checks, a second look at the ledger, and the rename."""
+    ledger = ledger_rows(spark, sf)
+    rows = table(spark, sf, "customer").selectExpr("c_custkey AS voice", "c_name AS speaker", "0.9D AS probability", "true AS payload", "-2.0D AS true_peak")
+    tags = delivery.disclosure_tags(F.col("voice").cast("string"), F.col("speaker"), F.lit("spoken"), F.lit("e"))
+    path = f"{scratch(spark)}/delivered-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, path)
+    try:
+        delivery.deliver(consent.permitted(rows, ledger).withColumn("tags", tags), lambda: ledger, path)
+        return spark.read.parquet(path).select("voice", "speaker").checkpoint()
+    finally:
+        fs.delete(at(path), True)
+
+
+@query("SELECT c_custkey::VARCHAR AS voice, 1 + (c_custkey % 6 = 0)::INT AS seq, CASE WHEN c_custkey % 6 = 0 THEN 'revoked' ELSE 'attested' END AS status, c_custkey % 6 <> 0 AS usable FROM customer WHERE c_custkey % 3 = 0")
+def ledger_commits(spark, sf):
+    """A ledger on disk: attestations, revocations, and a writer who hasn't seen these and is turned away."""
+    asked = asked_rows(spark, sf).where("c_custkey % 3 = 0").select(F.col("voice").cast("string").alias("voice"), "speaker", "c_custkey", F.lit("Bo").alias("by"), F.lit("letter").alias("evidence"), F.lit("").alias("scope"), F.lit(True).alias("override"), F.lit("2025-01-01").cast("timestamp").alias("now"))
+    path = f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, path)
+    try:
+        nothing = spark.createDataFrame([], "voice string, seq long, ts timestamp, status string")
+        consent.append(consent.attested(asked, nothing), path)
+        seen = consent.ledger(spark, path)
+        late = consent.attested(asked.where("c_custkey % 12 = 0"), seen)
+        consent.append(consent.revoked(asked.where("c_custkey % 6 = 0"), seen), path)
+        try:
+            consent.append(late, path)
+        except consent.LedgerConflict:
+            return consent.current(consent.ledger(spark, path)).select("voice", F.col("seq").cast("int").alias("seq"), "status", "usable").checkpoint()
+        raise AssertionError("a grant was written over a revocation")
+    finally:
+        fs.delete(at(path), True)
+
+
 # --- signals ---------------------------------------------------------------------------------------------------
 
 
