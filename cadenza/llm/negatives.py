@@ -185,11 +185,8 @@ _FOUND = "ablock long, anchor int, slot int, score long, vec_id long"
 
 def search(asked: DataFrame, index: DataFrame, keys, dim: int, k: int) -> DataFrame:
     """ablock, anchor, slot, rank, score, vec_id: the first k vectors of every slot of the anchors in blocks like `_ANCHORS`, proven."""
-    spark = asked.sparkSession
-    found = None
     header = index.select("block", F.col("pivot").alias("there"), "lo", "hi").withColumnsRenamed({"lo": "from", "hi": "to"})
-    done = None
-    state, rounds = asked, 0
+    found, done, state, rounds = None, None, asked, 0
 
     def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each block of anchors by pivot: distances to it, how far it looks, and from which distance on."""
@@ -245,14 +242,16 @@ def search(asked: DataFrame, index: DataFrame, keys, dim: int, k: int) -> DataFr
         left = meets.select("ablock", "block", apart("d", "far", "near", "from", "to").alias("apart")).where("apart IS NOT NULL")
         if done is not None:
             left = left.join(done, ["ablock", "block"], "left_anti")
-        pairs = left.withColumn("n", F.row_number().over(W.partitionBy("ablock").orderBy("apart", "block"))).where(F.col("n") <= many).select("ablock", "block")
-        pairs = common.cut(pairs)
-        if rounds and not pairs.limit(1).count():
-            break
+        numbered = left.withColumn("n", F.row_number().over(W.partitionBy("ablock").orderBy("apart", "block"))).where(F.col("n") <= many + 1)
+        numbered = common.cut(numbered.select("ablock", "block", "n"))
+        pairs = numbered.where(F.col("n") <= many).select("ablock", "block")
         new = pairs.join(state, "ablock").join(payload, "block").mapInArrow(scan, _FOUND)
         every = new if found is None else new.unionByName(found.drop("rank"))
         w = W.partitionBy("ablock", "anchor", "slot").orderBy(F.desc("score"), "vec_id")
         found = common.cut(every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        # bounds only get tighter, so a round over all pivots that left no block out was the last
+        if rounds and not numbered.where(F.col("n") > many).limit(1).count():
+            break
         done = pairs if done is None else common.cut(done.unionByName(pairs))
         state = common.cut(state.groupBy("ablock").cogroup(found.groupBy("ablock")).applyInPandas(raised, _ANCHORS))
         many, rounds = many * 8, rounds + 1
