@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The forest is fitted on the driver to at most `SAMPLE` vectors (the first in the order of a hash of vec_id); each node
+The forest is fitted on the driver to at most `SAMPLE` vectors and `SAMPLE_BYTES` of them (the first in the order of a hash of vec_id); each node
 splits its sample at the median of a random projection; the projections of a tree's levels are at right angles.  Every vector
 is then sent down every tree.  A query walks all trees through one shared priority queue, nearest side first: crossing a plane
 costs the square of the margin, and the sum over a path is at most the squared distance of what lies there.  A side that costs
@@ -17,7 +17,7 @@ chunks by a hash, so no group grows with a copy group.
 
 Results in special cases
 ------------------------
-* null vectors or vec_ids, vectors of another length than `dim`, zero vectors, null or non-finite components: no part;
+* null vectors or vec_ids, vectors of another length than `dim` (unless given, the commonest, the smaller one on ties), zero vectors, null or non-finite components: no part;
 * a repeated vec_id counts once, with its smallest vector; equal vectors have equal scores, and ties go to the smaller vec_id;
 * fewer candidates than asked for: all of them; empty table, or no query: empty result;
 * further columns, however named, are ignored.
@@ -41,6 +41,8 @@ NEAREST, EVERY = 5, 50
 #: Rows of a leaf, least and most levels (2 ** MAX_DEPTH leaves of a tree bound the tables of leaf pairs, which the driver holds).
 TREES, LEAF, MIN_DEPTH, MAX_DEPTH, SAMPLE, SEED = 4, 200, 3, 9, 20_000, 5
 VISIT = 1.5
+#: Bytes of the sample, which the driver holds and broadcasts.
+SAMPLE_BYTES = 16 << 20
 #: Vectors and queries of one block.
 VECTORS, QUERIES = 4096, 4096
 #: Pairs scored at a time.
@@ -203,20 +205,21 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
     """
     spark = vectors.sparkSession
     queries = vectors if queries is None else queries
-    n = vectors.count()
-    # at most SAMPLE vectors come to the driver
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first()
+    n = size["n"]
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(4 * (k + 1), min(SAMPLE, SAMPLE_BYTES // (8 * max(1, size["dim"]))))).toArrow()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = Forest.fit(matrix(sample.column("v")), n, trees, leaf)
     leaves = 2**forest.depth
     budget = max(visit * n, trees * (k + 1))  # so few rows are all found
     known, known_ids = unit(matrix(sample.column("v"))), sample.column("vec_id").to_numpy()
-    known_at = forest.leaves(known)
+    state = spark.sparkContext.broadcast((forest, known, known_ids, forest.leaves(known)))
     kind = vectors.schema["v"].dataType.simpleString()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector with its leaf of each tree."""
+        forest = state.value[0]
         for b in batches:
             at = forest.leaves(unit(matrix(b.column("v")))) if b.num_rows else np.zeros((0, trees), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * trees, pa.int32()), pa.array(at.astype(np.int16).ravel()))
@@ -233,6 +236,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = NEARE
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with its opened leaves, as bits, and the leaves of the first tree where its candidates lie."""
+        forest, known, known_ids, known_at = state.value
         for b in batches:
             ids, bits, where, bounds = b.column("vec_id").to_numpy(), [], [], []
             x = unit(matrix(b.column("v"))) if b.num_rows else np.zeros((0, known.shape[1]))

@@ -32,6 +32,14 @@ def test_recall_on_unstructured_vectors(spark):
         assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
 
 
+def test_a_sample_bounded_by_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE_BYTES", 100 * 8 * 32)
+    rng = np.random.default_rng(2)
+    rows = {i: rng.normal(size=32).astype(np.float32).tolist() for i in range(1500)}
+    v = neighbours.usable(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>"))
+    assert found_share(neighbours.nearest(v, v.where("vec_id % 50 = 0")).collect(), rows) >= 0.9
+
+
 def found_share(got, rows, every=50, k=5):
     want = {(q, i) for q, b in brute(rows, every, k).items() for _, i in b}
     assert len({(r["query_id"], r["rank"]) for r in got}) == len(got) == len(want)
