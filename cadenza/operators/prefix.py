@@ -2,8 +2,8 @@
 
 Rows are range-partitioned by (keys, order), so a group lies in neighbouring partitions, none of which is larger than others.
 A partition's total for a group is one row; running sums of those say where each partition begins, and rows are summed up inside
-their partition only.  Partitions that begin beyond a limit are never looked into.  Tables that Spark itself estimates at under
-`SMALL` bytes fit any task and take a plain window; the results are the same.
+their partition only.  Partitions that begin beyond a limit are never looked into.  Tables out of less than `SMALL` bytes fit any task
+and take a plain window; the results are the same.
 """
 
 from __future__ import annotations
@@ -12,15 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.files import scratch
+from ..functions.files import filesystem, scratch
 
 SMALL = 128 << 20
 
 
 def is_large(df: DataFrame) -> bool:
-    """Whether a group of df may be too large for a task, by what Spark knows of its size without running it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size > SMALL
+    """Whether a group of df may be too large for a task, by the bytes of all that it reads, without running it.
+
+    What Spark estimates for joins grows with their number, so its estimates of files count alone; of checkpoints, their files do.  Rows
+    that came from the driver are few; sources of unknown size count as large.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            file = leaf.rdd().getCheckpointFile()
+            if file.isDefined():
+                fs, at = filesystem(spark, file.get())
+                total += fs.getContentSummary(at(file.get())).getLength()
+        else:
+            total += int(str(leaf.stats().sizeInBytes()))
+    return total > SMALL
 
 
 def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -268,6 +268,8 @@ def density_clusters(clips: DataFrame, vector: str, alike: float = 0.5, rounds:
         place = F.lit(1) if one else F.when(F.col("id") == (few[0]["id"] if few else 0), 1).otherwise(2)
         medoid = F.lit(few[0]["id"]) if one else F.col("id")
         return rows.join(ids, "id").select(place.alias("cluster"), medoid.alias("medoid"), "id", "duration")
+    if len(blocks.pivots) < 2:
+        return _in_one_block(rows, alike, rounds, least).join(ids, "id").select("cluster", "medoid", "id", "duration")
     left, out = rows, None
     d = similar.densities(blocks, blocks, alike).checkpoint()
     for k in range(rounds):
@@ -285,6 +287,27 @@ def density_clusters(clips: DataFrame, vector: str, alike: float = 0.5, rounds:
     return out.join(ids, "id").select("cluster", "medoid", "id", "duration")
 
 
+def _in_one_block(rows: DataFrame, alike: float, rounds: int, least: int) -> DataFrame:
+    """cluster, medoid, id of so few rows that they are one block (`similar.ROWS`)."""
+
+    def all_rounds(frames):
+        x = pd.concat(list(frames), ignore_index=True).sort_values("id", ignore_index=True)
+        near, left, found = similar.cosines(*[np.stack(x["v"].to_numpy()).astype(float)] * 2) >= alike, np.ones(len(x), bool), []
+        np.fill_diagonal(near, True)
+        weight = x["weight"].to_numpy()
+        for k in range(rounds):
+            d = np.where(left, (near & left) @ np.where(left, weight, 0), -1)
+            best = int(d.argmax())  # rows lie by id, so the smallest wins ties
+            mine = left & near[best]
+            found.append(pd.DataFrame({"cluster": k + 1, "medoid": x["id"].iloc[best], "id": x["id"][mine]}))
+            left &= ~mine
+            if left.sum() < least:
+                break
+        yield pd.concat(found)
+
+    return rows.select("id", "weight", "v").coalesce(1).mapInPandas(all_rounds, "cluster int, medoid long, id long")
+
+
 def dominant(clusters: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: share of the first and second cluster in all duration, and whether the first is the target."""
     total = rows.agg(F.sum("duration").alias("total"))

@@ -64,15 +64,23 @@ class Blocks:
                 at = near.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(np.arccos(near[np.arange(len(x)), at]))], names=["id", "weight", "v", "pivot", "angle"])
 
-        rows = rows.mapInArrow(keyed, "id long, weight long, v array<double>, pivot int, angle double").checkpoint() if len(sample) else rows.select("*", F.lit(0).alias("pivot"), F.lit(0.0).alias("angle"))
+        if n <= ROWS:  # one block
+            rows = rows.select("*", F.lit(0).alias("pivot"), F.lit(0.0).alias("angle")).checkpoint()
+            return cls(_blocked(rows, True), rows, pivots[:1], dim)
+        rows = rows.mapInArrow(keyed, "id long, weight long, v array<double>, pivot int, angle double").checkpoint()
         return cls(_blocked(rows).checkpoint(), rows, pivots, dim)
 
     def of_rows(self, rows: DataFrame) -> Blocks:
         """Some of the flat rows in blocks of their own."""
+        if len(self.pivots) < 2:
+            return Blocks(_blocked(rows, True), rows, self.pivots, self.dim)
         return Blocks(_blocked(rows).checkpoint(), rows, self.pivots, self.dim)
 
     def pairs(self, other: Blocks, alike: float, both_ways: bool) -> DataFrame:
         """i, j: the pairs of blocks that can hold vectors with a cosine from `alike` on; both_ways: (j, i) as well as (i, j), of one table."""
+        if len(self.pivots) < 2:  # a block on either side
+            i, j = self.blocks.select(F.col("block").alias("i")), other.blocks.select(F.col("block").alias("j"))
+            return i.crossJoin(j)
         spark = self.blocks.sparkSession
         far = float(np.arccos(np.clip(alike, -1, 1))) + _SLACK
         t = np.arccos(np.clip(self.pivots @ self.pivots.T, -1, 1))
@@ -107,7 +115,7 @@ class Blocks:
 
 def _fitted(x: np.ndarray, n: int) -> np.ndarray:
     """Pivots: the sample's first, then always the one that is farthest from those before, and a few steps to their groups' middles."""
-    k = int(min(PIVOTS, max(1, n // (ROWS // 8)), len(x)))
+    k = 1 if 0 < n <= ROWS else int(min(PIVOTS, max(1, n // (ROWS // 8)), len(x)))
     if not k:
         return np.zeros((0, x.shape[1]))
     chosen, near = [0], x @ x[0]
@@ -123,7 +131,9 @@ def _fitted(x: np.ndarray, n: int) -> np.ndarray:
     return pivots
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
+def _blocked(rows: DataFrame, one: bool = False) -> DataFrame:
+    """one: all rows fit a block."""
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number, held = TaskContext.get().partitionId(), 0, []
 
@@ -146,7 +156,8 @@ def _blocked(rows: DataFrame) -> DataFrame:
             yield made()
 
     order = ["pivot", "angle", "id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(cut, "block long, pivot int, lo double, hi double, ids binary, weights binary, vectors binary")
+    x = rows.coalesce(1) if one else rows.repartitionByRange(*order)
+    return x.sortWithinPartitions(*order).mapInPandas(cut, "block long, pivot int, lo double, hi double, ids binary, weights binary, vectors binary")
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
