@@ -2,8 +2,9 @@
 
 Equal fingerprints are one class from the start.  Fingerprints that differ in at most `budget` bits agree wholly on one of
 `budget` + 1 blocks of bits, so the trie over all fingerprints is dealt out as subtrees: one for each block and
-value.  A subtree with too many members is dealt out again over its remaining bits in the same way; where that hardly makes it
-smaller (many copies that differ a little), it is cut into chunks and every two chunks meet.  Nothing is capped.  In each
+value.  A task deals a subtree of more than `LEAF` members out again over its remaining bits in the same way, one block after the
+other, so what is shuffled doesn't grow by that.  Only a subtree that is too large for a task is dealt out again between tasks; where that
+hardly makes it smaller (many copies that differ a little), it is cut into chunks and every two chunks meet.  Nothing is capped.  In each
 subtree node pairs are walked together from the root, differing bits add up, and a pair is left as soon as they exceed the
 budget, or as soon as all its members are one component already.  A subtree reports a spanning forest of its links, never all
 pairs; alternating large-star and small-star rounds over those links give the components.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,9 @@ KEEP_WORDS, KEEP_LANES, KEEP_BUDGET = 5, 6, 8
 #: Bits that may differ in all lanes together; unrelated texts differ in 192 of them.
 TOTAL = 66
 #: Members of a subtree that one task joins; a larger one is dealt out again, by chunks if bits made it less than SHRINK times smaller.
-SUBTREE, SHRINK = 20_000, 16
+SUBTREE, SHRINK = 200_000, 16
+#: Members of a subtree that are walked as they are; a larger one is dealt out inside its task.
+LEAF = 4_096
 #: Shingles hashed at a time, rows of whole subtrees joined at a time, pairs of rows compared at a time.
 HASHES, ROWS, PAIRS = 65_536, 40_000, 65_536
 #: Pairs of rows of two nodes up to which they are gathered with those of other nodes; larger nodes, up to PAIRS, are compared as they lie.
@@ -237,6 +241,33 @@ def walk(group: np.ndarray, fp: np.ndarray, budget: int, lanes: np.ndarray | Non
     return root_of(label, np.arange(n))
 
 
+def walk_dealt(group: np.ndarray, fp: np.ndarray, budget: int, paths: list[str], lanes: np.ndarray | None = None, total: int = TOTAL) -> np.ndarray:
+    """`walk`, with subtrees of more than `LEAF` rows dealt out over the bits that their path leaves open, if that saves comparisons.
+
+    paths: the path of each group, in their order.  A subtree's rows lie together; a link of any of its parts joins them.
+    """
+    n = len(fp)
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    whole, label = np.ones(n, bool), np.arange(n)
+    for path, a, b in zip(paths, edge[:-1].tolist(), edge[1:].tolist()):
+        if b - a <= LEAF or "/" in path:  # a pair of chunks is one that bits hardly part
+            continue
+        masks = [np.uint64(m) for _, m in parts_of(path, budget)]
+        size = sum(float((np.unique(fp[a:b] & m, return_counts=True)[1].astype(float) ** 2).sum()) for m in masks)
+        if 2 * size > float(b - a) ** 2:
+            continue
+        whole[a:b] = False
+        for m in masks:
+            part = fp[a:b] & m
+            order = np.lexsort([fp[a:b], part]) + a
+            first = walk(np.cumsum(np.concatenate([[False], np.diff(part[order - a]) != 0])), fp[order], budget, None if lanes is None else lanes[order], total)
+            unite(label, order, order[first])
+    rest = np.flatnonzero(whole)
+    if len(rest):
+        label[rest] = rest[walk(group[rest], fp[rest], budget, None if lanes is None else lanes[rest], total)]
+    return root_of(label, np.arange(n))
+
+
 def links(classes: DataFrame, budget: int = BUDGET, total: int = TOTAL, subtree: int = SUBTREE) -> DataFrame:
     """Links (a, b) between class ids that keep all components of each lane; classes: id, fps (as many of each as there are lanes)."""
     lanes = F.size("fps") > 1
@@ -274,15 +305,17 @@ def links(classes: DataFrame, budget: int = BUDGET, total: int = TOTAL, subtree:
         held: list[pa.RecordBatch] = []
 
         def forest(t: pa.Table) -> pa.RecordBatch:
-            lane, path, part = t.column("lane").to_numpy(), t.column("path").to_numpy(zero_copy_only=False).astype(str), t.column("part").to_numpy()
+            lane, part = t.column("lane").to_numpy(), t.column("part").to_numpy()
             fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("id").to_numpy()
-            names, path = np.unique(path, return_inverse=True)
+            coded = t.column("path").combine_chunks().dictionary_encode()
+            names, path = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             order = np.lexsort([fp, part, path, lane])
             lane, path, part, fp, rep = (x[order] for x in (lane, path, part, fp, rep))
             new = np.concatenate([[False], (lane[1:] != lane[:-1]) | (path[1:] != path[:-1]) | (part[1:] != part[:-1])])
             fps = t.column("fps").combine_chunks()
             more = None if fps.null_count else fps.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)[order]
-            first = walk(np.cumsum(new), fp, budget, more, total)
+            at = np.concatenate([[0], np.flatnonzero(new)])
+            first = walk_dealt(np.cumsum(new), fp, budget, [names[k] for k in path[at]], more, total)
             on = first != np.arange(len(fp))
             return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[first[on]])], names=["a", "b"])
 
@@ -294,7 +327,7 @@ def links(classes: DataFrame, budget: int = BUDGET, total: int = TOTAL, subtree:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             lane, path, part = t.column("lane").to_numpy(), t.column("path"), t.column("part").to_numpy()
-            same = (lane == lane[-1]) & (part == part[-1]) & (path.to_numpy(zero_copy_only=False) == path[-1].as_py())
+            same = (lane == lane[-1]) & (part == part[-1]) & pc.equal(path, path[-1]).to_numpy()
             to = int(len(same) - same[::-1].argmin()) if not same.all() else 0
             if to:  # the last subtree may go on in the next batch
                 yield forest(t.slice(0, to))

@@ -187,3 +187,33 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_empty_table(make_docs):
     assert simhash.classified(make_docs([(1, "x")]).where("false")).collect() == []
+
+
+def test_a_subtree_that_fits_a_task_is_not_dealt_out_over_the_shuffle_again(spark, monkeypatch):
+    """All agree on the first block, so that subtree holds all of them; each further level over the shuffle would copy them `budget` + 1 times."""
+    rng = np.random.default_rng(13)
+    fp = rng.integers(0, 2**51, 24_000, dtype=np.uint64)
+    fp[:400] = fp[400:800] ^ (np.uint64(1) << rng.integers(0, 51, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 51, 400).astype(np.uint64))
+    fp = np.unique(fp)
+    dealt, cut = [], simhash.common.cut
+    monkeypatch.setattr(simhash.common, "cut", lambda df: dealt.append(df.columns) or cut(df))
+    classes = spark.createDataFrame([(i, [int(x)]) for i, x in enumerate(fp.view(np.int64))], "id long, fps array<long>")
+    found = {(r["a"], r["b"]) for r in simhash.links(classes).collect()}
+    assert not [c for c in dealt if "fps" in c]
+    want = set()
+    for a in range(0, len(fp), 500):
+        i, j = np.nonzero(np.bitwise_count(fp[a : a + 500, None] ^ fp[None, :]) <= simhash.BUDGET)
+        want |= {(max(x, y), min(x, y)) for x, y in zip((i + a).tolist(), j.tolist()) if x != y}
+    parts = lambda edges: {frozenset(x) for x in _groups(edges)}
+    assert len(want) >= 390 and parts(found) == parts(want)
+
+
+def _groups(edges):
+    label = {}
+    root = lambda x: x if label.setdefault(x, x) == x else root(label[x])
+    for a, b in edges:
+        label[root(a)] = root(b)
+    out = {}
+    for x in list(label):
+        out.setdefault(root(x), set()).add(x)
+    return out.values()
