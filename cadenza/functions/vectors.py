@@ -26,6 +26,16 @@ def unit(a: Column) -> Column:
     return bound(a, lambda v: bound(norm(v) + EPSILON, lambda size: F.transform(v, lambda x: x.cast("double") / size)))
 
 
+def rounded(a: Column, digits: int) -> Column:
+    """Each component as a double, rounded; one below zero that rounds to zero keeps its sign, as in IEEE arithmetic, and doesn't turn into 0.0."""
+
+    def one(x: Column) -> Column:
+        r = F.round(x, digits)
+        return F.when(r == 0, x * 0.0).otherwise(r)
+
+    return F.transform(a, lambda x: one(x.cast("double")))
+
+
 def sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """keys, n, total (element-wise sum): positions are summed with partial aggregation, then put in order."""
     spread = df.select(*keys, F.posexplode(vector).alias("pos", "x"))

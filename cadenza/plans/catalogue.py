@@ -151,7 +151,7 @@ def with_sim(spark, sf):
 
 @query(f"WITH {CENTRED} SELECT source, list_transform(c, lambda x: round(x, 6)) AS centroid, n FROM centre JOIN (SELECT source, count(*) AS n FROM clips GROUP BY source) USING (source)")
 def centroid_by_label(spark, sf):
-    return vectors.centroids(clip_rows(spark, sf), ["source"], "emb").select("source", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"), "n")
+    return vectors.centroids(clip_rows(spark, sf), ["source"], "emb").select("source", vectors.rounded(F.col("centroid"), 6).alias("centroid"), "n")
 
 
 @query(f"WITH {CENTRED} SELECT vec_id, round(sim, 6) AS sim FROM sims")
@@ -281,7 +281,7 @@ def target_seeds(spark, sf):
  SELECT (SELECT count(*) FROM clusters WHERE cluster = 2) AS n, list_transform(m, lambda x: round(x / (sqrt(list_inner_product(m, m)) + 1e-9), 6)) AS centroid FROM v""")
 def picked_target(spark, sf):
     x = clip_rows(spark, sf).withColumnRenamed("vec_id", "id")
-    return ranking.find_target(x, pick=2, alike=0.25).select("n", F.transform("centroid", lambda v: F.round(v, 6)).alias("centroid"))
+    return ranking.find_target(x, pick=2, alike=0.25).select("n", vectors.rounded(F.col("centroid"), 6).alias("centroid"))
 
 
 @query(f"""WITH {CENTRED}, usable AS (SELECT * FROM sims WHERE clipping <= 0.001 AND bandwidth >= 6000 AND snr_db >= 18), med AS (SELECT source, median(sim) AS med_sim, median(snr_db) AS med_snr_db FROM usable GROUP BY source),
@@ -701,7 +701,7 @@ def bench_cases(spark, sf):
  k AS (SELECT speaker, count(*) AS n FROM cases JOIN embeddings ON vec_id = id WHERE role = 'holdout' GROUP BY speaker) SELECT speaker, n, list_transform(m, lambda x: round(x / (sqrt(list_inner_product(m, m)) + 1e-9), 6)) AS centroid FROM c JOIN k USING (speaker)""")
 def bench_centroids(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
-    return reports.held_out_centroids(utterances(spark, sf), e).select("speaker", "n", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return reports.held_out_centroids(utterances(spark, sf), e).select("speaker", "n", vectors.rounded(F.col("centroid"), 6).alias("centroid"))
 
 
 @query(f"WITH {TAKES} SELECT engine, count(*) AS n, round(avg(cer * 1.5), 6) AS wer, round(avg(cer), 6) AS cer, round(avg(similarity), 6) AS sim, round(min(similarity), 6) AS min_sim, round(median(rtf), 6) AS rtf FROM takes GROUP BY engine")
@@ -1213,7 +1213,7 @@ def source_segments(spark, sf):
     sources = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source"), F.col("embedding").alias("samples"), F.lit(8).alias("sr"))
     asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source"), (F.col("vec_id") % 8 / 2.0).alias("begin"), (F.col("vec_id") % 8 / 2.0 + 1.0).alias("end"))
     out = files.segments(asked, sources)
-    return out.select(F.col("source").alias("vec_id"), (F.col("begin") * 8).cast("int").alias("first"), F.transform("samples", lambda x: F.round(x.cast("double"), 6)).alias("samples"))
+    return out.select(F.col("source").alias("vec_id"), (F.col("begin") * 8).cast("int").alias("first"), vectors.rounded(F.col("samples"), 6).alias("samples"))
 
 
 @query("""WITH f AS (SELECT vec_id, k, list_sum(list_transform(embedding[k * 8 + 1 : k * 8 + 16]::DOUBLE[], lambda x: x * x)) / 16 AS e FROM (SELECT *, unnest(range(7)) AS k FROM embeddings)) SELECT vec_id, k::INT AS k, round(20 * log10(greatest(1e-12, sqrt(e))), 5) AS db FROM f""")
