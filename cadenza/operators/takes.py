@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -93,9 +96,12 @@ def choose_reference(requests: DataFrame, references: DataFrame, tried: DataFram
     (tried: voice, engine, reference, similarity), else the best of those that fit the engine's window (references: voice,
     reference, duration, score).
     """
+    near = -F.round(F.col("similarity").cast("double"), 9)
+    tried = _bounded(tried, ["voice", "engine"], [near.isNotNull(), F.isnan(near)], near, "reference", 1, _few_voices(references))
     best = tried.groupBy("voice", "engine").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "reference"))["reference"].alias("__tried"))
     fitting = references_for(references, dimension, 1).select("voice", "engine", F.col("reference").alias("__fits"))
-    known = references.select("voice", F.col("reference").alias("__known")).distinct()
+    # dealt out first: one task's part of the table may hold as many different ones as all others together
+    known = references.select("voice", F.col("reference").alias("__known")).repartition("voice", "__known").distinct()
     some = references.select("voice").distinct().withColumn("__some", F.lit(True))
     x = requests.join(best, ["voice", "engine"], "left").join(fitting, ["voice", "engine"], "left").join(some, "voice", "left")
     tuned = F.when(F.col("tuned_engine") == F.col("engine"), F.col("tuned_reference"))
@@ -112,7 +118,9 @@ def probes(voices: DataFrame, references: DataFrame, sentences: DataFrame, n: in
     A language without sentences borrows the texts of the voice's references with the lowest scores, which are no prompts; a
     voice without references takes the English ones.
     """
-    own = references.withColumn("place", F.row_number().over(W.partitionBy("voice").orderBy("score", "reference"))).where(F.col("place") <= n)
+    score = F.col("score").cast("double")
+    own = _bounded(references, ["voice"], [score.isNotNull(), F.isnan(score)], score, "reference", n, _few_voices(references))
+    own = own.withColumn("place", F.row_number().over(W.partitionBy("voice").orderBy("score", "reference"))).where(F.col("place") <= n)
     spoken = sentences.where(F.col("place") <= n)
     has = spoken.select("language").distinct()
     listed = voices.join(spoken, "language")
@@ -274,4 +282,34 @@ def references_for(references: DataFrame, dimension: DataFrame, n: int, low: flo
     """The n references of each engine: those inside its window (with slack) first, then by score."""
     inside = F.col("duration").between(F.col("window_low") - low, F.col("window_high") + high)
     both = references.join(F.broadcast(dimension), F.lit(True)).withColumn("fits", inside)  # six engines
+    # downward, nulls last; of numbers, NaN is the largest
+    score, fits = F.col("score").cast("double"), F.col("fits")
+    flags = [fits.isNull(), ~F.coalesce(fits, F.lit(False)), score.isNull(), ~F.isnan(score)]
+    both = _bounded(both, ["voice", "engine"], flags, -score, "reference", n, _few_voices(references))
     return both.withColumn("place", F.row_number().over(W.partitionBy("voice", "engine").orderBy(F.desc("fits"), F.desc("score"), "reference"))).where(F.col("place") <= n)
+
+
+#: Buckets for each row wanted of a group: the more, the nearer a bound is to the last row wanted.  Voices up to which bounds are broadcast.
+BUCKETS, VOICES = 8, 10_000
+
+
+def _bounded(rows: DataFrame, keys: list[str], flags: list[Column], value: Column, tie: str, n: int, few: bool) -> DataFrame:
+    """Rows among which the first n of each group by (flags, value, tie), all upward, are, and few more, found without sorting the others.
+
+    Rows fall into buckets by a hash; the n-th of the buckets' best values has n rows up to it, so none beyond it is wanted.  A group of
+    fewer buckets than n is kept whole.  Flags and a double are aggregated by hash; rows as good as the bound stay, whatever their tie.
+    few: a bound for each group may be broadcast.
+    """
+    named = [c.alias(f"__f{i}") for i, c in enumerate(flags)]
+    place = F.struct(*named, value.alias("__v"))
+    bucket = F.pmod(F.xxhash64(value, tie), F.lit(n * BUCKETS)).alias("__bucket")
+    best = rows.groupBy(*keys, *named, bucket).agg(F.min(value).alias("__v"))
+    best = best.groupBy(*keys, "__bucket").agg(F.min(F.struct(*[f"__f{i}" for i in range(len(flags))], "__v")).alias("__best"))  # a bucket counts once
+    bounds = best.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.get(F.array_sort(F.collect_list("__best")), F.lit(n - 1)).alias("__bound"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))
+    near = rows.join(F.broadcast(bounds) if few else bounds, same).where(F.col("__bound").isNull() | (place <= F.col("__bound")))
+    return near.select(*rows.columns)
+
+
+def _few_voices(references: DataFrame) -> bool:
+    return references.select("voice").distinct().limit(VOICES + 1).count() <= VOICES

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cadenza.operators import consent, gates, ranking, segment, similar, takes
 from cadenza.sources import delivery, files
@@ -246,3 +247,21 @@ def test_target_by_anchor_pick_and_dominance(spark):
     assert find(pool(1, 0)[0])["n"] == 1
     with pytest.raises(ranking.AmbiguousSpeaker):
         find(pool(1, 1)[0])
+
+
+def test_the_best_references_are_found_without_sorting_all_of_them(spark):
+    """Nulls, NaN and ties stand where a sort by (fits, score, reference) puts them, and the rows that a sort sees are few."""
+    nan = float("nan")
+    rows = [(k, k % 2, [4.0, 8.0, 30.0, None][k % 4], [float(k % 97), None, nan, 5.0][k % 7 % 4]) for k in range(4000)] + [(9000, 7, 8.0, 1.0), (9001, None, 8.0, 1.0)]
+    refs = spark.createDataFrame(rows, "reference long, voice long, duration double, score double")
+    dimension = takes.engines(spark)
+    both = refs.crossJoin(dimension).withColumn("fits", F.col("duration").between(F.col("window_low") - 1.5, F.col("window_high") + 3.0))
+    w = W.partitionBy("voice", "engine").orderBy(F.desc("fits"), F.desc("score"), "reference")
+    show = lambda x: sorted((tuple(r) for r in x.select("voice", "engine", "reference", "place").collect()), key=str)
+    assert show(takes.references_for(refs, dimension, 3)) == show(both.withColumn("place", F.row_number().over(w)).where("place <= 3"))
+    score = F.col("score")
+    near = takes._bounded(refs, ["voice"], [score.isNotNull(), F.isnan(score)], score, "reference", 2, True)
+    first = lambda x: sorted((tuple(r) for r in x.withColumn("n", F.row_number().over(W.partitionBy("voice").orderBy("score", "reference"))).where("n <= 2").select("voice", "reference").collect()), key=str)
+    assert first(near) == first(refs) and near.where("score IS NOT NULL").count() <= 2
+    plain = refs.where("score IS NOT NULL AND NOT isnan(score)").withColumn("score", F.col("reference") * 1.0)
+    assert takes._bounded(plain, ["voice"], [score.isNotNull(), F.isnan(score)], score, "reference", 3, True).count() < 40
