@@ -103,3 +103,16 @@ def test_scores_are_the_same_for_large_tables(spark, monkeypatch):
     monkeypatch.setattr(prefix, "SMALL", 0)
     large = {r["n"]: r["score"] for r in ranking.clip_scores(df, ["k"]).collect()}
     assert len(plain) == 800 and plain == {n: None if v is None else pytest.approx(v) for n, v in large.items()}
+
+
+def test_the_tuning_budget_sorts_what_it_needs_only(spark, monkeypatch):
+    from cadenza.operators import prefix
+    from cadenza.plans import catalogue
+
+    seen, ranged = [], prefix.ranged
+    monkeypatch.setattr(prefix, "SMALL", 0)
+    monkeypatch.setattr(prefix, "ranged", lambda df, *more: seen.append(sorted(df.columns)) or ranged(df, *more))
+    large = catalogue.tune_budget(spark, "/root/testdata/sf0.001").collect()
+    assert seen == [["duration", "part", "take", "voice"]]
+    monkeypatch.setattr(prefix, "SMALL", 1 << 40)
+    assert sorted(map(tuple, large)) == sorted(map(tuple, catalogue.tune_budget(spark, "/root/testdata/sf0.001").collect()))
