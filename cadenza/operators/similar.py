@@ -26,6 +26,8 @@ from ..functions.files import scratch
 
 #: Vectors of a block, bytes of the sample that pivots are fitted to, pivots at most.
 ROWS, SAMPLE_BYTES, PIVOTS = 2048, 4 << 20, 256
+#: Blocks of a partition.
+PART = 8
 _SLACK, _EPSILON = 1e-6, 1e-9
 
 
@@ -68,49 +70,54 @@ class Blocks:
             rows = rows.select("*", F.lit(0).alias("pivot"), F.lit(0.0).alias("angle")).checkpoint()
             return cls(_blocked(rows, True), rows, pivots[:1], dim)
         rows = rows.mapInArrow(keyed, "id long, weight long, v array<double>, pivot int, angle double").checkpoint()
-        return cls(_blocked(rows).checkpoint(), rows, pivots, dim)
+        return cls(_blocked(rows, parts=_parts(n)).checkpoint(), rows, pivots, dim)
 
     def of_rows(self, rows: DataFrame) -> Blocks:
         """Some of the flat rows in blocks of their own."""
         if len(self.pivots) < 2:
             return Blocks(_blocked(rows, True), rows, self.pivots, self.dim)
-        return Blocks(_blocked(rows).checkpoint(), rows, self.pivots, self.dim)
+        return Blocks(_blocked(rows, parts=_parts(rows.count())).checkpoint(), rows, self.pivots, self.dim)
 
     def pairs(self, other: Blocks, alike: float, both_ways: bool) -> DataFrame:
         """i, j: the pairs of blocks that can hold vectors with a cosine from `alike` on; both_ways: (j, i) as well as (i, j), of one table."""
-        if len(self.pivots) < 2:  # a block on either side
-            i, j = self.blocks.select(F.col("block").alias("i")), other.blocks.select(F.col("block").alias("j"))
-            return i.crossJoin(j)
-        spark = self.blocks.sparkSession
+        return self._product(other, alike, both_ways).select(F.col("block1").alias("i"), F.col("block2").alias("j"))
+
+    def _product(self, other: Blocks, alike: float, both_ways: bool) -> DataFrame:
+        """Those pairs with all columns of both blocks, ending in 1 and 2.
+
+        Partitions of the written blocks meet by the product of both tables: a task
+        reads one partition of either side from the shared folder, and what no pair can be near in is left before anything moves.  So
+        nothing is shuffled, however many pairs there are.
+        """
         far = float(np.arccos(np.clip(alike, -1, 1))) + _SLACK
+        packed = lambda b, end: b.blocks.select(*[F.col(c).alias(c + end) for c in ("block", "pivot", "lo", "hi", "ids", "weights", "vectors")])
+        x, y = packed(self, "1"), packed(other, "2")
+        if len(self.pivots) < 2:  # a block on either side
+            return x.crossJoin(y)
         t = np.arccos(np.clip(self.pivots @ self.pivots.T, -1, 1))
         np.fill_diagonal(t, 0)
-        reach = np.zeros(len(self.pivots))
-        for b in (self,) if other is self else (self, other):
-            for r in b.blocks.groupBy("pivot").agg(F.max("hi").alias("hi")).collect():  # a row for each pivot
-                reach[r["pivot"]] = max(reach[r["pivot"]], r["hi"])
-        p, q = np.nonzero(t - reach[:, None] - reach[None, :] <= far)
-        between = F.broadcast(spark.createDataFrame(pd.DataFrame({"p": p.astype(int), "q": q.astype(int), "t": t[p, q]}), "p int, q int, t double"))
-        head = lambda b, *names: b.blocks.select(*[F.col(c).alias(n) for c, n in zip(("block", "pivot", "lo", "hi"), names)])
-        x = head(self, "i", "p", "lo", "hi").join(between, "p").join(head(other, "j", "q", "lo2", "hi2"), "q")
-        apart = F.greatest(F.col("t") - F.col("hi") - F.col("hi2"), F.col("lo") - F.col("t") - F.col("hi2"), F.col("lo2") - F.col("t") - F.col("hi"))
-        return x.where(apart <= far).where(F.lit(True) if both_ways else F.col("i") <= F.col("j")).select("i", "j")
-
-    def meet(self, other: Blocks, pairs: DataFrame, f: Callable[..., dict], schema: str) -> DataFrame:
-        """f of (same block, ids, weights, vectors, ids, weights, vectors) for each pair of blocks, as rows."""
-        side = lambda b, key, end: b.blocks.select(F.col("block").alias(key), *[F.col(c).alias(c + end) for c in ("ids", "weights", "vectors")])
-        dim = self.dim
+        # a block brings the angles from its pivot to all others
+        angles = self.blocks.sparkSession.createDataFrame([(p, row.tolist()) for p, row in enumerate(t)], "pivot1 int, angles array<double>")
+        x = x.join(F.broadcast(angles), "pivot1")
+        between = F.get("angles", F.col("pivot2"))
+        apart = F.greatest(between - F.col("hi1") - F.col("hi2"), F.col("lo1") - between - F.col("hi2"), F.col("lo2") - between - F.col("hi1"))
+        near = apart <= far
+        return x.join(y.hint("shuffle_replicate_nl"), near if both_ways else near & (F.col("block1") <= F.col("block2")))
+
+    def meet(self, other: Blocks, alike: float, both_ways: bool, f: Callable[..., dict], schema: str) -> DataFrame:
+        """f of (same block, ids, weights, vectors, ids, weights, vectors) for each of the `pairs`, as rows."""
+        dim, order = self.dim, [c + e for e in "12" for c in ("ids", "weights", "vectors")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in range(b.num_rows):
                     row = {n: b.column(k)[r].as_py() for k, n in enumerate(b.schema.names)}
-                    arrays = [np.frombuffer(row[c + e], kind) for e in "12" for c, kind in (("ids", np.int64), ("weights", np.int64), ("vectors", np.float64))]
+                    arrays = [np.frombuffer(row[c], np.float64 if c.startswith("v") else np.int64) for c in order]
                     arrays[2], arrays[5] = arrays[2].reshape(-1, dim), arrays[5].reshape(-1, dim)
-                    out = f(row["i"] == row["j"], *arrays)
+                    out = f(row["block1"] == row["block2"], *arrays)
                     yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
-        return pairs.join(side(self, "i", "1"), "i").join(side(other, "j", "2"), "j").mapInArrow(run, schema)
+        return self._product(other, alike, both_ways).select("block1", "block2", *order).mapInArrow(run, schema)
 
 
 def _fitted(x: np.ndarray, n: int) -> np.ndarray:
@@ -131,7 +138,12 @@ def _fitted(x: np.ndarray, n: int) -> np.ndarray:
     return pivots
 
 
-def _blocked(rows: DataFrame, one: bool = False) -> DataFrame:
+def _parts(n: int) -> int:
+    """Partitions of n rows: of PART blocks, but four at least, so that small tables keep some tasks busy too."""
+    return max(4, -(-n // (PART * ROWS)))
+
+
+def _blocked(rows: DataFrame, one: bool = False, parts: int = 1) -> DataFrame:
     """one: all rows fit a block."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +168,8 @@ def _blocked(rows: DataFrame, one: bool = False) -> DataFrame:
             yield made()
 
     order = ["pivot", "angle", "id"]
-    x = rows.coalesce(1) if one else rows.repartitionByRange(*order)
+    # partitions meet in pairs, so their number is by size and not by setting
+    x = rows.coalesce(1) if one else rows.repartitionByRange(parts, *order)
     return x.sortWithinPartitions(*order).mapInPandas(cut, "block long, pivot int, lo double, hi double, ids binary, weights binary, vectors binary")
 
 
@@ -178,7 +191,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> Dat
         i, j = np.nonzero(hit)
         return {"a": np.minimum(ids[i], ids2[j]), "b": np.maximum(ids[i], ids2[j]), "cosine": s[i, j]}
 
-    return blocks.meet(blocks, blocks.pairs(blocks, threshold, False), near, "a long, b long, cosine double")
+    return blocks.meet(blocks, threshold, False, near, "a long, b long, cosine double")
 
 
 def densities(blocks: Blocks, others: Blocks, alike: float) -> DataFrame:
@@ -191,5 +204,5 @@ def densities(blocks: Blocks, others: Blocks, alike: float) -> DataFrame:
         some = np.flatnonzero(d)
         return {"id": ids[some], "d": d[some]}
 
-    parts = blocks.meet(others, blocks.pairs(others, alike, True), near, "id long, d long")
+    parts = blocks.meet(others, alike, True, near, "id long, d long")
     return parts.groupBy("id").agg(F.sum("d").alias("d"))

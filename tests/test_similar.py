@@ -65,3 +65,17 @@ def test_clusters_equal_a_loop_that_counts_anew(spark, monkeypatch, rows):
         left &= ~near[best]
     got = {r["id"]: (r["cluster"], r["medoid"]) for r in ranking.density_clusters(frame(spark, x, duration), "emb", 0.6).collect()}
     assert len({c for c, _ in want.values()}) == 4 and got == want
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """However many pairs of blocks there are, none of them is sent through an exchange."""
+    monkeypatch.setattr(similar, "ROWS", 64)
+    x = np.random.default_rng(2).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<double>")
+    blocks = similar.Blocks.of(df, "id", "emb")
+    pairs = blocks.meet(blocks, 0.8, False, lambda same, ids, _, v, ids2, __, v2: {"n": [1]}, "n long")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and " Exchange " not in plan and blocks.blocks.count() >= 900 // 64
+    got = {(r["a"], r["b"]) for r in similar.similar_pairs(df, "id", "emb", 0.8).collect()}
+    c = similar.cosines(x, x)
+    assert got == {(i, j) for i, j in zip(*np.nonzero(c >= 0.8)) if i < j} and got
