@@ -983,24 +983,32 @@ def speech_regions(spark, sf):
     return streams.regions(frames, ["user_id"], "ts", "p", frame=60.0, silence=3600.0, least=300.0, most=7200.0, bucket=86400.0)
 
 
-def played(spark, rows, key, run, slices=3):
-    """What a stream gives that plays rows (key, ts, ...) in slices of time, one after the other, and then two that only bring the clock on."""
+def played(spark, rows, key, run, slices=3, per_file=500_000):
+    """What a stream gives that plays rows (key, ts, ...) in slices of time, one after the other, and then two that only bring the clock on.
+
+    Each slice is one batch: all have the same number of files, so that many tasks write and read them.
+    """
     path = f"{scratch(spark)}/played-{uuid.uuid4().hex}"
     fs, at = filesystem(spark, path)
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    clock = lambda c, days: F.lit(-1) if c == key else F.lit(last + datetime.timedelta(days=days)) if c == "ts" else F.lit(0)
-    later = lambda days: spark.range(1).select(*[clock(c, days).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    first, last, n = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (slices * per_file)))
+    value = lambda c, ts: F.lit(-1) if c == key else F.lit(ts) if c == "ts" else F.lit(0)
+    clock = lambda ts, m: spark.range(0, m, 1, m).select(*[value(c, ts).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     try:
         cuts = [first + (last - first) * k / slices for k in range(slices)] + [None]
         for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
             part = rows.where(F.col("ts") >= F.lit(lo).cast(rows.schema["ts"].dataType))
-            (part if hi is None else part.where(F.col("ts") < F.lit(hi).cast(rows.schema["ts"].dataType))).coalesce(1).write.parquet(f"{path}/in/{k}")
+            part = part if hi is None else part.where(F.col("ts") < F.lit(hi).cast(rows.schema["ts"].dataType))
+            (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(f"{path}/in/{k}")
+            short = files - sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(at(f"{path}/in/{k}")))
+            if short:  # a slice of few rows leaves some tasks none, and no file
+                clock(lo, short).write.mode("append").parquet(f"{path}/in/{k}")
         for k in (1, 2):
-            later(400 * k).coalesce(1).write.parquet(f"{path}/in/{slices + k}")
-        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            clock(last + datetime.timedelta(days=400 * k), files).write.parquet(f"{path}/in/{slices + k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
         q = run(stream).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
-        return spark.read.parquet(f"{path}/out").where(F.col(key) != -1).checkpoint()
+        return spark.read.parquet(f"{path}/out").where(~F.col(key).eqNullSafe(-1)).checkpoint()
     finally:
         fs.delete(at(path), True)
 

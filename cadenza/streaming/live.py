@@ -1,8 +1,11 @@
 """Live operators with timers: regions of speech, workers that fall idle, and jobs that wait for the one permit of a machine.
 
-Rows of a key may arrive in any order within the watermark: they are held in its state and taken in order of their time once
+Rows of a key may arrive in any order within the watermark: they are held in state and taken in order of their time once
 the watermark has passed them, so a stream gives what one loop over all rows in order gives.  Rows behind the watermark are dropped by
-Spark.  A timer per key wakes it when the watermark reaches what it waits for; a key that waits for nothing holds no state.
+Spark.  A key that waits for nothing holds no state.
+
+Keys share buckets by their hash, and state and timer are a bucket's: a call reads and writes what it holds once, as Arrow, whatever the
+number of its rows and keys.  The timer wakes the bucket when the watermark reaches what the first of its keys waits for.
 
 The state lies in RocksDB, which these functions choose for the session.
 """
@@ -13,86 +16,118 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Part of what a checkpoint holds: a stream that goes on from one must have the same.
+BUCKETS = 1024
+
+
+def _packed(frame: pd.DataFrame) -> bytes | None:
+    if frame.empty:
+        return None
+    batch = pa.RecordBatch.from_pandas(frame, preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes | None) -> list[pd.DataFrame]:
+    return [] if held is None else [pa.ipc.open_stream(held).read_pandas()]
+
 
 class InOrder(StatefulProcessor):
-    """Takes the rows of a key (at: microseconds, and one more number) in order of (at, that number) as the watermark passes them.
+    """Takes the rows of each key of a bucket (at: microseconds, and the numbers `VALUES`) in order of (at, numbers) as the watermark passes them.
 
-    A subclass says what a row does to the state, a tuple of `STATE` or None, and what the mere passing of time does; both
-    give rows of output.
+    A subclass says what a row does to the state of its key, a tuple of `STATE` or None, and what the mere passing of time does; both
+    give rows of output, `OUTPUT` less the key.
     """
 
-    STATE = ""
+    VALUES: tuple[str, ...] = ("value",)
+    STATE: tuple[str, ...] = ()
+    OUTPUT: tuple[str, ...] = ()
+
+    def __init__(self, key: str):
+        self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "at long, value double")
-        self.state = handle.getValueState("state", self.STATE)
+        self.kept = handle.getValueState("kept", "timer long, held binary, states binary")
 
-    def row(self, state: tuple | None, at: int, value: float) -> tuple[tuple | None, list[tuple]]:
+    def row(self, state: tuple | None, at: int, *values) -> tuple[tuple | None, list[tuple]]:
         raise NotImplementedError
 
     def passed(self, state: tuple | None, now: int) -> tuple[tuple | None, list[tuple]]:
         """What is due at `now`."""
         raise NotImplementedError
 
-    def due(self, state: tuple | None) -> int | None:
+    def due(self, state: tuple) -> int:
         """When the state has something to do next."""
         raise NotImplementedError
 
-    def output(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            self.held.appendList(list(zip(pdf["at"].tolist(), pdf["value"].astype(float).tolist())))
-        yield from self._on(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._on(key, [pdf[["key", "at", *self.VALUES]] for pdf in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._on(key, timerValues.getCurrentWatermarkInMs())
-
-    def _on(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        now, state, out = watermark * 1000, self.state.get() if self.state.exists() else None, []
-        held = sorted((int(at), float(value)) for at, value in (self.held.get() if self.held.exists() else ()))
-        later = [r for r in held if r[0] > now]
-        for at, value in held[: len(held) - len(later)]:
-            state, made = self.passed(state, at)
-            out += made
-            state, made = self.row(state, at, value)
-            out += made
-        state, made = self.passed(state, now)
-        out += made
+        yield from self._on(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _on(self, bucket: tuple, new: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        if bucket[0] < 0:  # the null key has a bucket of its own, as pandas would make floats of whole numbers beside it
+            new = [pdf.assign(key=0) for pdf in new]
+        now, out = watermark * 1000, []
+        timer, held, packed = self.kept.get() or (None, None, None)
+        states = {k: tuple(state) for pdf in _unpacked(packed) for k, *state in zip(*(pdf[c].tolist() for c in pdf))}
+        rows = pd.concat([*_unpacked(held), *new] or [pd.DataFrame(columns=["key", "at"])], ignore_index=True)
+        reached = rows["at"] <= now
+        first = rows[reached]
+        if len(first):
+            first = first.sort_values(["at", *self.VALUES])
+            for k, at, *values in zip(*(first[c].tolist() for c in ("key", "at", *self.VALUES))):
+                state, made = self.passed(states.get(k), at)
+                state, more = self.row(state, at, *values)
+                states[k] = state
+                if made or more:
+                    out += [(k, *r) for r in (*made, *more)]
+        ahead = {}
+        for k, state in states.items():
+            state, made = self.passed(state, now)
+            out += [(k, *r) for r in made]
+            if state is not None:
+                ahead[k] = state
         # all of it is written anew: what is held is no more than the watermark's delay
-        self.held.clear()
-        if later:
-            self.held.put(later)
-        if state is None:
-            self.state.clear()
+        later = rows[~reached] if len(first) else rows
+        waits = [int(later["at"].min())] if len(later) else []
+        waits += map(self.due, ahead.values())
+        # a timer that isn't ahead of the watermark would never ring
+        wake = max(watermark + 1, -(-min(waits) // 1000)) if waits else None
+        if timer is not None and timer != wake:
+            self.handle.deleteTimer(timer)
+        if wake is None:
+            self.kept.clear()
         else:
-            self.state.update(state)
-        waits = [t for t in (later[0][0] if later else None, self.due(state)) if t is not None]
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if waits:
-            # a timer that isn't ahead of the watermark would never ring
-            self.handle.registerTimer(max(watermark + 1, -(-min(waits) // 1000)))
+            if timer != wake:
+                self.handle.registerTimer(wake)
+            self.kept.update((wake, _packed(later), _packed(pd.DataFrame([(k, *state) for k, state in ahead.items()], columns=["key", *self.STATE]))))
         if out:
-            yield self.output(key, out)
+            made = pd.DataFrame(out, columns=[self.key, *self.OUTPUT])
+            yield made.assign(**{self.key: None}) if bucket[0] < 0 else made
 
     def close(self) -> None:
         pass
 
 
 class Regions(InOrder):
-    STATE = "begin long, end long, parts long"
+    STATE = ("begin", "end", "parts")
+    OUTPUT = ("opened", "closed")
 
     def __init__(self, key: str, threshold: float, frame: float, silence: float, least: float, most: float):
-        self.key, self.threshold = key, threshold
+        super().__init__(key)
+        self.threshold = threshold
         self.frame, self.silence, self.least, self.most = (round(x * 1e6) for x in (frame, silence, least, most))
 
     def row(self, state, at, value):
@@ -118,17 +153,16 @@ class Regions(InOrder):
         return [(state[0] + state[2] * self.most, state[1])]
 
     def due(self, state):
-        return None if state is None else state[1] + self.silence
-
-    def output(self, key, rows):
-        return pd.DataFrame({self.key: key[0], "opened": [r[0] for r in rows], "closed": [r[1] for r in rows]})
+        return state[1] + self.silence
 
 
 class Idle(InOrder):
-    STATE = "first long, last long, n long"
+    STATE = ("first", "last", "n")
+    OUTPUT = ("opened", "dropped", "n")
 
     def __init__(self, key: str, idle: float):
-        self.key, self.idle = key, round(idle * 1e6)
+        super().__init__(key)
+        self.idle = round(idle * 1e6)
 
     def row(self, state, at, value):
         first, _, n = state or (at, at, 0)
@@ -139,60 +173,35 @@ class Idle(InOrder):
         return (state, []) if state is None or now <= state[1] + self.idle else (None, [(state[0], state[1] + self.idle, state[2])])
 
     def due(self, state):
-        return None if state is None else state[1] + self.idle + 1
-
-    def output(self, key, rows):
-        return pd.DataFrame({self.key: key[0], "opened": [r[0] for r in rows], "dropped": [r[1] for r in rows], "n": [r[2] for r in rows]})
+        return state[1] + self.idle + 1
 
 
 class Queue(InOrder):
     """A row's number is its job; how long it takes comes with it."""
 
-    STATE = "free long"
+    VALUES = ("job", "took")
+    STATE = ("free",)
+    OUTPUT = ("job", "arrived", "begun", "finished")
 
-    def __init__(self, key: str):
-        self.key = key
+    def row(self, state, at, job, took):
+        begun = at if state is None else max(at, state[0])
+        return (begun + took,), [(job, at, begun, begun + took)]
 
-    def init(self, handle):
-        super().init(handle)
-        self.held = handle.getListState("jobs", "at long, job long, took long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        for pdf in rows:
-            self.held.appendList(list(zip(pdf["at"].tolist(), pdf["job"].tolist(), pdf["took"].tolist())))
-        yield from self._on(key, timerValues.getCurrentWatermarkInMs())
-
-    def _on(self, key, watermark):
-        now, free = watermark * 1000, self.state.get()[0] if self.state.exists() else None
-        held = sorted(tuple(map(int, r)) for r in (self.held.get() if self.held.exists() else ()))
-        later, out = [r for r in held if r[0] > now], []
-        for at, job, took in held[: len(held) - len(later)]:
-            begun = at if free is None else max(at, free)
-            free = begun + took
-            out.append((job, at, begun, free))
-        self.held.clear()
-        if later:
-            self.held.put(later)
-        if free is None or free <= now and not later:
-            self.state.clear()  # the permit is free, and nobody waits
-            free = None
-        else:
-            self.state.update((free,))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        wait = later[0][0] if later else free
-        if wait is not None:
-            self.handle.registerTimer(max(watermark + 1, -(-wait // 1000)))
-        if out:
-            yield pd.DataFrame({self.key: key[0], **dict(zip(("job", "arrived", "begun", "finished"), map(list, zip(*out))))})
+    def passed(self, state, now):
+        # once the permit is free, it doesn't matter since when
+        return (None if state is None or state[0] <= now else state), []
+
+    def due(self, state):
+        return state[0]
 
 
 def _run(stream: DataFrame, key: str, ts: str, delay: str, processor: StatefulProcessor, columns: list, schema: str) -> DataFrame:
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-    rows = stream.withWatermark(ts, delay).select(key, F.col(ts).alias("__ts"), F.unix_micros(F.col(ts)).alias("at"), *columns)
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int").alias("bucket")
+    rows = stream.withWatermark(ts, delay).select(bucket, F.col(key).alias("key"), F.col(ts).alias("__ts"), F.unix_micros(F.col(ts)).alias("at"), *columns)
     kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {schema}", "append", "eventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, f"{key} {kind}, {schema}", "append", "eventTime")
 
 
 def speech_regions(frames: DataFrame, key: str, ts: str, probability: str, delay: str, frame: float, threshold: float = 0.5, silence: float = 0.3, least: float = 0.25, most: float = 20.0) -> DataFrame:

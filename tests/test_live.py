@@ -3,6 +3,9 @@ from __future__ import annotations
 import datetime
 import random
 
+import pandas as pd
+from pyspark.sql.streaming.stateful_processor import TimerValues
+
 from cadenza.streaming import ledger, live
 
 BASE = datetime.datetime(2025, 3, 1)
@@ -124,3 +127,61 @@ def test_one_job_runs_at_a_time(spark, tmp_path):
     for m in range(3):
         runs = sorted((b, f) for k, _, _, b, f in got if k == m)
         assert all(f <= b for (_, f), (b, _) in zip(runs, runs[1:]))
+
+
+class Counted:
+    """A handle, and the one value and timer of its bucket, that count what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def _called(self):
+        self.calls += 1
+
+    def get(self):
+        self._called()
+        return self.value
+
+    def update(self, value):
+        self._called()
+        self.value = value
+
+    def clear(self):
+        self._called()
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self._called()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self._called()
+        self.timers.remove(at)
+
+
+def test_calls_to_state_do_not_grow_with_keys_and_rows():
+    """One bucket of one machine and one of 700: as many reads and writes, and the jobs of a loop."""
+    calls = []
+    for machines, jobs in ((1, 1), (700, 9)):
+        rng, handle, queue = random.Random(4), Counted(), live.Queue("machine")
+        queue.init(handle)
+        rows = [(m, rng.randrange(1, 1_000_000_000), m * jobs + j, rng.randrange(1, 400_000_000)) for m in range(machines) for j in range(jobs)]
+        rng.shuffle(rows)
+        got = []
+        for k, watermark in enumerate((0, 500_000, 1_000_000, 10_000_000)):
+            part = pd.DataFrame([r for r in rows if k < 2 and (r[1] > 500_000_000) == (k == 1)], columns=["key", "at", "job", "took"])
+            clock = TimerValues(currentWatermarkInMs=watermark)
+            frames = queue.handleInputRows((5,), iter([part]), clock) if len(part) else queue.handleExpiredTimer((5,), clock, None)
+            got += [tuple(r) for frame in frames for r in frame.itertuples(index=False)]
+            assert len(handle.timers) <= 1 and all(t > watermark for t in handle.timers)
+        want, free = [], {}
+        for m, at_, job, took in sorted(rows):
+            begun = max(at_, free.get(m, 0))
+            free[m] = begun + took
+            want.append((m, job, at_, begun, free[m]))
+        assert sorted(got) == sorted(want) and handle.value is None and not handle.timers
+        calls.append(handle.calls)
+    assert calls[1] <= calls[0] + 4  # a timer set anew or not
