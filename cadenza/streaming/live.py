@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -77,7 +78,7 @@ class InOrder(StatefulProcessor):
         yield from self._on(key, [], timerValues.getCurrentWatermarkInMs())
 
     def _on(self, bucket: tuple, new: list[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
-        if bucket[0] < 0:  # the null key has a bucket of its own, as pandas would make floats of whole numbers beside it
+        if bucket[0] < 0:  # the null key has a bucket of its own
             new = [pdf.assign(key=0) for pdf in new]
         now, out = watermark * 1000, []
         timer, held, packed = self.kept.get() or (None, None, None)
@@ -157,6 +158,7 @@ class Regions(InOrder):
 
 
 class Idle(InOrder):
+    VALUES = ()
     STATE = ("first", "last", "n")
     OUTPUT = ("opened", "dropped", "n")
 
@@ -164,7 +166,7 @@ class Idle(InOrder):
         super().__init__(key)
         self.idle = round(idle * 1e6)
 
-    def row(self, state, at, value):
+    def row(self, state, at):
         first, _, n = state or (at, at, 0)
         return (first, at, n + 1), []
 
@@ -199,9 +201,11 @@ def _run(stream: DataFrame, key: str, ts: str, delay: str, processor: StatefulPr
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int").alias("bucket")
-    rows = stream.withWatermark(ts, delay).select(bucket, F.col(key).alias("key"), F.col(ts).alias("__ts"), F.unix_micros(F.col(ts)).alias("at"), *columns)
-    kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy("bucket").transformWithStateInPandas(processor, f"{key} {kind}, {schema}", "append", "eventTime")
+    kind = stream.schema[key].dataType
+    # pandas would make floats of whole numbers beside a null
+    whole = F.coalesce(F.col(key), F.lit(0)) if isinstance(kind, IntegralType) else F.col(key)
+    rows = stream.withWatermark(ts, delay).select(bucket, whole.alias("key"), F.col(ts).alias("__ts"), F.unix_micros(F.col(ts)).alias("at"), *columns)
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, f"{key} {kind.simpleString()}, {schema}", "append", "eventTime")
 
 
 def speech_regions(frames: DataFrame, key: str, ts: str, probability: str, delay: str, frame: float, threshold: float = 0.5, silence: float = 0.3, least: float = 0.25, most: float = 20.0) -> DataFrame:
@@ -215,7 +219,7 @@ def speech_regions(frames: DataFrame, key: str, ts: str, probability: str, delay
 
 def dropped(uses: DataFrame, key: str, ts: str, delay: str, idle: float = 900.0) -> DataFrame:
     """key, opened, dropped (microseconds), n: workers that haven't been used for longer than `idle` seconds, as soon as the watermark shows it."""
-    return _run(uses, key, ts, delay, Idle(key, idle), [F.lit(0.0).alias("value")], "opened long, dropped long, n long")
+    return _run(uses, key, ts, delay, Idle(key, idle), [], "opened long, dropped long, n long")
 
 
 def queued(jobs: DataFrame, key: str, ts: str, delay: str, job: str, took: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
+from cadenza.plans import catalogue
 from cadenza.streaming import ledger, live
 
 BASE = datetime.datetime(2025, 3, 1)
@@ -185,3 +186,23 @@ def test_calls_to_state_do_not_grow_with_keys_and_rows():
         assert sorted(got) == sorted(want) and handle.value is None and not handle.timers
         calls.append(handle.calls)
     assert calls[1] <= calls[0] + 4  # a timer set anew or not
+
+
+def test_slices_of_many_files_and_of_few_rows(spark):
+    """Ten files a slice, but one row in the second; nobody's uses are a worker of their own, and spoil no number beside them."""
+    rng = random.Random(11)
+    workers = [None, 2**60 + 1, *range(2**60 + 40, 2**60 + 90)]
+    rows = [(rng.choice(workers), at(low + rng.randrange(2700))) for low in (0, 7300) for _ in range(300)] + [(3, at(0)), (None, at(5000)), (3, at(10_000))]
+    want, runs = [], {}
+    for w, ts in sorted(rows, key=lambda r: r[1]):
+        t = MICRO + round((ts - BASE).total_seconds() * 1e6)
+        if w in runs and t <= runs[w][1] + 900_000_000:
+            runs[w] = (runs[w][0], t, runs[w][2] + 1)
+        else:
+            want += [(w, *runs[w])] if w in runs else []
+            runs[w] = (t, t, 1)
+    want = [(w, first, last + 900_000_000, n) for w, first, last, n in want + [(w, *run) for w, run in runs.items()]]
+    table = spark.createDataFrame(rows, "user_id long, ts timestamp")
+    got = catalogue.played(spark, table, "user_id", lambda s: live.dropped(s, "user_id", "ts", "0 seconds"), per_file=20)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order) and len(want) > 100
