@@ -206,3 +206,17 @@ def test_slices_of_many_files_and_of_few_rows(spark):
     got = catalogue.played(spark, table, "user_id", lambda s: live.dropped(s, "user_id", "ts", "0 seconds"), per_file=20)
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order) and len(want) > 100
+
+
+def test_the_end_of_a_source_comes_after_the_frame_of_its_time(spark, tmp_path):
+    """Frames of 400 sources in one batch, the last one's mark of the end ahead of it: as `ledger.regions` has it, and no region of one frame beside it."""
+    schema = "source int, at timestamp, p double"
+    rows = [(s, at(s + k / 10), 0.9) for s in range(400) for k in range(20)]
+    spark.createDataFrame([(399, at(400.9), None), *rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = live.speech_regions(stream, "source", "at", "p", "0 seconds", 0.1, least=0.0).writeStream.format("memory").queryName("marked").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = sorted(tuple(r) for r in spark.table("marked").collect())
+    want = sorted(tuple(r) for r in ledger.regions(spark.createDataFrame(rows, schema), ["source"], "at", "p", 0.1, least=0.0).collect())
+    closed = [r for r in want if r[2] <= MICRO + 400_600_000 or r[0] == 399]  # the others wait for silence
+    assert got == closed and got[-1] == (399, MICRO + 399_000_000, MICRO + 401_000_000)
