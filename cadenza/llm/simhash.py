@@ -48,6 +48,8 @@ TOTAL = 66
 SUBTREE, SHRINK = 200_000, 16
 #: Members of a subtree that are walked as they are; a larger one is dealt out inside its task.
 LEAF = 4_096
+#: Links that a file of a round of components holds; there are as many files as cores at least.
+LINKS = 65_536
 #: Shingles hashed at a time, rows of whole subtrees joined at a time, pairs of rows compared at a time.
 HASHES, ROWS, PAIRS = 65_536, 40_000, 65_536
 #: Pairs of rows of two nodes up to which they are gathered with those of other nodes; larger nodes, up to PAIRS, are compared as they lie.
@@ -279,7 +281,8 @@ def links(classes: DataFrame, budget: int = BUDGET, total: int = TOTAL, subtree:
     small = None
     while True:
         sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above"))
-        large = common.cut(sizes.where(F.col("n") > subtree).select(*key, "n", (F.col("n") * SHRINK > F.col("above")).alias("dense")))
+        # one row for more than `subtree` members, so one file holds them
+        large = common.cut(sizes.where(F.col("n") > subtree).select(*key, "n", (F.col("n") * SHRINK > F.col("above")).alias("dense")).repartition(1))
         paths = [r["path"] for r in large.where("dense IS NULL OR NOT dense").select("path").distinct().collect()]  # at most (budget + 1) ** depth, few in fact
         any_large = bool(paths) or large.limit(1).count() > 0
         calm = (rows.join(large, key, "left_anti") if any_large else rows).select(*key, "fp", "id", "fps")
@@ -341,7 +344,11 @@ def links(classes: DataFrame, budget: int = BUDGET, total: int = TOTAL, subtree:
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, component (smallest node reachable), for all nodes of the edges (a, b) but the smallest of each component."""
+    """node, component (smallest node reachable), for all nodes of the edges (a, b) but the smallest of each component.
+
+    The result is cut.  A round writes as many files as its links need, whatever the number of shuffle partitions: each file costs an
+    executor several processes (chmod) on a file system without Hadoop's native library.
+    """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = common.cut(e)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -349,15 +356,16 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
+        files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-seen[0] // LINKS))
         # large star: all larger neighbours of a node are linked to the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(files))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = common.cut(large)
+        large = common.cut(large.coalesce(files))
         # small star: all smaller neighbours of a node, and itself, are linked to the smallest of them
-        least = common.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = common.cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(files))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = common.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         now = mark(e)
         if now == seen:
             break
@@ -374,7 +382,7 @@ def classified(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, lanes:
     classes = found.where(F.col("doc_id").isNotNull()).groupBy("fps").agg(first)
     # ids of their own: one doc_id may have rows in several classes
     classes = common.cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    parts = common.cut(components(links(classes, budget, total, subtree)))
+    parts = components(links(classes, budget, total, subtree))
     members = parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct())
     least = classes.join(members, F.col("id") == F.col("node")).groupBy("component").agg(F.min("first").alias("least"))
     heads = members.join(least, "component").select("node", "least")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from cadenza.llm import simhash
+from cadenza.llm import common, simhash
 
 
 def brute_fingerprint(text, k=4):
@@ -185,6 +185,24 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 100 for i in range(101, 161)) and all(got[i] == 7 for i in range(200, 260))
 
 
+def test_rounds_of_components_write_as_many_files_as_links_need(spark, monkeypatch):
+    """Under 100 shuffle partitions that stay as they are, few links lie in as many files as there are cores."""
+    files, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: files.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = simhash.components(spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 300)], "a long, b long"))
+        got = {r["node"]: r["component"] for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 300)}
+    assert len(files) > 8 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_empty_table(make_docs):
     assert simhash.classified(make_docs([(1, "x")]).where("false")).collect() == []
 
