@@ -986,7 +986,9 @@ def speech_regions(spark, sf):
 def played(spark, rows, key, run, slices=3, per_file=500_000):
     """What a stream gives that plays rows (key, ts, ...) in slices of time, one after the other, and then two that only bring the clock on.
 
-    Each slice is one batch: all have the same number of files, so that many tasks write and read them.
+    Each slice is one batch: all have the same number of files, so that many tasks write and read them.  State is dealt out over as many
+    partitions as there are cores (or 8) at most: each costs every batch a store to load and to commit and a Python worker, however few rows it has,
+    and buckets keep a task's memory small by themselves.
     """
     path = f"{scratch(spark)}/played-{uuid.uuid4().hex}"
     fs, at = filesystem(spark, path)
@@ -1006,7 +1008,12 @@ def played(spark, rows, key, run, slices=3, per_file=500_000):
         for k in (1, 2):
             clock(last + datetime.timedelta(days=400 * k), files).write.parquet(f"{path}/in/{slices + k}")
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
-        q = run(stream).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        states = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(states), max(8, spark.sparkContext.defaultParallelism)))
+        try:  # a query keeps the number that it has been started with
+            q = run(stream).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", states)
         q.awaitTermination()
         return spark.read.parquet(f"{path}/out").where(~F.col(key).eqNullSafe(-1)).checkpoint()
     finally:

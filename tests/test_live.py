@@ -208,6 +208,21 @@ def test_slices_of_many_files_and_of_few_rows(spark):
     assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order) and len(want) > 100
 
 
+def test_state_lies_in_as_many_partitions_as_there_are_cores(spark):
+    """Whatever the session has for its shuffles, which stays as it was."""
+    name, seen = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    table = spark.createDataFrame([(k % 7, at(60 * k)) for k in range(70)], "user_id long, ts timestamp")
+    try:
+        for given in ("500", "3"):
+            spark.conf.set(name, given)
+            got = catalogue.played(spark, table, "user_id", lambda s: seen.append(spark.conf.get(name)) or live.dropped(s, "user_id", "ts", "0 seconds"))
+            assert sorted((r["user_id"], r["n"]) for r in got.collect()) == [(k, 10) for k in range(7)] and spark.conf.get(name) == given
+    finally:
+        spark.conf.set(name, before)
+    assert seen == [str(max(8, spark.sparkContext.defaultParallelism)), "3"]
+
+
 def test_the_end_of_a_source_comes_after_the_frame_of_its_time(spark, tmp_path):
     """Frames of 400 sources in one batch, the last one's mark of the end ahead of it: as `ledger.regions` has it, and no region of one frame beside it."""
     schema = "source int, at timestamp, p double"
